@@ -84,15 +84,28 @@ class WordIds:
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (with the end of the last)."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-        coded = split.flatten().dictionary_encode()
-        found = [self.word(w) if w else b"" for w in coded.dictionary.to_pylist()]
+        found, which, offsets = self._coded(texts)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), "<u4")
-        which = coded.indices.to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes[which])
         flat = ids[np.repeat(starts[which] - ends + sizes[which], sizes[which]) + np.arange(ends[-1] if len(ends) else 0)]
-        return flat, np.concatenate([[0], ends])[split.offsets.to_numpy()]
+        return flat, np.concatenate([[0], ends])[offsets]
+
+    def _coded(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Ids of the distinct words, which of them stand in the texts in order, and where each text's begin."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        which, offsets = coded.indices.to_numpy(zero_copy_only=False), split.offsets.to_numpy()
+        if "" in words:  # beside white space at either end of a text
+            solid = which != words.index("")
+            which, offsets = which[solid], np.concatenate([[0], np.cumsum(solid)])[offsets]
+        return [self.word(w) if w else b"" for w in words], which, offsets
+
+    def sizes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each word of all texts, and where each text's words begin."""
+        found, which, offsets = self._coded(texts)
+        return (np.fromiter(map(len, found), np.int64, len(found)) // 4)[which], offsets
 
     def count(self, text: str) -> int:
         return sum(len(self.word(w)) for w in re.split("[ \t-\r]+", text) if w) // 4
