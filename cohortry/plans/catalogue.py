@@ -88,9 +88,9 @@ d AS (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1)
 SELECT count(*)::BIGINT AS n_rows, sum((event_type IS NULL)::INT + (user_id IS NULL)::INT)::BIGINT AS null_closed, sum((value IS NULL)::INT)::BIGINT AS null_items, sum((props IS NULL)::INT)::BIGINT AS null_texts,
  (count(*) - count(DISTINCT w))::BIGINT AS duplicates, (count(*) - count(DISTINCT u))::BIGINT AS duplicates_untimed, sum(coalesce((value NOT BETWEEN 1 AND 5)::INT, 0))::BIGINT AS out_of_range, sum(coalesce((value <> floor(value))::INT, 0))::BIGINT AS fractional,
  min(ts) AS first_time, max(ts) AS last_time, (floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0) + 1)::BIGINT AS window_days,
- (SELECT day FROM d ORDER BY n DESC, day LIMIT 1) AS peak_day, (SELECT max(n) FROM d)::BIGINT AS peak_n FROM e""")
+ (SELECT day::VARCHAR FROM d ORDER BY n DESC, day LIMIT 1) AS peak_day, (SELECT max(n) FROM d)::BIGINT AS peak_n FROM e""")
 def quality_audit(spark, sf_dir):
-    return describe.audit_quality(read(spark, sf_dir, "events"), ["event_type", "user_id"], ["value"], ["props"], "ts")
+    return describe.audit_quality(read(spark, sf_dir, "events"), ["event_type", "user_id"], ["value"], ["props"], "ts").withColumn("peak_day", F.col("peak_day").cast("string"))
 
 
 def _runs() -> str:
@@ -402,9 +402,9 @@ def doc_frequency(spark, sf_dir):
     return text.document_frequency(read(spark, sf_dir, "documents"), "text", 3)
 
 
-@query("SELECT ts::DATE AS day, count(*)::BIGINT AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM events GROUP BY 1")
+@query("SELECT ts::DATE::VARCHAR AS day, count(*)::BIGINT AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM events GROUP BY ts::DATE")
 def daily_counts(spark, sf_dir):
-    return describe.distribution(read(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), "day").withColumnRenamed("level", "day")
+    return describe.distribution(read(spark, sf_dir, "events").withColumn("day", F.to_date("ts").cast("string")), "day").withColumnRenamed("level", "day")
 
 
 PROMPTS = [("i1", "function"), ("i2", "insult"), ("i3", "negation"), ("i4", "linking"), ("i5", "number"), ("i6", "address")]
@@ -428,3 +428,87 @@ def holdout_gof(spark, sf_dir):
     sums = per.agg(F.sum("o").alias("_o"), F.sum("t").alias("_t"))
     expected = F.col("t") * F.col("_o") / F.col("_t")
     return features.with_row(per, sums).agg((F.count("*") - 1).alias("dof"), rounded(F.sum(F.pow(F.col("o") - expected, 2) / expected)).alias("chi2"))
+
+
+# Fits and resampling: no SQL expresses them. Tests hold them against properties and small cases.
+
+
+def _block(spark, sf_dir, n: int = 8):
+    from cohortry.operators.fanout import block
+
+    df, cols = vectors(spark, sf_dir)
+    return block(df, cols[:n], most_rows=1_000)[1]
+
+
+@query()
+def kmeans_k3(spark, sf_dir):
+    from cohortry.operators.cluster import kmeans_distributed
+
+    df, cols = vectors(spark, sf_dir)
+    return kmeans_distributed(df.select("row_id", *cols[:16]), cols[:16], 3, 3)[1].select("row_id", "cluster")
+
+
+@query()
+def algorithm_sweep(spark, sf_dir):
+    from cohortry.operators.stability import sweep
+
+    return sweep(spark, _block(spark, sf_dir), range(2, 5), starts=3).drop("error")
+
+
+@query()
+def bootstrap_ari(spark, sf_dir):
+    from cohortry.operators.stability import bootstrap_stability
+
+    return bootstrap_stability(spark, _block(spark, sf_dir), range(2, 5), 20, starts=3)
+
+
+@query()
+def gap_statistic(spark, sf_dir):
+    from cohortry.operators.stability import gap_statistic as gap
+
+    return gap(spark, _block(spark, sf_dir), range(1, 5), 5)
+
+
+@query()
+def cross_algorithm_ari(spark, sf_dir):
+    from cohortry.operators.stability import cross_algorithm
+
+    return cross_algorithm(spark, _block(spark, sf_dir), 3)
+
+
+@query()
+def parallel_analysis(spark, sf_dir):
+    from cohortry.operators.stability import parallel_analysis as horn
+
+    cov, n = measure.covariance(aligned(spark, sf_dir), ITEM_NAMES)
+    return horn(spark, min(n, 1000), len(ITEM_NAMES), list(measure.pca(measure.correlation_of(cov))["eigenvalues"]), 50)
+
+
+@query()
+def factor_loadings(spark, sf_dir):
+    cov, _ = measure.covariance(aligned(spark, sf_dir), ITEM_NAMES)
+    f = measure.efa(measure.correlation_of(cov), 3)
+    rows = [(i, *map(float, row), float(c), int(a)) for i, row, c, a in zip(ITEM_NAMES, f["loadings"], f["communality"], f["assigned"], strict=True)]
+    return spark.createDataFrame(rows, "item string, f1 double, f2 double, f3 double, communality double, assigned int")
+
+
+@query()
+def tree_rules(spark, sf_dir):
+    from cohortry.operators.supervised import tree_rules as rules
+
+    return spark.createDataFrame(rules(labelled(spark, sf_dir), ITEM_NAMES, "cluster"), "rule string, label double, n long, purity_pct double")
+
+
+@query()
+def persona_names(spark, sf_dir):
+    from cohortry.operators.naming import persona_names as names
+
+    return names(describe.z_profile(labelled(spark, sf_dir), ITEM_NAMES), {i: (f"low {i}", f"high {i}") for i in ITEM_NAMES})
+
+
+@query()
+def lda_topics(spark, sf_dir):
+    from cohortry.operators.topics import lda, term_counts
+
+    counted, terms = term_counts(read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "row_id"), "text", size=500, pairs=False)
+    return spark.createDataFrame(lda(counted, terms, 4, 5)[0], "topic int, terms array<string>")
