@@ -76,7 +76,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     ranges = ranges or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))
     found = docs.agg(F.min(key), F.percentile_approx(key, [i / ranges for i in range(1, ranges)] or [0.5], 10 * max(ranges, 100))).first()
-    bounds = sorted({found[0], *(found[1] if ranges > 1 else [])} - {None}) or [0]
+    bounds = sorted({found[0], *((found[1] or []) if ranges > 1 else [])} - {None}) or [0]
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"), key.alias("_key"))
     place, begins = _range_of(F.col("_key"), bounds)
     own = F.struct(place.alias("range"), F.lit(0).alias("after"))
