@@ -109,15 +109,19 @@ def varimax(loadings: np.ndarray, kaiser: bool = True, gamma: float = 1.0, round
     h = np.sqrt((loadings**2).sum(1)) if kaiser else np.ones(len(loadings))
     h = np.where(h > 0, h, 1)
     a = loadings / h[:, None]
-    turn, last = np.eye(a.shape[1]), 0.0
     for _ in range(rounds):
-        b = a @ turn
-        u, s, v = np.linalg.svd(a.T @ (b**3 - gamma / len(a) * b * (b**2).sum(0)))
-        turn = u @ v
-        if s.sum() < last * (1 + tolerance):
+        most = 0.0
+        for i in range(a.shape[1]):
+            for j in range(i + 1, a.shape[1]):  # the best angle in each plane has a closed form
+                u, v = a[:, i] ** 2 - a[:, j] ** 2, 2 * a[:, i] * a[:, j]
+                top = 2 * (u @ v) - gamma * 2 * u.sum() * v.sum() / len(a)
+                angle = math.atan2(top, u @ u - v @ v - gamma * (u.sum() ** 2 - v.sum() ** 2) / len(a)) / 4
+                c, d = math.cos(angle), math.sin(angle)
+                a[:, [i, j]] = a[:, [i, j]] @ np.array([[c, -d], [d, c]])
+                most = max(most, abs(angle))
+        if most < tolerance:
             break
-        last = s.sum()
-    return (a @ turn) * h[:, None]
+    return a * h[:, None]
 
 
 def efa(r: np.ndarray, m: int) -> dict:
