@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import stage
+from cohortry.llm.common import stage, text_or_empty
 from cohortry.llm.components import components
 from cohortry.session import ship_code
 
@@ -45,15 +45,16 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42, at_once: int = 65
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """One row per row of ``docs``: doc_id and ``fp``, the fingerprint's bits as a signed long."""
+    """One row per row of ``docs``: doc_id, ``mark`` (a hash of the text) and ``fp``, the fingerprint's bits as a signed long."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py() or b"", shingle) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["doc_id", "mark", "fp"])
 
     ship_code(docs.sparkSession)
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("text")).mapInArrow(compute, "doc_id long, fp long")
+    text = text_or_empty(docs)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("text")).mapInArrow(compute, "doc_id long, mark long, fp long")
 
 
 def position_groups(size: int) -> list[tuple[int, ...]]:
@@ -82,8 +83,8 @@ def links(fps: DataFrame, most_bits: int = 3, group: int = 3) -> DataFrame:
     return met.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
-def near_copies(docs: DataFrame, shingle: int = 3, most_bits: int = 3, large: int = 1 << 25) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
+def classified(docs: DataFrame, shingle: int = 3, most_bits: int = 3, large: int = 1 << 25) -> DataFrame:
+    """One row per row of ``docs``: doc_id, mark, fp, ``root`` (the component's smallest fp) and component_id.
 
     Above ``large`` distinct fingerprints, posting keys take 5 positions instead of 3: more, shorter lists, the same pairs.
     """
@@ -91,18 +92,22 @@ def near_copies(docs: DataFrame, shingle: int = 3, most_bits: int = 3, large: in
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(links(classes.select("fp"), most_bits, 3 if classes.count() <= large else 5))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp")
+
+
+def near_copies(docs: DataFrame, **parameters) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (null if nobody in the component has a doc_id)."""
+    return classified(docs, **parameters).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """One row of ``docs`` per component: the one with the smallest doc_id (of rows that share it, the first by text). Rows whose component has no doc_id stay."""
-    found = near_copies(docs, **parameters)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
+    """One row of ``docs`` per component: one whose doc_id is the component's (null if none has one); of several such, that with the smallest hash of its text."""
+    found = classified(docs, **parameters).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    key = lambda d, m: F.concat_ws(":", F.coalesce(d.cast("string"), F.lit("none")), m.cast("string"))
+    keep = found.groupBy("root").agg(F.first("component_id").alias("doc_id"), F.min("mark").alias("mark")).select(key(F.col("doc_id"), F.col("mark")).alias("_keep")).distinct()
     names = [f"_in{i}" for i in range(len(docs.columns))]
-    mine = docs.select(docs["doc_id"].alias("_id"), F.coalesce(docs["text"], F.lit("")).alias("_text"), *[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)])
-    kept = mine.join(keep, F.col("_id") == F.col("_keep"), "left_semi")
-    one = kept.withColumn("_k", F.row_number().over(W.partitionBy("_id").orderBy(F.xxhash64("_text")))).filter("_k = 1")
-    unnamed = found.filter("doc_id IS NULL AND component_id IS NULL").limit(1).count()
-    back = one.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
-    return back.unionByName(docs.filter(docs["doc_id"].isNull()).select(*docs.columns)) if unnamed else back
+    mine = docs.select(key(docs["doc_id"], F.xxhash64(text_or_empty(docs))).alias("_key"), *[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    kept = mine.join(keep, F.col("_key") == F.col("_keep"), "left_semi")
+    one = kept.withColumn("_k", F.row_number().over(W.partitionBy("_key").orderBy("_key"))).filter("_k = 1")
+    return one.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
