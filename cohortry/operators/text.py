@@ -135,3 +135,18 @@ def document_frequency(df: DataFrame, col: str, least: int = 1, pattern: str = r
     """term, df: rows in which a lower-cased term stands."""
     terms = F.array_distinct(F.regexp_extract_all(F.lower(F.col(col)), F.lit(f"({pattern})"), 1))
     return df.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= least)
+
+
+def theme_strain(tagged: DataFrame, strain: str, themes: list[str], least: int = 20) -> DataFrame:
+    """Per theme with at least ``least`` answered rows that have it: Welch's t of strain with against without, degrees of freedom, Cohen's d. One pass over rows times themes."""
+    rows = tagged.filter("answered").select(F.col(strain).cast("double").alias("v"), F.explode(F.array(*[F.struct(F.lit(t).alias("theme"), F.array_contains("themes", t).alias("on")) for t in themes])).alias("x"))
+    side = lambda f, on: f(F.when(F.col("x.on") == on, F.col("v")))
+    s = rows.groupBy("x.theme").agg(*[side(f, on).alias(f"{k}{int(on)}") for on in (True, False) for k, f in (("n", F.count), ("m", F.avg), ("s", F.var_samp))]).filter((F.col("n1") >= least) & (F.col("n0") > 1))
+    a, b = F.col("s1") / F.col("n1"), F.col("s0") / F.col("n0")
+    pooled = F.sqrt(((F.col("n1") - 1) * F.col("s1") + (F.col("n0") - 1) * F.col("s0")) / (F.col("n1") + F.col("n0") - 2))
+    return s.select("theme", "n1", "n0", rounded((F.col("m1") - F.col("m0")) / F.sqrt(a + b)).alias("t"), rounded(F.pow(a + b, 2) / (a * a / (F.col("n1") - 1) + b * b / (F.col("n0") - 1))).alias("dof"), rounded((F.col("m1") - F.col("m0")) / pooled).alias("d"))
+
+
+def dominant_theme(tagged: DataFrame, key: str = "row_id", none: str = "none") -> DataFrame:
+    """key, theme: of the themes of a row, the first by name; for agreement with clusters of its embedding."""
+    return tagged.select(key, F.coalesce(F.array_min("themes"), F.lit(none)).alias("theme"))

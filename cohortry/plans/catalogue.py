@@ -430,6 +430,70 @@ def holdout_gof(spark, sf_dir):
     return features.with_row(per, sums).agg((F.count("*") - 1).alias("dof"), rounded(F.sum(F.pow(F.col("o") - expected, 2) / expected)).alias("chi2"))
 
 
+EIGEN = [(1, 2.9), (2, 1.7), (3, 1.2), (4, 0.9), (5, 0.6), (6, 0.4), (7, 0.2), (8, 0.1)]
+
+
+@query(f"WITH v AS (SELECT * FROM (VALUES {_rows(EIGEN)}) AS t(pc, eigenvalue)), c AS (SELECT pc, eigenvalue, round(eigenvalue / sum(eigenvalue) OVER (), 6) AS share, round(sum(eigenvalue) OVER (ORDER BY pc) / sum(eigenvalue) OVER (), 6) AS cumulative FROM v) SELECT *, pc = (SELECT min(pc) FROM c WHERE cumulative >= 0.95) AS reaches FROM c")
+def explained_variance(spark, sf_dir):
+    return select.explained(spark.createDataFrame(EIGEN, "pc int, eigenvalue double"))
+
+
+@query("WITH q AS (SELECT quantile_cont(n_chars::DOUBLE, [0.25, 0.5, 0.75]) AS e FROM documents) SELECT doc_id, CASE WHEN n_chars <= e[1] THEN 'q1' WHEN n_chars <= e[2] THEN 'q2' WHEN n_chars <= e[3] THEN 'q3' ELSE 'q4' END AS bin FROM documents, q")
+def length_bins(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"))
+    return features.quantile_cut(docs, "n_chars", [0.25, 0.5, 0.75], ["q1", "q2", "q3", "q4"], "bin").select("doc_id", "bin")
+
+
+@query(SURVEY_SQL + " SELECT row_id, band, " + ", ".join(f"(living = '{v}')::INT AS living_{v}" for v in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + ", (gender = 'even')::INT AS gender_even, (gender = 'odd')::INT AS gender_odd FROM survey")
+def encode_background(spark, sf_dir):
+    return features.encode_background(survey(spark, sf_dir), ["living", "gender", "department"], ["band", "year"], exclude=("department", "year"))
+
+
+@query(SURVEY_SQL + f", s AS (SELECT {', '.join(f'({chr(32) + (chr(32) + chr(43) + chr(32)).join(c)}) / {float(len(c))}::DOUBLE AS {n}' for n, c in SUBSCALES.items())} FROM aligned) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM s" for i, a in enumerate(SUBSCALES) for b in list(SUBSCALES)[i + 1 :]))
+def subscale_correlations(spark, sf_dir):
+    return measure.correlations_long(features.subscales(aligned(spark, sf_dir), SUBSCALES), list(SUBSCALES))
+
+
+@query(SURVEY_SQL + f", r AS (SELECT rank() OVER (ORDER BY {SUM}) + (count(*) OVER (PARTITION BY {SUM}) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY band) + (count(*) OVER (PARTITION BY band) - 1) / 2.0::DOUBLE AS b FROM aligned) SELECT round(corr(a, b), 6) AS r, count(*)::BIGINT AS n FROM r")
+def spearman(spark, sf_dir):
+    found = associate.correlation(aligned(spark, sf_dir).withColumn("strain", total(ITEM_NAMES)), "strain", "band", ranks=True)
+    return spark.createDataFrame([(round(found["r"], 6), found["n"])], "r double, n long")
+
+
+@query(SURVEY_SQL + f", {TAGGED}, b AS (SELECT ({SUM}) / 12.0::DOUBLE AS v, tg.* FROM aligned JOIN tg USING (row_id) WHERE answered), l AS (SELECT v, theme, x FROM b UNPIVOT (x FOR theme IN ({', '.join(TOPICS)}))), s AS (SELECT theme, count(*) FILTER (x = 1) AS n1, count(*) FILTER (x = 0) AS n0, avg(v) FILTER (x = 1) AS m1, avg(v) FILTER (x = 0) AS m0, var_samp(v) FILTER (x = 1) AS v1, var_samp(v) FILTER (x = 0) AS v0 FROM l GROUP BY 1) SELECT theme, n1, n0, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) AS t, round((v1 / n1 + v0 / n0) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v0 / n0) ** 2 / (n0 - 1)), 6) AS dof, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) AS d FROM s WHERE n1 >= 20 AND n0 > 1")
+def theme_strain(spark, sf_dir):
+    strain = aligned(spark, sf_dir).select("row_id", row_mean(ITEM_NAMES).alias("strain"))
+    return text.theme_strain(tagged_documents(spark, sf_dir).join(strain, "row_id"), "strain", list(TOPICS))
+
+
+@query(SURVEY_SQL + f", x AS (SELECT ({SUM}) / 12.0::DOUBLE AS v, (row_id % 3 <> 0 AND coalesce(trim(text), '') <> '')::INT AS a FROM aligned LEFT JOIN documents ON doc_id = row_id), s AS (SELECT count(*) FILTER (a = 1) AS n1, count(*) FILTER (a = 0) AS n0, avg(v) FILTER (a = 1) AS m1, avg(v) FILTER (a = 0) AS m0, var_samp(v) FILTER (a = 1) AS v1, var_samp(v) FILTER (a = 0) AS v0 FROM x) SELECT n1, n0, round(m1, 6) AS mean1, round(m0, 6) AS mean0, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) AS t, round((v1 / n1 + v0 / n0) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v0 / n0) ** 2 / (n0 - 1)), 6) AS dof, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) AS d FROM s")
+def answered_vs_skipped(spark, sf_dir):
+    from cohortry.functions.expressions import answered
+
+    both = aligned(spark, sf_dir).join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text"), "row_id", "left")
+    return associate.welch(both.select(row_mean(ITEM_NAMES).alias("strain"), ((F.col("row_id") % 3 != 0) & answered(F.col("text"))).cast("int").alias("answered")), "answered", "strain")
+
+
+@query(f"WITH {TAGGED}, t AS (SELECT row_id, coalesce(list_min([{', '.join(f'CASE WHEN answered AND {k} = 1 THEN ' + chr(39) + k + chr(39) + ' END' for k in TOPICS)}]), 'none') AS theme FROM tg), b AS (SELECT label, theme FROM embeddings JOIN t ON vec_id = row_id), c AS (SELECT label AS a, theme AS b, count(*)::DOUBLE AS n FROM b GROUP BY ALL), r AS (SELECT a, sum(n) AS n, max(n) AS m FROM c GROUP BY 1), k AS (SELECT b, sum(n) AS n FROM c GROUP BY 1), o AS (SELECT (SELECT sum(n) FROM c) AS t, (SELECT sum(n * (n - 1) / 2) FROM c) AS ij, (SELECT sum(n * (n - 1) / 2) FROM r) AS i, (SELECT sum(n * (n - 1) / 2) FROM k) AS j, (SELECT sum(m) FROM r) AS major, (SELECT max(n) FROM k) AS base, (SELECT -sum(n / t * ln(n / t)) FROM r, (SELECT sum(n) AS t FROM c)) AS ha, (SELECT -sum(n / t * ln(n / t)) FROM k, (SELECT sum(n) AS t FROM c)) AS hb, (SELECT -sum(n / t * ln(n / t)) FROM c, (SELECT sum(n) AS t FROM c)) AS hab) SELECT t::BIGINT AS n, round((ij - i * j / (t * (t - 1) / 2)) / ((i + j) / 2 - i * j / (t * (t - 1) / 2)), 6) AS ari, round(2 * (ha + hb - hab) / (ha + hb), 6) AS nmi, round(major / t, 6) AS majority_accuracy, round(base / t, 6) AS baseline FROM o")
+def embedding_theme_agreement(spark, sf_dir):
+    themes = text.dominant_theme(tagged_documents(spark, sf_dir))
+    both = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "label").join(themes, "row_id")
+    return associate.agreement(both, "label", "theme")
+
+
+@query(SURVEY_SQL + " " + " UNION ALL ".join("(WITH " + _chi2("lab", v, "cluster").replace("SELECT t::BIGINT AS n", f"SELECT '{v}' AS variable, t::BIGINT AS n") + ")" for v in ("year", "gender", "living", "backlog")))
+def external_validation(spark, sf_dir):
+    df = labelled(spark, sf_dir)
+    parts = [associate.chi2_cells(df, v, "cluster").select(F.lit(v).alias("variable"), "*") for v in ("year", "gender", "living", "backlog")]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+
+
+@query()
+def quality_table(spark, sf_dir):
+    audit = describe.audit_quality(read(spark, sf_dir, "events"), ["event_type", "user_id"], ["value"], ["props"], "ts")
+    return describe.quality_table(audit, describe.response_style(survey(spark, sf_dir), ITEM_NAMES))
+
+
 # Fits and resampling: no SQL expresses them. Tests hold them against properties and small cases.
 
 
