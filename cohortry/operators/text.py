@@ -34,7 +34,7 @@ THEMES = {
 
 
 def theme_pattern(terms: tuple[str, ...] | list[str]) -> str:
-    return f"(?i)(?:^|{_EDGE})(?:{'|'.join(terms)})(?:{_EDGE}|$)"
+    return f"(?iu)(?:^|{_EDGE})(?:{'|'.join(terms)})(?:{_EDGE}|$)"
 
 
 def fingerprint(themes: dict[str, tuple[str, ...]]) -> str:

@@ -89,7 +89,7 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n_orders"), *[is_("o_orderpriority", str(i + 1)).alias(m) for i, m in enumerate(("n_urgent", "n_high", "n_medium", "n_unspecified", "n_low"))], is_("o_orderstatus", "F").alias("n_filled"), is_("o_orderstatus", "O").alias("n_open"),
         F.sum("n").alias("n_lines"), F.sum("q").alias("quantity"), F.sum("d").alias("discount_cents"), F.sum("t").alias("tax_cents"),
     )
-    joined = read("customer").join(orders, "c_custkey", "left").join(F.broadcast(read("nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    joined = read("customer").join(orders, "c_custkey", "left").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     value = lambda m: F.coalesce(F.col(m), F.lit(0))
     item = lambda m, cuts: reduce(lambda a, b: a + b, [(value(m) >= c).cast("int") for c in cuts]) + 1
     return joined.select(

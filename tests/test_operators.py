@@ -126,7 +126,7 @@ def test_response_style(spark):
 
 
 def test_themes(spark):
-    texts = ["Too many deadlines, no sleep", "labé exams.", "examsx", None, "  ", "Prüfung!", "n/a", "bus\nsleep"]
+    texts = ["Too many deadlines, no sleep", "labé exams.", "examsx", None, "  ", "PRÜFUNG!", "n/a", "bus\nsleep"]
     t = text.tag(spark.createDataFrame(list(enumerate(texts)), "row_id long, text string"), "text")
     got = [r.themes for r in t.orderBy("row_id").collect()]
     assert got == [["workload", "sleep"], ["exams"], [], [], [], ["exams"], [], ["sleep", "travel"]]
