@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import text_or_empty
+from cohortry.llm.common import stage, text_or_empty
 from cohortry.llm.spans import count_of, joined, of_kind, overlaps, spans
 
 KINDS = ("assign", "access", "hex")
@@ -47,11 +47,14 @@ def _key(docs: DataFrame) -> list[Column]:
 
 def linked(docs: DataFrame, scope: int = 200) -> DataFrame:
     """Weak secrets with an identifier or endpoint in scope: ``_id, _mark`` (of the document) and ``added``, a sorted array of (s, k, e)."""
-    read = docs.select(*_key(docs), text_or_empty(docs).alias("_text"))
-    weak = F.concat(of_kind(spans(F.col("_text"), WEAK_ASSIGN), 0), of_kind(F.filter(spans(F.col("_text"), WEAK_TOKEN), _mixed), 1), of_kind(F.filter(spans(F.col("_text"), WEAK_HEX), lambda x: x["t"].rlike("[0-9]") & x["t"].rlike("[a-f]")), 2))
-    helps = F.concat(of_kind(spans(F.col("_text"), IDENTIFIER), 8), of_kind(spans(F.col("_text"), ENDPOINT), 9))
-    parts = read.select("_id", "_mark", F.explode(F.concat(weak, helps)).alias("p"))
-    parts = parts.select("_id", "_mark", "p.s", "p.k", "p.e", F.expr(f"p.s div {scope}").alias("_cell")).distinct()
+    text = F.col("_text")
+    helps = F.concat(of_kind(spans(text, IDENTIFIER), 8), of_kind(spans(text, ENDPOINT), 9))
+    weak = F.concat(of_kind(spans(text, WEAK_ASSIGN), 0), of_kind(F.filter(spans(text, WEAK_TOKEN), _mixed), 1), of_kind(F.filter(spans(text, WEAK_HEX), lambda x: x["t"].rlike("[0-9]") & x["t"].rlike("[a-f]")), 2))
+    read = docs.select(*_key(docs), text_or_empty(docs).alias("_text")).select("_id", "_mark", "_text", helps.alias("_helps"))
+    # weak secrets are looked for only where something could complete them; parts are few, and both sides of the join read them
+    both = read.select("_id", "_mark", F.when(F.size("_helps") > 0, F.concat(weak, "_helps")).alias("_parts"))
+    parts = both.select("_id", "_mark", F.explode("_parts").alias("p")).select("_id", "_mark", "p.s", "p.k", "p.e").distinct()
+    parts = stage(parts, "secret-parts")
     secrets = parts.filter("k < 8").select("_id", "_mark", "s", "k", "e", F.explode(F.expr(f"sequence(greatest(0, s - {scope}) div {scope}, (e + {scope}) div {scope})")).alias("_cell"))
     # a helper begins in one cell, and ends at most 256 + 64 characters later: it is posted where it begins and where it ends
     helpers = parts.filter("k >= 8").select("_id", "_mark", "s", "e", F.explode(F.expr(f"sequence(s div {scope}, e div {scope})")).alias("_cell"))
