@@ -265,3 +265,61 @@ def mixture_distributed(df: DataFrame, cols: list[str], k: int, seed: int = 42):
     bic = free * math.log(n) - 2 * model.summary.logLikelihood
     ready.unpersist()
     return model, bic
+
+
+def hierarchical(z: np.ndarray, ks, linkages=("ward", "complete", "average"), largest: float = 0.90) -> tuple[list[dict], str | None]:
+    """Per linkage: cophenetic correlation, last merge heights, and whether some k leaves a cluster above ``largest``; and the linkage to report, the one that follows the distances best among the rest."""
+    out = []
+    for name in linkages:
+        merges = merge_tree(z, name)
+        worst = max(np.bincount(cut_tree(merges, len(z), k)).max() / len(z) for k in ks)
+        out.append({"linkage": name, "cophenetic": cophenetic(z, merges), "heights": [float(h) for h in merges[-10:, 2]], "largest_frac": float(worst), "degenerate": bool(worst > largest)})
+    sound = [r for r in out if not r["degenerate"]]
+    return out, max(sound, key=lambda r: r["cophenetic"])["linkage"] if sound else None
+
+
+def distance_silhouette(d: np.ndarray, labels: np.ndarray) -> float:
+    """Mean silhouette from a distance matrix."""
+    ids, where = np.unique(labels, return_inverse=True)
+    if not 2 <= len(ids) < len(d):
+        return math.nan
+    sizes = np.bincount(where)
+    sums = d @ np.eye(len(ids))[where]
+    own = sums[range(len(d)), where] / np.maximum(sizes[where] - 1, 1)
+    mean = sums / sizes
+    mean[range(len(d)), where] = np.inf
+    other = mean.min(1)
+    return float(np.where(sizes[where] > 1, (other - own) / np.maximum(np.maximum(own, other), 1e-300), 0).mean())
+
+
+def medoid_sweep(d: np.ndarray, ks, seed: int = 42) -> list[dict]:
+    """Cost and silhouette of medoid partitions of a distance matrix, per k."""
+    out = []
+    for k in ks:
+        labels, cost = medoids(d, k, seed)
+        out.append({"k": k, "cost": cost, "silhouette": distance_silhouette(d, labels)})
+    return out
+
+
+def mixture_log_density(z: np.ndarray, fitted: np.ndarray, memberships: np.ndarray, reg: float = 1e-5) -> float:
+    """Mean log density of rows under the full-covariance mixture that memberships of other rows describe."""
+    weight, log = memberships.sum(0) + 1e-10, []
+    for c in range(memberships.shape[1]):
+        m = memberships[:, c] @ fitted / weight[c]
+        x = fitted - m
+        root = np.linalg.cholesky((memberships[:, c, None] * x).T @ x / weight[c] + reg * np.eye(z.shape[1]))
+        log.append(np.log(weight[c] / len(fitted)) - 0.5 * ((np.linalg.solve(root, (z - m).T) ** 2).sum(0) + z.shape[1] * math.log(2 * math.pi)) - np.log(np.diag(root)).sum())
+    log = np.array(log)
+    top = log.max(0)
+    return float((top + np.log(np.exp(log - top).sum(0))).mean())
+
+
+def mixture_cross_validation(z: np.ndarray, ks, folds: int = 5, seed: int = 42) -> list[dict]:
+    """Held-out mean log density per k, and which k is first to be followed by no gain."""
+    part = np.random.default_rng(seed).permutation(len(z)) % folds
+    out = []
+    for k in ks:
+        score = [mixture_log_density(z[part == f], z[part != f], gaussian_mixture(z[part != f], k, seed=seed, starts=2)["memberships"]) for f in range(folds)]
+        out.append({"k": k, "log_density": float(np.mean(score))})
+    stop = next((i for i in range(len(out) - 1) if out[i + 1]["log_density"] <= out[i]["log_density"]), len(out) - 1)
+    return [r | {"chosen": i == stop} for i, r in enumerate(out)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.expressions import total
 from cohortry.operators import associate, cluster, describe, features, measure, naming, select, stability
 from cohortry.operators.fanout import block
+from cohortry.sources import sinks
 from cohortry.streaming.score import Bundle, score
 
 
@@ -103,3 +105,23 @@ def run(survey: DataFrame, items: list[str], reversed_items: list[str], backgrou
     out.tables |= {"profiles": describe.cluster_profiles(both, cols), "eta_squared": associate.eta_squared(both, cols), "personas": named}
     out.facts["external"] = associate.classes_to_clusters(both, "cluster", background)
     return out
+
+
+def assignments(run: Run, survey: DataFrame) -> DataFrame:
+    """row_id, cluster, persona, split, what was answered, standardised subscales (3 digits) and distances."""
+    scored = features.subscales(features.align(survey, run.bundle.reversed_items), run.bundle.subscales)
+    z = scored.select("row_id", *[F.round((F.col(c) - run.bundle.means[c]) / (run.bundle.sds[c] or 1.0), 3).alias(f"z_{c}") for c in run.bundle.columns])
+    return run.labelled.join(z, "row_id")
+
+
+def persist(run: Run, survey: DataFrame, path: str) -> None:
+    """Under ``path``: the assignments and every table as Parquet, the scorer, and facts with small tables as one JSON document and a summary."""
+    spark = survey.sparkSession
+    assignments(run, survey).write.mode("overwrite").parquet(f"{path}/assignments")
+    for name, table in run.tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/tables/{name}")
+    run.bundle.save(spark, f"{path}/scorer")
+    facts = sinks.jsonable(run.facts)
+    text = [(json.dumps(facts, ensure_ascii=False),)], [(sinks.summary(facts),)]
+    for rows, name in zip(text, ("results", "summary"), strict=True):
+        spark.createDataFrame(rows, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")

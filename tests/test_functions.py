@@ -101,3 +101,14 @@ def test_factors_recover_structure():
     turned = measure.varimax(found["loadings"])
     assert np.allclose((turned**2).sum(1), found["communality"])
     assert measure.name_factors(found["loadings"], list("abcdef"), dict.fromkeys("abcdef", "x")) == ["x", "x2"]
+
+
+def test_hierarchies_medoids_and_mixtures_by_k():
+    z, where = blobs(25)
+    rows, best = cluster.hierarchical(z, range(2, 5))
+    assert best in ("ward", "complete", "average") and len(rows) == 3 and not any(r["degenerate"] for r in rows)
+    d = np.sqrt(cluster.squared_distances(z, z))
+    swept = cluster.medoid_sweep(d, range(2, 5))
+    assert max(swept, key=lambda r: r["silhouette"])["k"] == 3
+    assert cluster.distance_silhouette(d, where) == pytest.approx(cluster.indices(z, where)["silhouette"])
+    assert [r["k"] for r in cluster.mixture_cross_validation(z, range(1, 6)) if r["chosen"]] == [3]

@@ -241,7 +241,7 @@ def test_streams(spark, bundle, tmp_path):
     assert [(r.n, r.nulls, r.out_of_range) for r in spark.table("audited").orderBy("day").collect()] == [(1, 0, 0), (2, 1, 1)]
 
 
-def test_whole_run(spark, answers):
+def test_whole_run(spark, answers, tmp_path):
     fast = segmentation.Settings(ks=range(2, 4), starts=2, resamples=3, references=2, simulations=10, seeds=2, algorithms=("kmeans", "gmm_full"), most_rows=150)
     run = segmentation.run(answers.drop("cluster"), ITEMS, ["q3"], ["grp"], fast)
     assert run.labelled.count() == 240 and run.facts["k"] in (2, 3)
@@ -249,3 +249,8 @@ def test_whole_run(spark, answers):
     stored = {r.row_id: r.persona for r in run.labelled.collect()}
     assert stored == {r.row_id: r.persona for r in scoring.score(answers, run.bundle).collect()}
     assert set(stored.values()) <= set(run.bundle.names)
+    segmentation.persist(run, answers, str(tmp_path / "out"))
+    kept = spark.read.parquet(str(tmp_path / "out/assignments"))
+    assert kept.count() == 240 and {"cluster", "persona", "split", "distance_to_own_centroid"} <= set(kept.columns)
+    assert scoring.Bundle.load(spark, str(tmp_path / "out/scorer")) == run.bundle
+    assert json.loads(spark.read.text(str(tmp_path / "out/results")).first()[0])["k"] == run.facts["k"]
