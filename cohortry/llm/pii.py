@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import text_or_empty
-from cohortry.llm.spans import count_of, joined, let, of_kind, overlaps, spans
+from cohortry.llm.spans import blocked, count_of, joined, let, meets, of_kind, spans
 
 KINDS = ("email", "ip", "card", "phone")
 #: The strict formats. Look-behinds only save time: a match can begin inside a run of its first characters only right after another match.
@@ -169,15 +169,15 @@ def scan(docs: DataFrame, selector: Selector) -> DataFrame:
     """doc_id, ``base`` and ``all``: sorted (s, k, e). Candidates that meet a base span are not added."""
     read = docs.select(docs["doc_id"].alias("doc_id"), text_or_empty(docs).alias("_text"))
     read = read.select("doc_id", "_text", base_spans(F.col("_text")).alias("base"), candidates(F.col("_text")).alias("_wide"))
-    free = read.withColumn("_wide", F.when(F.size("_wide") > 0, F.filter("_wide", lambda x: ~F.exists("base", lambda y: overlaps(x, y)))).otherwise(F.array().cast("array<struct<s:int,e:int,t:string,k:int>>")))
+    free = read.withColumn("_wide", F.when(F.size("_wide") > 0, let(blocked(F.col("base")), lambda b: F.filter("_wide", lambda x: ~meets(x, b)))).otherwise(F.array().cast("array<struct<s:int,e:int,t:string,k:int>>")))
     least = F.array(*[F.lit(float(v)) for v in selector.least])
 
     def score(x: Column) -> Column:
-        return let(F.array(*features(x, F.col("_text"))), lambda v: F.struct(selector.margin([F.get(v, i) for i in range(len(FEATURES))]).alias("m"), x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+        return let(F.array(*features(x, F.col("_text"))), lambda v: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), selector.margin([F.get(v, i) for i in range(len(FEATURES))]).alias("m")))
 
-    scored = free.select("doc_id", "base", F.filter(F.transform("_wide", score), lambda x: x["m"] >= F.get(least, x["k"])).alias("_chosen"))
+    scored = free.select("doc_id", "base", F.sort_array(F.filter(F.transform("_wide", score), lambda x: x["m"] >= F.get(least, x["k"]))).alias("_chosen"))
     better = lambda y, x: (y["m"] > x["m"]) | ((y["m"] == x["m"]) & ((y["s"] < x["s"]) | ((y["s"] == x["s"]) & ((y["k"] < x["k"]) | ((y["k"] == x["k"]) & (y["e"] > x["e"]))))))
-    best = F.transform(F.filter("_chosen", lambda x: ~F.exists("_chosen", lambda y: overlaps(x, y) & better(y, x))), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    best = F.transform(let(blocked(F.col("_chosen")), lambda b: F.filter("_chosen", lambda x: ~meets(x, b, lambda y: better(y, x)))), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     return scored.select("doc_id", "base", F.sort_array(F.concat("base", best)).alias("all"))
 
 

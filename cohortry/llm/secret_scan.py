@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import stage, text_or_empty
-from cohortry.llm.spans import count_of, joined, of_kind, overlaps, spans
+from cohortry.llm.spans import blocked, count_of, joined, let, meets, of_kind, spans
 
 KINDS = ("assign", "access", "hex")
 #: The strong formats.
@@ -72,7 +72,7 @@ def scan(docs: DataFrame, scope: int = 200, keep: dict[str, str] | None = None)
     base = docs.select(*_key(docs), *[docs[c].alias(n) for c, n in keep.items()], base_spans(text_or_empty(docs)).alias("base"))
     met = base.join(found, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_mark") == F.col("_mark2")), "left")
     added = F.coalesce("added", F.array().cast("array<struct<s:int,k:int,e:int>>"))
-    new = F.filter(added, lambda x: ~F.exists("base", lambda y: overlaps(x, y)))
+    new = let(blocked(F.col("base")), lambda b: F.filter(added, lambda x: ~meets(x, b)))
     return met.select(*keep.values(), "base", F.sort_array(F.concat("base", new)).alias("all"))
 
 

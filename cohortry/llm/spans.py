@@ -69,6 +69,19 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["s"] < b["e"]) & (b["s"] < a["e"])
 
 
+def blocked(found: Column) -> Column:
+    """``found`` (sorted by start) cut into blocks, each with the stretch it covers, for :func:`meets`."""
+    last = F.floor(F.greatest(F.size(found) - 1, F.lit(0)) / _BLOCK).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(found, j * _BLOCK + 1, F.lit(_BLOCK)))
+    return F.transform(F.filter(parts, lambda b: F.size(b) > 0), lambda b: F.struct(F.get(b, 0)["s"].alias("s"), F.array_max(F.transform(b, lambda y: y["e"])).alias("e"), b.alias("items")))
+
+
+def meets(x: Column, blocks: Column, also: Callable[[Column], Column] | None = None) -> Column:
+    """Whether ``x`` overlaps a span of the blocks for which ``also`` holds; only blocks that ``x`` overlaps are looked through."""
+    one = lambda y: overlaps(x, y) & also(y) if also else overlaps(x, y)
+    return F.exists(blocks, lambda b: overlaps(x, b) & F.exists(b["items"], one))
+
+
 def running(numbers: Column) -> Column:
     """For each number of an int array, the sum of those before it; summed in blocks."""
     add = lambda acc, x: acc + x

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortry.llm import chat, digest, mixing, packing, pii, quality, recount, secret_scan, sharding, simhash
+from cohortry.llm.spans import blocked, let, meets
 from cohortry.llm.tokens import WordIds
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -109,6 +111,17 @@ def test_boosted_candidates(spark, selector):
     assert sum(found[i] for i in truth if truth[i]) / sum(truth.values()) > 0.8
 
 
+def test_blocks_of_spans_find_what_all_pairs_find(spark):
+    rng = random.Random(3)
+    found = sorted({(s, rng.randrange(4), s + rng.randrange(1, 40)) for s in rng.sample(range(3000), 300)})
+    asked = [(s, s + rng.randrange(1, 30)) for s in range(0, 3100, 7)]
+    df = spark.createDataFrame([(found, asked), ([], asked)], "found array<struct<s:int,k:int,e:int>>, asked array<struct<s:int,e:int>>")
+    met = df.select(let(blocked(F.col("found")), lambda b: F.transform("asked", lambda x: meets(x, b))).alias("met"), let(blocked(F.col("found")), lambda b: F.transform("asked", lambda x: meets(x, b, lambda y: y["k"] == 2))).alias("met2")).collect()
+    assert met[0].met == [any(a < e and s < b for s, _, e in found) for a, b in asked]
+    assert met[0].met2 == [any(a < e and s < b and k == 2 for s, k, e in found) for a, b in asked]
+    assert not any(met[1].met + met[1].met2)
+
+
 def test_secret_linking(spark):
     weak = "pwd=hunter2x9"
     lines = [f"user=alice {weak}", weak, f"user=alice {'x ' * 300}{weak}", f"https://db.example.com/x and {weak}", f"{weak} " + "y " * 80 + "host=db.example.com", "user=alice"]
