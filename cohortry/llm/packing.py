@@ -1,8 +1,8 @@
 """Best-fit packing of documents into fixed-length sequences by the sum-of-squares rule.
 
 Each document is tokenized once, where Spark reads it; only (id, piece, start, length, checksum) leaves that
-task. Pieces as long as a sequence fill one. The rest are dealt by a hash of the document into groups of a
-bounded number of documents, and each group is packed by itself: from long to short, a piece goes to the open
+task. Pieces as long as a sequence fill one. Pieces are dealt by a hash of id, place and content into groups, one
+for a bounded number of documents, and each group is packed by itself: from long to short, a piece goes to the open
 sequence after which the sum over residual gaps of the squared number of open sequences is smallest; it
 opens a new sequence only where no open one has room. A group wastes about one sequence at most, whatever the
 corpus size. Null or empty texts are one end-of-document token. Repeated rows are packed as often as they occur.
@@ -80,4 +80,4 @@ def pack(docs: DataFrame, length: int = 4096, end_id: int = 1, vocabulary: str =
         return rows.drop(columns="_group").assign(sequence_id=bins + (int(key[0]) << 32), offset=offsets)
 
     cut = pieces(docs, length, end_id, vocabulary)
-    return cut.withColumn("_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups))).groupBy("_group").applyInPandas(fill, PACKED)
+    return cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))).groupBy("_group").applyInPandas(fill, PACKED)

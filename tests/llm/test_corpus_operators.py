@@ -184,6 +184,13 @@ def test_packing(docs, empty, words):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_spreads_rows_without_ids(spark):
+    rows = spark.createDataFrame([(None, f"words of row {i}") for i in range(60)], "doc_id long, text string")
+    packed = packing.pack(rows, docs_per_group=20)
+    assert packed.count() == 60
+    assert packed.select(F.shiftright("sequence_id", 32)).distinct().count() > 1
+
+
 def test_sum_of_squares_fills():
     sizes = np.sort(np.random.default_rng(3).integers(1, 4096, 3000))[::-1]
     bins, offsets = packing.sum_of_squares(sizes, 4096)
