@@ -1,9 +1,10 @@
 """Secret scans: strong formats, and weak parts that count only together.
 
 Strong spans (key assignments, access identifiers, long hex) are found by format. Weak parts are access
-identifiers, secret-looking tokens and endpoints. A weak secret is reported only when an identifier or endpoint
-lies within ``scope`` characters in the same text: parts are posted to cells of ``scope`` characters, and an
-interval join per (document, cell) links them. A cell holds a bounded number of parts, whatever the text's length.
+identifiers, secret-looking tokens and endpoints, each as long as its run. A weak secret is reported only when an identifier or endpoint
+lies within ``scope`` characters in the same text: parts are posted to the cells of ``scope`` characters around
+their start and their end, and an interval join per (document, cell) links them. A cell holds a bounded number of
+parts, and a part is in a bounded number of cells, whatever their lengths.
 
 All of it is built-in expressions and joins. Null text: empty. Documents are told apart by doc_id and text, so equal rows get equal results.
 """
@@ -23,10 +24,10 @@ ASSIGN_LONG = r"""[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8,}$"""
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"[0-9a-f]{32,}+"
 #: Weak parts.
-IDENTIFIER = r"""(?i)(?:access[_-]?key[_-]?id|client[_-]?id|user(?:name)?|login|account)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9._@-]{3,64}|AKIA[A-Z0-9]{12,}"""
-ENDPOINT = r"""(?i)(?:https?|jdbc:[a-z]{2,16}|postgres|postgresql|mysql|mongodb|amqp|redis|sftp|ftp|s3)://[^\s"'<>]{3,256}|(?:host|endpoint|server)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9.-]{3,64}"""
-WEAK_ASSIGN = r"""(?i)(?:pass|pwd|passphrase|auth|private_?key|access_?key|credential)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9+/_.=!@#$%^&*-]{6,128}"""
-WEAK_TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}+={0,2}(?![A-Za-z0-9+/_=-])"
+IDENTIFIER = r"""(?i)(?:access[_-]?key[_-]?id|client[_-]?id|user(?:name)?|login|account)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9._@-]{3,}+|AKIA[A-Z0-9]{12,}+"""
+ENDPOINT = r"""(?i)(?:https?|jdbc:[a-z]{2,16}|postgres|postgresql|mysql|mongodb|amqp|redis|sftp|ftp|s3)://[^\s"'<>]{3,}+|(?:host|endpoint|server)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9.-]{3,}+"""
+WEAK_ASSIGN = r"""(?i)(?:pass|pwd|passphrase|auth|private_?key|access_?key|credential)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9+/_.=!@#$%^&*-]{6,}+"""
+WEAK_TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
 WEAK_HEX = r"(?<![0-9A-Za-z])[0-9a-f]{16,31}(?![0-9A-Za-z])"
 
 
@@ -55,9 +56,9 @@ def linked(docs: DataFrame, scope: int = 200) -> DataFrame:
     both = read.select("_id", "_mark", F.when(F.size("_helps") > 0, F.concat(weak, "_helps")).alias("_parts"))
     parts = both.select("_id", "_mark", F.explode("_parts").alias("p")).select("_id", "_mark", "p.s", "p.k", "p.e").distinct()
     parts = stage(parts, "secret-parts")
-    secrets = parts.filter("k < 8").select("_id", "_mark", "s", "k", "e", F.explode(F.expr(f"sequence(greatest(0, s - {scope}) div {scope}, (e + {scope}) div {scope})")).alias("_cell"))
-    # a helper begins in one cell, and ends at most 256 + 64 characters later: it is posted where it begins and where it ends
-    helpers = parts.filter("k >= 8").select("_id", "_mark", "s", "e", F.explode(F.expr(f"sequence(s div {scope}, e div {scope})")).alias("_cell"))
+    secrets = parts.filter("k < 8").select("_id", "_mark", "s", "k", "e", F.explode(F.expr(f"array_union(sequence(greatest(0, s - {scope}) div {scope}, s div {scope}), sequence(e div {scope}, (e + {scope}) div {scope}))")).alias("_cell"))
+    # parts do not overlap, so a helper in scope ends just before the secret begins or begins just after it ends
+    helpers = parts.filter("k >= 8").select("_id", "_mark", "s", "e", F.explode(F.expr(f"array_distinct(array(s div {scope}, e div {scope}))")).alias("_cell"))
     a, b = secrets.alias("a"), helpers.alias("b")
     close = (F.col("a._cell") == F.col("b._cell")) & (F.col("b.s") < F.col("a.e") + scope) & (F.col("a.s") < F.col("b.e") + scope)
     apart = (F.col("b.e") <= F.col("a.s")) | (F.col("a.e") <= F.col("b.s"))  # another part, not the secret itself
@@ -66,14 +67,14 @@ def linked(docs: DataFrame, scope: int = 200) -> DataFrame:
 
 
 def scan(docs: DataFrame, scope: int = 200, keep: dict[str, str] | None = None) -> DataFrame:
-    """``keep`` (name to new name; doc_id) and ``base``, ``all``: sorted (s, k, e). Linked spans that meet a base span are dropped."""
+    """``keep`` (name to new name; doc_id) and ``base``, ``all``, ``every``: sorted (s, k, e). ``all`` is without linked spans that meet a base span; ``every`` has them, as they can reach beyond it."""
     keep = keep or {"doc_id": "doc_id"}
     found = linked(docs, scope).select(F.col("_id").alias("_id2"), F.col("_mark").alias("_mark2"), "added")
     base = docs.select(*_key(docs), *[docs[c].alias(n) for c, n in keep.items()], base_spans(text_or_empty(docs)).alias("base"))
     met = base.join(found, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_mark") == F.col("_mark2")), "left")
     added = F.coalesce("added", F.array().cast("array<struct<s:int,k:int,e:int>>"))
     new = let(blocked(F.col("base")), lambda b: F.filter(added, lambda x: ~meets(x, b)))
-    return met.select(*keep.values(), "base", F.sort_array(F.concat("base", new)).alias("all"))
+    return met.select(*keep.values(), "base", F.sort_array(F.concat("base", new)).alias("all"), F.sort_array(F.concat("base", added)).alias("every"))
 
 
 def report(docs: DataFrame, scope: int = 200) -> DataFrame:
@@ -82,17 +83,17 @@ def report(docs: DataFrame, scope: int = 200) -> DataFrame:
 
 
 def redact(docs: DataFrame, scope: int = 200, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every reported span replaced by ``mark``; n_chars follows. Rows without one stay as they are."""
+    """``docs`` with every span of a secret replaced by ``mark`` (overlapping ones by one each run); n_chars follows. Rows without one stay as they are."""
     names = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
     found = scan(docs, scope, names)
     text = F.col(names["text"])
     done = F.aggregate(
-        "all",
+        "every",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, x: F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substr(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out")),
         lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)),
     )
-    clean = found.select(*names.values(), F.when(F.size("all") > 0, done).otherwise(text).alias("_clean"))
+    clean = found.select(*names.values(), F.when(F.size("every") > 0, done).otherwise(text).alias("_clean"))
     out = {c: F.col(n) for c, n in names.items()} | {"text": F.col("_clean")}
     if "n_chars" in names:
         out["n_chars"] = F.when(F.col("_clean") != text, F.length("_clean").cast("long")).otherwise(F.col(names["n_chars"]))

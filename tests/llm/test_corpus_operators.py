@@ -131,6 +131,22 @@ def test_secret_linking(spark):
     assert clean[0] == ("user=alice [SECRET]", 19) and clean[1] == (weak, len(weak))
 
 
+def test_long_secrets_are_whole(spark):
+    token = "aB3" * 114  # 342 characters, as an RS256 signature
+    url = "https://store.example.com/" + "p" * 1200
+    lines = [
+        f"client_id: abcd private_key={token}", f"user=alice {token}", f"{url} pwd=hunter2x9", f"pwd=hunter2x9 {url}", f"auth={token * 3} host=db.example.com", f"host=db.example.com auth={token * 3}",
+        f"login: alice private_key={'aB3' * 50}%{'0a' * 16}%{token} end", f"{token} {'x ' * 150}user=alice",
+    ]
+    frame = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(lines)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.spans for r in secret_scan.report(frame).collect()}
+    ends = {i: [tuple(map(int, s.split(":")[1:])) for s in got[i].split(",") if s] for i in got}
+    assert [ends[i] for i in range(6)] == [[(16, 370)], [(11, 353)], [(len(url) + 1, len(url) + 14)], [(0, 13)], [(0, 1031)], [(20, 1051)]] and ends[7] == []
+    clean = {r.doc_id: r.text for r in secret_scan.redact(frame).collect()}
+    assert clean[0] == "client_id: abcd [SECRET]" and clean[1] == "user=alice [SECRET]" and clean[2] == f"{url} [SECRET]"
+    assert clean[6] == "login: alice [SECRET] end"  # a strong span inside a longer weak one leaves none of it
+
+
 def test_redaction_keeps_rows(docs):
     got = secret_scan.redact(docs)
     assert got.columns == docs.columns
