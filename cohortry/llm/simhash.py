@@ -103,7 +103,12 @@ def near_copies(docs: DataFrame, **parameters) -> DataFrame:
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """One row of ``docs`` per component: one whose doc_id is the component's (null if none has one); of several such, that with the smallest hash of its text."""
-    found = classified(docs, **parameters).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return keep_named(docs, classified(docs, **parameters))
+
+
+def keep_named(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that :func:`keep_one` keeps, by ``named``: doc_id, mark, root and component_id."""
+    found = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     key = lambda d, m: F.concat_ws(":", F.coalesce(d.cast("string"), F.lit("none")), m.cast("string"))
     keep = found.groupBy("root").agg(F.first("component_id").alias("doc_id"), F.min("mark").alias("mark")).select(key(F.col("doc_id"), F.col("mark")).alias("_keep")).distinct()
     names = [f"_in{i}" for i in range(len(docs.columns))]

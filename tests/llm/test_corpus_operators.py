@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.llm import chat, digest, mixing, packing, pii, quality, recount, secret_scan, sharding, simhash
+from cohortry.llm import chat, digest, mixing, near, packing, pii, quality, recount, secret_scan, sharding, simhash
 from cohortry.llm.spans import blocked, let, meets
 from cohortry.llm.tokens import WordIds
 
@@ -467,6 +467,30 @@ def test_quality(docs, empty):
     assert quality.assess(empty).count() == 0
 
 
+def test_near_dedup_reaches_similarity(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    data, n = [], 0
+    for _ in range(30):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 200))]
+        for edits in (0, 1, 2, 2, 3, 4, 6, 9):
+            words = base[:]
+            for at in rng.sample(range(len(words)), edits):
+                words[at] = f"e{rng.randrange(10**6)}"
+            data.append((n, " ".join(words), "en", "a", 1))
+            n += 1
+    data += [(n, data[0][1], "en", "a", 1), (n + 1, "", "en", "a", 1), (n + 2, None, "en", "a", 1), (n + 3, "Two Words", "en", "a", 1), (None, "two  words", "en", "a", 1)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (r[1] or "").lower().split()) else set() for r in data]
+    alike = lambda x, y: x == y or 10 * len(x & y) >= 8 * len(x | y)
+    roots = components_of(sets, alike)
+    far = [1 for i, x in enumerate(sets) for j in range(i) if alike(x, sets[j]) and (fp_of(data[i][1] or "") ^ fp_of(data[j][1] or "")).bit_count() > 3]
+    assert len(far) > 50  # beyond the radius of op6
+    want = sorted(min(r[0] for r, x in zip(data, roots, strict=True) if x == root and r[0] is not None) for root in set(roots))
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(data, SCHEMA), "")
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
 # the pipeline
 
 
