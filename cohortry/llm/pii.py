@@ -30,9 +30,10 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: The generators, by kind.
 GENERATORS = (
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\[at\]|\(at\)|\x20at\x20|\[@\])\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|\[dot\]|\(dot\)|\[\.\]|\x20dot\x20)\x20?[A-Za-z0-9-]{1,63}+){1,6}+",
-    r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,3}(?:\[\.\]|\(\.\)|\[dot\]|\.\x20)){3}[0-9]{1,3}(?![0-9])|(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}::?){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,3}(?:\[\.\]|\(\.\)|\[dot\]|\.\x20)){3}[0-9]{1,3}(?![0-9])|(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}::?){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
+    r"|(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){1,7}:|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])",
     r"(?<![0-9.])[0-9](?:[\x20.\-]{0,2}[0-9]){12,18}(?![0-9])",
-    r"(?<![0-9A-Za-z+.\-])(?:00)?\(?[0-9]{2,4}\)?(?:[\x20.\-/]{1,2}\(?[0-9]{2,5}\)?){2,5}(?![0-9A-Za-z.\-])",
+    r"(?<![0-9A-Za-z+.\-])(?:00)?\(?[0-9]{2,4}\)?(?:[\x20.\-/]{1,2}\(?[0-9]{2,5}\)?){2,5}(?![0-9A-Za-z]|[.\-][0-9])",
 )
 CUES = (r"mail|contact|write|reach|address", r"\bip\b|host|server|addr|login from|client", r"card|visa|credit|debit|payment|paid|amex|mastercard", r"tel|phone|call|mobile|cell|fax|whatsapp|dial")
 AGAINST = r"order|invoice|version|isbn|\bref\b|\bno\b|number of|\bid\b|date|page|sku|serial|tracking|chapter|score|total|at \d|\bon\b"
@@ -90,10 +91,14 @@ _TEMPLATES = (
     (0, 1, "please write to {} about it", "ana.lopez## [at] example# [dot] org"), (0, 1, "contact me at {} today", "j.smith##(at)mail#.example.com"), (0, 1, "my mail is {} if needed", "kim## at example# dot com"), (0, 1, "and {} can help", "lee.## [at] mail# [dot] net"), (0, 1, "reach us via {} now", "info##[@]example#.org"),
     (0, 0, "we met {} and left", "## at noon.Then"), (0, 0, "they stare {} all day", "back at home.And"), (0, 0, "it sells for {} each", "# at ##.##"), (0, 0, "look {} please", "closely at this. It"), (0, 0, "he was good {} too", "good at chess. She"),
     (1, 1, "login from {} failed", "1##[.]##[.]1##[.]##"), (1, 1, "the server {} answered", "10[.]##[.]#[.]1##"), (1, 1, "client {} timed out", "2001:db8:##a3:8d#:13##:8a2e:37#:73##"), (1, 1, "seen from {} twice", "fe80:##a1:b##c:#d2e:##f0:1a2b:3c##:ab##"), (1, 1, "host {} is up", "1##(.)##(.)##(.)##"),
+    (1, 1, "the host {} answers", "2001:db8::#"), (1, 1, "login from {}.", "2001:db8:##::#a"), (1, 1, "server {} timed out", "fe80::#"), (1, 1, "client {} is on", "fe80::##a#"),
+    (1, 0, "the method {} returns", "Add::Bee"), (1, 0, "call of {} here", "a::b"), (1, 0, "the type {} is old", "Cafe::Dad#"), (1, 0, "it says {} there", "ad::"),
     (1, 0, "the list has {} items", "#. ##. ##. ##"), (1, 0, "it took {} in all", "0#:1#:2#:3#"), (1, 0, "split times {} were", "##:##:##:##"), (1, 0, "see chapter {} for more", "#. #. #. #"), (1, 0, "ratio {} holds", "#:#:#:#"),
     (2, 1, "charged to card {} last week", "4##############~"), (2, 1, "my visa {} expires soon", "4###.####.####.###~"), (2, 1, "credit card {} was used", "5###  ####  ####  ###~"), (2, 1, "payment by {} done", "4###########~"),
     (2, 0, "the order {} was sent", "##############9#"), (2, 0, "tracking {} shows", "9#################"), (2, 0, "serial {} on the back", "#############"), (2, 0, "and {} of them", "################"), (2, 0, "values {} follow", "## ## ## ## ## ## ## ##"), (2, 0, "pi is {} or so", "31415926535897####"),
     (3, 1, "call {} tomorrow", "(###) 555-####"), (3, 1, "phone: {} or mail", "0## #### ####"), (3, 1, "mobile {} any time", "07#-###-####"), (3, 1, "tel. {} please", "0044 20 79## ####"), (3, 1, "fax {} works", "(0##) ####-####"), (3, 1, "dial {} for help", "555-###-####"),
+    (3, 1, "please call {}. We wait", "555-###-####"), (3, 1, "phone {}.", "020 7### ####"), (3, 1, "you may call {}.", "(###) ###-####"), (3, 1, "my mobile is {}- thanks", "07#-###-####"),
+    (3, 0, "we met on {}. Then", "12-05-20##"), (3, 0, "dated {}.", "20##-03-1#"), (3, 0, "see pages {}.", "1## 1## 2## 2##"), (3, 0, "the score {}.", "21-1# 19-2# 22-20"),
     (3, 0, "on {} we met", "12-05-20##"), (3, 0, "dated {} in town", "20##-03-1#"), (3, 0, "isbn {} is out", "978-#-##-######-#"), (3, 0, "between {} people", "1##-2## 3##-4##"), (3, 0, "the score {} again", "21-1# 19-2# 22-20"), (3, 0, "rows {} in all", "## ## ## ##"), (3, 0, "it {} went", "### ## ###"), (3, 0, "on {} at noon", "0#/1#/20## 1#"), (3, 0, "thing {} tion", "#### #### ####"), (3, 0, "pages {} missing", "1## 1## 2## 2##"),
 )
 
@@ -165,6 +170,22 @@ def fit(spark: SparkSession, examples: int = 3_000, rounds: int = 8, depth: int
     return found
 
 
+def best_of(chosen: Column) -> Column:
+    """Of ``chosen`` ((s, k, e, m), sorted by start) those that a choice by falling m keeps, each free of those kept before.
+
+    A round keeps what is better than all it overlaps, and takes it away with what it overlaps; rounds go on while any are left.
+    """
+    better = lambda y, x: (y["m"] > x["m"]) | ((y["m"] == x["m"]) & ((y["s"] < x["s"]) | ((y["s"] == x["s"]) & ((y["k"] < x["k"]) | ((y["k"] == x["k"]) & (y["e"] > x["e"]))))))
+
+    def round_of(acc: Column, _: Column) -> Column:
+        top = let(blocked(acc["rest"]), lambda b: F.filter(acc["rest"], lambda x: ~meets(x, b, lambda y: better(y, x))))
+        taken = let(top, lambda t: F.struct(F.concat(acc["kept"], t).alias("kept"), let(blocked(t), lambda b: F.filter(acc["rest"], lambda x: ~meets(x, b))).alias("rest")))
+        return F.when(F.size(acc["rest"]) > 0, taken).otherwise(acc)
+
+    start = F.struct(F.filter(chosen, lambda x: F.lit(False)).alias("kept"), chosen.alias("rest"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(chosen), F.lit(1))), start, round_of, lambda acc: acc["kept"])
+
+
 def scan(docs: DataFrame, selector: Selector) -> DataFrame:
     """doc_id, ``base`` and ``all``: sorted (s, k, e). Candidates that meet a base span are not added."""
     read = docs.select(docs["doc_id"].alias("doc_id"), text_or_empty(docs).alias("_text"))
@@ -176,8 +197,7 @@ def scan(docs: DataFrame, selector: Selector) -> DataFrame:
         return let(F.array(*features(x, F.col("_text"))), lambda v: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), selector.margin([F.get(v, i) for i in range(len(FEATURES))]).alias("m")))
 
     scored = free.select("doc_id", "base", F.sort_array(F.filter(F.transform("_wide", score), lambda x: x["m"] >= F.get(least, x["k"]))).alias("_chosen"))
-    better = lambda y, x: (y["m"] > x["m"]) | ((y["m"] == x["m"]) & ((y["s"] < x["s"]) | ((y["s"] == x["s"]) & ((y["k"] < x["k"]) | ((y["k"] == x["k"]) & (y["e"] > x["e"]))))))
-    best = F.transform(let(blocked(F.col("_chosen")), lambda b: F.filter("_chosen", lambda x: ~meets(x, b, lambda y: better(y, x)))), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    best = F.transform(best_of(F.col("_chosen")), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     return scored.select("doc_id", "base", F.sort_array(F.concat("base", best)).alias("all"))
 
 

@@ -111,6 +111,35 @@ def test_boosted_candidates(spark, selector):
     assert sum(found[i] for i in truth if truth[i]) / sum(truth.values()) > 0.8
 
 
+def test_candidates_at_the_end_of_a_sentence(spark, selector):
+    values = ["555-123-4567", "(555) 123-4567", "020 7946 0018", "2001:db8::1", "fe80::1", "::1", "2001:db8::"]
+    lines = [f"{'call' if i < 3 else 'server'} {v}{end}" for i, v in enumerate(values) for end in (".", " now", ", and")]
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = {r.doc_id: [x.t for x in r.found] for r in frame.select("doc_id", pii.candidates(F.col("text")).alias("found")).collect()}
+    assert all(values[i // 3] in found[i] for i in found), found
+    got = {r.doc_id: r.spans for r in pii.report(frame, selector).collect()}
+    assert all(got[i] for i in range(15)), got
+    odd = spark.createDataFrame([("call 555-123-4567.8",), ("call 555-123-4567-x",)], "text string").select(pii.candidates(F.col("text")).alias("found")).collect()
+    assert not any(x.t == "555-123-4567" for x in odd[0].found)
+
+
+def test_best_spans_against_kept_ones_only(spark):
+    rng = random.Random(4)
+    cases = [[(0, 3, 10, 3.0), (5, 2, 20, 2.0), (15, 0, 25, 1.0)], []]
+    cases += [sorted({(s, rng.randrange(4), s + rng.randrange(1, 40), rng.randrange(5) / 2) for s in rng.sample(range(900), 150)}) for _ in range(5)]
+
+    def greedy(found):
+        kept = []
+        for x in sorted(found, key=lambda x: (-x[3], x[0], x[1], -x[2])):
+            if not any(x[0] < y[2] and y[0] < x[2] for y in kept):
+                kept.append(x)
+        return sorted(kept)
+
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, found array<struct<s:int,k:int,e:int,m:double>>")
+    got = {r.i: sorted(tuple(x) for x in r.best) for r in df.select("i", pii.best_of(F.col("found")).alias("best")).collect()}
+    assert len(got[0]) == 2 and [got[i] for i in range(len(cases))] == [greedy(c) for c in cases]
+
+
 def test_blocks_of_spans_find_what_all_pairs_find(spark):
     rng = random.Random(3)
     found = sorted({(s, rng.randrange(4), s + rng.randrange(1, 40)) for s in rng.sample(range(3000), 300)})
