@@ -84,9 +84,17 @@ def pca(r: np.ndarray, target: float = 0.95) -> dict:
 
 
 def parallel_eigenvalues(n: int, p: int, seed: int) -> np.ndarray:
-    """Eigenvalues of the correlations of n normal draws of p variables."""
-    x = np.random.default_rng([seed, n, p]).normal(size=(n, p))
-    return np.linalg.eigvalsh(np.corrcoef(x, rowvar=False))[::-1]
+    """Eigenvalues of the correlations of n normal draws of p variables.
+
+    Their scatter matrix has the Wishart law with n - 1 degrees of freedom and is drawn as such (Bartlett), in memory of p x p for any n;
+    only n <= p, where it is singular, takes the draws themselves.
+    """
+    rng = np.random.default_rng([seed, n, p])
+    if n <= p:
+        return np.linalg.eigvalsh(np.corrcoef(rng.normal(size=(n, p)), rowvar=False))[::-1]
+    a = np.tril(rng.normal(size=(p, p)), -1) + np.diag(np.sqrt(rng.chisquare(n - 1 - np.arange(p))))
+    a /= np.sqrt((a**2).sum(1, keepdims=True))
+    return np.linalg.eigvalsh(a @ a.T)[::-1]
 
 
 def principal_axis(r: np.ndarray, m: int, rounds: int = 200, tolerance: float = 1e-6) -> np.ndarray:

@@ -545,7 +545,7 @@ def parallel_analysis(spark, sf_dir):
     from cohortry.operators.stability import parallel_analysis as horn
 
     cov, n = measure.covariance(aligned(spark, sf_dir), ITEM_NAMES)
-    return horn(spark, min(n, 1000), len(ITEM_NAMES), list(measure.pca(measure.correlation_of(cov))["eigenvalues"]), 50)
+    return horn(spark, n, len(ITEM_NAMES), list(measure.pca(measure.correlation_of(cov))["eigenvalues"]))
 
 
 @query()

@@ -67,7 +67,7 @@ def run(survey: DataFrame, items: list[str], reversed_items: list[str], backgrou
     r = report.pop("correlation")
     out.facts["measurement"] = report
     out.facts["pca"] = measure.pca(r)
-    parallel = stability.parallel_analysis(spark, min(report["n"], s.most_rows), len(items), list(out.facts["pca"]["eigenvalues"]), s.simulations, s.seed).cache()
+    parallel = stability.parallel_analysis(spark, report["n"], len(items), list(out.facts["pca"]["eigenvalues"]), s.simulations, s.seed).cache()
     out.tables["parallel_analysis"] = parallel
     if scales is None:
         factors = measure.efa(r, max(2, parallel.filter("retain").count()))

@@ -254,3 +254,20 @@ def test_whole_run(spark, answers, tmp_path):
     assert kept.count() == 240 and {"cluster", "persona", "split", "distance_to_own_centroid"} <= set(kept.columns)
     assert scoring.Bundle.load(spark, str(tmp_path / "out/scorer")) == run.bundle
     assert json.loads(spark.read.text(str(tmp_path / "out/results")).first()[0])["k"] == run.facts["k"]
+
+
+def test_random_eigenvalues_follow_the_true_size(spark, monkeypatch):
+    from cohortry.operators import measure
+    from cohortry.plans import catalogue
+
+    for n in (60, 400):
+        drawn = np.mean([np.linalg.eigvalsh(np.corrcoef(np.random.default_rng([7, i]).normal(size=(n, 12)), rowvar=False))[::-1] for i in range(300)], axis=0)
+        assert np.allclose(np.mean([measure.parallel_eigenvalues(n, 12, i) for i in range(300)], axis=0), drawn, atol=0.03)
+    assert measure.parallel_eigenvalues(10**9, 12, 1)[0] < 1.001
+    assert abs(measure.parallel_eigenvalues(5, 12, 1).sum() - 12) < 1e-6
+    asked = []
+    monkeypatch.setattr(stability, "parallel_analysis", lambda *a: asked.append(a))
+    monkeypatch.setattr(measure, "covariance", lambda *a: (np.eye(12), 150_000))
+    monkeypatch.setattr(catalogue, "aligned", lambda *a: None)
+    catalogue.QUERIES["parallel_analysis"](spark, "")
+    assert asked[0][1] == 150_000 and len(asked[0]) == 4  # all rows, and the default of 500 simulations
