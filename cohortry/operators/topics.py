@@ -82,6 +82,9 @@ def lda(counted: DataFrame, terms: list[str], topics: int = 6, rounds: int = 20,
     """Topics and log perplexity."""
     from pyspark.ml.clustering import LDA
 
-    model = LDA(k=topics, maxIter=rounds, seed=seed, featuresCol="counts").fit(counted)
+    ready = counted.cache()  # every round reads it
+    model = LDA(k=topics, maxIter=rounds, seed=seed, featuresCol="counts").fit(ready)
     found = model.describeTopics(top).collect()  # topics
-    return [{"topic": r["topic"], "terms": [terms[i] for i in r["termIndices"]]} for r in found], model.logPerplexity(counted)
+    perplexity = model.logPerplexity(ready)
+    ready.unpersist()
+    return [{"topic": r["topic"], "terms": [terms[i] for i in r["termIndices"]]} for r in found], perplexity

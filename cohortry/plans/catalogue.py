@@ -509,7 +509,7 @@ def kmeans_k3(spark, sf_dir):
     from cohortry.operators.cluster import kmeans_distributed
 
     df, cols = vectors(spark, sf_dir)
-    return kmeans_distributed(df.select("row_id", *cols[:16]), cols[:16], 3, 3)[1].select("row_id", "cluster")
+    return kmeans_distributed(df.select("row_id", *cols), cols, 3, 25)[1].select("row_id", "cluster")
 
 
 @query()
@@ -574,5 +574,5 @@ def persona_names(spark, sf_dir):
 def lda_topics(spark, sf_dir):
     from cohortry.operators.topics import lda, term_counts
 
-    counted, terms = term_counts(read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "row_id"), "text", size=500, pairs=False)
-    return spark.createDataFrame(lda(counted, terms, 4, 5)[0], "topic int, terms array<string>")
+    counted, terms = term_counts(read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "row_id"), "text")
+    return spark.createDataFrame(lda(counted, terms)[0], "topic int, terms array<string>")

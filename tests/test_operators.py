@@ -271,3 +271,20 @@ def test_random_eigenvalues_follow_the_true_size(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "aligned", lambda *a: None)
     catalogue.QUERIES["parallel_analysis"](spark, "")
     assert asked[0][1] == 150_000 and len(asked[0]) == 4  # all rows, and the default of 500 simulations
+
+
+def test_fits_take_all_dimensions_and_terms(spark, monkeypatch):
+    from cohortry.operators import cluster, topics
+    from cohortry.plans import catalogue
+
+    frame, asked = spark.range(1).withColumnRenamed("id", "row_id"), {}
+    cols = [f"x{i}" for i in range(64)]
+    monkeypatch.setattr(catalogue, "vectors", lambda *a: (frame.select("row_id", *[F.lit(0.0).alias(c) for c in cols]), cols))
+    monkeypatch.setattr(cluster, "kmeans_distributed", lambda df, cols, *a: (asked.update(kmeans=(len(cols), *a)), df.withColumn("cluster", F.lit(0))))
+    catalogue.QUERIES["kmeans_k3"](spark, "")
+    assert asked["kmeans"] == (64, 3, 25)
+    monkeypatch.setattr(catalogue, "read", lambda *a: frame.withColumnRenamed("row_id", "doc_id"))
+    monkeypatch.setattr(topics, "term_counts", lambda df, col, **a: (asked.update(terms=a), (df, ["a"]))[1])
+    monkeypatch.setattr(topics, "lda", lambda counted, terms, *a: (asked.update(lda=a), ([{"topic": 0, "terms": ["a"]}], 0.0))[1])
+    catalogue.QUERIES["lda_topics"](spark, "")
+    assert asked["terms"] == {} and asked["lda"] == ()  # the operators' defaults: 1,500 words and pairs, 6 topics, 20 rounds
