@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import text_or_empty
-from cohortry.llm.tokens import VOCABULARY, WordIds, word_ids
+from cohortry.llm.tokens import VOCABULARY, WordIds, slices, word_ids
 from cohortry.session import ship_code
 
 
@@ -94,7 +94,7 @@ class CountTree:
                 sums[a : b + 1] = sums[2 * a : 2 * b + 2].reshape(-1, 2).sum(axis=1)
 
 
-def recount(docs: DataFrame, edits: Column, vocabulary: str = VOCABULARY, texts_at_once: int = 2000) -> DataFrame:
+def recount(docs: DataFrame, edits: Column, vocabulary: str = VOCABULARY) -> DataFrame:
     """``edits``: an array of (start, removed, inserted) in code points, per row of ``docs``.
 
     Gives doc_id, n_tokens, n_edits, edited_n_chars, edited_n_tokens and encoded_chars, the characters encoded again.
@@ -104,8 +104,7 @@ def recount(docs: DataFrame, edits: Column, vocabulary: str = VOCABULARY, texts_
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, texts_at_once):
-                part = batch.slice(at, texts_at_once)
+            for part in slices(batch, 1):
                 sizes, begins = encoder.sizes(part.column(1))
                 out = []
                 for i, (doc, text, changes) in enumerate(zip(*(c.to_pylist() for c in part.columns), strict=True)):

@@ -2,13 +2,15 @@
 
 The vocabulary file is read on the executors, from its name or path. The word-level vocabulary never joins
 pre-tokens across ASCII white space, so ids of a text are the ids of its words in order; each worker keeps the
-ids of the words it has met, in two generations of bounded size.
+ids of the words it has met, in two generations of bounded size. Texts are taken in slices of bounded bytes, so that a
+worker's memory follows neither the number of rows in a batch nor their lengths (but for one text longer than a slice).
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +60,7 @@ class _Generations(dict):
 class WordIds:
     """Ids of whole texts by a word-level vocabulary."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, cached: int = 500_000):
+    def __init__(self, vocabulary: str = VOCABULARY, cached: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
@@ -111,6 +113,16 @@ class WordIds:
         return sum(len(self.word(w)) for w in re.split("[ \t-\r]+", text) if w) // 4
 
 
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in consecutive parts of up to ``most_bytes`` of text in ``column``, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 _made: dict[str, WordIds] = {}
 
 

@@ -208,7 +208,7 @@ def test_ids_equal_the_tokenizer(words):
 
 
 def test_packing(docs, empty, words):
-    got = packing.pack(docs, docs_per_group=5).collect()
+    got = packing.pack(docs, pieces_per_group=5).collect()
     want = []
     for d, t in texts():
         ids = [*words.tokenizer.encode(t, add_special_tokens=False).ids, 1]
@@ -231,7 +231,7 @@ def test_packing(docs, empty, words):
 
 def test_packing_spreads_rows_without_ids(spark):
     rows = spark.createDataFrame([(None, f"words of row {i}") for i in range(60)], "doc_id long, text string")
-    packed = packing.pack(rows, docs_per_group=20)
+    packed = packing.pack(rows, pieces_per_group=20)
     assert packed.count() == 60
     assert packed.select(F.shiftright("sequence_id", 32)).distinct().count() > 1
 
