@@ -1,34 +1,50 @@
 """Secret scans: strong formats, and weak parts that count only together.
 
-Strong spans (key assignments, access identifiers, long hex) are found by format. Weak parts are access
-identifiers, secret-looking tokens and endpoints, each as long as its run. A weak secret is reported only when an identifier or endpoint
-lies within ``scope`` characters in the same text: parts are posted to the cells of ``scope`` characters around
-their start and their end, and an interval join per (document, cell) links them. A cell holds a bounded number of
-parts, and a part is in a bounded number of cells, whatever their lengths.
-
-All of it is built-in expressions and joins. Null text: empty. Documents are told apart by doc_id and text, so equal rows get equal results.
+Strong spans (key assignments, access identifiers, long hex) are found by format. Weak parts have types: secrets are
+values assigned to a credential's name, tokens that look drawn at random, and shorter hex; what completes them is an access
+identifier, a service endpoint (database and storage addresses, named hosts) or a web address. A weak secret is reported only
+when a part that complements its type (:data:`COMPLEMENTS`) lies within ``scope`` characters in the same text: parts are
+posted to the cells of ``scope`` characters around their start and their end, and an interval join per (document, cell) links
+them. A cell holds a bounded number of parts, and a part is in a bounded number of cells, whatever their lengths.
+What stands in an address is no secret, but for a value assigned in its query; nor are names of files, paths (what begins with a
+slash) and words.
+
+All of it is built-in expressions and joins. Null text: empty. Documents are told apart by doc_id and text, so equal rows get
+equal results; a null doc_id is one like any other. Overlapping parts do not complete each other.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import stage, text_or_empty
 from cohortry.llm.spans import blocked, count_of, joined, let, meets, of_kind, spans
 
-KINDS = ("assign", "access", "hex")
+#: Of spans. The last is that of random tokens, which only linking adds.
+KINDS = ("assign", "access", "hex", "token")
 #: The strong formats.
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]++"""
 ASSIGN_LONG = r"""[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8,}$"""
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"[0-9a-f]{32,}+"
-#: Weak parts.
-IDENTIFIER = r"""(?i)(?:access[_-]?key[_-]?id|client[_-]?id|user(?:name)?|login|account)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9._@-]{3,}+|AKIA[A-Z0-9]{12,}+"""
-ENDPOINT = r"""(?i)(?:https?|jdbc:[a-z]{2,16}|postgres|postgresql|mysql|mongodb|amqp|redis|sftp|ftp|s3)://[^\s"'<>]{3,}+|(?:host|endpoint|server)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9.-]{3,}+"""
-WEAK_ASSIGN = r"""(?i)(?:pass|pwd|passphrase|auth|private_?key|access_?key|credential)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9+/_.=!@#$%^&*-]{6,}+"""
-WEAK_TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
-WEAK_HEX = r"(?<![0-9A-Za-z])[0-9a-f]{16,31}(?![0-9A-Za-z])"
+#: Parts that complete secrets.
+IDENTIFIER = r"""(?i)(?<![A-Za-z])(?:access[_-]?key[_-]?id|client[_-]?id|user(?:name)?|login|account)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9._@-]{3,}+|(?-i:AKIA[A-Z0-9]{12,}+)"""
+SERVICE = r"""(?i)(?<![A-Za-z0-9+.-])(?:jdbc:[a-z]{2,16}|postgres|postgresql|mysql|mongodb(?:\+srv)?|amqps?|rediss?|sftp|ftps?|s3|ldaps?)://[^\s"'<>]{3,}+|(?<![A-Za-z])(?:host(?:name)?|endpoint|server)["']?\x20{0,4}[:=]\x20{0,4}["']?(?:[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|localhost)(?::[0-9]++)?+"""
+WEB = r"""(?i)(?<![A-Za-z0-9+.-])https?://[^\s"'<>]{3,}+"""
+ADDRESS = r"""(?i)(?<![A-Za-z0-9+.:-])[a-z][a-z0-9+.:-]{1,20}://[^\s"'<>]++"""
+#: Parts that can be secrets.
+NAMED = r"""(?i)(?<![A-Za-z])(?:pass|pwd|passphrase|auth|private_?key|access_?key|credential)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9+/_.=!@#$%^&*-]{6,}+"""
+NAMED_VALUE = r"""[:=]\x20{0,4}["']?(?=[^:]*[0-9])(?=[^:]*[A-Za-z])[A-Za-z0-9+_=!@#$%^&*-][^:]*$"""
+TOKEN = r"(?<![A-Za-z0-9+/_=.~-])(?!/)[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-]|\.[A-Za-z])"
+SHORT_HEX = r"(?<![0-9A-Za-z])[0-9a-f]{16,31}(?![0-9A-Za-z])"
+#: Where the kind of character changes inside a token.
+CHANGE = r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])"
+#: Kinds of secrets (as in KINDS), and of what completes them; which complement which.
+_IDENTIFIER, _SERVICE, _WEB = 8, 9, 10
+COMPLEMENTS = {0: (_IDENTIFIER, _SERVICE, _WEB), 3: (_IDENTIFIER, _SERVICE), 2: (_IDENTIFIER,)}
 
 
 def base_spans(text: Column) -> Column:
@@ -37,9 +53,9 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(of_kind(assign, 0), of_kind(spans(text, ACCESS), 1), of_kind(spans(text, HEX), 2)))
 
 
-def _mixed(x: Column) -> Column:
-    """Looks drawn at random: upper case, lower case and digits."""
-    return x["t"].rlike("[A-Z]") & x["t"].rlike("[a-z]") & x["t"].rlike("[0-9]")
+def random_looking(t: Column) -> Column:
+    """Upper case, lower case and digits, which change at two of five places or more; words and names run on."""
+    return t.rlike("[A-Z]") & t.rlike("[a-z]") & t.rlike("[0-9]") & (5 * F.regexp_count(t, F.lit(CHANGE)) >= 2 * (F.length(t) - 1))
 
 
 def _key(docs: DataFrame) -> list[Column]:
@@ -49,20 +65,30 @@ def _key(docs: DataFrame) -> list[Column]:
 def linked(docs: DataFrame, scope: int = 200) -> DataFrame:
     """Weak secrets with an identifier or endpoint in scope: ``_id, _mark`` (of the document) and ``added``, a sorted array of (s, k, e)."""
     text = F.col("_text")
-    helps = F.concat(of_kind(spans(text, IDENTIFIER), 8), of_kind(spans(text, ENDPOINT), 9))
-    weak = F.concat(of_kind(spans(text, WEAK_ASSIGN), 0), of_kind(F.filter(spans(text, WEAK_TOKEN), _mixed), 1), of_kind(F.filter(spans(text, WEAK_HEX), lambda x: x["t"].rlike("[0-9]") & x["t"].rlike("[a-f]")), 2))
+    helps = F.concat(of_kind(spans(text, IDENTIFIER), _IDENTIFIER), of_kind(spans(text, SERVICE), _SERVICE), of_kind(spans(text, WEB), _WEB))
+    inside = lambda x, b: meets(x, b, lambda y: (y["s"] < x["s"]) & ~F.substr(text, x["s"], F.lit(1)).isin("?", "&", ";"))
     read = docs.select(*_key(docs), text_or_empty(docs).alias("_text")).select("_id", "_mark", "_text", helps.alias("_helps"))
     # weak secrets are looked for only where something could complete them; parts are few, and both sides of the join read them
-    both = read.select("_id", "_mark", F.when(F.size("_helps") > 0, F.concat(weak, "_helps")).alias("_parts"))
+    some = read.filter(F.size("_helps") > 0).select(
+        "*",
+        F.filter(spans(text, NAMED), lambda x: x["t"].rlike(NAMED_VALUE)).alias("_named"),
+        F.filter(spans(text, TOKEN), lambda x: random_looking(x["t"])).alias("_tokens"),
+        F.filter(spans(text, SHORT_HEX), lambda x: x["t"].rlike("[0-9]") & x["t"].rlike("[a-f]")).alias("_short"),
+        spans(text, ADDRESS).alias("_addresses"),
+    )
+    some = some.select("*", blocked(F.col("_addresses")).alias("_blocks"))
+    weak = [of_kind(F.filter("_named", lambda x: ~inside(x, F.col("_blocks"))), 0), *[of_kind(F.filter(c, lambda x: ~meets(x, F.col("_blocks"))), k) for c, k in (("_tokens", 3), ("_short", 2))]]
+    both = some.select("_id", "_mark", F.concat(*weak, "_helps").alias("_parts"))
     parts = both.select("_id", "_mark", F.explode("_parts").alias("p")).select("_id", "_mark", "p.s", "p.k", "p.e").distinct()
     parts = stage(parts, "secret-parts")
-    secrets = parts.filter("k < 8").select("_id", "_mark", "s", "k", "e", F.explode(F.expr(f"array_union(sequence(greatest(0, s - {scope}) div {scope}, s div {scope}), sequence(e div {scope}, (e + {scope}) div {scope}))")).alias("_cell"))
-    # parts do not overlap, so a helper in scope ends just before the secret begins or begins just after it ends
-    helpers = parts.filter("k >= 8").select("_id", "_mark", "s", "e", F.explode(F.expr(f"array_distinct(array(s div {scope}, e div {scope}))")).alias("_cell"))
+    secrets = parts.filter(F.col("k") < _IDENTIFIER).select("_id", "_mark", "s", "k", "e", F.explode(F.expr(f"array_union(sequence(greatest(0, s - {scope}) div {scope}, s div {scope}), sequence(e div {scope}, (e + {scope}) div {scope}))")).alias("_cell"))
+    # only parts that do not overlap link, so a helper in scope ends just before the secret begins or begins just after it ends
+    helpers = parts.filter(F.col("k") >= _IDENTIFIER).select("_id", "_mark", "s", "k", "e", F.explode(F.expr(f"array_distinct(array(s div {scope}, e div {scope}))")).alias("_cell"))
     a, b = secrets.alias("a"), helpers.alias("b")
     close = (F.col("a._cell") == F.col("b._cell")) & (F.col("b.s") < F.col("a.e") + scope) & (F.col("a.s") < F.col("b.e") + scope)
-    apart = (F.col("b.e") <= F.col("a.s")) | (F.col("a.e") <= F.col("b.s"))  # another part, not the secret itself
-    met = a.join(b, F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._mark") == F.col("b._mark")) & close & apart, "left_semi")
+    apart = (F.col("b.e") <= F.col("a.s")) | (F.col("a.e") <= F.col("b.s"))
+    fits = reduce(lambda x, y: x | y, [(F.col("a.k") == k) & F.col("b.k").isin(*others) for k, others in COMPLEMENTS.items()])
+    met = a.join(b, F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._mark") == F.col("b._mark")) & close & apart & fits, "left_semi")
     return met.groupBy("_id", "_mark").agg(F.sort_array(F.collect_set(F.struct("s", "k", "e"))).alias("added"))
 
 
@@ -79,7 +105,7 @@ def scan(docs: DataFrame, scope: int = 200, keep: dict[str, str] | None = None)
 
 def report(docs: DataFrame, scope: int = 200) -> DataFrame:
     found = scan(docs, scope)
-    return found.select("doc_id", *[count_of(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(F.col("all"), KINDS).alias("spans"))
+    return found.select("doc_id", *[count_of(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])], F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(F.col("all"), KINDS).alias("spans"))
 
 
 def redact(docs: DataFrame, scope: int = 200, mark: str = "[SECRET]") -> DataFrame:

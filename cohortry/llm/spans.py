@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 _BLOCK = 64
 EMPTY = "array<struct<s:int,e:int,t:string>>"
+WITH_CONTEXT = "array<struct<s:int,e:int,t:string,b:string>>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -16,35 +17,57 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _total(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(0), lambda acc, p: acc + p["gap"] + p["len"])
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda acc, x: acc + x)
 
 
-def spans(text: Column, pattern: str) -> Column:
+def _cut(values: Column, block: int = _BLOCK) -> Column:
+    """A non-empty array in blocks."""
+    return let(values, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int")), lambda j: F.slice(x, j * block + 1, F.lit(block))))
+
+
+def _before(numbers: Column) -> Column:
+    """For each number the sum of those before it, by adding them up again: for short arrays."""
+    return F.transform(numbers, lambda _, i: F.when(i == 0, F.lit(0)).otherwise(_sum(F.slice(numbers, F.lit(1), i))))
+
+
+def running(numbers: Column, levels: int = 2) -> Column:
+    """For each number of an int array, the sum of those before it; over blocks, whose sums are summed over blocks in turn."""
+    if levels == 0:
+        return _before(numbers)
+
+    def place(z: Column) -> Column:
+        return let(running(F.transform(z, _sum), levels - 1), lambda first: F.flatten(F.transform(z, lambda b, j: let(F.get(first, j), lambda at: F.transform(_before(b), lambda v: v + at)))))
+
+    return let(numbers, lambda x: F.when(F.size(x) > 0, let(_cut(x, 32), place)).otherwise(F.array().cast("array<int>")))
+
+
+def spans(text: Column, pattern: str, context: int = 0) -> Column:
     """The leftmost non-overlapping matches: an array of (s, e, t), t being the matched text.
 
-    Starts are running sums of the lengths of gaps and matches, summed in blocks.
+    With ``context``, also b: the last characters, up to so many, between the match before and this one. Starts are running
+    sums of the lengths of gaps and matches, and context comes from the gaps, so that time follows the text's length.
     """
-    none = F.array().cast(EMPTY)
+    none = F.array().cast(WITH_CONTEXT if context else EMPTY)
 
     def place(parts: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _BLOCK).cast("int")), lambda j: F.slice(parts, j * _BLOCK + 1, F.lit(_BLOCK)))
-
-        def within(block: Column, first: Column) -> Column:
-            def one(p: Column, i: Column) -> Column:
-                return let(first + F.when(i == 0, F.lit(0)).otherwise(_total(F.slice(block, F.lit(1), i))) + p["gap"], lambda s: F.struct(s.alias("s"), (s + p["len"]).alias("e"), p["t"].alias("t")))
+        def one(at: Column) -> Column:
+            def row(p: Column, i: Column) -> Column:
+                before = [p["b"].alias("b")] if context else []
+                return let(F.get(at, i) + p["gap"], lambda s: F.struct(s.alias("s"), (s + p["len"]).alias("e"), p["t"].alias("t"), *before))
 
-            return F.transform(block, one)
+            return F.transform(parts, row)
 
-        def all_blocks(z: Column) -> Column:
-            sums = F.transform(z, _total)
-            return let(sums, lambda t: F.flatten(F.transform(z, lambda b, j: within(b, F.when(j == 0, F.lit(0)).otherwise(F.aggregate(F.slice(t, F.lit(1), j), F.lit(0), lambda acc, x: acc + x))))))
-
-        return let(blocks, all_blocks)
+        return let(running(F.transform(parts, lambda p: p["gap"] + p["len"])), one)
 
     def found(matches: Column) -> Column:
         gaps = F.split(text, pattern, -1)
-        parts = F.transform(F.arrays_zip(matches.alias("t"), F.slice(gaps, F.lit(1), F.size(matches)).alias("g")), lambda p: F.struct(F.length(p["g"]).alias("gap"), F.length(p["t"]).alias("len"), p["t"].alias("t")))
+
+        def part(p: Column) -> Column:
+            before = [F.right(p["g"], F.lit(context)).alias("b")] if context else []
+            return F.struct(F.length(p["g"]).alias("gap"), F.length(p["t"]).alias("len"), p["t"].alias("t"), *before)
+
+        parts = F.transform(F.arrays_zip(matches.alias("t"), F.slice(gaps, F.lit(1), F.size(matches)).alias("g")), part)
         return F.when(F.size(matches) > 0, let(parts, place)).otherwise(none)
 
     return let(F.regexp_extract_all(text, F.lit(pattern), 0), found)
@@ -70,28 +93,13 @@ def overlaps(a: Column, b: Column) -> Column:
 
 
 def blocked(found: Column) -> Column:
-    """``found`` (sorted by start) cut into blocks, each with the stretch it covers, for :func:`meets`."""
-    last = F.floor(F.greatest(F.size(found) - 1, F.lit(0)) / _BLOCK).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(found, j * _BLOCK + 1, F.lit(_BLOCK)))
-    return F.transform(F.filter(parts, lambda b: F.size(b) > 0), lambda b: F.struct(F.get(b, 0)["s"].alias("s"), F.array_max(F.transform(b, lambda y: y["e"])).alias("e"), b.alias("items")))
+    """``found`` (sorted by start) cut into blocks of blocks, each with the stretch it covers, for :func:`meets`."""
+    stretch = lambda items: F.struct(F.get(items, 0)["s"].alias("s"), F.array_max(F.transform(items, lambda y: y["e"])).alias("e"), items.alias("items"))
+    some = lambda values: F.filter(_cut(values), lambda b: F.size(b) > 0)
+    return F.transform(some(F.transform(some(found), stretch)), stretch)
 
 
 def meets(x: Column, blocks: Column, also: Callable[[Column], Column] | None = None) -> Column:
     """Whether ``x`` overlaps a span of the blocks for which ``also`` holds; only blocks that ``x`` overlaps are looked through."""
     one = lambda y: overlaps(x, y) & also(y) if also else overlaps(x, y)
-    return F.exists(blocks, lambda b: overlaps(x, b) & F.exists(b["items"], one))
-
-
-def running(numbers: Column) -> Column:
-    """For each number of an int array, the sum of those before it; summed in blocks."""
-    add = lambda acc, x: acc + x
-    total = lambda part: F.aggregate(part, F.lit(0), add)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _BLOCK).cast("int")), lambda j: F.slice(numbers, j * _BLOCK + 1, F.lit(_BLOCK)))
-
-    def place(z: Column) -> Column:
-        def within(block: Column, j: Column) -> Column:
-            return let(F.when(j == 0, F.lit(0)).otherwise(total(F.transform(F.slice(z, F.lit(1), j), lambda b: total(b)))), lambda first: F.transform(block, lambda _, i: first + F.when(i == 0, F.lit(0)).otherwise(total(F.slice(block, F.lit(1), i)))))
-
-        return F.flatten(F.transform(z, within))
-
-    return F.when(F.size(numbers) > 0, let(blocks, place)).otherwise(F.array().cast("array<int>"))
+    return F.exists(blocks, lambda c: overlaps(x, c) & F.exists(c["items"], lambda b: overlaps(x, b) & F.exists(b["items"], one)))
