@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import SPACE_RUN, stage, text_or_empty
+from cohortry.llm.common import SPACE_RUN, row_mark, stage, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 
@@ -55,9 +55,9 @@ def _uniform(text: Column, digits: int = 8) -> Column:
 
 
 def copies(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3.0, seed: int = 7, rows_per_cell: int = 20_000) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, copies, and ``_mark``, a hash of the text."""
+    """One row per row of ``docs``: doc_id, size, source_size, target, copies, and ``_mark``, a hash of the row."""
     text = text_or_empty(docs)
-    rows = stage(docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("_source"), n_words(text).alias("_size"), F.xxhash64(text).alias("_mark")), "mix-sizes")
+    rows = stage(docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("_source"), n_words(text).alias("_size"), row_mark(docs).alias("_mark")), "mix-sizes")
     n = rows.count()
     salts = max(1, math.ceil(n / rows_per_cell))
     name = F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("n"))  # null-safe key; null gets its own
@@ -79,11 +79,15 @@ def copies(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
-    """The mixture: rows of ``docs``, each as often as it is emitted."""
+    """The mixture: rows of ``docs``, each as often as it is emitted.
+
+    Null ids, texts and sources are as in :func:`copies`. Rows of one id are told apart by all their columns; rows equal in all
+    of them share what they were given, so reruns emit the same rows.
+    """
     names = [f"_in{i}" for i in range(len(docs.columns))]
     taken = copies(docs, **parameters).groupBy("doc_id", "_mark").agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
-    # equal rows (same id, same text) share what they were given: the first ones take one more
-    left = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], docs["doc_id"].alias("_id"), F.xxhash64(text_or_empty(docs)).alias("_mark"))
+    # equal rows share what they were given: the first ones take one more
+    left = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], docs["doc_id"].alias("_id"), row_mark(docs).alias("_mark"))
     met = left.join(taken.withColumnRenamed("_mark", "_mark2"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_mark") == F.col("_mark2")))
     alone = met.filter("_rows = 1").withColumn("_times", F.col("_all"))
     shared = met.filter("_rows > 1").withColumn("_k", F.row_number().over(W.partitionBy("_id", "_mark").orderBy(F.lit(0)))).withColumn("_times", F.floor(F.col("_all") / F.col("_rows")) + (F.col("_k") <= F.col("_all") % F.col("_rows")).cast("long")).drop("_k")

@@ -109,7 +109,7 @@ def report(docs: DataFrame, scope: int = 200) -> DataFrame:
 
 
 def redact(docs: DataFrame, scope: int = 200, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of a secret replaced by ``mark`` (overlapping ones by one each run); n_chars follows. Rows without one stay as they are."""
+    """``docs`` with every span of a secret replaced by ``mark`` (overlapping ones by one each run); n_chars follows. Rows without one, null texts among them, stay as they are."""
     names = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
     found = scan(docs, scope, names)
     text = F.col(names["text"])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import stage, text_or_empty
+from cohortry.llm.common import row_mark, stage, text_or_empty
 from cohortry.llm.components import components
 from cohortry.session import ship_code
 
@@ -107,12 +107,15 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def keep_named(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`keep_one` keeps, by ``named``: doc_id, mark, root and component_id."""
+    """The rows of ``docs`` that :func:`keep_one` keeps, by ``named``: doc_id, mark, root and component_id.
+
+    Null texts count as empty; of rows with the same id and text, that with the smallest hash of all columns stays.
+    """
     found = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     key = lambda d, m: F.concat_ws(":", F.coalesce(d.cast("string"), F.lit("none")), m.cast("string"))
     keep = found.groupBy("root").agg(F.first("component_id").alias("doc_id"), F.min("mark").alias("mark")).select(key(F.col("doc_id"), F.col("mark")).alias("_keep")).distinct()
     names = [f"_in{i}" for i in range(len(docs.columns))]
-    mine = docs.select(key(docs["doc_id"], F.xxhash64(text_or_empty(docs))).alias("_key"), *[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    mine = docs.select(row_mark(docs).alias("_row"), key(docs["doc_id"], F.xxhash64(text_or_empty(docs))).alias("_key"), *[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)])
     kept = mine.join(keep, F.col("_key") == F.col("_keep"), "left_semi")
-    one = kept.withColumn("_k", F.row_number().over(W.partitionBy("_key").orderBy("_key"))).filter("_k = 1")
+    one = kept.withColumn("_k", F.row_number().over(W.partitionBy("_key").orderBy("_row"))).filter("_k = 1")
     return one.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
