@@ -1,9 +1,11 @@
 """Edit-aware token counts.
 
-A document's count is the root of a segment tree whose leaves are its words with the white space after them;
-a leaf has its characters and its tokens. An edit finds, by the character sums, the leaves from that of the character
-before it to that of the character after it; since pre-tokens never cross white space, only their text, edited, is encoded
-again, and the sums above them are updated. Everything else keeps its counts.
+A document's count is the root of a segment tree whose leaves are its pre-tokens, each with the white space after it;
+a leaf has its characters and its tokens. An edit finds, by the character sums, the leaves around it: from that of the third
+character before it (a pre-token's end depends on up to two characters that follow) to that of the character after it, and on
+until a pre-token of the new text ends where one of the old text did. Only these leaves' text, edited, is encoded again, and the
+sums above them are updated. Everything else keeps its counts. A leaf is as long as its pre-token: a run of letters with no other
+character in it is one, as is what lies between digits in a word with characters outside the Latin ranges.
 
 Null text: empty. Null edits: none. Edits apply in order, each to the text that the ones before have left; a range beyond the
 end of the text stops there. Equal rows get equal results.
@@ -11,6 +13,7 @@ end of the text stops there. Equal rows get equal results.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,20 +33,28 @@ def word_starts(text: str) -> np.ndarray:
     return np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]])) if len(points) else np.zeros(0, np.int64)
 
 
+_WORDS = re.compile("[^\x20\t-\r]+")
+
+
 class CountTree:
-    """Token counts of one text under edits. ``sizes``: tokens of each word of the text, in order."""
+    """Token counts of one text under edits. ``leaves``: (place in its word, length, tokens) of each pre-token, in order."""
 
-    def __init__(self, text: str, sizes: np.ndarray, encoder: WordIds):
+    def __init__(self, text: str, leaves: np.ndarray, encoder: WordIds):
         self.encoder, self.encoded = encoder, 0
-        begins = word_starts(text)
-        if len(begins) != len(sizes):
-            raise ValueError("one size per word")
-        edges = np.concatenate([[0], begins[1:], [len(text)]])
+        begins, firsts = word_starts(text), np.flatnonzero(leaves[:, 0] == 0)
+        if len(begins) != len(firsts):
+            raise ValueError("leaves of other words")
+        per_word = np.diff(np.append(firsts, len(leaves)))
+        inside = np.cumsum(leaves[:, 1]) - leaves[:, 1]
+        starts = np.repeat(begins, per_word) + inside - np.repeat(inside[firsts], per_word)
+        self._build(text, np.concatenate([[0], starts[1:], [len(text)]]), leaves[:, 2])
+
+    def _build(self, text: str, edges: np.ndarray, tokens: np.ndarray) -> None:
         self.text, self.edges, self.changed = text, edges, {}
         leaves = max(1, len(edges) - 1)
         self.width = 1 << (leaves - 1).bit_length()
         self.tokens, self.chars = np.zeros(2 * self.width, np.int64), np.zeros(2 * self.width, np.int64)
-        self.tokens[self.width : self.width + len(sizes)] = sizes
+        self.tokens[self.width : self.width + len(tokens)] = tokens
         self.chars[self.width : self.width + len(edges) - 1] = np.diff(edges)
         level = self.width
         while level > 1:
@@ -72,26 +83,67 @@ class CountTree:
     def _text(self, leaf: int) -> str:
         return self.changed[leaf] if leaf in self.changed else self.text[self.edges[leaf] : self.edges[leaf + 1]] if leaf < len(self.edges) - 1 else ""
 
+    def _encode(self, text: str) -> list[tuple[int, int]]:
+        """Length, with the white space around it, and tokens of each pre-token of a text."""
+        starts, counts = [], []
+        for word in _WORDS.finditer(text):
+            at = word.start()
+            for n, count in self.encoder.leaves(word[0]):
+                starts.append(at)
+                counts.append(count)
+                at += n
+        if not starts:
+            return [(len(text), 0)]
+        edges = [0, *starts[1:], len(text)]
+        return [(b - a, c) for a, b, c in zip(edges, edges[1:], counts, strict=False)]
+
     def edit(self, start: int, removed: int, inserted: str) -> None:
         start = min(max(start, 0), self.length)
         removed = min(max(removed, 0), self.length - start)
+        first = last = begin = 0
         if self.length:
-            first, begin = self._leaf(max(start - 1, 0))
+            first, begin = self._leaf(max(start - 3, 0))
             last, _ = self._leaf(min(start + removed, self.length - 1))
-        else:
-            first = last = begin = 0
-        region = "".join(map(self._text, range(first, last + 1)))
-        new = region[: start - begin] + inserted + region[start - begin + removed :]
-        self.encoded += len(new)
+        more = 1
+        while True:
+            region = "".join(map(self._text, range(first, last + 1)))
+            new = region[: start - begin] + inserted + region[start - begin + removed :]
+            after, at = "", last + 1
+            while at < self.width and len(after) < 3:  # what decides whether a pre-token ends here
+                after, at = after + self._text(at), at + 1
+            found = self._encode(new + after)
+            self.encoded += len(new) + len(after)
+            ends = np.cumsum([n for n, _ in found])
+            cut = int(np.searchsorted(ends, len(new)))
+            if not after or ends[cut] == len(new):
+                break
+            last, more = min(last + more, self.width - 1), 2 * more
+        found = found[: cut + 1]
         a, b = first + self.width, last + self.width
+        share = -(-len(found) // (last + 1 - first))  # new leaves to each old one
         self.tokens[a : b + 1], self.chars[a : b + 1] = 0, 0
-        self.tokens[a], self.chars[a] = self.encoder.count(new), len(new)
         self.changed.update(dict.fromkeys(range(first, last + 1), ""))
-        self.changed[first] = new
+        at = 0
+        for k in range(0, len(found), share):
+            part = found[k : k + share]
+            leaf, n = first + k // share, sum(n for n, _ in part)
+            self.changed[leaf], self.chars[leaf + self.width], self.tokens[leaf + self.width] = new[at : at + n], n, sum(c for _, c in part)
+            at += n
         while a > 1:
             a, b = a // 2, b // 2
             for sums in (self.tokens, self.chars):
                 sums[a : b + 1] = sums[2 * a : 2 * b + 2].reshape(-1, 2).sum(axis=1)
+        if share > 16:
+            self._spread(first, last, found)
+
+    def _spread(self, first: int, last: int, found: list[tuple[int, int]]) -> None:
+        """The tree anew, with a leaf for each of ``found`` in place of those from ``first`` to ``last``; nothing is encoded."""
+        chars, tokens = self.chars[self.width :], self.tokens[self.width :]
+        texts = "".join(map(self._text, range(self.width)))
+        n, t = zip(*found, strict=True)
+        lengths, counts = (np.concatenate([old[:first], new, old[last + 1 :]]) for old, new in ((chars, n), (tokens, t)))
+        kept = lengths > 0
+        self._build(texts, np.concatenate([[0], np.cumsum(lengths[kept])]), counts[kept])
 
 
 def recount(docs: DataFrame, edits: Column, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -105,10 +157,9 @@ def recount(docs: DataFrame, edits: Column, vocabulary: str = VOCABULARY) -> Dat
         encoder = word_ids(vocabulary)
         for batch in batches:
             for part in slices(batch, 1):
-                sizes, begins = encoder.sizes(part.column(1))
                 out = []
-                for i, (doc, text, changes) in enumerate(zip(*(c.to_pylist() for c in part.columns), strict=True)):
-                    tree = CountTree(text, sizes[begins[i] : begins[i + 1]], encoder)
+                for leaves, doc, text, changes in zip(encoder.all_leaves(part.column(1)), *(c.to_pylist() for c in part.columns), strict=True):
+                    tree = CountTree(text, leaves, encoder)
                     before = tree.count
                     for change in changes or ():
                         tree.edit(change["start"] or 0, change["removed"] or 0, change["inserted"] or "")

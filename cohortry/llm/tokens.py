@@ -21,6 +21,7 @@ VOCABULARY = "word_bpe_49k.json"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Words of these characters are split here; any other word goes through the tokenizer's own steps.
 _PLAIN = re.compile("[\\x21-\\x7eÀ-įı-ɏ]+")
+_BEFORE_DIGIT = re.compile("(?=[0-9])")
 _PRE_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
@@ -73,28 +74,43 @@ class WordIds:
         shown = pre_token if pre_token.isascii() else pre_token.encode().decode("latin-1").translate(self.table)
         return b"".join([self.four[t.id] for t in self.model.tokenize(shown)])
 
+    def _pieces(self, word: str) -> Iterator[tuple[int, bytes]]:
+        """Length in characters and ids of the parts of a text without ASCII white space, cut only where pre-tokens end."""
+        if word.isascii() and word.isprintable() or _PLAIN.fullmatch(word):
+            lower, known = word.lower(), self.pre_tokens
+            for p in [lower] if lower.isalpha() else _PRE_TOKENS.findall(lower):
+                yield len(p), known[p] if len(p) <= 64 else self._merge(p)
+        else:  # normal forms and other scripts by the tokenizer's own steps; a digit is a pre-token whatever stands around it
+            for p in _BEFORE_DIGIT.split(word):
+                if p:
+                    yield len(p), b"".join([self.four[i] for i in self.tokenizer.encode(p, add_special_tokens=False).ids])
+
     def word(self, word: str) -> bytes:
         """Ids, as little-endian unsigned 32-bit bytes, of a text without ASCII white space."""
-        if len(word) > 64 or not (word.isascii() and word.isprintable() or _PLAIN.fullmatch(word)):
-            return b"".join([self.four[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
         lower, known = word.lower(), self.pre_tokens
-        if lower.isalpha():
-            return known[lower]
-        if lower[:-1].isalpha():
-            return known[lower[:-1]] + known[lower[-1]]
-        return b"".join([known[p] for p in _PRE_TOKENS.findall(lower)])
+        if len(word) <= 64 and lower.isascii():
+            if lower.isalpha():
+                return known[lower]
+            if lower[:-1].isalpha() and lower.isprintable():
+                return known[lower[:-1]] + known[lower[-1]]
+        return b"".join([ids for _, ids in self._pieces(word)])
+
+    def leaves(self, word: str) -> list[tuple[int, int]]:
+        """Length and number of ids of the parts of a word."""
+        return [(n, len(ids) // 4) for n, ids in self._pieces(word)]
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (with the end of the last)."""
-        found, which, offsets = self._coded(texts)
+        words, which, offsets = self._coded(texts)
+        found = [self.word(w) if w else b"" for w in words]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), "<u4")
         ends = np.cumsum(sizes[which])
         flat = ids[np.repeat(starts[which] - ends + sizes[which], sizes[which]) + np.arange(ends[-1] if len(ends) else 0)]
         return flat, np.concatenate([[0], ends])[offsets]
 
-    def _coded(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Ids of the distinct words, which of them stand in the texts in order, and where each text's begin."""
+    def _coded(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct words, which of them stand in the texts in order, and where each text's begin."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
@@ -102,15 +118,20 @@ class WordIds:
         if "" in words:  # beside white space at either end of a text
             solid = which != words.index("")
             which, offsets = which[solid], np.concatenate([[0], np.cumsum(solid)])[offsets]
-        return [self.word(w) if w else b"" for w in words], which, offsets
-
-    def sizes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The number of ids of each word of all texts, and where each text's words begin."""
-        found, which, offsets = self._coded(texts)
-        return (np.fromiter(map(len, found), np.int64, len(found)) // 4)[which], offsets
-
-    def count(self, text: str) -> int:
-        return sum(len(self.word(w)) for w in re.split("[ \t-\r]+", text) if w) // 4
+        return words, which, offsets
+
+    def all_leaves(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """For each text its leaves in order: rows of (place in its word, length, number of ids)."""
+        words, which, offsets = self._coded(texts)
+        made = [self.leaves(w) if w else [] for w in words]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        starts, ends = np.cumsum(sizes) - sizes, np.cumsum(sizes[which])
+        flat = np.array([x for leaves in made for x in leaves], np.int64).reshape(-1, 2)
+        place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes[which], sizes[which])
+        rows = np.column_stack([place, flat[np.repeat(starts[which], sizes[which]) + place]])
+        bounds = np.concatenate([[0], ends])[offsets].tolist()
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            yield rows[a:b]
 
 
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 22) -> Iterator[pa.RecordBatch]:

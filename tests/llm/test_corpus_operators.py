@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,8 +249,6 @@ def words():
 
 
 def test_ids_equal_the_tokenizer(words):
-    import pyarrow as pa
-
     ts = [t for _, t in texts()]
     flat, begins = words.batch(pa.array(ts))
     for i, t in enumerate(ts):
@@ -321,11 +320,10 @@ def test_recount(spark, docs, empty, words):
 
 def test_count_tree_random_edits(words):
     rng = np.random.default_rng(0)
-    alphabet = list("ab c\n'é.1 ")
-    for _ in range(60):
+    for round_ in range(240):
+        alphabet = list(("ab c\n'é.1 ", "'rsev1 ab", "a'e\u0301日1 ̀", "ab1")[round_ % 4])
         text = "".join(rng.choice(alphabet, rng.integers(0, 60)))
-        sizes, _ = words.sizes(__import__("pyarrow").array([text]))
-        tree = recount.CountTree(text, sizes, words)
+        tree = recount.CountTree(text, next(words.all_leaves(pa.array([text]))), words)
         for _ in range(8):
             start, removed, put = int(rng.integers(0, len(text) + 3)), int(rng.integers(0, 12)), "".join(rng.choice(alphabet, rng.integers(0, 8)))
             tree.edit(start, removed, put)
@@ -333,6 +331,16 @@ def test_count_tree_random_edits(words):
             assert (tree.count, tree.length) == (len(words.tokenizer.encode(text, add_special_tokens=False).ids), len(text))
 
 
+def test_edits_of_unspaced_text_encode_a_stretch(words):
+    for text in ("ab1" * 20_000, "of the " * 10_000, "x.y," * 15_000, "12" * 30_000):
+        tree = recount.CountTree(text, next(words.all_leaves(pa.array([text]))), words)
+        for start, removed, put in ((20_000, 1_200, ""), (30_000, 0, "ab1 the" * 6), (len(text) - 1_300, 7, " the end."), (500, 3, "q1" * 5_000), (700, 1, "")):
+            tree.edit(start, removed, put)
+            text = text[:start] + put + text[start + removed :]
+        assert (tree.count, tree.length) == (len(words.tokenizer.encode(text, add_special_tokens=False).ids), len(text))
+        assert tree.encoded < 10_000 + 42 + 9 + 200
+
+
 # 4: digests
 
 
