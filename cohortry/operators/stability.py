@@ -41,6 +41,11 @@ def exclusions(swept: DataFrame) -> DataFrame:
     return swept.withColumn("reason", why).filter("reason IS NOT NULL").groupBy("algorithm").agg(F.max_by("reason", "k").alias("reason"), F.sort_array(F.collect_list("k")).alias("ks"))
 
 
+def agreement_summary(runs: DataFrame) -> DataFrame:
+    """Per k, over (k, ari, ami): mean, sd, percentiles, share above .5 and .75, mean adjusted information."""
+    return runs.groupBy("k").agg(F.count("ari").alias("n"), F.avg("ari").alias("mean_ari"), F.stddev_pop("ari").alias("sd_ari"), *[F.percentile("ari", p / 100).alias(f"p{p:02d}") for p in (5, 50, 95)], F.avg((F.col("ari") > 0.5).cast("double")).alias("above_50"), F.avg((F.col("ari") > 0.75).cast("double")).alias("above_75"), F.avg("ami").alias("mean_ami"))
+
+
 def bootstrap_stability(spark: SparkSession, z: np.ndarray, ks, resamples: int = 200, share: float = 0.8, seed: int = 42, starts: int = 10) -> DataFrame:
     """Per k: adjusted Rand agreement of refits on subsamples with the full fit; mean, sd, percentiles, share above .5 and .75, mean adjusted information."""
     reference = {int(k): kmeans(z, k, seed, starts)[0] for k in ks}
@@ -52,7 +57,7 @@ def bootstrap_stability(spark: SparkSession, z: np.ndarray, ks, resamples: int =
         return [{"k": task["k"], "ari": ari_of_table(table), "ami": ami_of_table(table)}]
 
     runs = run_tasks(spark, pd.DataFrame([(k, i) for k in ks for i in range(resamples)], columns=["k", "id"]), fit, z, "k int, ari double, ami double")
-    return runs.groupBy("k").agg(F.count("ari").alias("n"), F.avg("ari").alias("mean_ari"), F.stddev_pop("ari").alias("sd_ari"), *[F.percentile("ari", p / 100).alias(f"p{p:02d}") for p in (5, 50, 95)], F.avg((F.col("ari") > 0.5).cast("double")).alias("above_50"), F.avg((F.col("ari") > 0.75).cast("double")).alias("above_75"), F.avg("ami").alias("mean_ami"))
+    return agreement_summary(runs)
 
 
 def seed_stability(spark: SparkSession, z: np.ndarray, k: int, trials: int = 20) -> DataFrame:
@@ -97,6 +102,12 @@ def cross_algorithm(spark: SparkSession, z: np.ndarray, k: int, algorithms=tuple
     return spark.createDataFrame([(a, b, float(ari_of_table(contingency(x, y)))) for a, x in kept for b, y in kept], "a string, b string, ari double")
 
 
+def gap_summary(runs: DataFrame, references: int) -> DataFrame:
+    """k, gap, s over (k, ref, log_w); ref -1: the data."""
+    ref = F.when(F.col("ref") >= 0, F.col("log_w"))
+    return runs.groupBy("k").agg((F.avg(ref) - F.max(F.when(F.col("ref") < 0, F.col("log_w")))).alias("gap"), (F.stddev_pop(ref) * math.sqrt(1 + 1 / references)).alias("s"))
+
+
 def gap_statistic(spark: SparkSession, z: np.ndarray, ks=range(1, 9), references: int = 50, seed: int = 42) -> DataFrame:
     """k, gap, s: log dispersion against uniform draws in the box of the principal axes."""
     centre = z.mean(0)
@@ -112,8 +123,7 @@ def gap_statistic(spark: SparkSession, z: np.ndarray, ks=range(1, 9), references
         return [{"k": task["k"], "ref": task["ref"], "log_w": math.log(dispersion(x, task["k"]))}]
 
     runs = run_tasks(spark, pd.DataFrame([(k, r) for k in ks for r in range(-1, references)], columns=["k", "ref"]), fit, z, "k int, ref int, log_w double")
-    ref = F.when(F.col("ref") >= 0, F.col("log_w"))
-    return runs.groupBy("k").agg((F.avg(ref) - F.max(F.when(F.col("ref") < 0, F.col("log_w")))).alias("gap"), (F.stddev_pop(ref) * math.sqrt(1 + 1 / references)).alias("s"))
+    return gap_summary(runs, references)
 
 
 def parallel_analysis(spark: SparkSession, n: int, p: int, observed: list[float], simulations: int = 500, seed: int = 42) -> DataFrame:

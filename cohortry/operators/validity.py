@@ -1,11 +1,13 @@
 """Cluster validity with given labels.
 
-Indices that need centroids only are groupings and run at any size. The exact silhouette compares all pairs of rows: it is
-for row sets up to ``most_rows``, and raises beyond; :func:`simplified_silhouette` has centroids in place of rows.
+Indices that need centroids only are groupings and run at any size. The exact silhouette and Gower's neighbours compare all
+pairs that they are asked for: rows are broadcast in blocks of up to ``block_rows``, one pass over the table for each;
+:func:`simplified_silhouette` has centroids in place of rows and one pass.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,22 +32,34 @@ def centroids(df: DataFrame, cols: list[str], label: str = "cluster") -> DataFra
     return df.groupBy(label).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in cols])
 
 
-def silhouette_rows(df: DataFrame, cols: list[str], label: str = "cluster", key: str = "row_id", most_rows: int = 20_000) -> DataFrame:
+def row_blocks(df: DataFrame, key: str, block_rows: int) -> list[DataFrame]:
+    """``df`` by a hash of its key, in parts of up to ``block_rows`` rows; a part that is larger by chance is cut again."""
+    parts, shares = [], [(df, 0)]
+    while shares:
+        part, depth = shares.pop()
+        n = part.count()
+        if n <= block_rows or depth > 8:
+            parts.append(part)
+            continue
+        cuts = math.ceil(1.1 * n / block_rows)
+        shares += [(part.filter(F.pmod(F.xxhash64(F.lit(depth), key), F.lit(cuts)) == i), depth + 1) for i in range(cuts)]
+    return parts
+
+
+def silhouette_rows(df: DataFrame, cols: list[str], label: str = "cluster", key: str = "row_id", block_rows: int = 20_000) -> DataFrame:
     """Per row: a, b and the Euclidean silhouette; a row alone in its cluster has 0. The pairs are aggregated as they are made, never stored."""
-    n = df.count()
-    if n > most_rows:
-        raise ValueError(f"{n} rows: all pairs are for up to {most_rows}; take simplified_silhouette, or a stated sample")
     points = df.select(F.col(key).alias("i"), F.col(label).alias("ci"), F.array(*[F.col(c).cast("double") for c in cols]).alias("xi"))
-    others = points.toDF("j", "cj", "xj").repartition(8)
+    others = points.toDF("j", "cj", "xj").repartition(df.sparkSession.sparkContext.defaultParallelism)
     square = F.aggregate(F.zip_with("xi", "xj", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
-    sums = others.join(F.broadcast(points), F.col("i") != F.col("j")).groupBy("i", "ci", "cj").agg(F.avg(F.sqrt(square)).alias("d"))
+    near = [others.join(F.broadcast(part), F.col("i") != F.col("j")).groupBy("i", "ci", "cj").agg(F.avg(F.sqrt(square)).alias("d")) for part in row_blocks(points, "i", block_rows)]
+    sums = reduce(DataFrame.unionAll, near)
     both = sums.groupBy("i", "ci").agg(F.max(F.when(F.col("ci") == F.col("cj"), F.col("d"))).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("d"))).alias("b"))
     return both.select(F.col("i").alias(key), F.col("ci").alias(label), "a", "b", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
 
 
-def silhouette(df: DataFrame, cols: list[str], label: str = "cluster", key: str = "row_id", most_rows: int = 20_000) -> DataFrame:
+def silhouette(df: DataFrame, cols: list[str], label: str = "cluster", key: str = "row_id", block_rows: int = 20_000) -> DataFrame:
     """Per cluster and over all: mean silhouette and share of negative rows."""
-    rows = silhouette_rows(df, cols, label, key, most_rows)
+    rows = silhouette_rows(df, cols, label, key, block_rows)
     rolled = rows.rollup(label).agg(F.grouping_id().alias("_all"), F.count("*").alias("n"), rounded(F.avg("silhouette")).alias("silhouette"), rounded(100.0 * F.avg((F.col("silhouette") < 0).cast("double"))).alias("pct_negative"))
     return rolled.select(F.when(F.col("_all") == 1, "ALL").otherwise(F.col(label).cast("string")).alias("cluster"), "n", "silhouette", "pct_negative")
 
@@ -115,18 +129,16 @@ def nearest_centroid(df: DataFrame, cols: list[str], centres: list[list[float]],
     return z.select(key, first["c"].alias("cluster"), rounded(first["d"]).alias("distance"), rounded(second["d"] - first["d"]).alias("margin"))
 
 
-def gower_nearest(df: DataFrame, numeric: list[str], categorical: list[str], queries: Column, k: int = 3, key: str = "row_id") -> DataFrame:
-    """For each row that ``queries`` selects, the ``k`` rows nearest by Gower's distance. The selected rows are broadcast after their number is checked."""
+def gower_nearest(df: DataFrame, numeric: list[str], categorical: list[str], queries: Column, k: int = 3, key: str = "row_id", block_rows: int = 10_000) -> DataFrame:
+    """For each row that ``queries`` selects, the ``k`` rows nearest by Gower's distance. The selected rows are broadcast in blocks."""
     ranges = df.agg(*[(F.max(c) - F.min(c)).alias(c) for c in numeric]).first()
     used = [c for c in numeric if ranges[c]]
     if not used and not categorical:
         raise ValueError("no column varies")
     asked = df.filter(queries).select(F.col(key).alias("q"), *[F.col(c).alias(f"_q_{c}") for c in [*used, *categorical]])
-    if (n := asked.count()) > 10_000:
-        raise ValueError(f"{n} query rows; ask for them in blocks of 10,000")
     parts = [F.abs(F.col(c) - F.col(f"_q_{c}")) / float(ranges[c]) for c in used] + [F.when(F.col(c).eqNullSafe(F.col(f"_q_{c}")), 0.0).otherwise(1.0) for c in categorical]
     d = rounded(reduce(lambda a, b: a + b, parts) / float(len(parts)))
-    pairs = df.join(F.broadcast(asked), F.col(key) != F.col("q")).select("q", F.col(key).alias("other"), d.alias("distance"))
+    pairs = reduce(DataFrame.unionAll, [df.join(F.broadcast(part), F.col(key) != F.col("q")).select("q", F.col(key).alias("other"), d.alias("distance")) for part in row_blocks(asked, "q", block_rows)])
     part = pairs.withColumn("_k", F.row_number().over(W.partitionBy("q").orderBy("distance", "other")))
     return part.filter(F.col("_k") <= k).select("q", "other", "distance", F.col("_k").alias("place"))
 

@@ -497,13 +497,6 @@ def quality_table(spark, sf_dir):
 # Fits and resampling: no SQL expresses them. Tests hold them against properties and small cases.
 
 
-def _block(spark, sf_dir, n: int = 8):
-    from cohortry.operators.fanout import block
-
-    df, cols = vectors(spark, sf_dir)
-    return block(df, cols[:n], most_rows=1_000)[1]
-
-
 @query()
 def kmeans_k3(spark, sf_dir):
     from cohortry.operators.cluster import kmeans_distributed
@@ -514,30 +507,34 @@ def kmeans_k3(spark, sf_dir):
 
 @query()
 def algorithm_sweep(spark, sf_dir):
-    from cohortry.operators.stability import sweep
+    from cohortry.operators.resample import sweep
 
-    return sweep(spark, _block(spark, sf_dir), range(2, 5), starts=3).drop("error")
+    df, cols = vectors(spark, sf_dir)
+    return sweep(df.select("row_id", *cols), cols, range(2, 5))
 
 
 @query()
 def bootstrap_ari(spark, sf_dir):
-    from cohortry.operators.stability import bootstrap_stability
+    from cohortry.operators.resample import bootstrap
 
-    return bootstrap_stability(spark, _block(spark, sf_dir), range(2, 5), 20, starts=3)
+    df, cols = vectors(spark, sf_dir)
+    return bootstrap(df, cols, range(2, 9))
 
 
 @query()
 def gap_statistic(spark, sf_dir):
-    from cohortry.operators.stability import gap_statistic as gap
+    from cohortry.operators.resample import gap
 
-    return gap(spark, _block(spark, sf_dir), range(1, 5), 5)
+    df, cols = vectors(spark, sf_dir)
+    return gap(df, cols)
 
 
 @query()
 def cross_algorithm_ari(spark, sf_dir):
-    from cohortry.operators.stability import cross_algorithm
+    from cohortry.operators.resample import cross_algorithm as cross
 
-    return cross_algorithm(spark, _block(spark, sf_dir), 3)
+    df, cols = vectors(spark, sf_dir)
+    return cross(df.select("row_id", *cols), cols, 3)
 
 
 @query()

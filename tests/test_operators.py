@@ -288,3 +288,34 @@ def test_fits_take_all_dimensions_and_terms(spark, monkeypatch):
     monkeypatch.setattr(topics, "lda", lambda counted, terms, *a: (asked.update(lda=a), ([{"topic": 0, "terms": ["a"]}], 0.0))[1])
     catalogue.QUERIES["lda_topics"](spark, "")
     assert asked["terms"] == {} and asked["lda"] == ()  # the operators' defaults: 1,500 words and pairs, 6 topics, 20 rounds
+
+
+def test_resampling_of_whole_tables(spark):
+    from cohortry.operators import resample
+
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(c, 0.3, (120, 3)) for c in ((0, 0, 0), (4, 0, 0), (0, 4, 4))])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "row_id long, a double, b double, c double").repartition(3)
+    cols = ["a", "b", "c"]
+    points = resample._points(df, cols, "row_id")
+    centres, inertia = resample.many_kmeans(points, 3, [(3, 0)], lambda h, v, t: v)
+    want = sum(((x[i : i + 120] - x[i : i + 120].mean(0)) ** 2).sum() for i in (0, 120, 240))
+    assert abs(inertia[0] - want) < 1e-6 * want
+    boot = {r.k: r for r in resample.bootstrap(df, cols, [2, 3], 8).collect()}
+    assert boot[3].n == 8 and boot[3].mean_ari > 0.99 and boot[3].above_75 == 1
+    curve = {r.k: r.gap for r in resample.gap(df, cols, range(1, 5), 5).collect()}
+    assert max(curve, key=curve.get) == 3
+    swept = {(r.algorithm, r.k): r for r in resample.sweep(df, cols, [3], ("kmeans", "bisecting")).collect()}
+    assert swept["kmeans", 3].min_size == swept["kmeans", 3].max_size == 120 and not swept["kmeans", 3].degenerate
+    assert resample.cross_algorithm(df, cols, 3, ("kmeans", "bisecting")).first().ari > 0.5
+
+
+def test_exact_pairs_in_blocks(spark):
+    from cohortry.operators import validity
+
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, i % 3, float(rng.normal(i % 3)), float(rng.normal())) for i in range(60)], "row_id long, cluster int, a double, b double")
+    rows = lambda n: sorted(tuple(r) for r in validity.silhouette_rows(df, ["a", "b"], block_rows=n).collect())
+    assert np.allclose(np.array(rows(7), float), np.array(rows(1000), float))
+    near = lambda n: sorted(tuple(r) for r in validity.gower_nearest(df, ["a", "b"], ["cluster"], F.col("row_id") % 2 == 0, block_rows=n).collect())
+    assert near(4) == near(1000) and len(near(4)) == 90
