@@ -34,8 +34,10 @@ def uniform(hashes: np.ndarray, salt: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
 
 
-def _points(df: DataFrame, cols: list[str], key: str) -> DataFrame:
-    return df.select(F.xxhash64(key).alias("h"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+def _points(df: DataFrame, cols: list[str], key: str, small: int = 1_000_000) -> DataFrame:
+    """Hash and values of each row. A table of fewer than ``small`` rows is dealt out, so that all cores share its many fits."""
+    points = df.select(F.xxhash64(key).alias("h"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    return points.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.count() < small else points
 
 
 def _arrays(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
