@@ -488,7 +488,7 @@ def external_validation(spark, sf_dir):
     return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
 
 
-@query()
+@query(f'WITH a AS ({ORACLE_SQL["quality_audit"]}), s AS ({ORACLE_SQL["response_style"]}), t AS (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM (SELECT * FROM a, s)) SELECT "check", value FROM t UNPIVOT INCLUDE NULLS (value FOR "check" IN (COLUMNS(*)))')
 def quality_table(spark, sf_dir):
     audit = describe.audit_quality(read(spark, sf_dir, "events"), ["event_type", "user_id"], ["value"], ["props"], "ts")
     return describe.quality_table(audit, describe.response_style(survey(spark, sf_dir), ITEM_NAMES))
@@ -560,7 +560,10 @@ def tree_rules(spark, sf_dir):
     return spark.createDataFrame(rules(labelled(spark, sf_dir), ITEM_NAMES, "cluster"), "rule string, label double, n long, purity_pct double")
 
 
-@query()
+@query(f"""WITH z AS ({ORACLE_SQL["z_profile"]}), st AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY abs(z) DESC, item) AS k FROM z WHERE abs(z) >= 0.35),
+t AS (SELECT cluster, string_agg(CASE WHEN z > 0 THEN 'high ' ELSE 'low ' END || item, ' & ' ORDER BY k) AS name, string_agg(item || CASE WHEN z > 0 THEN ' high' ELSE ' low' END, ', ' ORDER BY k) AS defining FROM st WHERE k <= 3 GROUP BY 1),
+n AS (SELECT cluster, coalesce(name, 'Average profile') AS name, coalesce(defining, '') AS defining FROM (SELECT DISTINCT cluster FROM z) LEFT JOIN t USING (cluster))
+SELECT cluster, CASE WHEN k > 1 THEN name || ' (' || k || ')' ELSE name END AS persona, defining FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY cluster) AS k FROM n)""")
 def persona_names(spark, sf_dir):
     from cohortry.operators.naming import persona_names as names
 
