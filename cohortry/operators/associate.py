@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.expressions import association_size, effect_size, rounded
 from cohortry.functions.special import binomial_two_sided, chi2_sf, correlation_p, f_sf, t_two_sided
 from cohortry.operators.describe import crosstab, unpivot
+from cohortry.operators.order import average_ranks
 
 
 def chi2_cells(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -146,9 +147,7 @@ def correlation(df: DataFrame, a: str, b: str, ranks: bool = False) -> dict[str,
     """Pearson, or Spearman by average ranks, with p. Ranks are joined from counts per value, not from one global sort of the rows."""
     if ranks:
         for c in (a, b):
-            values = df.groupBy(c).agg(F.count("*").alias("_n"))
-            rank = F.sum("_n").over(W.orderBy(c)) - (F.col("_n") - 1) / 2.0
-            df = df.join(values.select(c, rank.alias(f"_r_{c}")), c)
+            df = average_ranks(df, c, f"_r_{c}")
         a, b = f"_r_{a}", f"_r_{b}"
     r, n = df.agg(F.corr(a, b), F.count("*")).first()
     return {"r": r, "n": n, "p": correlation_p(r, n)}

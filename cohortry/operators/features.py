@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.expressions import row_mean
+from cohortry.operators.order import quantiles
 
 
 def align(df: DataFrame, reversed_items: list[str], low: int = 1, high: int = 5) -> DataFrame:
@@ -59,7 +60,7 @@ def encode_background(df: DataFrame, nominal: list[str], ordinal: list[str], exc
 
 def quantile_cut(df: DataFrame, col: str, shares: list[float], labels: list[str], out: str) -> DataFrame:
     """Right-closed bins at linearly interpolated quantiles; equal edges are merged downwards."""
-    edges = df.agg(F.percentile(col, F.array(*[F.lit(s) for s in shares])).alias("_edges"))
+    edges = quantiles(df, col, shares).withColumnRenamed("edges", "_edges")
     placed = F.lit(labels[-1])
     for i in range(len(shares) - 1, -1, -1):
         placed = F.when(F.col(col) <= F.get("_edges", F.lit(i)), labels[i]).otherwise(placed)
@@ -89,15 +90,26 @@ def feature_spaces(df: DataFrame, items: list[str], scales: dict[str, dict[str,
     return spaces
 
 
-def split_holdout(df: DataFrame, stratum: str, share: float = 0.3, seed: int = 42, key: str = "row_id") -> DataFrame:
+def build_background(df: DataFrame, texts: list[str], flags: dict[str, str] | None = None, bands: dict[str, list[str]] | None = None) -> DataFrame:
+    """``df`` with trimmed ``texts``, a 0/1 flag where an answer starts with its stem in any case (null: 0), and ``c_ord`` from 1 for each banded column.
+
+    A value that is none of its bands raises when its row is read; a null has no place.
+    """
+    out = df.withColumns({c: F.trim(F.col(c).cast("string")) for c in [*texts, *(bands or {})]})
+    out = out.withColumns({c: F.coalesce(F.lower(F.trim(F.col(c).cast("string"))).startswith(stem.lower()), F.lit(False)).cast("int") for c, stem in (flags or {}).items()})
+    place = lambda c, levels: F.when(F.col(c).isNull(), F.lit(None).cast("int")).when(F.col(c).isin(levels), F.array_position(F.array(*map(F.lit, levels)), F.col(c)).cast("int")).otherwise(F.raise_error(F.concat(F.lit(f"{c}: no band: "), F.col(c))).cast("int"))
+    return out.withColumns({f"{c}_ord": place(c, levels) for c, levels in (bands or {}).items()})
+
+
+def split_holdout(df: DataFrame, stratum: str, share: float = 0.3, seed: int = 42, key: str = "row_id", digits: int = 4) -> DataFrame:
     """``split`` is holdout for exactly the rounded share of each stratum, by hashed rank: the same rows on every run.
 
-    Ranks come from counts per cell of the hash, so that a large stratum is not one task.
+    Ranks come from counts per cell of the hash (16 ** ``digits`` cells, which do not change the result), so that a large stratum is not one task.
     """
     from pyspark.sql import Window as W
 
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
-    rows = df.withColumn("_order", order).withColumn("_cell", F.substring("_order", 1, 2))
+    rows = df.withColumn("_order", order).withColumn("_cell", F.substring("_order", 1, digits))
     cells = rows.groupBy(stratum, "_cell").agg(F.count("*").alias("_n"))
     before = cells.select(F.col(stratum).alias("_s"), F.col("_cell").alias("_c"), (F.sum("_n").over(W.partitionBy(stratum).orderBy("_cell")) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy(stratum)).alias("_all"))
     placed = rows.join(before, rows[stratum].eqNullSafe(before["_s"]) & (rows["_cell"] == before["_c"]))

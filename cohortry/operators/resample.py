@@ -157,6 +157,34 @@ def gap(df: DataFrame, cols: list[str], ks=range(1, 9), references: int = 50, se
     return gap_summary(df.sparkSession.createDataFrame(runs, "k int, ref int, log_w double"), references)
 
 
+def fit(df: DataFrame, cols: list[str], k: int, starts: int = 25, seed: int = 42, key: str = "row_id") -> np.ndarray:
+    """Centres of the best of several k-means fits on all rows, which advance together; by descending mean of the centre."""
+    points = _points(df, cols, key).cache()
+    centres, inertia = many_kmeans(points, len(cols), [(k, i) for i in range(starts)], lambda h, x, t: x, starts=1, rounds=300, seed=seed)
+    points.unpersist()
+    best = centres[int(np.argmin(inertia))]
+    return best[sorted(range(k), key=lambda c: (-round(float(best[c].mean()), 9), tuple(np.round(best[c], 6))))]
+
+
+def holdout(train: DataFrame, test: DataFrame, cols: list[str], centres: np.ndarray, starts: int = 25, seed: int = 42, key: str = "row_id") -> dict:
+    """As :func:`stability.holdout_test`, on all rows: ``centres`` from the training rows against the rows held out. Silhouettes are the simplified ones."""
+    from cohortry.functions.special import chi2_sf
+
+    k, labelled = len(centres), lambda df, m: validity.nearest_centroid(df, cols, m.tolist(), key).select(key, "cluster").join(df.select(key, *cols), key)
+    fresh = labelled(test, fit(test, cols, k, starts, seed, key)).select(key, F.col("cluster").alias("_fresh"))
+    seen, frozen = labelled(train, centres), labelled(test, centres)
+    means = {r["cluster"]: r for r in validity.centroids(frozen, cols).collect()}  # k rows
+    sizes = {r["cluster"]: r["n"] for r in seen.groupBy("cluster").agg(F.count("*").alias("n")).collect()}  # k rows
+    drift = [float(np.linalg.norm(np.array([means[c][x] for x in cols]) - centres[c])) for c in range(k) if c in means]
+    n_seen, n_held = sum(sizes.values()), sum(r["n"] for r in means.values())
+    expected, got = [sizes.get(c, 0) / n_seen * n_held for c in range(k)], [means[c]["n"] if c in means else 0 for c in range(k)]
+    p = chi2_sf(float(sum((g - e) ** 2 / e for g, e in zip(got, expected, strict=True) if e)), k - 1)
+    return {
+        "max_drift": max(drift), "mean_drift": float(np.mean(drift)), "proportion_p": p, "silhouette_train": validity.simplified_silhouette(seen, cols).first()[0], "silhouette_holdout": validity.simplified_silhouette(frozen, cols).first()[0],
+        "ari_frozen_fresh": associate.agreement(frozen.join(fresh, key), "cluster", "_fresh").first()["ari"], "drift_ok": max(drift) <= 0.50, "proportions_ok": p > 0.05,
+    }
+
+
 def labelings(df: DataFrame, cols: list[str], k: int, algorithms=("kmeans", "bisecting", "gmm"), key: str = "row_id", seed: int = 42) -> dict[str, DataFrame]:
     """Per algorithm that MLlib runs on all rows, ``df``'s key and columns with ``cluster``."""
     from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans

@@ -79,6 +79,18 @@ def runner_up(decision: DataFrame) -> DataFrame:
     return decision.filter("mean_rank IS NOT NULL").select("k", (F.col("mean_rank") - F.min("mean_rank").over(W.partitionBy())).alias("margin"), F.row_number().over(order).alias("_k")).filter("_k = 2").select("k", rounded(F.col("margin")).alias("margin"))
 
 
+def decision_record(ev: DataFrame, decision: DataFrame, gap: DataFrame, curve: DataFrame) -> dict:
+    """The chosen k, the k of each criterion with elbow (curve: k, sse) and gap beside them, who disagrees, and how the result may be called: where the gap finds one group, structure is weak."""
+    rows = decision.orderBy("k").collect()  # one row per k, as the others
+    chosen = next(r["k"] for r in rows if r["chosen"])
+    picks = {r["criterion"]: r["k"] for r in own_picks(ev).collect()} | {"elbow": knee_point(curve).first()["knee"], "gap": one_se_rule(gap).first()["k"]}
+    survivors = [r["k"] for r in rows if not r["reasons"]]
+    return {
+        "k": chosen, "rule": "mean rank among the k that pass the screens" if survivors else "no k passes the screens: the smallest", "survivors": survivors, "screened_out": {r["k"]: r["reasons"] for r in rows if r["reasons"]},
+        "picks": picks, "disagree": sorted(c for c, k in picks.items() if k != chosen), "weak_structure": picks["gap"] == 1, "framing": "segments of a continuum" if picks["gap"] == 1 else "separate groups",
+    }
+
+
 def explained(variances: DataFrame, target: float = 0.95) -> DataFrame:
     """variances: pc, eigenvalue. Shares, running shares, and whether this component is the first to reach the target."""
     run = F.sum("eigenvalue").over(W.orderBy("pc").rowsBetween(W.unboundedPreceding, 0)) / F.sum("eigenvalue").over(W.partitionBy())

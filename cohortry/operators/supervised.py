@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,10 +16,23 @@ def assembled(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol="features").transform(df.withColumn("label", F.col(label).cast("double")))
 
 
+def hash_groups(df: DataFrame, key: str, seed: int, least: int = 16, rows_per_group: int = 50_000) -> Column:
+    """A group of each row by its hash; the groups grow in number with the table, not in size."""
+    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(max(least, math.ceil(df.count() / rows_per_group))))
+
+
+def dealt(df: DataFrame, col: str, group: Column, key: str, seed: int) -> DataFrame:
+    """``df`` with the values of ``col`` dealt anew among the rows of each group, in hashed order."""
+    a = df.drop(col).withColumn("_g", group).withColumn("_k", F.row_number().over(W.partitionBy("_g").orderBy(key)))
+    b = df.select(group.alias("_g"), F.col(col), F.row_number().over(W.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), key), key)).alias("_k"))
+    return a.join(b, ["_g", "_k"]).drop("_g", "_k")
+
+
 def folds(df: DataFrame, n: int, key: str = "row_id", seed: int = 42) -> DataFrame:
     """``fold``: stratified by hashed order within the label, in rounds."""
-    order = W.partitionBy("label", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(64))).orderBy(F.xxhash64(F.lit(seed + 1), key), key)
-    return df.withColumn("fold", ((F.row_number().over(order) + F.pmod(F.xxhash64(F.lit(seed), key), F.lit(64))) % n).cast("int"))
+    group = hash_groups(df, key, seed, least=64)
+    order = W.partitionBy("label", group).orderBy(F.xxhash64(F.lit(seed + 1), key), key)
+    return df.withColumn("fold", ((F.row_number().over(order) + group) % n).cast("int"))
 
 
 def _score(predicted: DataFrame) -> tuple[float, float]:
@@ -77,20 +92,17 @@ def tree_rules(df: DataFrame, cols: list[str], label: str, depth: int = 4, leaf:
 def permutation_importance(df: DataFrame, cols: list[str], label: str, repeats: int = 5, seed: int = 42, key: str = "row_id", trees: int = 60) -> list[dict]:
     """Loss of accuracy on a held-out quarter when one column is dealt anew among its rows; Gini importance beside it.
 
-    Values are dealt by hashed order within 256 hash cells, so that no shuffle of a column is one task.
+    Values are dealt by hashed order within groups that grow in number with the table, so that no shuffle of a column is one task.
     """
     cell = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1024))
     train, test = df.filter(cell >= 256), df.filter(cell < 256).cache()
     model = forest(trees).fit(assembled(train, cols, label))
     whole, _ = _score(model.transform(assembled(test, cols, label)))
-    out = []
+    group, out = hash_groups(test, key, seed), []
     for i, c in enumerate(cols):
         losses = []
         for r in range(repeats):
-            group = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(16))
-            a = test.withColumn("_g", group).withColumn("_k", F.row_number().over(W.partitionBy("_g").orderBy(key)))
-            b = test.select(group.alias("_g"), F.col(c).alias("_v"), F.row_number().over(W.partitionBy(group).orderBy(F.xxhash64(F.lit(seed + r + 1), key))).alias("_k"))
-            losses.append(whole - _score(model.transform(assembled(a.join(b, ["_g", "_k"]).withColumn(c, F.col("_v")), cols, label)))[0])
+            losses.append(whole - _score(model.transform(assembled(dealt(test, c, group, key, seed + r + 1), cols, label)))[0])
         out.append({"feature": c, "importance": float(np.mean(losses)), "sd": float(np.std(losses)), "gini": float(model.featureImportances[i])})
     test.unpersist()
     return sorted(out, key=lambda x: -x["importance"])
@@ -109,12 +121,8 @@ def feature_sets(df: DataFrame, sets: dict[str, list[str]], label: str, small: f
 def label_permutation(df: DataFrame, cols: list[str], label: str, shuffles: int = 10, seed: int = 42, key: str = "row_id") -> dict[str, float]:
     """Accuracy of a tree against accuracies with labels dealt anew, and the share at least as high."""
     seen = cross_validate(df, cols, label, n=3)["accuracy"]
-    group = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(16))
-    null = []
-    for r in range(shuffles):
-        a = df.drop(label).withColumn("_g", group).withColumn("_k", F.row_number().over(W.partitionBy("_g").orderBy(key)))
-        b = df.select(group.alias("_g"), F.col(label), F.row_number().over(W.partitionBy(group).orderBy(F.xxhash64(F.lit(seed + r + 1), key))).alias("_k"))
-        null.append(cross_validate(a.join(b, ["_g", "_k"]), cols, label, n=3)["accuracy"])
+    group = hash_groups(df, key, seed)
+    null = [cross_validate(dealt(df, label, group, key, seed + r + 1), cols, label, n=3)["accuracy"] for r in range(shuffles)]
     return {"accuracy": seen, "null_mean": float(np.mean(null)), "p": (1 + sum(x >= seen for x in null)) / (1 + shuffles)}
 
 

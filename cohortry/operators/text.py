@@ -6,7 +6,7 @@ import hashlib
 import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,11 +57,20 @@ def probes(df: DataFrame, col: str, patterns: dict[str, str]) -> DataFrame:
     return df.withColumns({name: F.coalesce(F.col(col).rlike(p).cast("int"), F.lit(0)) for name, p in patterns.items()})
 
 
+def _with_mark(themes: Column) -> Column:
+    """A null ahead of the themes, so that rows are counted along with them in one pass: patterns run once per text."""
+    return F.explode(F.concat(F.array(F.lit(None).cast("string")), themes)).alias("theme")
+
+
+def _of_rows(n: str, *group: str) -> Column:
+    """The count of the null mark, over aggregates with one row per theme."""
+    return F.max(F.when(F.col("theme").isNull(), F.col(n))).over(W.partitionBy(*group))
+
+
 def prevalence(tagged: DataFrame) -> DataFrame:
     """theme, n, pct of the answered."""
-    n = tagged.agg(F.count_if("answered").alias("_all"))
-    per = tagged.filter("answered").select(F.explode("themes").alias("theme")).groupBy("theme").agg(F.count("*").alias("n"))
-    return per.join(F.broadcast(n), F.lit(True)).select("theme", "n", rounded(100.0 * F.col("n") / F.col("_all"), 1).alias("pct"))
+    per = tagged.filter("answered").select(_with_mark(F.col("themes"))).groupBy("theme").agg(F.count("*").alias("n"))
+    return per.withColumn("_all", _of_rows("n")).filter("theme IS NOT NULL").select("theme", "n", rounded(100.0 * F.col("n") / F.col("_all"), 1).alias("pct"))
 
 
 def coverage(tagged: DataFrame) -> DataFrame:
@@ -92,9 +101,9 @@ def text_profile(df: DataFrame, col: str, cues: tuple[str, ...] = ()) -> DataFra
 
 def theme_by_group(tagged: DataFrame, group: str, least: int = 20) -> DataFrame:
     """group, theme, n answered, pct; groups under ``least`` are left out."""
-    n = tagged.filter("answered").groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    per = tagged.filter("answered").select(F.col(group).alias("_g"), F.explode("themes").alias("theme")).groupBy("_g", "theme").agg(F.count("*").alias("hits"))
-    return per.join(n, "_g").select(F.col("_g").alias("group"), "theme", "n", rounded(100.0 * F.col("hits") / F.col("n")).alias("pct"))
+    rows = tagged.filter(F.col("answered") & F.col(group).isNotNull()).select(F.col(group).alias("_g"), _with_mark(F.col("themes")))
+    per = rows.groupBy("_g", "theme").agg(F.count("*").alias("hits")).withColumn("n", _of_rows("hits", "_g"))
+    return per.filter((F.col("n") >= least) & F.col("theme").isNotNull()).select(F.col("_g").alias("group"), "theme", "n", rounded(100.0 * F.col("hits") / F.col("n")).alias("pct"))
 
 
 def theme_tests(tagged: DataFrame, group: str, themes: list[str], alpha: float = 0.05) -> list[dict]:
@@ -118,9 +127,8 @@ def paired_shift(first: DataFrame, second: DataFrame, key: str = "row_id") -> Da
     a = first.filter("answered").select(key, F.col("themes").alias("a"))
     b = second.filter("answered").select(key, F.col("themes").alias("b"))
     both = a.join(b, key)
-    n = both.agg(F.count("*").alias("n"))
-    per = both.select(F.explode(F.array_union("a", "b")).alias("theme"), "a", "b").groupBy("theme").agg(F.count_if(F.array_contains("a", F.col("theme"))).alias("before"), F.count_if(F.array_contains("b", F.col("theme"))).alias("after"), F.count_if(~F.array_contains("a", F.col("theme"))).alias("gained"), F.count_if(~F.array_contains("b", F.col("theme"))).alias("dropped"))
-    return per.join(F.broadcast(n), F.lit(True)).select("theme", "n", rounded(100.0 * F.col("before") / F.col("n")).alias("pct_before"), rounded(100.0 * F.col("after") / F.col("n")).alias("pct_after"), "gained", "dropped")
+    per = both.select(_with_mark(F.array_union("a", "b")), "a", "b").groupBy("theme").agg(F.count("*").alias("_rows"), F.count_if(F.array_contains("a", F.col("theme"))).alias("before"), F.count_if(F.array_contains("b", F.col("theme"))).alias("after"), F.count_if(~F.array_contains("a", F.col("theme"))).alias("gained"), F.count_if(~F.array_contains("b", F.col("theme"))).alias("dropped"))
+    return per.withColumn("n", _of_rows("_rows")).filter("theme IS NOT NULL").select("theme", "n", rounded(100.0 * F.col("before") / F.col("n")).alias("pct_before"), rounded(100.0 * F.col("after") / F.col("n")).alias("pct_after"), "gained", "dropped")
 
 
 def prompted_vs_volunteered(prompted: DataFrame, themes: DataFrame, mapping: list[tuple[str, str]]) -> DataFrame:

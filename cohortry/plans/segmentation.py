@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.functions.expressions import total
-from cohortry.operators import associate, cluster, describe, features, measure, naming, select, stability
+from cohortry.operators import associate, cluster, describe, features, measure, naming, resample, select, stability
 from cohortry.operators.fanout import block
 from cohortry.sources import sinks
 from cohortry.streaming.score import Bundle, score
@@ -18,7 +19,7 @@ from cohortry.streaming.score import Bundle, score
 
 @dataclass
 class Settings:
-    """Sizes of the resampling steps; ``most_rows`` bounds the block on which models are selected. Labels are for all rows."""
+    """Sizes of the resampling steps; ``most_rows`` bounds the block on which spaces and k are selected. The final model, its holdout test and labels are for all rows."""
 
     ks: range = range(2, 9)
     cap: int = 6
@@ -33,6 +34,7 @@ class Settings:
     fit_scope: str = "all"
     seed: int = 42
     k: int | None = None
+    least_eta: float = 0.01
 
 
 FAST = Settings(starts=5, resamples=10, references=5, simulations=50, seeds=4, most_rows=500)
@@ -51,13 +53,52 @@ def evidence(spark: SparkSession, z: np.ndarray, s: Settings) -> tuple[DataFrame
     swept = stability.sweep(spark, z, s.ks, s.algorithms, s.seed, s.starts).cache()
     boot = stability.bootstrap_stability(spark, z, s.ks, s.resamples, seed=s.seed, starts=min(10, s.starts)).select("k", F.col("mean_ari").alias("bootstrap_ari"))
     cross = [(int(k), float(np.mean([r["ari"] for r in stability.cross_algorithm(spark, z, k, s.algorithms, seed=s.seed).filter("a < b").collect()] or [0.0]))) for k in s.ks]  # k rows
-    km = swept.filter("algorithm = 'kmeans'").select("k", "silhouette", "davies_bouldin", "calinski_harabasz", "differentiation", "min_size_frac")
-    bic = swept.filter("algorithm = 'gmm_full'").select("k", F.col("bic").alias("bic_gmm"))
-    return km.join(bic, "k", "left").join(boot, "k").join(spark.createDataFrame(cross, "k int, cross_algo_ari double"), "k").select("k", *select.CRITERIA, "min_size_frac"), swept
+    km = swept.filter("algorithm = 'kmeans'").select("k", "silhouette", "davies_bouldin", "calinski_harabasz", "differentiation", "min_size_frac", "min_size", "inertia")
+    bic = swept.filter("algorithm = 'gmm_full'").select("k", F.col("bic").alias("bic_gmm"), F.col("entropy").alias("entropy_gmm"))
+    return km.join(bic, "k", "left").join(boot, "k").join(spark.createDataFrame(cross, "k int, cross_algo_ari double"), "k").select("k", *select.CRITERIA, "min_size_frac", "entropy_gmm", "min_size", "inertia"), swept
 
 
-def run(survey: DataFrame, items: list[str], reversed_items: list[str], background: list[str], settings: Settings | None = None, scales: dict[str, list[str]] | None = None, facets: dict[str, str] | None = None) -> Run:
-    """survey: row_id, items as answered, background. Subscales are the factors unless given."""
+@dataclass
+class Space:
+    """A standardised space: its columns (the subscales, or the items where there are none), rows with their split, and the block for selection."""
+
+    scales: dict[str, list[str]]
+    cols: list[str]
+    means: dict[str, float]
+    sds: dict[str, float]
+    z: DataFrame
+    train: np.ndarray
+
+
+def space(split: DataFrame, items: list[str], scales: dict[str, list[str]], s: Settings) -> Space:
+    cols = list(scales) or items
+    scored = features.subscales(split, scales) if scales else split
+    scope = scored if s.fit_scope == "all" else scored.filter("split = 'train'")
+    stats = scope.agg(*[F.avg(c) for c in cols], *[F.stddev_pop(c) for c in cols]).first()
+    means, sds = dict(zip(cols, stats[: len(cols)], strict=True)), dict(zip(cols, stats[len(cols) :], strict=True))
+    z = scored.withColumns({c: (F.col(c) - means[c]) / (sds[c] or 1.0) for c in cols})
+    _, train = block(z.filter("split = 'train'"), cols, most_rows=s.most_rows, seed=s.seed)
+    return Space(scales, cols, means, sds, z, train)
+
+
+def named_profiles(survey: DataFrame, bundle: Bundle, z: DataFrame, least_eta: float) -> tuple[DataFrame, DataFrame]:
+    """Standardised profiles of the scored rows, and names from the dimensions whose eta squared is at least ``least_eta``."""
+    cols = bundle.columns
+    rows = score(survey, bundle).select("row_id", "cluster").join(z.select("row_id", *cols), "row_id")
+    strong = [r["item"] for r in associate.eta_squared(rows, cols).collect() if (r["eta_squared"] or 0) >= least_eta]  # one row per column
+    profiles = describe.z_profile(rows, cols)
+    return profiles, naming.persona_names(profiles, {c: (f"low {c}", f"high {c}") for c in cols}, strong)
+
+
+def run(
+    survey: DataFrame, items: list[str], reversed_items: list[str], background: list[str], settings: Settings | None = None, scales: dict[str, list[str]] | None = None, facets: dict[str, str] | None = None,
+    spaces: dict[str, dict[str, list[str]]] | None = None, advice: list[tuple[str, str, str]] | None = None,
+) -> Run:
+    """survey: row_id, items as answered, background. Subscales are the factors unless given.
+
+    ``spaces``: further sets of subscales by name (an empty one stands for the items); the space is chosen among them and the
+    given or found subscales (``main``). ``advice``: rules of :func:`naming.recommendations`.
+    """
     s, out, spark = settings or Settings(), Run(), survey.sparkSession
     rows = features.align(survey, reversed_items).cache()
     out.tables["response_style"] = describe.response_style(survey, items)
@@ -74,42 +115,47 @@ def run(survey: DataFrame, items: list[str], reversed_items: list[str], backgrou
         out.facts["efa"] = factors
         scales = features.assign_subscales(factors["loadings"], items, measure.name_factors(factors["loadings"], items, facets or {}))
     out.tables["subscales"] = describe.subscale_report(rows, scales)
-    cols = list(scales)
-    scored = features.subscales(rows, scales)
-    split = features.split_holdout(features.tertiles(scored.withColumn("_strain", total(items).cast("double")), "_strain"), "stratum", s.holdout, s.seed).cache()
-    scope = split if s.fit_scope == "all" else split.filter("split = 'train'")
-    stats = scope.agg(*[F.avg(c) for c in cols], *[F.stddev_pop(c) for c in cols]).first()
-    means, sds = dict(zip(cols, stats[: len(cols)], strict=True)), dict(zip(cols, stats[len(cols) :], strict=True))
-    z = split.withColumns({c: (F.col(c) - means[c]) / (sds[c] or 1.0) for c in cols})
-    _, train = block(z.filter("split = 'train'"), cols, most_rows=s.most_rows, seed=s.seed)
-    _, test = block(z.filter("split = 'holdout'"), cols, most_rows=s.most_rows, seed=s.seed)
-    ev, out.tables["sweep"] = evidence(spark, train, s)
+    split = features.split_holdout(features.tertiles(rows.withColumn("_strain", total(items).cast("double")), "_strain"), "stratum", s.holdout, s.seed).cache()
+    made = {name: space(split, items, sub, s) for name, sub in {"main": scales, **(spaces or {})}.items()}
+    found = {name: evidence(spark, sp.train, s) for name, sp in made.items()}
+    both = reduce(DataFrame.unionByName, [ev.withColumn("space", F.lit(name)) for name, (ev, _) in found.items()]).cache()
+    out.tables |= {"space_evidence": both, "spaces": select.choose_space(both, s.cap).cache()}
+    out.facts["space"] = out.tables["spaces"].filter("chosen").first()["space"]
+    sp = made[out.facts["space"]]
+    scales, cols, means, sds, z, train = sp.scales, sp.cols, sp.means, sp.sds, sp.z, sp.train
+    ev, out.tables["sweep"] = both.filter(F.col("space") == out.facts["space"]).drop("space"), found[out.facts["space"]][1]
     out.tables["exclusions"] = stability.exclusions(out.tables["sweep"])
-    ev = ev.cache()
     decision = select.screen_and_vote(ev, s.cap).cache()
     gap = stability.gap_statistic(spark, train, range(1, s.ks.stop), s.references, s.seed).cache()
     k = s.k or decision.filter("chosen").first()["k"]
     out.tables |= {"evidence": ev, "decision": decision, "gap": gap, "gap_choice": select.one_se_rule(gap), "picks": select.own_picks(ev), "runner_up": select.runner_up(decision), "seed_stability": stability.seed_stability(spark, train, k, s.seeds)}
-    out.facts |= {"k": k, "holdout": stability.holdout_test(train, test, k, s.seed)}
-    labels, _, _ = cluster.kmeans(train, k, s.seed, s.starts)
-    labels = cluster.canonical(train, labels)
-    centres = [[float(v) for v in train[labels == c].mean(0)] for c in range(k)]
-    out.bundle = Bundle(items, reversed_items, scales, means, sds, centres, [f"P{i}" for i in range(k)])
+    out.facts["decision"] = select.decision_record(ev, decision, gap, out.tables["sweep"].filter("algorithm = 'kmeans'").select("k", F.col("inertia").alias("sse")))
+    fitted, held = z.filter("split = 'train'"), z.filter("split = 'holdout'")
+    centres = resample.fit(fitted, cols, k, s.starts, s.seed)
+    out.facts |= {"k": k, "holdout": resample.holdout(fitted, held, cols, centres, s.starts, s.seed)}
+
+    def scorer(centres: np.ndarray) -> Bundle:
+        return Bundle(items, reversed_items, scales, means, sds, centres.tolist(), [f"P{i}" for i in range(len(centres))])
+
+    out.bundle = scorer(centres)
     # names go by the numbers of the stored centres, which are those that scoring gives
-    profiles = describe.z_profile(score(survey, out.bundle).select("row_id", "cluster").join(z.select("row_id", *cols), "row_id"), cols)
-    named = naming.persona_names(profiles, {c: (f"low {c}", f"high {c}") for c in cols})
-    found = {row["cluster"]: row["persona"] for row in named.collect()}  # k rows
-    out.bundle.names = [found.get(i, f"P{i}") for i in range(k)]
+    profiles, named = named_profiles(survey, out.bundle, z, s.least_eta)
+    names = {row["cluster"]: row["persona"] for row in named.collect()}  # k rows
+    out.bundle.names = [names.get(i, f"P{i}") for i in range(k)]
+    second = out.tables["runner_up"].first()
+    if second and second["k"] != k:
+        out.tables["runner_up_personas"] = named_profiles(survey, scorer(resample.fit(fitted, cols, second["k"], s.starts, s.seed)), z, s.least_eta)[1]
     out.labelled = score(survey, out.bundle).join(split.select("row_id", "split"), "row_id")
     both = out.labelled.select("row_id", "cluster", *background).join(z.select("row_id", *cols), "row_id").cache()
-    out.tables |= {"profiles": describe.cluster_profiles(both, cols), "eta_squared": associate.eta_squared(both, cols), "personas": named}
+    out.tables |= {"profiles": describe.cluster_profiles(both, cols), "eta_squared": associate.eta_squared(both, cols), "personas": named, "cards": naming.cards(named, describe.cluster_profiles(both, []).select("cluster", "n", "pct"), naming.recommendations(profiles, advice or []))}
     out.facts["external"] = associate.classes_to_clusters(both, "cluster", background)
     return out
 
 
 def assignments(run: Run, survey: DataFrame) -> DataFrame:
     """row_id, cluster, persona, split, what was answered, standardised subscales (3 digits) and distances."""
-    scored = features.subscales(features.align(survey, run.bundle.reversed_items), run.bundle.subscales)
+    aligned = features.align(survey, run.bundle.reversed_items)
+    scored = features.subscales(aligned, run.bundle.subscales) if run.bundle.subscales else aligned
     z = scored.select("row_id", *[F.round((F.col(c) - run.bundle.means[c]) / (run.bundle.sds[c] or 1.0), 3).alias(f"z_{c}") for c in run.bundle.columns])
     return run.labelled.join(z, "row_id")
 

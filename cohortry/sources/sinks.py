@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 
 def save_table(df: DataFrame, path: str, show: int = 0) -> None:
-    """Partitioned CSV in UTF-8 with headers; ``show`` rows are printed."""
-    df.write.mode("overwrite").csv(path, header=True, encoding="UTF-8")
+    """Partitioned CSV in UTF-8 with headers; each part begins with a byte-order mark, for spreadsheets. ``show`` rows are printed."""
+    marked = df.toDF(*["\ufeff" + c if i == 0 else c for i, c in enumerate(df.columns)])
+    marked.write.mode("overwrite").csv(path, header=True, encoding="UTF-8")
     if show:
         df.show(show, truncate=False)
 
@@ -40,7 +41,7 @@ def arff_header(relation: str, numeric: list[str], nominal: dict[str, list[str]]
 
 
 def write_arff(df: DataFrame, path: str, relation: str, numeric: list[str], nominal: dict[str, list[str]] | None = None, strings: list[str] | None = None) -> None:
-    """A folder of text parts: the header sorts first, and the rows follow as they are partitioned."""
+    """A folder of text parts: the header sorts first, and the rows follow as they are partitioned. The parts in the order of their names are one ARFF file."""
     nominal, strings = nominal or {}, strings or []
     spark = df.sparkSession
     head = spark.createDataFrame([(arff_header(relation, numeric, nominal, strings),)], "value string").coalesce(1)
@@ -48,6 +49,11 @@ def write_arff(df: DataFrame, path: str, relation: str, numeric: list[str], nomi
     arff_rows(df, numeric, nominal, strings).write.mode("overwrite").text(f"{path}/1-data")
 
 
+def rules_text(rules: list[dict]) -> str:
+    """A tree's leaves as text, one to a line, the largest first."""
+    return "".join(f"{r['rule']} => {r['label']:g} (n={r['n']}, purity {r['purity_pct']:.1f} %)\n" for r in sorted(rules, key=lambda r: (-r["n"], r["rule"])))
+
+
 def jsonable(x):
     """Plain JSON values from numpy and pandas ones; what is no finite number becomes null."""
     if isinstance(x, dict):

@@ -39,12 +39,18 @@ def named(df: DataFrame, spec: SurveySpec) -> DataFrame:
     return out.withColumns({c: F.expr(f"try_cast(`{c}` AS int)") for c in spec.items})
 
 
+def sheet(spark: SparkSession, rows) -> DataFrame:
+    """A workbook's sheet, which pandas holds whole, as text columns; empty cells are null."""
+    cells = [[None if v is None or v != v else str(v) for v in row] for row in rows.itertuples(index=False)]
+    return spark.createDataFrame(cells, ", ".join(f"`{c}` string" for c in rows.columns))
+
+
 def read_survey(spark: SparkSession, path: str, spec: SurveySpec) -> DataFrame:
     """CSV (header, byte-order mark allowed), Parquet or JSON by extension; workbooks only if pandas can read them here."""
     if path.endswith((".xlsx", ".xls")):
         import pandas as pd
 
-        return named(spark.createDataFrame(pd.read_excel(path).astype(str)), spec)
+        return named(sheet(spark, pd.read_excel(path, dtype=object)), spec)
     if path.endswith(".json"):
         return named(spark.read.json(path, multiLine=True), spec)
     if path.endswith(".parquet"):
