@@ -522,16 +522,32 @@ def test_shards_match_the_mixture(spark):
 # 8: chats
 
 
-def test_perspectives(spark):
-    talk = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", None), (1, 3, None, "who"), (1, 3, "ann", "tie"), (1, 3, "ann", "tie"), (1, None, "bob", "late"), (2, 300, "ann", "far"), (2, 1, "ann", "near"), (None, 0, "user", "lost"), (3, 0, "system", "alone")]
-    got = {(r.conv_id, r.part, r.perspective): r for r in chat.rotate(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS part", "2 AS perspective")).collect()}
-    last = chat.LAST
-    assert set(got) == {(1, p, s) for p in (0, last) for s in ("ann", "bob", "unknown")} | {(2, 0, "ann"), (2, 1, "ann"), (None, 0, "user")}
-    r = got[1, 0, "ann"]
-    assert r.rendered == "<|system|>\nrules<|end|>\n<|assistant|>\nhi < |end|><|end|>\n<|user name=bob|>\n<|end|>\n<|assistant|>\ntie<|end|>\n<|assistant|>\ntie<|end|>\n<|user name=unknown|>\nwho<|end|>\n"
-    assert [r.rendered[int(a) : int(b)] for a, b in (x.split(":") for x in r.mask.split(","))] == ["hi < |end|><|end|>", "tie<|end|>", "tie<|end|>"]
-    assert got[1, last, "ann"].mask == "" and got[1, last, "bob"].rendered == "<|assistant|>\nlate<|end|>\n"
-    assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+def rotated(talk, messages):
+    """Brute force: (conversation, part, perspective) to (rendered, own stretches, messages)."""
+    by_conv, out = {}, {}
+    for conv, turn, role, text in talk:
+        by_conv.setdefault(conv, []).append((turn is None, turn or 0, role or "unknown", (text or "").replace("<|", "< |")))
+    for conv, said in by_conv.items():
+        said.sort(key=lambda m: (m[0], m[1], hashlib.md5(f"{m[2]}:{m[3]}".encode()).hexdigest()))
+        for who in {m[2] for m in said} - {"system"}:
+            for at in range(0, len(said), messages):
+                text, own = "", []
+                for _, _, role, words in said[at : at + messages]:
+                    text += "<|assistant|>\n" if role == who else "<|system|>\n" if role == "system" else f"<|user name={re.sub(r'[^\w.-]', '_', role)}|>\n"
+                    own += [f"{len(text)}:{len(text) + len(words) + 7}"] if role == who else []
+                    text += words + "<|end|>\n"
+                out[conv, at // messages, who] = text, ",".join(own), len(said[at : at + messages])
+    return out
+
+
+@pytest.mark.parametrize("messages,cell", [(256, 20_000), (3, 2)])
+def test_perspectives(spark, messages, cell):
+    talk = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", None), (1, 3, None, "who"), (1, 3, "ann", "tie"), (1, 3, "ann", "tie"), (1, None, "bob", "late"), (2, 300, "ann", "far"), (2, 1, "ann", "near"), (None, 0, "user", "lost"), (3, 0, "system", "alone"), (4, -2, "a b", "x" * 50_000), (4, -2, "é", "")]
+    talk += [(5, 7, "abc"[i % 3], f"line {i % 20}") for i in range(60)] + [(6, None, "ann", "again")] * 40 + [(7, i * 1000, "ab"[i % 2], str(i)) for i in range(30)]
+    df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS part", "2 AS perspective", "3 AS _copies", "4 AS _turn")
+    got = {(r.conv_id, r.part, r.perspective): (r.rendered, r.mask, r.n_messages) for r in chat.rotate(df, messages, cell).collect()}
+    assert got == rotated(talk, messages) and (3, 0, "system") not in got
+    assert chat.rotate(df.limit(0)).count() == 0
 
 
 # 9: quality
