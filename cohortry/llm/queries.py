@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import chat, digest, mixing, packing, pii, quality, recount, secret_scan, sharding, simhash
+from cohortry.llm import chat, digest, mixing, packing, pii, quality, recount, secret_scan, sharding, simhash, trie
 from cohortry.llm.common import table, text_or_empty
 
 
@@ -51,9 +51,13 @@ def op10_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recount.recount(docs, recount.sample_edits(text_or_empty(docs)))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii_boosting, op2_secret_linking, op3_best_fit_packing, op4_quartile_digest, op5_source_mixing, op6_simhash_near_dedup, op7_sharding, op8_perspective_rotation, op9_quality_rules, op10_edit_aware_counts)
+    for f in (op1_pii_boosting, op2_secret_linking, op3_best_fit_packing, op4_quartile_digest, op5_source_mixing, op6_simhash_near_dedup, op7_sharding, op8_perspective_rotation, op9_quality_rules, op10_edit_aware_counts, op13_conversation_trie)
 }
 
-ORACLE_SQL = {"op8_perspective_rotation": chat.ORACLE, "op5_source_mixing": mixing.ORACLE, "op9_quality_rules": quality.ORACLE}
+ORACLE_SQL = {"op8_perspective_rotation": chat.ORACLE, "op5_source_mixing": mixing.ORACLE, "op9_quality_rules": quality.ORACLE, "op13_conversation_trie": trie.ORACLE}
