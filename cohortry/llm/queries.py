@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import chat, digest, mixing, negatives, packing, pii, quality, recount, secret_scan, sharding, simhash, trie
+from cohortry.llm import chat, digest, language_model, mixing, negatives, packing, pii, quality, recount, secret_scan, sharding, simhash, trie
 from cohortry.llm.common import table, text_or_empty
 
 
@@ -51,6 +51,10 @@ def op10_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recount.recount(docs, recount.sample_edits(text_or_empty(docs)))
 
 
+def op11_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -61,7 +65,7 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii_boosting, op2_secret_linking, op3_best_fit_packing, op4_quartile_digest, op5_source_mixing, op6_simhash_near_dedup, op7_sharding, op8_perspective_rotation, op9_quality_rules, op10_edit_aware_counts, op12_hard_negatives, op13_conversation_trie)
+    for f in (op1_pii_boosting, op2_secret_linking, op3_best_fit_packing, op4_quartile_digest, op5_source_mixing, op6_simhash_near_dedup, op7_sharding, op8_perspective_rotation, op9_quality_rules, op10_edit_aware_counts, op11_pitman_yor_scores, op12_hard_negatives, op13_conversation_trie)
 }
 
 ORACLE_SQL = {"op8_perspective_rotation": chat.ORACLE, "op5_source_mixing": mixing.ORACLE, "op9_quality_rules": quality.ORACLE, "op12_hard_negatives": negatives.ORACLE, "op13_conversation_trie": trie.ORACLE}
