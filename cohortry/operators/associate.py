@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,19 +73,34 @@ def ari_of_table(table) -> float:
     return 1.0 if top == expected else (ij - expected) / (top - expected)
 
 
+def expected_information(r: int, c: int, n: int) -> float:
+    """What a cell with these margins adds to the mutual information of two random labelings: the mean of x/n ln(nx/(rc)) over the
+    hypergeometric x. Probabilities are products of ratios from the mode outwards, over 12 standard deviations and 40 more; where
+    that is over 4,096 values, the mean comes from the central moments up to the fourth (the next terms are below 1e-9 of it)."""
+    mean = r * c / n
+    variance = mean * (1 - r / n) * (n - c) / max(n - 1, 1)
+    spread = math.sqrt(variance)
+    if 24 * spread > 4_096:
+        skew = variance * (n - 2 * r) * (n - 2 * c) / (n * max(n - 2, 1))
+        fourth = 3 * variance * variance + variance
+        return (variance / (2 * mean) - skew / (6 * mean**2) + fourth / (12 * mean**3)) / n
+    low, high, mode = max(0, r + c - n), min(r, c), (r + 1) * (c + 1) // (n + 2)
+    reach = int(12 * spread) + 40
+    up, down = np.arange(mode, min(high, mode + reach), dtype=float), np.arange(mode, max(low, mode - reach), -1.0)
+    rising = np.cumprod((r - up) * (c - up) / ((up + 1) * (n - r - c + up + 1)))
+    falling = np.cumprod(down * (n - r - c + down) / ((r - down + 1) * (c - down + 1)))
+    x, weight = np.concatenate([[mode], up + 1, down - 1]), np.concatenate([[1.0], rising, falling])
+    some = x > 0
+    return float((weight[some] * x[some] * np.log(x[some] / mean)).sum() / weight.sum() / n)
+
+
 def ami_of_table(table) -> float:
-    """Adjusted mutual information (arithmetic mean) of a small contingency table."""
-    rows, cols = [sum(r) for r in table], [sum(c) for c in zip(*table, strict=True)]
+    """Adjusted mutual information (arithmetic mean) of a small contingency table; the time does not depend on its counts."""
+    rows, cols = [int(sum(r)) for r in table], [int(sum(c)) for c in zip(*table, strict=True)]
     n = sum(rows)
     entropy = lambda xs: -sum(x / n * math.log(x / n) for x in xs if x)
     mutual = sum(x / n * math.log(n * x / (r * c)) for row, r in zip(table, rows, strict=True) for x, c in zip(row, cols, strict=True) if x)
-    lg = math.lgamma
-    expected = 0.0
-    for r in rows:
-        for c in cols:
-            for x in range(max(1, r + c - n), min(r, c) + 1):
-                weight = lg(r + 1) + lg(c + 1) + lg(n - r + 1) + lg(n - c + 1) - lg(n + 1) - lg(x + 1) - lg(r - x + 1) - lg(c - x + 1) - lg(n - r - c + x + 1)
-                expected += x / n * math.log(n * x / (r * c)) * math.exp(weight)
+    expected = sum(expected_information(r, c, n) for r in rows if r for c in cols if c)
     top = (entropy(rows) + entropy(cols)) / 2
     return 1.0 if abs(top - expected) < 1e-15 else (mutual - expected) / (top - expected)
 

@@ -1,9 +1,10 @@
-"""Model selection on tables of any size: rows stay where they are, and many k-means fits advance in one pass.
+"""Model selection on tables of any size: rows stay where they are, and many fits advance in one pass.
 
 A fit of :func:`many_kmeans` sees the table through a view: a resample (rows whose hash falls below a share) or uniform draws
-in place of the values. Both depend on the row's hash only, so a lost task gives the same sums again. A pass gives, for each fit
-and cluster, counts and sums, which Spark adds up; only they reach the driver. The first centres come from k-means++ on
-``start_rows`` rows (a stated bound: it only says where the iterations over all rows begin).
+in place of the values. Both depend on the row's hash only, so a lost task gives the same sums again. A pass gives, for each fit,
+sums that Spark adds up in a tree; only they and the few rows drawn as candidates reach the driver, so its work does not
+depend on the number of rows. First centres come from k-means|| over all rows: some rounds draw rows in proportion to their squared
+distance from the candidates so far, a pass counts the rows nearest to each candidate, and weighted k-means++ picks among them.
 """
 
 from __future__ import annotations
@@ -12,14 +13,14 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.operators import associate, validity
 from cohortry.operators.associate import ami_of_table, ari_of_table
-from cohortry.operators.cluster import kmeans, squared_distances
+from cohortry.operators.cluster import squared_distances
 from cohortry.operators.stability import agreement_summary, gap_summary
 from cohortry.session import ship_code
 
@@ -44,30 +45,112 @@ def _arrays(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     return batch.column(0).to_numpy().view(np.uint64), batch.column(1).flatten().to_numpy().reshape(-1, size)
 
 
-def _added(points: DataFrame, size: int, zero: list[np.ndarray], add: Callable[[list[np.ndarray], np.ndarray, np.ndarray], None]) -> list[np.ndarray]:
-    """One array for each task: the sums of what ``add`` has put into ``zero``-shaped arrays, over all rows."""
-    shapes = [z.shape for z in zero]
+PARTS = "slot int, part int, sums binary, task int, x array<double>"
+PART_TYPES = pa.schema([("slot", pa.int32()), ("part", pa.int32()), ("sums", pa.binary()), ("task", pa.int32()), ("x", pa.list_(pa.float64()))])
+
+
+def _passed(points: DataFrame, size: int, shapes: list[tuple], add: Callable[[list[np.ndarray], np.ndarray, np.ndarray], list[tuple[int, np.ndarray]] | None], slots: int = 16, fan_in: int = 64) -> tuple[list[np.ndarray], list[tuple[int, np.ndarray]]]:
+    """One pass: the sums of what ``add`` has put into arrays of these shapes, and the (task, row) pairs it has returned.
+
+    Each partition sends its sums in ``slots`` slices; they are added in a tree, ``fan_in`` at a time."""
+    lengths = [int(np.prod(s)) for s in shapes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros(s) for s in shapes]
+        total, part = [np.zeros(s) for s in shapes], TaskContext.get().partitionId()
         for batch in batches:
-            if batch.num_rows:
-                add(total, *_arrays(batch, size))
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([t.ravel() for t in total], pa.list_(pa.float64()))], names=["task", "sums"])
-
-    def together(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"task": [key[0]], "sums": [np.sum(np.stack(rows["sums"].to_list()), axis=0)]})
+            drawn = add(total, *_arrays(batch, size)) if batch.num_rows else None
+            if drawn:
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - t % slots for t, _ in drawn], pa.int32()), pa.array([part] * len(drawn), pa.int32()), pa.nulls(len(drawn), pa.binary()), pa.array([t for t, _ in drawn], pa.int32()), pa.array([x.tolist() for _, x in drawn], pa.list_(pa.float64()))], schema=PART_TYPES)
+        flat = np.array_split(np.concatenate([t.ravel() for t in total]), slots)
+        yield pa.RecordBatch.from_arrays([pa.array(range(slots), pa.int32()), pa.array([part] * slots, pa.int32()), pa.array([f.tobytes() for f in flat], pa.binary()), pa.nulls(slots, pa.int32()), pa.nulls(slots, pa.list_(pa.float64()))], schema=PART_TYPES)
+
+    def together(rows: pa.Table) -> pa.Table:
+        rows = rows.select(PART_TYPES.names)
+        if rows.column("slot")[0].as_py() < 0:
+            return rows
+        rows = rows.sort_by("part")  # sums of floats in one order, whatever came first
+        sums = np.sum([np.frombuffer(b) for b in rows.column("sums").to_pylist()], axis=0)
+        return pa.table([[rows.column("slot")[0].as_py()], [rows.column("part")[0].as_py()], [sums.tobytes()], [None], [None]], schema=PART_TYPES)
 
     ship_code(points.sparkSession)
-    found = points.mapInArrow(run, "task int, sums array<double>").groupBy("task").applyInPandas(together, "task int, sums array<double>").collect()  # one row per task
-    return [np.array(r["sums"]).reshape(shapes[r["task"]]) for r in sorted(found, key=lambda r: r["task"])]
+    parts, left = points.mapInArrow(run, PARTS), points.rdd.getNumPartitions()
+    while left > fan_in:
+        parts = parts.groupBy("slot", F.expr(f"part div {fan_in}").alias("_group")).applyInArrow(together, PARTS).withColumn("part", F.expr(f"part div {fan_in}").cast("int"))
+        left = math.ceil(left / fan_in)
+    found = parts.groupBy("slot").applyInArrow(together, PARTS).collect()  # sums of each fit, and its candidates
+    if not found:
+        return [np.zeros(s) for s in shapes], []
+    flat = np.concatenate([np.frombuffer(r["sums"]) for r in sorted((r for r in found if r["slot"] >= 0), key=lambda r: r["slot"])])
+    sums = [part.reshape(shape) for part, shape in zip(np.split(flat, np.cumsum(lengths)[:-1]), shapes, strict=True)]
+    return sums, sorted(((r["task"], np.array(r["x"])) for r in found if r["slot"] < 0), key=lambda r: (r[0], tuple(r[1])))
+
+
+def weighted_plus_plus(points: np.ndarray, weights: np.ndarray, k: int, seed: tuple[int, ...], draws: int = 8) -> np.ndarray:
+    """``k`` of a few weighted points: the best of several k-means++ draws by weighted cost; points repeat where there are fewer."""
+    best = None
+    for draw in range(draws):
+        rng = np.random.default_rng([*seed, draw])
+        chosen = [int(rng.choice(len(points), p=weights / weights.sum()))]
+        near = squared_distances(points, points[chosen])[:, 0]
+        while len(chosen) < k:
+            p = near * weights
+            chosen.append(int(rng.choice(len(points), p=p / p.sum())) if p.sum() > 0 else int(rng.integers(len(points))))
+            near = np.minimum(near, squared_distances(points, points[chosen[-1:]])[:, 0])
+        cost = float(near @ weights)
+        if best is None or cost < best[0]:
+            best = cost, points[chosen]
+    return best[1]
+
+
+def seeded(points: DataFrame, size: int, tasks: list[tuple[int, int]], view: View, seed: int = 42, rounds: int = 4) -> list[np.ndarray]:
+    """First centres for each task (k, id) by k-means||: about 2k rows are drawn in each of ``rounds`` passes over all rows."""
+
+    def moments(total, h, x):
+        for out, task in zip(total, tasks, strict=True):
+            v = view(h, x, task)
+            out[0] += len(v)
+            out[1] += (v * v).sum()
+            out[2:] += v.sum(0)
+
+    sums, _ = _passed(points, size, [(size + 2,)] * len(tasks), moments)
+    candidates = [[s[2:] / max(s[0], 1)] for s in sums]
+    cost = [max(0.0, s[1] - (s[2:] @ s[2:]) / max(s[0], 1)) for s in sums]
+    for step in range(rounds):
+        now = [np.array(c) for c in candidates]
+
+        def draw(total, h, x, now=now, cost=tuple(cost), step=step):
+            found = []
+            for t, task in enumerate(tasks):
+                v = view(h, x, task)
+                near = squared_distances(v, now[t]).min(1)
+                total[0][t] += near.sum()
+                if cost[t] > 0:
+                    keys = h if len(v) == len(h) else view(h, h, task)
+                    took = np.flatnonzero(uniform(keys, (seed * 31 + step) * 1_000_003 + task[0] * 10_007 + task[1] + 1) * cost[t] < 2 * task[0] * near)
+                    found += [(t, v[i]) for i in took]
+            return found
+
+        (left,), rows = _passed(points, size, [(len(tasks),)], draw)
+        cost = [float(c) for c in left]  # of the candidates before this draw: at least what remains
+        for t, x in rows:
+            candidates[t].append(x)
+
+    final = [np.array(c) for c in candidates]
+
+    def weigh(total, h, x):
+        for out, task, c in zip(total, tasks, final, strict=True):
+            out += np.bincount(squared_distances(view(h, x, task), c).argmin(1), minlength=len(c))
 
+    weights, _ = _passed(points, size, [(len(c),) for c in final], weigh)
+    return [weighted_plus_plus(c, w if w.sum() else np.ones(len(c)), k, (seed, k, i + 1)) for c, w, (k, i) in zip(final, weights, tasks, strict=True)]
 
-def many_kmeans(points: DataFrame, size: int, tasks: list[tuple[int, int]], view: View, start_rows: int = 2_000, starts: int = 3, rounds: int = 30, seed: int = 42) -> tuple[list[np.ndarray], list[float]]:
-    """Centres and inertia for each task (k, id). Fits whose centres rest are left out of further passes."""
-    first = points.orderBy("h").limit(start_rows).collect()
-    h, x = np.array([r["h"] for r in first], np.int64).view(np.uint64), np.array([r["x"] for r in first])
-    centres = [kmeans(v if len(v := view(h, x, t)) >= t[0] else x, t[0], seed + t[1], starts)[1] for t in tasks]
+
+def many_kmeans(points: DataFrame, size: int, tasks: list[tuple[int, int]], view: View, rounds: int = 300, seed: int = 42) -> tuple[list[np.ndarray], list[float], list[bool]]:
+    """Centres, inertia and whether they came to rest, for each task (k, id).
+
+    A fit rests when a pass lowers its inertia by no more than a millionth, and is then left out of further passes; after ``rounds`` passes
+    the others are given as they are, marked. ``view`` also selects from the hashes where it selects rows."""
+    centres = seeded(points, size, tasks, view, seed)
     inertia, moving = [math.inf] * len(tasks), list(range(len(tasks)))
     for _ in range(rounds):
         now = [(tasks[t], centres[t]) for t in moving]
@@ -82,18 +165,17 @@ def many_kmeans(points: DataFrame, size: int, tasks: list[tuple[int, int]], view
                 out[:, 1] += own.T @ d.min(1)
                 out[:, 2:] += own.T @ v
 
-        sums = _added(points, size, [np.zeros((len(c), size + 2)) for _, c in now], add)
+        sums, _ = _passed(points, size, [(len(c), size + 2) for _, c in now], add)
         still = []
         for t, s in zip(moving, sums, strict=True):
-            new = np.where(s[:, :1] > 0, s[:, 2:] / np.maximum(s[:, :1], 1), centres[t])
             before, inertia[t] = inertia[t], float(s[:, 1].sum())
-            centres[t] = new
+            centres[t] = np.where(s[:, :1] > 0, s[:, 2:] / np.maximum(s[:, :1], 1), centres[t])
             if before - inertia[t] > 1e-6 * inertia[t]:
                 still.append(t)
         moving = still
         if not moving:
             break
-    return centres, inertia
+    return centres, inertia, [t not in set(moving) for t in range(len(tasks))]
 
 
 def bootstrap(df: DataFrame, cols: list[str], ks, resamples: int = 200, share: float = 0.8, seed: int = 42, key: str = "row_id") -> DataFrame:
@@ -104,7 +186,7 @@ def bootstrap(df: DataFrame, cols: list[str], ks, resamples: int = 200, share: f
         return np.ones(len(h), bool) if task[1] < 0 else uniform(h, seed * 100_003 + task[1]) < share
 
     points = _points(df, cols, key).cache()
-    centres, _ = many_kmeans(points, len(cols), tasks, lambda h, x, t: x[drawn(h, t)], seed=seed)
+    centres, _, rested = many_kmeans(points, len(cols), tasks, lambda h, x, t: x[drawn(h, t)] if t[1] >= 0 else x, seed=seed)
     whole = {k: c for (k, i), c in zip(tasks, centres, strict=True) if i < 0}
     drawn_tasks = [(t, c) for t, c in zip(tasks, centres, strict=True) if t[1] >= 0]
 
@@ -115,10 +197,12 @@ def bootstrap(df: DataFrame, cols: list[str], ks, resamples: int = 200, share: f
             k = len(c)
             out += np.bincount(squared_distances(x[rows], c).argmin(1) * k + reference[task[0]][rows], minlength=k * k).reshape(k, k)
 
-    tables = _added(points, len(cols), [np.zeros((len(c), len(c))) for _, c in drawn_tasks], add)
+    tables, _ = _passed(points, len(cols), [(len(c), len(c)) for _, c in drawn_tasks], add)
     points.unpersist()
-    runs = [(k, float(ari_of_table(t.astype(np.int64))), float(ami_of_table(t.astype(np.int64)))) for ((k, _), _), t in zip(drawn_tasks, tables, strict=True)]
-    return agreement_summary(df.sparkSession.createDataFrame(runs, "k int, ari double, ami double"))
+    still = [r for t, r in zip(tasks, rested, strict=True) if t[1] >= 0]
+    runs = [(k, float(ari_of_table(t.astype(np.int64))), float(ami_of_table(t.astype(np.int64))), r) for ((k, _), _), t, r in zip(drawn_tasks, tables, still, strict=True)]
+    found = df.sparkSession.createDataFrame(runs, "k int, ari double, ami double, rested boolean")
+    return agreement_summary(found).join(found.groupBy("k").agg(F.count_if(~F.col("rested")).alias("unrested")), "k")
 
 
 def gap(df: DataFrame, cols: list[str], ks=range(1, 9), references: int = 50, seed: int = 42, key: str = "row_id") -> DataFrame:
@@ -130,7 +214,7 @@ def gap(df: DataFrame, cols: list[str], ks=range(1, 9), references: int = 50, se
         total[0][1] += x.sum(0)
         total[0][2:] += x.T @ x
 
-    found = _added(points, size, [np.zeros((size + 2, size))], moments)[0]
+    (found,), _ = _passed(points, size, [(size + 2, size)], moments)
     n, centre = found[0, 0], found[1] / found[0, 0]
     axes = np.linalg.eigh(found[2:] / n - np.outer(centre, centre))[1]
 
@@ -144,14 +228,18 @@ def gap(df: DataFrame, cols: list[str], ks=range(1, 9), references: int = 50, se
     ends = points.mapInArrow(turned, "j int, low double, high double").groupBy("j").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("j").collect()  # one row per column
     low, high = np.array([r["low"] for r in ends]), np.array([r["high"] for r in ends])
 
+    drawn: dict = {}
+
     def view(h: np.ndarray, x: np.ndarray, task: tuple[int, int]) -> np.ndarray:
         if task[1] < 0:
             return x
-        u = np.column_stack([uniform(h, (seed * 100_003 + task[1]) * 4_099 + j) for j in range(size)])
-        return (low + (high - low) * u) @ axes.T + centre
+        if drawn.get("of") != (task[1], len(h), int(h[0]), int(h[-1])):  # all k share a reference's draws: tasks come by reference
+            u = np.column_stack([uniform(h, (seed * 100_003 + task[1]) * 4_099 + j) for j in range(size)])
+            drawn.update(of=(task[1], len(h), int(h[0]), int(h[-1])), rows=(low + (high - low) * u) @ axes.T + centre)
+        return drawn["rows"]
 
-    tasks = [(k, r) for k in ks for r in range(-1, references)]
-    _, inertia = many_kmeans(points, size, tasks, view, seed=seed)
+    tasks = [(k, r) for r in range(-1, references) for k in ks]
+    _, inertia, _ = many_kmeans(points, size, tasks, view, seed=seed)
     points.unpersist()
     runs = [(k, r, math.log(w)) for (k, r), w in zip(tasks, inertia, strict=True)]
     return gap_summary(df.sparkSession.createDataFrame(runs, "k int, ref int, log_w double"), references)
@@ -160,7 +248,7 @@ def gap(df: DataFrame, cols: list[str], ks=range(1, 9), references: int = 50, se
 def fit(df: DataFrame, cols: list[str], k: int, starts: int = 25, seed: int = 42, key: str = "row_id") -> np.ndarray:
     """Centres of the best of several k-means fits on all rows, which advance together; by descending mean of the centre."""
     points = _points(df, cols, key).cache()
-    centres, inertia = many_kmeans(points, len(cols), [(k, i) for i in range(starts)], lambda h, x, t: x, starts=1, rounds=300, seed=seed)
+    centres, inertia, _ = many_kmeans(points, len(cols), [(k, i) for i in range(starts)], lambda h, x, t: x, seed=seed)
     points.unpersist()
     best = centres[int(np.argmin(inertia))]
     return best[sorted(range(k), key=lambda c: (-round(float(best[c].mean()), 9), tuple(np.round(best[c], 6))))]

@@ -499,10 +499,10 @@ def quality_table(spark, sf_dir):
 
 @query()
 def kmeans_k3(spark, sf_dir):
-    from cohortry.operators.cluster import kmeans_distributed
+    from cohortry.operators.resample import fit
 
     df, cols = vectors(spark, sf_dir)
-    return kmeans_distributed(df.select("row_id", *cols), cols, 3, 25)[1].select("row_id", "cluster")
+    return validity.nearest_centroid(df, cols, fit(df, cols, 3, 25).tolist()).select("row_id", "cluster")
 
 
 @query()

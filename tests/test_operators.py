@@ -273,13 +273,13 @@ def test_random_eigenvalues_follow_the_true_size(spark, monkeypatch):
 
 
 def test_fits_take_all_dimensions_and_terms(spark, monkeypatch):
-    from cohortry.operators import cluster, topics
+    from cohortry.operators import resample, topics
     from cohortry.plans import catalogue
 
     frame, asked = spark.range(1).withColumnRenamed("id", "row_id"), {}
     cols = [f"x{i}" for i in range(64)]
     monkeypatch.setattr(catalogue, "vectors", lambda *a: (frame.select("row_id", *[F.lit(0.0).alias(c) for c in cols]), cols))
-    monkeypatch.setattr(cluster, "kmeans_distributed", lambda df, cols, *a: (asked.update(kmeans=(len(cols), *a)), df.withColumn("cluster", F.lit(0))))
+    monkeypatch.setattr(resample, "fit", lambda df, cols, *a: (asked.update(kmeans=(len(cols), *a)), np.zeros((3, 64)))[1])
     catalogue.QUERIES["kmeans_k3"](spark, "")
     assert asked["kmeans"] == (64, 3, 25)
     monkeypatch.setattr(catalogue, "read", lambda *a: frame.withColumnRenamed("row_id", "doc_id"))
@@ -297,11 +297,12 @@ def test_resampling_of_whole_tables(spark):
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "row_id long, a double, b double, c double").repartition(3)
     cols = ["a", "b", "c"]
     points = resample._points(df, cols, "row_id")
-    centres, inertia = resample.many_kmeans(points, 3, [(3, 0)], lambda h, v, t: v)
+    centres, inertia, rested = resample.many_kmeans(points, 3, [(3, 0)], lambda h, v, t: v)
+    assert rested == [True]
     want = sum(((x[i : i + 120] - x[i : i + 120].mean(0)) ** 2).sum() for i in (0, 120, 240))
     assert abs(inertia[0] - want) < 1e-6 * want
     boot = {r.k: r for r in resample.bootstrap(df, cols, [2, 3], 8).collect()}
-    assert boot[3].n == 8 and boot[3].mean_ari > 0.99 and boot[3].above_75 == 1
+    assert boot[3].n == 8 and boot[3].unrested == 0 and boot[3].mean_ari > 0.99 and boot[3].above_75 == 1
     curve = {r.k: r.gap for r in resample.gap(df, cols, range(1, 5), 5).collect()}
     assert max(curve, key=curve.get) == 3
     swept = {(r.algorithm, r.k): r for r in resample.sweep(df, cols, [3], ("kmeans", "bisecting")).collect()}
