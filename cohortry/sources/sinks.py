@@ -9,11 +9,24 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.sources.onefile import write_lines
+
+
+def csv_lines(df: DataFrame) -> tuple[str, DataFrame]:
+    """The header, and each row as a line (``value``): quoted where a comma, a quote or a break needs it, null as nothing."""
+
+    def cell(c: Column) -> Column:
+        text = F.coalesce(c.cast("string"), F.lit(""))
+        return F.when(text.rlike('[",\r\n]|^\\s|\\s$'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+    quoted = lambda c: '"' + c.replace('"', '""') + '"' if any(x in c for x in '",\r\n') else c
+    return ",".join(map(quoted, df.columns)), df.select(F.concat_ws(",", *[cell(df[f"`{c}`"]) for c in df.columns]).alias("value"))
+
 
 def save_table(df: DataFrame, path: str, show: int = 0) -> None:
-    """Partitioned CSV in UTF-8 with headers; each part begins with a byte-order mark, for spreadsheets. ``show`` rows are printed."""
-    marked = df.toDF(*["\ufeff" + c if i == 0 else c for i, c in enumerate(df.columns)])
-    marked.write.mode("overwrite").csv(path, header=True, encoding="UTF-8")
+    """One CSV file in UTF-8 with a byte-order mark and a header, rows in the order of the partitions. ``show`` rows are printed."""
+    head, lines = csv_lines(df)
+    write_lines(lines, path, head, mark=True)
     if show:
         df.show(show, truncate=False)
 
@@ -41,12 +54,9 @@ def arff_header(relation: str, numeric: list[str], nominal: dict[str, list[str]]
 
 
 def write_arff(df: DataFrame, path: str, relation: str, numeric: list[str], nominal: dict[str, list[str]] | None = None, strings: list[str] | None = None) -> None:
-    """A folder of text parts: the header sorts first, and the rows follow as they are partitioned. The parts in the order of their names are one ARFF file."""
+    """One ARFF file: the header, then the rows in the order of the partitions."""
     nominal, strings = nominal or {}, strings or []
-    spark = df.sparkSession
-    head = spark.createDataFrame([(arff_header(relation, numeric, nominal, strings),)], "value string").coalesce(1)
-    head.write.mode("overwrite").text(f"{path}/0-header")
-    arff_rows(df, numeric, nominal, strings).write.mode("overwrite").text(f"{path}/1-data")
+    write_lines(arff_rows(df, numeric, nominal, strings), path, arff_header(relation, numeric, nominal, strings))
 
 
 def rules_text(rules: list[dict]) -> str:
