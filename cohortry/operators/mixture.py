@@ -66,15 +66,15 @@ def many_mixtures(df: DataFrame, cols: list[str], tasks: list[tuple[int, int]],
         now = [(tasks[t], fitted[t] and tuple(fitted[t][x] for x in ("weights", "means", "spreads")), centres[t]) for t in moving]
 
         def add(total, h, x, now=now):
-            moments = x * x if diagonal else (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
             for i, (task, parameters, begun) in enumerate(now):
                 inside = np.zeros(len(x), bool) if task[1] < 0 else ~outside(h, task[1])
                 if parameters is None:
                     shares, norm = np.eye(len(begun))[((x[:, None, :] - begun) ** 2).sum(2).argmin(1)], np.zeros(len(x))
                 else:
                     shares, norm = memberships(log_densities(x, *parameters))
-                own = shares[~inside]
-                total[2 * i] += np.hstack([own.sum(0)[:, None], own.T @ x[~inside], own.T @ moments[~inside]])
+                own, y = shares[~inside], x[~inside]
+                second = own.T @ (y * y) if diagonal else np.stack([((y * s[:, None]).T @ y).ravel() for s in own.T])
+                total[2 * i] += np.hstack([own.sum(0)[:, None], own.T @ y, second])
                 total[2 * i + 1] += [(~inside).sum(), norm[~inside].sum(), inside.sum(), norm[inside].sum(), (own * np.log(np.maximum(own, 1e-300))).sum()]
 
         sums, _ = _passed(points, d, [s for task, _, _ in now for s in ((task[0], width), (5,))], add)

@@ -271,37 +271,3 @@ def holdout(train: DataFrame, test: DataFrame, cols: list[str], centres: np.ndar
         "max_drift": max(drift), "mean_drift": float(np.mean(drift)), "proportion_p": p, "silhouette_train": validity.simplified_silhouette(seen, cols).first()[0], "silhouette_holdout": validity.simplified_silhouette(frozen, cols).first()[0],
         "ari_frozen_fresh": associate.agreement(frozen.join(fresh, key), "cluster", "_fresh").first()["ari"], "drift_ok": max(drift) <= 0.50, "proportions_ok": p > 0.05,
     }
-
-
-def labelings(df: DataFrame, cols: list[str], k: int, algorithms=("kmeans", "bisecting", "gmm"), key: str = "row_id", seed: int = 42) -> dict[str, DataFrame]:
-    """Per algorithm that MLlib runs on all rows, ``df``'s key and columns with ``cluster``."""
-    from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    made = {"kmeans": KMeans, "bisecting": BisectingKMeans, "gmm": GaussianMixture}
-    ready = VectorAssembler(inputCols=cols, outputCol="_features").transform(df.select(key, *cols))
-    return {a: made[a](k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(ready).transform(ready).select(key, *cols, "cluster") for a in algorithms}
-
-
-def sweep(df: DataFrame, cols: list[str], ks=range(2, 9), algorithms=("kmeans", "bisecting", "gmm"), largest: float = 0.80, key: str = "row_id", seed: int = 42) -> DataFrame:
-    """One row per algorithm and k, fitted on all rows: sizes, validity by centroids, and whether one cluster has more than ``largest`` of the rows."""
-    out = None
-    for k in ks:
-        for name, labelled in labelings(df, cols, k, algorithms, key, seed).items():
-            sizes = labelled.groupBy("cluster").agg(F.count("*").alias("n")).agg(F.count("*").cast("int").alias("n_clusters_found"), F.min("n").alias("min_size"), F.max("n").alias("max_size"), (F.max("n") / F.sum("n")).alias("max_size_frac"))
-            row = sizes.join(validity.simplified_silhouette(labelled, cols).select("silhouette")).join(validity.davies_bouldin(labelled, cols).select("davies_bouldin")).join(validity.calinski_harabasz(labelled, cols).select("calinski_harabasz"))
-            row = row.select(F.lit(name).alias("algorithm"), F.lit(k).alias("k"), "*", (F.col("max_size_frac") > largest).alias("degenerate"))
-            out = row if out is None else out.unionByName(row)
-    return out
-
-
-def cross_algorithm(df: DataFrame, cols: list[str], k: int, algorithms=("kmeans", "bisecting", "gmm"), key: str = "row_id", seed: int = 42) -> DataFrame:
-    """a, b, ari: agreement of all pairs of algorithms on all rows."""
-    found = labelings(df, cols, k, algorithms, key, seed)
-    out = None
-    for i, a in enumerate(algorithms):
-        for b in algorithms[i + 1 :]:
-            both = found[a].select(key, F.col("cluster").alias("ca")).join(found[b].select(key, F.col("cluster").alias("cb")), key)
-            row = associate.agreement(both, "ca", "cb").select(F.lit(a).alias("a"), F.lit(b).alias("b"), "ari")
-            out = row if out is None else out.unionByName(row)
-    return out

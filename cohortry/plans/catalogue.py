@@ -507,10 +507,10 @@ def kmeans_k3(spark, sf_dir):
 
 @query()
 def algorithm_sweep(spark, sf_dir):
-    from cohortry.operators.resample import sweep
+    from cohortry.operators.sweep import sweep
 
     df, cols = vectors(spark, sf_dir)
-    return sweep(df.select("row_id", *cols), cols, range(2, 5))
+    return sweep(df.select("row_id", *cols), cols)
 
 
 @query()
@@ -531,10 +531,41 @@ def gap_statistic(spark, sf_dir):
 
 @query()
 def cross_algorithm_ari(spark, sf_dir):
-    from cohortry.operators.resample import cross_algorithm as cross
+    from cohortry.operators.sweep import cross_algorithm as cross
 
     df, cols = vectors(spark, sf_dir)
-    return cross(df.select("row_id", *cols), cols, 3)
+    return cross(df.select("row_id", *cols), cols, [3])
+
+
+@query()
+def em_automatic_k(spark, sf_dir):
+    from cohortry.operators.mixture import automatic_k
+
+    df, cols = vectors(spark, sf_dir)
+    return automatic_k(df, cols)
+
+
+@query()
+def hierarchy_report(spark, sf_dir):
+    from cohortry.operators.agglomerate import hierarchy
+
+    df, cols = vectors(spark, sf_dir)
+    return hierarchy(df, cols)
+
+
+@query()
+def ward_clusters(spark, sf_dir):
+    from cohortry.operators.agglomerate import agglomerate
+
+    df, cols = vectors(spark, sf_dir)
+    return agglomerate(df, cols, 3)
+
+
+@query()
+def gower_medoids(spark, sf_dir):
+    from cohortry.operators.medoid import medoids
+
+    return medoids(survey(spark, sf_dir), ["year", "band"], ["living", "department"], range(2, 9))[1]
 
 
 @query()

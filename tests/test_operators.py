@@ -305,9 +305,6 @@ def test_resampling_of_whole_tables(spark):
     assert boot[3].n == 8 and boot[3].unrested == 0 and boot[3].mean_ari > 0.99 and boot[3].above_75 == 1
     curve = {r.k: r.gap for r in resample.gap(df, cols, range(1, 5), 5).collect()}
     assert max(curve, key=curve.get) == 3
-    swept = {(r.algorithm, r.k): r for r in resample.sweep(df, cols, [3], ("kmeans", "bisecting")).collect()}
-    assert swept["kmeans", 3].min_size == swept["kmeans", 3].max_size == 120 and not swept["kmeans", 3].degenerate
-    assert resample.cross_algorithm(df, cols, 3, ("kmeans", "bisecting")).first().ari > 0.5
 
 
 def test_exact_pairs_in_blocks(spark):
