@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortry.functions.expressions import row_mean, rounded, total
-from cohortry.operators import associate, describe, features, measure, select, text, validity
+from cohortry.operators import associate, bands, describe, features, measure, select, stability, text, validity
 from cohortry.sources.survey import ITEM_NAMES, REVERSED, SUBSCALES, SURVEY_SQL, survey
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -309,39 +310,70 @@ def gower_nearest(spark, sf_dir):
     return validity.gower_nearest(survey(spark, sf_dir), ["year", "band"], ["living", "department"], F.col("row_id") % 50 == 0)
 
 
-#: Published evidence per k, a gap curve, and an elbow curve for the selection rules.
-EVIDENCE = [(2, 0.1682, 2.0890, 142.0799, 11690.7602, 0.8659, 0.3641, 0.4067, 0.4333), (3, 0.1390, 1.9708, 120.7618, 11748.5476, 0.8114, 0.3392, 0.5992, 0.2478), (4, 0.1338, 1.8361, 106.9322, 8968.6794, 0.5843, 0.1839, 0.6812, 0.1754), (5, 0.1315, 1.8338, 100.0347, 10312.6403, 0.4833, 0.1999, 0.6528, 0.1391), (6, 0.1369, 1.7270, 95.4536, 9193.7936, 0.5605, 0.2066, 0.6680, 0.1246), (7, 0.1412, 1.6338, 92.2068, 8052.2096, 0.6407, 0.1971, 0.6902, 0.1159), (8, 0.1400, 1.5708, 88.7523, 7192.1438, 0.6508, 0.1833, 0.7055, 0.1014)]
-GAPS = [(1, 1.345825, 0.012470), (2, 1.339336, 0.013495), (3, 1.320001, 0.014258), (4, 1.311313, 0.014642), (5, 1.312535, 0.013433), (6, 1.312995, 0.011866), (7, 1.326548, 0.014543), (8, 1.330037, 0.015978)]
-ELBOW = [(2, 4100.0), (3, 3420.0), (4, 3010.0), (5, 2790.0), (6, 2650.0), (7, 2555.0), (8, 2480.0)]
-_rows = lambda rows: ", ".join("(" + ", ".join(f"{x}::DOUBLE" if isinstance(x, float) else str(x) for x in r) + ")" for r in rows)
-EV_SQL = f"ev AS (SELECT * FROM (VALUES {_rows(EVIDENCE)}) AS t(k, silhouette, davies_bouldin, calinski_harabasz, bic_gmm, bootstrap_ari, cross_algo_ari, differentiation, min_size_frac))"
+KS = range(2, 9)
+HALF, REST = " + ".join(I[:6]), " + ".join(I[:-1])
+_band_sql = lambda x: f"least(k - 1, floor(({x} - min({x}) OVER (PARTITION BY k)) * k / greatest(max({x}) OVER (PARTITION BY k) - min({x}) OVER (PARTITION BY k), 1)::DOUBLE))::INT"
+_rand_sql = lambda o: f"""(SELECT ca.k, (ca.ij - ra.i * rb.j / (n * (n - 1) / 2)) / ((ra.i + rb.j) / 2 - ra.i * rb.j / (n * (n - 1) / 2)) AS ari FROM (SELECT k, sum(n * (n - 1) / 2) AS ij, sum(n) AS n FROM (SELECT k, band, {o}, count(*)::DOUBLE AS n FROM ba GROUP BY ALL) GROUP BY 1) ca
+ JOIN (SELECT k, sum(n * (n - 1) / 2) AS i FROM (SELECT k, band, count(*)::DOUBLE AS n FROM ba GROUP BY ALL) GROUP BY 1) ra ON ra.k = ca.k JOIN (SELECT k, sum(n * (n - 1) / 2) AS j FROM (SELECT k, {o}, count(*)::DOUBLE AS n FROM ba GROUP BY ALL) GROUP BY 1) rb ON rb.k = ca.k)"""
+#: Evidence per k of equal bands of the total, from the rows of the survey view.
+EV_SQL = SURVEY_SQL + f""", sc AS (SELECT k, {SUM} AS whole, {REST} AS rest, {HALF} AS half, {", ".join(I)} FROM aligned, (SELECT unnest(range({KS.start}, {KS.stop})) AS k)),
+ba AS (SELECT *, {_band_sql("whole")} AS band, {_band_sql("rest")} AS rest_band, {_band_sql("half")} AS half_band FROM sc),
+bm AS (SELECT k, band, count(*)::DOUBLE AS n, avg(whole) AS m FROM ba GROUP BY ALL),
+rw AS (SELECT ba.k, ba.band, whole, max(abs(whole - m)) FILTER (bm.band = ba.band) AS a, min(abs(whole - m)) FILTER (bm.band <> ba.band) AS b, count(*) / count(DISTINCT bm.band) AS c FROM ba JOIN bm ON ba.k = bm.k GROUP BY ba.k, ba.band, whole),
+si AS (SELECT k, sum(c * CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) / sum(c) AS silhouette, sum(c * a * a) AS w, sum(c) AS n FROM rw GROUP BY 1),
+sp AS (SELECT k, band, sum(c * a) / sum(c) AS s FROM rw GROUP BY ALL),
+db AS (SELECT k, avg(r) AS d FROM (SELECT x.k, x.band, max((p.s + q.s) / abs(x.m - y.m)) AS r FROM bm x JOIN bm y ON x.k = y.k AND x.band <> y.band JOIN sp p ON p.k = x.k AND p.band = x.band JOIN sp q ON q.k = y.k AND q.band = y.band GROUP BY ALL) GROUP BY 1),
+gr AS (SELECT k, sum(n * (m - g) ** 2) AS b, count(*) AS f, min(n) / sum(n) AS z FROM (SELECT *, sum(n * m) OVER (PARTITION BY k) / sum(n) OVER (PARTITION BY k) AS g FROM bm) GROUP BY 1),
+it AS (SELECT k, band, item, count(*)::DOUBLE AS n, avg(value) AS m FROM ba UNPIVOT (value FOR item IN ({", ".join(I)})) GROUP BY ALL),
+de AS (SELECT k, band, n, m - sum(n * m) OVER (PARTITION BY k, item) / sum(n) OVER (PARTITION BY k, item) AS d FROM it),
+sh AS (SELECT k, sum(n * (d - l) ** 2) / sum(n * d ** 2) AS v FROM (SELECT *, avg(d) OVER (PARTITION BY k, band) AS l FROM de) GROUP BY 1),
+ev AS (SELECT si.k, round(silhouette, 6) AS silhouette, round(d, 6) AS davies_bouldin, round((b / (f - 1)) / (w / (n - f)), 6) AS calinski_harabasz, round(n * ln(w / n) + si.k * ln(n), 6) AS bic_gmm, round(r1.ari, 6) AS bootstrap_ari, round(r2.ari, 6) AS cross_algo_ari, round(v, 6) AS differentiation, round(z, 6) AS min_size_frac, round(w, 6) AS sse
+ FROM si JOIN db ON db.k = si.k JOIN gr ON gr.k = si.k JOIN sh ON sh.k = si.k JOIN {_rand_sql("rest_band")} r1 ON r1.k = si.k JOIN {_rand_sql("half_band")} r2 ON r2.k = si.k)"""
 
 
-@query(f"""WITH {EV_SQL}, m AS (SELECT *, concat_ws('; ', CASE WHEN min_size_frac < .05 THEN 'small cluster' END, CASE WHEN bootstrap_ari < .5 THEN 'unstable' END, CASE WHEN differentiation < .5 THEN 'level only' END, CASE WHEN k > 6 THEN 'above cap' END) AS reasons FROM ev),
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bands.evidence(aligned(spark, sf_dir), ITEM_NAMES, KS)
+
+
+@query(EV_SQL + " SELECT * FROM ev")
+def band_evidence(spark, sf_dir):
+    return evidence(spark, sf_dir)
+
+
+@query(EV_SQL + f""", m AS (SELECT *, concat_ws('; ', CASE WHEN min_size_frac < .05 THEN 'small cluster' END, CASE WHEN bootstrap_ari < .5 THEN 'unstable' END, CASE WHEN differentiation < .5 THEN 'level only' END, CASE WHEN k > 6 THEN 'above cap' END) AS reasons FROM ev),
 r AS (SELECT k, {" + ".join(f"rank() OVER (ORDER BY {c} {'DESC' if up else 'ASC'}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE" for c, up in select.CRITERIA.items())} AS s FROM m WHERE reasons = '')
 SELECT m.k, reasons, round(s / 7.0::DOUBLE, 6) AS mean_rank, row_number() OVER (ORDER BY (reasons = '') DESC, round(s / 7.0::DOUBLE, 6) NULLS LAST, m.k) = 1 AS chosen FROM m LEFT JOIN r USING (k)""")
 def screen_and_vote(spark, sf_dir):
-    return select.screen_and_vote(select.evidence_table(spark, EVIDENCE))
+    return select.screen_and_vote(evidence(spark, sf_dir))
+
+
+PICKS_SQL = " UNION ALL ".join(f"(SELECT '{c}' AS criterion, k FROM ev ORDER BY {c} {'DESC' if up else 'ASC'}, k LIMIT 1)" for c, up in select.CRITERIA.items())
 
 
-@query(f"WITH {EV_SQL} " + " UNION ALL ".join(f"(SELECT '{c}' AS criterion, k FROM ev ORDER BY {c} {'DESC' if up else 'ASC'}, k LIMIT 1)" for c, up in select.CRITERIA.items()))
+@query(EV_SQL + " " + PICKS_SQL)
 def criterion_picks(spark, sf_dir):
-    return select.own_picks(select.evidence_table(spark, EVIDENCE))
+    return select.own_picks(evidence(spark, sf_dir))
 
 
-@query(f"WITH {EV_SQL}, v AS (" + " UNION ALL ".join(f"(SELECT '{c}' AS criterion, k FROM ev ORDER BY {c} {'DESC' if up else 'ASC'}, k LIMIT 1)" for c, up in select.CRITERIA.items()) + "), n AS (SELECT k, count(*)::BIGINT AS votes, max((criterion = 'silhouette')::INT) AS preferred FROM v GROUP BY 1) SELECT k, votes, preferred, row_number() OVER (ORDER BY votes DESC, preferred DESC, k) = 1 AS chosen FROM n")
+@query(EV_SQL + f", v AS ({PICKS_SQL}), n AS (SELECT k, count(*)::BIGINT AS votes, max((criterion = 'silhouette')::INT) AS preferred FROM v GROUP BY 1) SELECT k, votes, preferred, row_number() OVER (ORDER BY votes DESC, preferred DESC, k) = 1 AS chosen FROM n")
 def modal_vote(spark, sf_dir):
-    return select.modal_vote(select.own_picks(select.evidence_table(spark, EVIDENCE)))
+    return select.modal_vote(select.own_picks(evidence(spark, sf_dir)))
 
 
-@query(f"WITH g AS (SELECT * FROM (VALUES {_rows(GAPS)}) AS t(k, gap, s)), h AS (SELECT k, gap >= lead(gap) OVER (ORDER BY k) - lead(s) OVER (ORDER BY k) AS h FROM g) SELECT coalesce(min(k) FILTER (h), max(k)) AS k FROM h")
+CURVES_SQL = SURVEY_SQL + f""", sc AS (SELECT k, row_id % 10 AS part, {SUM} AS whole FROM aligned, (SELECT unnest(range(1, 9)) AS k)), ba AS (SELECT *, {_band_sql("whole")} AS band FROM sc),
+rf AS (SELECT k, -1 AS ref, band, whole FROM ba UNION ALL SELECT k, part, band, whole FROM ba), bw AS (SELECT k, ref, band, count(*) AS n, var_pop(whole) * count(*) AS w FROM rf GROUP BY ALL), lw AS (SELECT k, ref, ln(sum(w) / sum(n)) AS log_w FROM bw GROUP BY ALL),
+g AS (SELECT k, round(avg(log_w) FILTER (ref >= 0) - max(log_w) FILTER (ref < 0), 9) AS gap, round(stddev_pop(log_w) FILTER (ref >= 0) * sqrt(1 + 1 / 10.0::DOUBLE), 9) AS s FROM lw GROUP BY 1)"""
+
+
+@query(CURVES_SQL + ", h AS (SELECT k, gap >= lead(gap) OVER (ORDER BY k) - lead(s) OVER (ORDER BY k) AS h FROM g) SELECT coalesce(min(k) FILTER (h), max(k)) AS k FROM h")
 def one_se_rule(spark, sf_dir):
-    return select.one_se_rule(spark.createDataFrame(GAPS, "k int, gap double, s double"))
+    found = stability.gap_summary(bands.curves(aligned(spark, sf_dir), ITEM_NAMES), 10)
+    return select.one_se_rule(found.select("k", rounded(F.col("gap"), 9).alias("gap"), rounded(F.col("s"), 9).alias("s")))
 
 
-@query(f"WITH c AS (SELECT * FROM (VALUES {_rows(ELBOW)}) AS t(k, sse)), n AS (SELECT k, (k - 2) / 6.0::DOUBLE AS x, (sse - 2480) / 1620.0::DOUBLE AS y FROM c), d AS (SELECT k, abs(1 - x - y) / sqrt(2.0::DOUBLE) AS d FROM n) SELECT k AS knee, round(d, 6) AS distance FROM d ORDER BY round(d, 9) DESC, k LIMIT 1")
+@query(EV_SQL + ", e AS (SELECT min(k) AS k0, max(k) AS k1, min(sse) AS lo, max(sse) AS hi, arg_min(sse, k) AS y0, arg_max(sse, k) AS y1 FROM ev), c AS (SELECT k, (k - k0)::DOUBLE / (k1 - k0) AS x, (sse - lo) / (hi - lo) AS y, (y0 - lo) / (hi - lo) AS u0, (y1 - lo) / (hi - lo) AS u1 FROM ev, e), n AS (SELECT k, abs(u0 + (u1 - u0) * x - y) / sqrt(1 + (u1 - u0) ** 2) AS d FROM c) SELECT k AS knee, round(d, 6) AS distance FROM n ORDER BY round(d, 9) DESC, k LIMIT 1")
 def knee_point(spark, sf_dir):
-    return select.knee_point(spark.createDataFrame(ELBOW, "k int, sse double"))
+    return select.knee_point(evidence(spark, sf_dir))
 
 
 @query(f"WITH {TAGGED} SELECT row_id, answered, list_sort(list_filter([{', '.join(f'CASE WHEN answered AND {k} = 1 THEN ' + chr(39) + k + chr(39) + ' END' for k in TOPICS)}], lambda x: x IS NOT NULL)) AS themes FROM tg".replace("list_sort(", "array_to_string(list_sort(").replace(") AS themes", "), ',') AS themes"))
@@ -430,12 +462,13 @@ def holdout_gof(spark, sf_dir):
     return features.with_row(per, sums).agg((F.count("*") - 1).alias("dof"), rounded(F.sum(F.pow(F.col("o") - expected, 2) / expected)).alias("chi2"))
 
 
-EIGEN = [(1, 2.9), (2, 1.7), (3, 1.2), (4, 0.9), (5, 0.6), (6, 0.4), (7, 0.2), (8, 0.1)]
-
-
-@query(f"WITH v AS (SELECT * FROM (VALUES {_rows(EIGEN)}) AS t(pc, eigenvalue)), c AS (SELECT pc, eigenvalue, round(eigenvalue / sum(eigenvalue) OVER (), 6) AS share, round(sum(eigenvalue) OVER (ORDER BY pc) / sum(eigenvalue) OVER (), 6) AS cumulative FROM v) SELECT *, pc = (SELECT min(pc) FROM c WHERE cumulative >= 0.95) AS reaches FROM c")
+@query(f"WITH {EMB}, d AS (SELECT item, round(var_pop(value), 9) AS eigenvalue FROM vl GROUP BY 1), v AS (SELECT row_number() OVER (ORDER BY eigenvalue DESC, item)::INT AS pc, eigenvalue FROM d), c AS (SELECT pc, eigenvalue, round(eigenvalue / sum(eigenvalue) OVER (), 6) AS share, round(sum(eigenvalue) OVER (ORDER BY pc) / sum(eigenvalue) OVER (), 6) AS cumulative FROM v) SELECT *, pc = (SELECT min(pc) FROM c WHERE cumulative >= 0.95) AS reaches FROM c")
 def explained_variance(spark, sf_dir):
-    return select.explained(spark.createDataFrame(EIGEN, "pc int, eigenvalue double"))
+    """The axes of a diagonal covariance are the columns, its eigenvalues their variances."""
+    df, cols = vectors(spark, sf_dir)
+    spread = describe.unpivot(df, [], cols).groupBy("item").agg(rounded(F.var_pop("value"), 9).alias("eigenvalue"))
+    ranked = spread.select(F.row_number().over(W.orderBy(F.desc("eigenvalue"), "item")).alias("pc"), "eigenvalue")  # one row per column
+    return select.explained(ranked)
 
 
 @query("WITH q AS (SELECT quantile_cont(n_chars::DOUBLE, [0.25, 0.5, 0.75]) AS e FROM documents) SELECT doc_id, CASE WHEN n_chars <= e[1] THEN 'q1' WHEN n_chars <= e[2] THEN 'q2' WHEN n_chars <= e[3] THEN 'q3' ELSE 'q4' END AS bin FROM documents, q")
