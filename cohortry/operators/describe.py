@@ -124,12 +124,16 @@ def modal(df: DataFrame, group: str, col: str) -> DataFrame:
     return counts.withColumn("_k", F.row_number().over(first)).filter("_k = 1").select(group, F.col("level").alias(f"modal_{col}"), F.col("n").alias(f"n_modal_{col}"))
 
 
-def background_composition(df: DataFrame, label: str, ordinals: list[str], flags: list[str], nominal: str, levels: list[str]) -> DataFrame:
-    """Per cluster and for the whole sample: n, share, mean ordinals, share of flags, share of each level."""
+def background_composition(df: DataFrame, label: str, ordinals: list[str], flags: list[str], nominal: str, levels: list[str], modals: tuple[str, ...] = ()) -> DataFrame:
+    """Per cluster and for the whole sample: n, share, mean ordinals, share of flags, share of each level, and the commonest level of ``modals``."""
     n = F.count("*")
     rolled = df.rollup(label).agg(F.grouping_id().alias("_all"), n.alias("n"), *[rounded(F.avg(c)).alias(f"mean_{c}") for c in ordinals], *[rounded(100.0 * F.avg(F.col(c).cast("double"))).alias(f"pct_{c}") for c in flags], *[rounded(100.0 * F.count_if(F.col(nominal) == v) / n).alias(f"pct_{v}") for v in levels])
     whole = F.max(F.col("n")).over(W.partitionBy())
-    return rolled.select(F.when(F.col("_all") == 1, "SAMPLE").otherwise(F.col(label).cast("string")).alias("cluster"), "n", rounded(100.0 * F.col("n") / whole).alias("pct"), *[c for c in rolled.columns if c not in (label, "_all", "n")])
+    out = rolled.select(F.when(F.col("_all") == 1, "SAMPLE").otherwise(F.col(label).cast("string")).alias("cluster"), "n", rounded(100.0 * F.col("n") / whole).alias("pct"), *[c for c in rolled.columns if c not in (label, "_all", "n")])
+    for c in modals:
+        each = df.select(F.col(c), F.explode(F.array(F.col(label).cast("string"), F.lit("SAMPLE"))).alias("cluster"))
+        out = out.join(modal(each, "cluster", c).select("cluster", f"modal_{c}"), "cluster", "left")
+    return out
 
 
 def cluster_summary(df: DataFrame, label: str, strain: str, modals: list[str], flags: list[str]) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortry.functions.expressions import rounded
+from cohortry.operators.describe import modal
+
 
 def persona_names(profiles: DataFrame, phrases: dict[str, tuple[str, str]], eligible: list[str] | None = None, least: float = 0.35, most_terms: int = 3, fallback: str = "Average profile") -> DataFrame:
     """profiles: cluster, item, z. Up to ``most_terms`` strongest dimensions with abs(z) >= ``least`` become phrases (low, high), joined; repeated names get a number.
@@ -44,6 +47,19 @@ def recommendations(profiles: DataFrame, rules: list[tuple[str, str, str]], leas
     return wide.select("cluster", advice.otherwise(monitor).alias("advice"))
 
 
+def common_level(df: DataFrame, col: str) -> DataFrame:
+    """Per cluster: the most frequent level of a background column, and its share in percent."""
+    sizes = df.groupBy("cluster").agg(F.count("*").alias("_n"))
+    return modal(df, "cluster", col).join(sizes, "cluster").select("cluster", f"modal_{col}", rounded(100.0 * F.col(f"n_modal_{col}") / F.col("_n"), 1).alias(f"pct_modal_{col}"))
+
+
+def top_themes(df: DataFrame, themes: DataFrame, most: int = 3) -> DataFrame:
+    """Per cluster: its commonest themes (row_id, themes), joined."""
+    counts = df.select("row_id", "cluster").join(themes.select("row_id", F.explode("themes").alias("theme")), "row_id").groupBy("cluster", "theme").agg(F.count("*").alias("n"))
+    first = counts.withColumn("_k", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("n"), "theme"))).filter(F.col("_k") <= most)
+    return first.groupBy("cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "theme"))), lambda v: v["theme"]), ", ").alias("themes"))
+
+
 def cards(*parts: DataFrame) -> DataFrame:
     """One row per cluster: tables keyed by ``cluster``, side by side."""
     return reduce(lambda a, b: a.join(b, "cluster", "left"), parts)

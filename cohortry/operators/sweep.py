@@ -136,19 +136,11 @@ def quality(marked: DataFrame, size: int, found: list[Fit], largest: float = 0.8
     return rows
 
 
-def sweep(df: DataFrame, cols: list[str], ks=range(2, 9), algorithms: tuple[str, ...] = ALGORITHMS, largest: float = 0.80, key: str = "row_id", seed: int = 42) -> DataFrame:
-    """One row per algorithm and k, fitted on all rows: sizes, validity by centroids, what the fit reports, and whether one cluster has more than ``largest`` of the rows."""
-    found = fits(df, cols, ks, algorithms, seed, key)
-    marked = labelled(df, cols, found, key).cache()
-    rows = quality(marked, len(cols), found, largest)
-    marked.unpersist()
-    names = [c.split()[0] for c in ROW.split(", ")]
-    return df.sparkSession.createDataFrame([tuple(r[c] for c in names) for r in rows], ROW)
-
-
 def contingencies(marked: DataFrame, size: int, found: list[Fit]) -> dict[tuple[int, int], np.ndarray]:
-    """The table of counts of each pair of fits, in one pass."""
-    pairs = [(i, j) for i in range(len(found)) for j in range(i + 1, len(found))]
+    """The table of counts of each pair of fits of one k, in one pass."""
+    pairs = [(i, j) for i in range(len(found)) for j in range(i + 1, len(found)) if found[i].k == found[j].k]
+    if not pairs:
+        return {}
 
     def count(total, h, x):
         label = x[:, size:].T.astype(int)
@@ -159,17 +151,41 @@ def contingencies(marked: DataFrame, size: int, found: list[Fit]) -> dict[tuple[
     return dict(zip(pairs, (t.astype(np.int64) for t in tables), strict=True))
 
 
-def cross_algorithm(df: DataFrame, cols: list[str], ks, algorithms: tuple[str, ...] = ALGORITHMS, largest: float = 0.80, key: str = "row_id", seed: int = 42) -> DataFrame:
-    """k, a, b, ari, ami: agreement of all pairs of algorithms at each k, on all rows; a fit with one cluster above ``largest`` is left out."""
-    found = fits(df, cols, ks, algorithms, seed, key)
+def _agreement(found: list[Fit], tables: dict[tuple[int, int], np.ndarray], largest: float) -> list[tuple]:
+    """Pairs of fits of one k; one with a cluster above ``largest`` is left out."""
+    pairs = [(i, j) for (i, j), t in tables.items() if max(t.sum(1).max(), t.sum(0).max()) <= largest * t.sum()]
+    return [(found[i].k, found[i].algorithm, found[j].algorithm, float(ari_of_table(tables[i, j])), float(ami_of_table(tables[i, j]))) for i, j in pairs]
+
+
+def swept(df: DataFrame, cols: list[str], ks=range(2, 9), algorithms: tuple[str, ...] = ALGORITHMS, largest: float = 0.80, key: str = "row_id", seed: int = 42, starts: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Every algorithm at every k, fitted once on all rows. First a row for each: sizes, validity by centroids, what the fit reports, and whether one cluster
+    has more than ``largest`` of the rows (degenerate). Then k, a, b, ari, ami: agreement of all pairs of algorithms that are not."""
+    found = fits(df, cols, ks, algorithms, seed, key, starts)
     marked = labelled(df, cols, found, key).cache()
-    tables = contingencies(marked, len(cols), found)
+    rows, tables = quality(marked, len(cols), found, largest), contingencies(marked, len(cols), found)
     marked.unpersist()
-    rows = []
-    for (i, j), t in tables.items():
-        if found[i].k == found[j].k and max(t.sum(1).max(), t.sum(0).max()) <= largest * t.sum():
-            rows.append((found[i].k, found[i].algorithm, found[j].algorithm, float(ari_of_table(t)), float(ami_of_table(t))))
-    return df.sparkSession.createDataFrame(rows, "k int, a string, b string, ari double, ami double")
+    names, make = [c.split()[0] for c in ROW.split(", ")], df.sparkSession.createDataFrame
+    return make([tuple(r[c] for c in names) for r in rows], ROW), make(_agreement(found, tables, largest), "k int, a string, b string, ari double, ami double")
+
+
+def sweep(df: DataFrame, cols: list[str], ks=range(2, 9), algorithms: tuple[str, ...] = ALGORITHMS, **settings) -> DataFrame:
+    return swept(df, cols, ks, algorithms, **settings)[0]
+
+
+def cross_algorithm(df: DataFrame, cols: list[str], ks, algorithms: tuple[str, ...] = ALGORITHMS, **settings) -> DataFrame:
+    return swept(df, cols, ks, algorithms, **settings)[1]
+
+
+def seed_stability(df: DataFrame, cols: list[str], k: int, trials: int = 20, key: str = "row_id", seed: int = 1_000) -> DataFrame:
+    """Agreement of all pairs of k-means fits with different seeds, on all rows: mean, least, share above .99."""
+    points = _points(df, cols, key).cache()
+    centres, _, _ = many_kmeans(points, len(cols), [(k, i) for i in range(trials)], lambda h, x, t: x, seed=seed)
+    points.unpersist()
+    found = [Fit("kmeans", k, ("centres", c, None)) for c in centres]
+    marked = labelled(df, cols, found, key).cache()
+    aris = [float(ari_of_table(t)) for t in contingencies(marked, len(cols), found).values()]
+    marked.unpersist()
+    return df.sparkSession.createDataFrame([(k, float(np.mean(aris)), min(aris), float(np.mean(np.array(aris) > 0.99)))], "k int, mean_ari double, min_ari double, above_99 double")
 
 
 def compare_labelings(df: DataFrame, labelings: list[str]) -> DataFrame:

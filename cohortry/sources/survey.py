@@ -8,17 +8,21 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortry.operators.features import build_background
+
 
 @dataclass(frozen=True)
 class SurveySpec:
-    """A positional questionnaire export: names by position, keywords that headers must hold, items and their direction."""
+    """A positional questionnaire export: names by position, keywords that headers must hold, items and their direction, free texts,
+    banded columns with their bands in order, and columns that are flags where an answer starts with a stem."""
 
     names: tuple[str, ...]
     keywords: dict[int, str] = field(default_factory=dict)
     items: tuple[str, ...] = ()
     reversed_items: tuple[str, ...] = ()
     texts: tuple[str, ...] = ()
-    bands: tuple[str, ...] = ()
+    bands: dict[str, list[str]] = field(default_factory=dict)
+    flags: dict[str, str] = field(default_factory=dict)
     low: int = 1
     high: int = 5
 
@@ -33,10 +37,11 @@ def validate_schema(df: DataFrame, spec: SurveySpec) -> list[str]:
 
 
 def named(df: DataFrame, spec: SurveySpec) -> DataFrame:
-    """Columns renamed by position, items cast to int (what is no integer becomes null)."""
+    """Columns renamed by position, items cast to int (what is no integer becomes null), and the background built: texts trimmed, flags as 0/1, bands numbered in ``<name>_ord``."""
     validate_schema(df, spec)
     out = df.toDF(*spec.names)
-    return out.withColumns({c: F.expr(f"try_cast(`{c}` AS int)") for c in spec.items})
+    out = out.withColumns({c: F.expr(f"try_cast(`{c}` AS int)") for c in spec.items})
+    return build_background(out, list(spec.texts), spec.flags, spec.bands)
 
 
 def sheet(spark: SparkSession, rows) -> DataFrame:

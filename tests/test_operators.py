@@ -26,16 +26,21 @@ def answers(spark):
     return spark.createDataFrame(rows, "row_id long, " + ", ".join(f"{q} int" for q in ITEMS) + ", grp string, cluster int").cache()
 
 
+#: Published evidence per k (in the order of select.EVIDENCE) and a published gap curve.
+EVIDENCE = [(2, 0.1682, 2.0890, 142.0799, 11690.7602, 0.8659, 0.3641, 0.4067, 0.4333), (3, 0.1390, 1.9708, 120.7618, 11748.5476, 0.8114, 0.3392, 0.5992, 0.2478), (4, 0.1338, 1.8361, 106.9322, 8968.6794, 0.5843, 0.1839, 0.6812, 0.1754), (5, 0.1315, 1.8338, 100.0347, 10312.6403, 0.4833, 0.1999, 0.6528, 0.1391), (6, 0.1369, 1.7270, 95.4536, 9193.7936, 0.5605, 0.2066, 0.6680, 0.1246), (7, 0.1412, 1.6338, 92.2068, 8052.2096, 0.6407, 0.1971, 0.6902, 0.1159), (8, 0.1400, 1.5708, 88.7523, 7192.1438, 0.6508, 0.1833, 0.7055, 0.1014)]
+GAPS = [(1, 1.345825, 0.012470), (2, 1.339336, 0.013495), (3, 1.320001, 0.014258), (4, 1.311313, 0.014642), (5, 1.312535, 0.013433), (6, 1.312995, 0.011866), (7, 1.326548, 0.014543), (8, 1.330037, 0.015978)]
+
+
 def test_vote_matches_the_published_decision(spark):
-    got = {r.k: r for r in select.screen_and_vote(select.evidence_table(spark, catalogue.EVIDENCE)).collect()}
+    got = {r.k: r for r in select.screen_and_vote(select.evidence_table(spark, EVIDENCE)).collect()}
     assert [k for k, r in got.items() if r.chosen] == [3]
     assert {k: round(r.mean_rank, 6) for k, r in got.items() if r.mean_rank} == {3: 1.857143, 4: 2.0, 6: 2.142857}
     assert {k: r.reasons for k, r in got.items() if r.reasons} == {2: "level only", 5: "unstable", 7: "above cap", 8: "above cap"}
-    assert select.one_se_rule(spark.createDataFrame(catalogue.GAPS, "k int, gap double, s double")).first()[0] == 1
-    assert tuple(select.runner_up(select.screen_and_vote(select.evidence_table(spark, catalogue.EVIDENCE))).first()) == (4, 0.142857)
-    worst = [(*r[:5], 0.1, *r[6:]) for r in catalogue.EVIDENCE]  # nobody survives: the smallest k
+    assert select.one_se_rule(spark.createDataFrame(GAPS, "k int, gap double, s double")).first()[0] == 1
+    assert tuple(select.runner_up(select.screen_and_vote(select.evidence_table(spark, EVIDENCE))).first()) == (4, 0.142857)
+    worst = [(*r[:5], 0.1, *r[6:]) for r in EVIDENCE]  # nobody survives: the smallest k
     assert [r.k for r in select.screen_and_vote(select.evidence_table(spark, worst)).collect() if r.chosen] == [2]
-    both = select.evidence_table(spark, catalogue.EVIDENCE)
+    both = select.evidence_table(spark, EVIDENCE)
     spaces = both.withColumn("space", F.lit("x")).unionByName(both.withColumn("differentiation", F.col("differentiation") + 0.01).withColumn("space", F.lit("y")))
     assert [r.space for r in select.choose_space(spaces).collect() if r.chosen] == ["y"]
 
@@ -241,8 +246,12 @@ def test_streams(spark, bundle, tmp_path):
 
 
 def test_whole_run(spark, answers, tmp_path):
-    fast = segmentation.Settings(ks=range(2, 4), starts=2, resamples=3, references=2, simulations=10, seeds=2, algorithms=("kmeans", "gmm_full"), most_rows=150)
-    run = segmentation.run(answers.drop("cluster"), ITEMS, ["q3"], ["grp"], fast)
+    fast = segmentation.Settings(ks=range(2, 4), starts=2, resamples=3, references=2, simulations=10, seeds=2, algorithms=("kmeans", "gmm_full"), secondary_k=4)
+    themes = answers.select("row_id", F.array(F.lit("t"), F.concat(F.lit("u"), F.col("grp"))).alias("themes"))
+    run = segmentation.run(answers.drop("cluster"), ITEMS, ["q3"], ["grp"], fast, themes=themes)
+    cards = run.tables["cards"].collect()
+    assert len(cards) == run.facts["k"] and all(r.modal_grp is not None and 0 < r.pct_modal_grp <= 100 and r.themes.startswith("t") and r.advice for r in cards)
+    assert run.facts["secondary"]["k"] == 4 and run.facts["secondary"]["ari"] <= 1 and run.tables["secondary_personas"].count() == 4
     assert run.labelled.count() == 240 and run.facts["k"] in (2, 3)
     # scoring the stored rows again gives the stored persona
     stored = {r.row_id: r.persona for r in run.labelled.collect()}
@@ -250,7 +259,8 @@ def test_whole_run(spark, answers, tmp_path):
     assert set(stored.values()) <= set(run.bundle.names)
     segmentation.persist(run, answers, str(tmp_path / "out"))
     kept = spark.read.parquet(str(tmp_path / "out/assignments"))
-    assert kept.count() == 240 and {"cluster", "persona", "split", "distance_to_own_centroid"} <= set(kept.columns)
+    assert kept.count() == 240 and {"cluster", "persona", "split", "distance_to_own_centroid", "silhouette"} <= set(kept.columns)
+    assert kept.filter("silhouette < 0 or silhouette > 1").count() == 0 and "=>" in spark.read.text(str(tmp_path / "out/rules"), wholetext=True).first()[0]
     assert scoring.Bundle.load(spark, str(tmp_path / "out/scorer")) == run.bundle
     assert json.loads(spark.read.text(str(tmp_path / "out/results")).first()[0])["k"] == run.facts["k"]
 
