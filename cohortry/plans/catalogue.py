@@ -216,10 +216,10 @@ def eta_squared(spark, sf_dir):
     return associate.eta_squared(labelled(spark, sf_dir), ITEM_NAMES)
 
 
-@query(f"WITH {EMB} SELECT cluster, count(*)::BIGINT AS n, {', '.join(f'round(avg({x}), 6) AS {x}' for x in XS[:8])}, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM vec GROUP BY 1")
+@query(f"WITH {EMB} SELECT cluster, count(*)::BIGINT AS n, {', '.join(f'round(avg({x}), 6) AS {x}' for x in XS)}, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM vec GROUP BY 1")
 def cluster_profiles(spark, sf_dir):
     df, cols = vectors(spark, sf_dir)
-    return describe.cluster_profiles(df, cols[:8])
+    return describe.cluster_profiles(df, cols)
 
 
 @query("SELECT count(*)::BIGINT AS k, min(n)::BIGINT AS min_size, max(n)::BIGINT AS max_size, round(min(n)::DOUBLE / sum(n), 6) AS min_frac, round(max(n)::DOUBLE / sum(n), 6) AS max_frac FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)")
@@ -295,13 +295,12 @@ def canonical_labels(spark, sf_dir):
     return validity.canonical_labels(*vectors(spark, sf_dir))
 
 
-CENTRES = [[0.1, 0.1, 0.0, -0.1], [-0.1, 0.0, 0.1, 0.1], [0.0, -0.1, -0.1, 0.2]]
-
-
-@query("WITH e AS (SELECT vec_id AS row_id, embedding AS v FROM embeddings), c AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {m})" for i, m in enumerate(CENTRES)) + ") AS t(c, m)), d AS (SELECT row_id, c, sqrt((v[1]::DOUBLE - m[1]::DOUBLE) ** 2 + (v[2]::DOUBLE - m[2]::DOUBLE) ** 2 + (v[3]::DOUBLE - m[3]::DOUBLE) ** 2 + (v[4]::DOUBLE - m[4]::DOUBLE) ** 2) AS d FROM e, c), k AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, c) AS k FROM d) SELECT row_id, max(c) FILTER (k = 1)::INT AS cluster, round(max(d) FILTER (k = 1), 6) AS distance, round(max(d) FILTER (k = 2) - max(d) FILTER (k = 1), 6) AS margin FROM k GROUP BY 1")
+@query(f"WITH {EMB}, c AS (SELECT cluster AS c, item, avg(value) AS m FROM vl WHERE cluster < 3 GROUP BY ALL), d AS (SELECT row_id, c, sqrt(sum((value - m) ** 2)) AS d FROM vl JOIN c USING (item) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, c) AS k FROM d) SELECT row_id, max(c) FILTER (k = 1)::INT AS cluster, round(max(d) FILTER (k = 1), 6) AS distance, round(max(d) FILTER (k = 2) - max(d) FILTER (k = 1), 6) AS margin FROM k GROUP BY 1")
 def nearest_centroid(spark, sf_dir):
+    """All rows against the centroids of the first three labels."""
     df, cols = vectors(spark, sf_dir)
-    return validity.nearest_centroid(df, cols[:4], CENTRES)
+    centres = validity.centroids(df.filter("cluster < 3"), cols).orderBy("cluster").collect()  # three rows
+    return validity.nearest_centroid(df, cols, [[r[c] for c in cols] for r in centres])
 
 
 @query(SURVEY_SQL + """, r AS (SELECT (max(year) - min(year))::DOUBLE AS y, (max(band) - min(band))::DOUBLE AS b FROM survey), p AS (SELECT a.row_id AS q, s.row_id AS other, round((abs(s.year - a.year) / y + abs(s.band - a.band) / b + (s.living <> a.living)::INT + (s.department <> a.department)::INT) / 4.0::DOUBLE, 6) AS distance FROM survey a JOIN survey s ON a.row_id <> s.row_id, r WHERE a.row_id % 50 = 0),
@@ -409,7 +408,7 @@ def text_profile(spark, sf_dir):
     return text.text_profile(read(spark, sf_dir, "documents"), "text", ("the ", " und "))
 
 
-TWO = """, dn AS (SELECT count(*) AS n FROM documents), a1 AS (SELECT row_id, text FROM survey, dn JOIN documents ON doc_id = row_id % n WHERE row_id % 3 <> 0), a2 AS (SELECT row_id, text FROM survey, dn JOIN documents ON doc_id = (7 * row_id + 3) % n WHERE row_id % 4 <> 0)"""
+TWO = """, dn AS (SELECT count(*) AS n FROM documents), a1 AS (SELECT row_id, text FROM survey, dn JOIN documents ON doc_id = row_id % n), a2 AS (SELECT row_id, text FROM survey, dn JOIN documents ON doc_id = (7 * row_id + 3) % n)"""
 
 
 @query(SURVEY_SQL + TWO + f""", b AS (SELECT row_id, a1.text AS t1, a2.text AS t2 FROM a1 JOIN a2 USING (row_id) WHERE trim(a1.text) <> '' AND trim(a2.text) <> ''),
@@ -418,8 +417,8 @@ SELECT theme, count(*)::BIGINT AS n, round(100.0::DOUBLE * avg(x::INT), 6) AS pc
 def paired_shift(spark, sf_dir):
     docs, people = tagged_documents(spark, sf_dir).select(F.col("row_id").alias("doc_id"), "answered", "themes"), read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"))
     n = docs.count()
-    first = people.filter("row_id % 3 <> 0").withColumn("doc_id", F.col("row_id") % n).join(docs, "doc_id")
-    second = people.filter("row_id % 4 <> 0").withColumn("doc_id", (7 * F.col("row_id") + 3) % n).join(docs, "doc_id")
+    first = people.withColumn("doc_id", F.col("row_id") % n).join(docs, "doc_id")
+    second = people.withColumn("doc_id", (7 * F.col("row_id") + 3) % n).join(docs, "doc_id")
     return text.paired_shift(first, second)
 
 
@@ -499,12 +498,12 @@ def theme_strain(spark, sf_dir):
     return text.theme_strain(tagged_documents(spark, sf_dir).join(strain, "row_id"), "strain", list(TOPICS))
 
 
-@query(SURVEY_SQL + f", x AS (SELECT ({SUM}) / 12.0::DOUBLE AS v, (row_id % 3 <> 0 AND coalesce(trim(text), '') <> '')::INT AS a FROM aligned LEFT JOIN documents ON doc_id = row_id), s AS (SELECT count(*) FILTER (a = 1) AS n1, count(*) FILTER (a = 0) AS n0, avg(v) FILTER (a = 1) AS m1, avg(v) FILTER (a = 0) AS m0, var_samp(v) FILTER (a = 1) AS v1, var_samp(v) FILTER (a = 0) AS v0 FROM x) SELECT n1, n0, round(m1, 6) AS mean1, round(m0, 6) AS mean0, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) AS t, round((v1 / n1 + v0 / n0) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v0 / n0) ** 2 / (n0 - 1)), 6) AS dof, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) AS d FROM s")
+@query(SURVEY_SQL + f", x AS (SELECT ({SUM}) / 12.0::DOUBLE AS v, (coalesce(trim(text), '') <> '')::INT AS a FROM aligned LEFT JOIN documents ON doc_id = row_id), s AS (SELECT count(*) FILTER (a = 1) AS n1, count(*) FILTER (a = 0) AS n0, avg(v) FILTER (a = 1) AS m1, avg(v) FILTER (a = 0) AS m0, var_samp(v) FILTER (a = 1) AS v1, var_samp(v) FILTER (a = 0) AS v0 FROM x) SELECT n1, n0, round(m1, 6) AS mean1, round(m0, 6) AS mean0, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) AS t, round((v1 / n1 + v0 / n0) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v0 / n0) ** 2 / (n0 - 1)), 6) AS dof, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) AS d FROM s")
 def answered_vs_skipped(spark, sf_dir):
     from cohortry.functions.expressions import answered
 
     both = aligned(spark, sf_dir).join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text"), "row_id", "left")
-    return associate.welch(both.select(row_mean(ITEM_NAMES).alias("strain"), ((F.col("row_id") % 3 != 0) & answered(F.col("text"))).cast("int").alias("answered")), "answered", "strain")
+    return associate.welch(both.select(row_mean(ITEM_NAMES).alias("strain"), answered(F.col("text")).cast("int").alias("answered")), "answered", "strain")
 
 
 @query(f"WITH {TAGGED}, t AS (SELECT row_id, coalesce(list_min([{', '.join(f'CASE WHEN answered AND {k} = 1 THEN ' + chr(39) + k + chr(39) + ' END' for k in TOPICS)}]), 'none') AS theme FROM tg), b AS (SELECT label, theme FROM embeddings JOIN t ON vec_id = row_id), c AS (SELECT label AS a, theme AS b, count(*)::DOUBLE AS n FROM b GROUP BY ALL), r AS (SELECT a, sum(n) AS n, max(n) AS m FROM c GROUP BY 1), k AS (SELECT b, sum(n) AS n FROM c GROUP BY 1), o AS (SELECT (SELECT sum(n) FROM c) AS t, (SELECT sum(n * (n - 1) / 2) FROM c) AS ij, (SELECT sum(n * (n - 1) / 2) FROM r) AS i, (SELECT sum(n * (n - 1) / 2) FROM k) AS j, (SELECT sum(m) FROM r) AS major, (SELECT max(n) FROM k) AS base, (SELECT -sum(n / t * ln(n / t)) FROM r, (SELECT sum(n) AS t FROM c)) AS ha, (SELECT -sum(n / t * ln(n / t)) FROM k, (SELECT sum(n) AS t FROM c)) AS hb, (SELECT -sum(n / t * ln(n / t)) FROM c, (SELECT sum(n) AS t FROM c)) AS hab) SELECT t::BIGINT AS n, round((ij - i * j / (t * (t - 1) / 2)) / ((i + j) / 2 - i * j / (t * (t - 1) / 2)), 6) AS ari, round(2 * (ha + hb - hab) / (ha + hb), 6) AS nmi, round(major / t, 6) AS majority_accuracy, round(base / t, 6) AS baseline FROM o")
