@@ -7,7 +7,10 @@ until a pre-token of the new text ends where one of the old text did. Only these
 sums above them are updated. Everything else keeps its counts. A leaf is as long as its pre-token: a run of letters with no other
 character in it is one, as is what lies between digits in a word with characters outside the Latin ranges.
 
-Null text: empty. Null edits: none. Edits apply in order, each to the text that the ones before have left; a range beyond the
+:func:`keep` writes the leaves down beside each text, and :func:`apply_edits` takes and gives such a table: trees are rebuilt from the kept
+counts, and only what edits touch is encoded. :func:`recount` does both at once for one round of edits.
+
+Null text: empty. Null edits, or a null among them: none. Edits apply in order, each to the text that the ones before have left; a range beyond the
 end of the text stops there. Equal rows get equal results.
 """
 
@@ -49,6 +52,20 @@ class CountTree:
         starts = np.repeat(begins, per_word) + inside - np.repeat(inside[firsts], per_word)
         self._build(text, np.concatenate([[0], starts[1:], [len(text)]]), leaves[:, 2])
 
+    @classmethod
+    def kept(cls, text: str, lengths: np.ndarray, tokens: np.ndarray, encoder: WordIds) -> CountTree:
+        """The tree of leaves that were written down; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.encoder, tree.encoded = encoder, 0
+        tree._build(text, np.concatenate([[0], np.cumsum(lengths)]), tokens)
+        return tree
+
+    def leaves(self) -> tuple[str, np.ndarray, np.ndarray]:
+        """The text as it is now, and the length and tokens of each leaf."""
+        chars, tokens = self.chars[self.width :], self.tokens[self.width :]
+        some = chars > 0
+        return "".join(self._text(i) for i in np.flatnonzero(some)), chars[some], tokens[some]
+
     def _build(self, text: str, edges: np.ndarray, tokens: np.ndarray) -> None:
         self.text, self.edges, self.changed = text, edges, {}
         leaves = max(1, len(edges) - 1)
@@ -146,6 +163,52 @@ class CountTree:
         self._build(texts, np.concatenate([[0], np.cumsum(lengths[kept])]), counts[kept])
 
 
+def _edited(tree: CountTree, changes: list[dict | None] | None) -> int:
+    """Applies edits, and says how many there were."""
+    made = [c for c in changes or () if c]
+    for change in made:
+        tree.edit(change["start"] or 0, change["removed"] or 0, change["inserted"] or "")
+    return len(made)
+
+
+KEPT = "text string, lengths array<int>, tokens array<int>"
+
+
+def keep(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, text, and the length and tokens of each leaf: the trees of all texts, as a table to be written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, ints = word_ids(vocabulary), pa.list_(pa.int32())
+        for batch in batches:
+            for part in slices(batch, 1):
+                found = [CountTree(text, leaves, encoder).leaves() for leaves, text in zip(encoder.all_leaves(part.column(1)), part.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array([f[i].tolist() for f in found], ints) for i in (1, 2)]], names=["doc_id", "text", "lengths", "tokens"])
+
+    ship_code(docs.sparkSession)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text")).mapInArrow(run, f"doc_id long, {KEPT}")
+
+
+def apply_edits(kept: DataFrame, edits: Column, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The table of :func:`keep` after ``edits``, with n_tokens, n_edits, edited_n_tokens and encoded_chars (0 for a text without edits)."""
+    counts = ["n_tokens", "n_edits", "edited_n_tokens", "encoded_chars"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, ints = word_ids(vocabulary), pa.list_(pa.int32())
+        for batch in batches:
+            for part in slices(batch, 1):
+                texts, trees, out = part.column(1).to_pylist(), [], []
+                for text, lengths, tokens, changes in zip(texts, *(c.to_pylist() for c in part.columns[2:]), strict=True):
+                    tree = CountTree.kept(text or "", np.array(lengths or [], np.int64), np.array(tokens or [], np.int64), encoder)
+                    before = tree.count
+                    out.append((before, _edited(tree, changes), tree.count, tree.encoded))
+                    trees.append(tree.leaves())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t[0] for t in trees], pa.string()), *[pa.array([t[i].tolist() for t in trees], ints) for i in (1, 2)], *[pa.array(x, pa.int64()) for x in zip(*out, strict=True)]], names=["doc_id", "text", "lengths", "tokens", *counts])
+
+    ship_code(kept.sparkSession)
+    rows = kept.select("doc_id", "text", "lengths", "tokens", edits.alias("edits"))
+    return rows.mapInArrow(run, f"doc_id long, {KEPT}, " + ", ".join(f"{c} long" for c in counts))
+
+
 def recount(docs: DataFrame, edits: Column, vocabulary: str = VOCABULARY) -> DataFrame:
     """``edits``: an array of (start, removed, inserted) in code points, per row of ``docs``.
 
@@ -161,9 +224,7 @@ def recount(docs: DataFrame, edits: Column, vocabulary: str = VOCABULARY) -> Dat
                 for leaves, doc, text, changes in zip(encoder.all_leaves(part.column(1)), *(c.to_pylist() for c in part.columns), strict=True):
                     tree = CountTree(text, leaves, encoder)
                     before = tree.count
-                    for change in changes or ():
-                        tree.edit(change["start"] or 0, change["removed"] or 0, change["inserted"] or "")
-                    out.append((doc, before, len(changes or ()), tree.length, tree.count, tree.encoded))
+                    out.append((doc, before, _edited(tree, changes), tree.length, tree.count, tree.encoded))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=names)
 
     ship_code(docs.sparkSession)

@@ -318,6 +318,26 @@ def test_recount(spark, docs, empty, words):
     assert recount.recount(empty, F.array().cast("array<struct<start:bigint,removed:bigint,inserted:string>>")).count() == 0
 
 
+def test_kept_trees(spark, docs, empty, words):
+    """Leaves written down and taken up again give the same counts, and encode only what edits touch."""
+    count = lambda t: len(words.tokenizer.encode(t, add_special_tokens=False).ids)
+    kept = recount.keep(docs).cache()
+    for r in kept.collect():
+        assert sum(r.lengths) == len(r.text) and sum(r.tokens) == count(r.text) and len(r.lengths) == len(r.tokens)
+    none = F.lit(None).cast("array<struct<start:bigint,removed:bigint,inserted:string>>")
+    still = recount.apply_edits(kept, none)
+    same([(r.doc_id, r.text, r.lengths, r.tokens, r.n_edits, r.encoded_chars) for r in still.collect()], [(r.doc_id, r.text, r.lengths, r.tokens, 0, 0) for r in kept.collect()])
+    once = recount.apply_edits(kept, F.when(F.col("doc_id") != 7, recount.sample_edits(F.col("text")))).cache()
+    twice = recount.apply_edits(once, F.array(F.struct(F.lit(3).cast("long").alias("start"), F.lit(2).cast("long").alias("removed"), F.lit("ab c").alias("inserted")), none[0]))
+    for r in [*once.collect(), *twice.collect()]:
+        assert r.edited_n_tokens == sum(r.tokens) == count(r.text) and sum(r.lengths) == len(r.text)
+        assert r.doc_id != 7 or r.encoded_chars < 100
+    assert {r.n_edits for r in twice.collect()} == {1} and {r.encoded_chars for r in once.collect() if r.doc_id == 7} == {0}
+    got = recount.recount(docs, F.array(none[0], F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("removed"), F.lit("x ").alias("inserted")))).collect()
+    same([(r.doc_id, r.n_edits, r.edited_n_tokens) for r in got], [(d, 1, count("x " + t)) for d, t in texts()])
+    assert recount.keep(empty).count() == 0
+
+
 def test_count_tree_random_edits(words):
     rng = np.random.default_rng(0)
     for round_ in range(240):
