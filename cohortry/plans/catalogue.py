@@ -593,6 +593,22 @@ def ward_clusters(spark, sf_dir):
     return agglomerate(df, cols, 3)
 
 
+@query()
+def spectral_clusters(spark, sf_dir):
+    from cohortry.operators.neighbours import spectral
+
+    df, cols = vectors(spark, sf_dir)
+    return spectral(df, cols, 3)
+
+
+@query()
+def density_clusters(spark, sf_dir):
+    from cohortry.operators.density import density_clusters as found
+
+    df, cols = vectors(spark, sf_dir)
+    return found(df, cols)
+
+
 @query()
 def gower_medoids(spark, sf_dir):
     from cohortry.operators.medoid import medoids
