@@ -6,7 +6,7 @@ import pytest
 from cohortry.operators import associate, density, stability
 
 
-def moons(n=60, seed=8):
+def moons(n=40, seed=8):
     rng = np.random.default_rng(seed)
     t = rng.uniform(0, np.pi, n)
     x = np.vstack([np.column_stack([np.cos(t), np.sin(t)]), np.column_stack([1 - np.cos(t), 0.4 - np.sin(t)]) + [0, -0.6], rng.normal([4, 3], 0.15, (n // 2, 2))])
@@ -75,7 +75,7 @@ def plain(x, least, samples):
     return labels
 
 
-@pytest.mark.parametrize(("seed", "least"), [(8, 10), (9, 6)])
+@pytest.mark.parametrize(("seed", "least"), [(8, 8)])
 def test_labels_are_those_of_the_full_tree(spark, seed, least):
     x = moons(seed=seed)
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "row_id long, a double, b double").repartition(3)
