@@ -1,16 +1,11 @@
-"""Clusterers: MLlib over DataFrames of any size, and numpy fits on blocks for what MLlib lacks.
-
-``KMEANS``-like numpy fits run inside the tasks of :mod:`fanout`; agglomeration, spectral and medoid methods need all pairs
-of a block and raise beyond ``MOST_PAIRS`` rows.
-"""
+"""Plain fits and indices of a block of rows in memory: what the tests hold the whole-table operators against, and the fits of
+:func:`stability.consensus`. Agglomeration and spectral clusters need all pairs of the block and raise beyond ``MOST_PAIRS`` rows."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
 
 MOST_PAIRS = 5_000
 
@@ -165,56 +160,6 @@ def spectral(z: np.ndarray, k: int, neighbours: int = 15, seed: int = 42) -> np.
     return kmeans(vectors[:, -k:] * s[:, None], k, seed)[0]
 
 
-def medoids(d: np.ndarray, k: int, seed: int = 42, starts: int = 10) -> tuple[np.ndarray, float]:
-    """Partition around medoids of a distance matrix: alternate between assignment and the best centre of each part."""
-    best = None
-    for start in range(starts):
-        rng = np.random.default_rng([seed, k, start])
-        chosen = [int(rng.integers(len(d)))]
-        while len(chosen) < k:
-            p = d[:, chosen].min(1) ** 2
-            chosen.append(int(rng.choice(len(d), p=p / p.sum())) if p.sum() else int(rng.integers(len(d))))
-        for _ in range(100):
-            labels = d[:, chosen].argmin(1)
-            new = [int(m[d[np.ix_(m, m)].sum(0).argmin()]) if len(m := np.flatnonzero(labels == c)) else chosen[c] for c in range(k)]
-            if new == chosen:
-                break
-            chosen = new
-        cost = float(d[:, chosen].min(1).sum())
-        if best is None or cost < best[1]:
-            best = d[:, chosen].argmin(1), cost
-    return best
-
-
-def fit_block(algorithm: str, z: np.ndarray, k: int, seed: int = 42, starts: int = 25) -> dict:
-    """One registered algorithm on a block: labels in canonical order and what else it reports."""
-    return ALGORITHMS[algorithm](z, k, seed, starts)
-
-
-def _kmeans(z, k, seed, starts):
-    labels, _, inertia = kmeans(z, k, seed, starts)
-    return {"labels": canonical(z, labels), "inertia": inertia}
-
-
-def _mixture(diagonal: bool):
-    def fit(z, k, seed, starts):
-        g = gaussian_mixture(z, k, diagonal, seed, max(1, min(5, starts // 5)))
-        p = np.clip(g["memberships"], 1e-12, 1)
-        return {"labels": canonical(z, g["labels"]), "bic": g["bic"], "entropy": float(1 + (p * np.log(p)).sum() / (len(z) * math.log(k)))}
-
-    return fit
-
-
-def _tree(linkage: str):
-    return lambda z, k, seed, starts: {"labels": canonical(z, cut_tree(merge_tree(z, linkage), len(z), k))}
-
-
-ALGORITHMS: dict[str, Callable] = {
-    "kmeans": _kmeans, "gmm_full": _mixture(False), "gmm_diag": _mixture(True), "ward": _tree("ward"), "complete": _tree("complete"), "average": _tree("average"),
-    "spectral": lambda z, k, seed, starts: {"labels": canonical(z, spectral(z, k, seed=seed))},
-}
-
-
 def indices(z: np.ndarray, labels: np.ndarray) -> dict:
     """Silhouette, Davies-Bouldin, Calinski-Harabasz, sizes and differentiation of a block."""
     ids, where = np.unique(labels, return_inverse=True)
@@ -239,87 +184,3 @@ def indices(z: np.ndarray, labels: np.ndarray) -> dict:
     level = delta.mean(1)
     ss_level, ss_shape = (sizes * z.shape[1] * level**2).sum(), (sizes[:, None] * (delta - level[:, None]) ** 2).sum()
     return out | {"silhouette": float(s.mean()), "davies_bouldin": float(((spread[:, None] + spread) / gaps).max(1).mean()), "calinski_harabasz": float((between / (k - 1)) / (within / (n - k))), "ss_level": float(ss_level), "ss_shape": float(ss_shape), "between_ss": float(between), "differentiation": float(ss_shape / between) if between else 0.0}
-
-
-def kmeans_distributed(df: DataFrame, cols: list[str], k: int, restarts: int = 5, seed: int = 42):
-    """MLlib k-means on all rows: the best of several starts by training cost. Gives the model and a DataFrame with ``cluster``."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    ready = VectorAssembler(inputCols=cols, outputCol="_features").transform(df).cache()
-    models = [KMeans(k=k, seed=seed + i, featuresCol="_features", predictionCol="cluster", maxIter=100).fit(ready) for i in range(restarts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    ready.unpersist()
-    return best, best.transform(VectorAssembler(inputCols=cols, outputCol="_features").transform(df)).drop("_features")
-
-
-def mixture_distributed(df: DataFrame, cols: list[str], k: int, seed: int = 42):
-    """MLlib full-covariance mixture on all rows, and its BIC."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-
-    ready = VectorAssembler(inputCols=cols, outputCol="_features").transform(df).cache()
-    model = GaussianMixture(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(ready)
-    d, n = len(cols), ready.count()
-    free = k - 1 + k * d + k * d * (d + 1) // 2
-    bic = free * math.log(n) - 2 * model.summary.logLikelihood
-    ready.unpersist()
-    return model, bic
-
-
-def hierarchical(z: np.ndarray, ks, linkages=("ward", "complete", "average"), largest: float = 0.90) -> tuple[list[dict], str | None]:
-    """Per linkage: cophenetic correlation, last merge heights, and whether some k leaves a cluster above ``largest``; and the linkage to report, the one that follows the distances best among the rest."""
-    out = []
-    for name in linkages:
-        merges = merge_tree(z, name)
-        worst = max(np.bincount(cut_tree(merges, len(z), k)).max() / len(z) for k in ks)
-        out.append({"linkage": name, "cophenetic": cophenetic(z, merges), "heights": [float(h) for h in merges[-10:, 2]], "largest_frac": float(worst), "degenerate": bool(worst > largest)})
-    sound = [r for r in out if not r["degenerate"]]
-    return out, max(sound, key=lambda r: r["cophenetic"])["linkage"] if sound else None
-
-
-def distance_silhouette(d: np.ndarray, labels: np.ndarray) -> float:
-    """Mean silhouette from a distance matrix."""
-    ids, where = np.unique(labels, return_inverse=True)
-    if not 2 <= len(ids) < len(d):
-        return math.nan
-    sizes = np.bincount(where)
-    sums = d @ np.eye(len(ids))[where]
-    own = sums[range(len(d)), where] / np.maximum(sizes[where] - 1, 1)
-    mean = sums / sizes
-    mean[range(len(d)), where] = np.inf
-    other = mean.min(1)
-    return float(np.where(sizes[where] > 1, (other - own) / np.maximum(np.maximum(own, other), 1e-300), 0).mean())
-
-
-def medoid_sweep(d: np.ndarray, ks, seed: int = 42) -> list[dict]:
-    """Cost and silhouette of medoid partitions of a distance matrix, per k."""
-    out = []
-    for k in ks:
-        labels, cost = medoids(d, k, seed)
-        out.append({"k": k, "cost": cost, "silhouette": distance_silhouette(d, labels)})
-    return out
-
-
-def mixture_log_density(z: np.ndarray, fitted: np.ndarray, memberships: np.ndarray, reg: float = 1e-5) -> float:
-    """Mean log density of rows under the full-covariance mixture that memberships of other rows describe."""
-    weight, log = memberships.sum(0) + 1e-10, []
-    for c in range(memberships.shape[1]):
-        m = memberships[:, c] @ fitted / weight[c]
-        x = fitted - m
-        root = np.linalg.cholesky((memberships[:, c, None] * x).T @ x / weight[c] + reg * np.eye(z.shape[1]))
-        log.append(np.log(weight[c] / len(fitted)) - 0.5 * ((np.linalg.solve(root, (z - m).T) ** 2).sum(0) + z.shape[1] * math.log(2 * math.pi)) - np.log(np.diag(root)).sum())
-    log = np.array(log)
-    top = log.max(0)
-    return float((top + np.log(np.exp(log - top).sum(0))).mean())
-
-
-def mixture_cross_validation(z: np.ndarray, ks, folds: int = 5, seed: int = 42) -> list[dict]:
-    """Held-out mean log density per k, and which k is first to be followed by no gain."""
-    part = np.random.default_rng(seed).permutation(len(z)) % folds
-    out = []
-    for k in ks:
-        score = [mixture_log_density(z[part == f], z[part != f], gaussian_mixture(z[part != f], k, seed=seed, starts=2)["memberships"]) for f in range(folds)]
-        out.append({"k": k, "log_density": float(np.mean(score))})
-    stop = next((i for i in range(len(out) - 1) if out[i + 1]["log_density"] <= out[i]["log_density"]), len(out) - 1)
-    return [r | {"chosen": i == stop} for i, r in enumerate(out)]

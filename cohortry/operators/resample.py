@@ -179,7 +179,7 @@ def many_kmeans(points: DataFrame, size: int, tasks: list[tuple[int, int]], view
 
 
 def bootstrap(df: DataFrame, cols: list[str], ks, resamples: int = 200, share: float = 0.8, seed: int = 42, key: str = "row_id") -> DataFrame:
-    """As :func:`stability.bootstrap_stability`, on all rows: a resample has the rows whose hash falls below ``share``."""
+    """Per k: adjusted Rand agreement of refits on resamples with the full fit, as :func:`stability.agreement_summary` has it, and how many fits did not come to rest. A resample has the rows whose hash falls below ``share``."""
     tasks = [(k, i) for k in ks for i in range(-1, resamples)]
 
     def drawn(h: np.ndarray, task: tuple[int, int]) -> np.ndarray:
@@ -206,7 +206,7 @@ def bootstrap(df: DataFrame, cols: list[str], ks, resamples: int = 200, share: f
 
 
 def gap(df: DataFrame, cols: list[str], ks=range(1, 9), references: int = 50, seed: int = 42, key: str = "row_id") -> DataFrame:
-    """As :func:`stability.gap_statistic`, on all rows: a reference has a uniform draw in the box of the principal axes for each row."""
+    """k, gap, s: log dispersion of all rows against that of references. A reference has a uniform draw in the box of the principal axes for each row."""
     points, size = _points(df, cols, key).cache(), len(cols)
 
     def moments(total, h, x):
@@ -255,7 +255,7 @@ def fit(df: DataFrame, cols: list[str], k: int, starts: int = 25, seed: int = 42
 
 
 def holdout(train: DataFrame, test: DataFrame, cols: list[str], centres: np.ndarray, starts: int = 25, seed: int = 42, key: str = "row_id") -> dict:
-    """As :func:`stability.holdout_test`, on all rows: ``centres`` from the training rows against the rows held out. Silhouettes are the simplified ones."""
+    """How a frozen model holds on other rows (centroid drift, proportions, silhouettes, agreement with a fresh fit): ``centres`` from the training rows against the rows held out. Silhouettes are the simplified ones."""
     from cohortry.functions.special import chi2_sf
 
     k, labelled = len(centres), lambda df, m: validity.nearest_centroid(df, cols, m.tolist(), key).select(key, "cluster").join(df.select(key, *cols), key)

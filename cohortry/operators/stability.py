@@ -1,4 +1,4 @@
-"""Sweeps, resampling and null comparisons: every fit is a task, and what they report is a table."""
+"""What sweeps and resampling report, as tables; consensus on a block of rows, and parallel analysis, whose draws are tasks."""
 
 from __future__ import annotations
 
@@ -11,30 +11,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortry.functions.expressions import rounded
-from cohortry.operators.associate import ami_of_table, ari_of_table
-from cohortry.operators.cluster import ALGORITHMS, canonical, fit_block, indices, kmeans, squared_distances
+from cohortry.operators.cluster import kmeans
 from cohortry.operators.fanout import run_tasks
 from cohortry.operators.measure import parallel_eigenvalues
 
-SWEEP = "algorithm string, k int, n_clusters_found int, min_size int, max_size int, min_size_frac double, max_size_frac double, silhouette double, davies_bouldin double, calinski_harabasz double, ss_level double, ss_shape double, between_ss double, differentiation double, bic double, entropy double, inertia double, degenerate boolean"
-
-
 def contingency(a, b) -> np.ndarray:
     x, y = np.unique(a, return_inverse=True)[1], np.unique(b, return_inverse=True)[1]
     return np.bincount(x * (y.max() + 1) + y, minlength=(x.max() + 1) * (y.max() + 1)).reshape(x.max() + 1, -1)
 
 
-def sweep(spark: SparkSession, z: np.ndarray, ks=range(2, 9), algorithms=tuple(ALGORITHMS), seed: int = 42, starts: int = 25, largest: float = 0.80) -> DataFrame:
-    """Every algorithm at every k. A fit with one cluster above ``largest`` is marked degenerate; one that fails has its error."""
-
-    def fit(task, z):
-        r = fit_block(task["algorithm"], z, task["k"], seed, starts)
-        row = indices(z, r.pop("labels")) | r
-        return [{"algorithm": task["algorithm"], "k": task["k"], **row, "degenerate": row["max_size_frac"] > largest}]
-
-    return run_tasks(spark, pd.DataFrame([(a, k) for a in algorithms for k in ks], columns=["algorithm", "k"]), fit, z, SWEEP)
-
-
 def exclusions(swept: DataFrame) -> DataFrame:
     """algorithm, reason, ks: what the sweep left out."""
     why = F.coalesce("error", F.when(F.col("degenerate"), F.concat(F.lit("largest cluster "), rounded(F.col("max_size_frac"), 3))))
@@ -46,31 +31,6 @@ def agreement_summary(runs: DataFrame) -> DataFrame:
     return runs.groupBy("k").agg(F.count("ari").alias("n"), F.avg("ari").alias("mean_ari"), F.stddev_pop("ari").alias("sd_ari"), *[F.percentile("ari", p / 100).alias(f"p{p:02d}") for p in (5, 50, 95)], F.avg((F.col("ari") > 0.5).cast("double")).alias("above_50"), F.avg((F.col("ari") > 0.75).cast("double")).alias("above_75"), F.avg("ami").alias("mean_ami"))
 
 
-def bootstrap_stability(spark: SparkSession, z: np.ndarray, ks, resamples: int = 200, share: float = 0.8, seed: int = 42, starts: int = 10) -> DataFrame:
-    """Per k: adjusted Rand agreement of refits on subsamples with the full fit; mean, sd, percentiles, share above .5 and .75, mean adjusted information."""
-    reference = {int(k): kmeans(z, k, seed, starts)[0] for k in ks}
-
-    def fit(task, z):
-        rng = np.random.default_rng([seed, task["k"], task["id"]])
-        rows = rng.choice(len(z), int(share * len(z)), replace=False)
-        table = contingency(kmeans(z[rows], task["k"], seed + task["id"], starts)[0], reference[task["k"]][rows])
-        return [{"k": task["k"], "ari": ari_of_table(table), "ami": ami_of_table(table)}]
-
-    runs = run_tasks(spark, pd.DataFrame([(k, i) for k in ks for i in range(resamples)], columns=["k", "id"]), fit, z, "k int, ari double, ami double")
-    return agreement_summary(runs)
-
-
-def seed_stability(spark: SparkSession, z: np.ndarray, k: int, trials: int = 20) -> DataFrame:
-    """Agreement of all pairs of single-start fits with different seeds: mean, least, share above .99."""
-
-    def fit(task, z):
-        return [{"id": task["id"], "labels": [int(x) for x in kmeans(z, k, 1000 + task["id"], 1)[0]]}]
-
-    fits = [r["labels"] for r in run_tasks(spark, pd.DataFrame({"id": range(trials)}), fit, z, "id int, labels array<int>").orderBy("id").collect()]  # trials x block rows
-    pairs = [ari_of_table(contingency(a, b)) for i, a in enumerate(fits) for b in fits[i + 1 :]]
-    return spark.createDataFrame([(k, float(np.mean(pairs)), float(min(pairs)), float(np.mean(np.array(pairs) > 0.99)))], "k int, mean_ari double, min_ari double, above_99 double")
-
-
 def consensus(spark: SparkSession, z: np.ndarray, k: int, resamples: int = 100, share: float = 0.8, seed: int = 42) -> DataFrame:
     """Long form: i <= j, how often both were drawn and how often they fell together; rate 1 on the diagonal. Pairs are joined and counted in Spark."""
 
@@ -90,42 +50,12 @@ def consensus_by_cluster(matrix: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.select("cluster").distinct().join(pairs.groupBy(F.col("ci").alias("cluster")).agg(F.avg("rate").alias("consensus"), F.count("*").alias("pairs")), "cluster", "left")
 
 
-def cross_algorithm(spark: SparkSession, z: np.ndarray, k: int, algorithms=tuple(ALGORITHMS), largest: float = 0.80, seed: int = 42) -> DataFrame:
-    """a, b, ari of all pairs of fits that are not degenerate."""
-
-    def fit(task, z):
-        labels = fit_block(task["algorithm"], z, k, seed)["labels"]
-        return [{"algorithm": task["algorithm"], "labels": [int(x) for x in labels]}]
-
-    fits = run_tasks(spark, pd.DataFrame({"algorithm": list(algorithms)}), fit, z, "algorithm string, labels array<int>").filter("error IS NULL").collect()  # one block of labels per algorithm
-    kept = [(r["algorithm"], r["labels"]) for r in fits if np.bincount(r["labels"]).max() <= largest * len(z)]
-    return spark.createDataFrame([(a, b, float(ari_of_table(contingency(x, y)))) for a, x in kept for b, y in kept], "a string, b string, ari double")
-
-
 def gap_summary(runs: DataFrame, references: int) -> DataFrame:
     """k, gap, s over (k, ref, log_w); ref -1: the data."""
     ref = F.when(F.col("ref") >= 0, F.col("log_w"))
     return runs.groupBy("k").agg((F.avg(ref) - F.max(F.when(F.col("ref") < 0, F.col("log_w")))).alias("gap"), (F.stddev_pop(ref) * math.sqrt(1 + 1 / references)).alias("s"))
 
 
-def gap_statistic(spark: SparkSession, z: np.ndarray, ks=range(1, 9), references: int = 50, seed: int = 42) -> DataFrame:
-    """k, gap, s: log dispersion against uniform draws in the box of the principal axes."""
-    centre = z.mean(0)
-    _, _, axes = np.linalg.svd(z - centre, full_matrices=False)
-    turned = (z - centre) @ axes.T
-    low, high = turned.min(0), turned.max(0)
-
-    def dispersion(x, k):
-        return float(((x - x.mean(0)) ** 2).sum()) if k == 1 else kmeans(x, k, seed, 5)[2]
-
-    def fit(task, z):
-        x = z if task["ref"] < 0 else np.random.default_rng([seed, task["ref"]]).uniform(low, high, z.shape) @ axes + centre
-        return [{"k": task["k"], "ref": task["ref"], "log_w": math.log(dispersion(x, task["k"]))}]
-
-    runs = run_tasks(spark, pd.DataFrame([(k, r) for k in ks for r in range(-1, references)], columns=["k", "ref"]), fit, z, "k int, ref int, log_w double")
-    return gap_summary(runs, references)
-
-
 def parallel_analysis(spark: SparkSession, n: int, p: int, observed: list[float], simulations: int = 500, seed: int = 42) -> DataFrame:
     """Per component: observed eigenvalue, random mean and 95th percentile, and whether it is retained (so far as all before are)."""
 
@@ -137,18 +67,3 @@ def parallel_analysis(spark: SparkSession, n: int, p: int, observed: list[float]
     seen = spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(observed)], "pc int, observed double")
     above = seen.join(table, "pc").withColumn("_over", F.col("observed") > F.col("random_p95"))
     return above.withColumn("retain", F.min("_over").over(W.orderBy("pc"))).drop("_over")
-
-
-def holdout_test(train: np.ndarray, test: np.ndarray, k: int, seed: int = 42) -> dict:
-    """How a model frozen on one block holds on another: centroid drift, proportions, silhouettes, agreement with a fresh fit."""
-    from cohortry.functions.special import chi2_sf
-
-    labels, _, _ = kmeans(train, k, seed, 25)
-    labels = canonical(train, labels)
-    centres = np.array([train[labels == c].mean(0) for c in range(k)])
-    frozen = squared_distances(test, centres).argmin(1)
-    fresh = canonical(test, kmeans(test, k, seed, 25)[0])
-    drift = [float(np.linalg.norm(test[frozen == c].mean(0) - centres[c])) if (frozen == c).any() else math.nan for c in range(k)]
-    expected, got = np.bincount(labels, minlength=k) / len(train) * len(test), np.bincount(frozen, minlength=k)
-    p = chi2_sf(float(((got - expected) ** 2 / expected).sum()), k - 1)
-    return {"max_drift": max(drift), "mean_drift": float(np.mean(drift)), "proportion_p": p, "silhouette_train": indices(train, labels).get("silhouette"), "silhouette_holdout": indices(test, frozen).get("silhouette"), "ari_frozen_fresh": ari_of_table(contingency(frozen, fresh)), "drift_ok": max(drift) <= 0.50, "proportions_ok": p > 0.05}

@@ -141,20 +141,3 @@ def gower_nearest(df: DataFrame, numeric: list[str], categorical: list[str], que
     pairs = reduce(DataFrame.unionAll, [df.join(F.broadcast(part), F.col(key) != F.col("q")).select("q", F.col(key).alias("other"), d.alias("distance")) for part in row_blocks(asked, "q", block_rows)])
     part = pairs.withColumn("_k", F.row_number().over(W.partitionBy("q").orderBy("distance", "other")))
     return part.filter(F.col("_k") <= k).select("q", "other", "distance", F.col("_k").alias("place"))
-
-
-def gower_matrix(rows: list[tuple], numeric: list[int], categorical: list[int]):
-    """The full matrix of a small row set held by the driver, as for medoids."""
-    import numpy as np
-
-    parts = []
-    for c in numeric:
-        x = np.array([r[c] for r in rows], float)
-        if np.ptp(x):
-            parts.append(np.abs(x[:, None] - x) / np.ptp(x))
-    for c in categorical:
-        x = np.unique([str(r[c]) for r in rows], return_inverse=True)[1]
-        parts.append((x[:, None] != x).astype(float))
-    if not parts:
-        raise ValueError("no column varies")
-    return sum(parts) / len(parts)

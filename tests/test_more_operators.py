@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.operators import associate, cluster, describe, features, measure, naming, order, resample, select, stability, supervised, text, validity
+from cohortry.operators import associate, describe, features, measure, naming, order, resample, select, supervised, text, validity
 from cohortry.sources import sinks, survey
 
 
@@ -76,21 +76,9 @@ def test_fits_on_all_rows(groups):
     assert np.allclose(sorted(map(tuple, centres.round(0))), [(0, 0), (0, 4), (4, 0)]) and list(centres.mean(1)) == sorted(centres.mean(1), reverse=True)
     held = resample.holdout(groups.filter("row_id % 3 > 0"), groups.filter("row_id % 3 = 0"), ["a", "b"], centres, starts=4)
     assert held["ari_frozen_fresh"] == 1 and held["drift_ok"] and held["proportions_ok"] and held["silhouette_holdout"] > 0.8
-    _, labelled = cluster.kmeans_distributed(groups.drop("cluster"), ["a", "b"], 3, 2)
-    assert associate.agreement(labelled, "cluster", "kind").first()["ari"] == 1
-    model = cluster.mixture_distributed(groups.drop("cluster"), ["a", "b"], 2)[0]
-    assert len(model.weights) == 2 and sum(model.weights) == pytest.approx(1)
-
-
-def test_tables_of_fits(spark, groups):
-    z = np.array([[r.a, r.b] for r in groups.orderBy("row_id").collect()])
-    swept = stability.sweep(spark, z[:180], range(2, 3), ("kmeans", "gmm_full"), starts=2)
-    assert stability.exclusions(swept).count() == 0
-    assert {r.algorithm: r.ks for r in stability.exclusions(swept.withColumn("degenerate", F.lit(True))).collect()} == {"kmeans": [2], "gmm_full": [2]}
-    cross = {(r.a, r.b): r.ari for r in stability.cross_algorithm(spark, z, 3, ("kmeans", "gmm_diag")).collect()}
-    assert cross["kmeans", "kmeans"] == 1 and cross["kmeans", "gmm_diag"] > 0.95
-    g = validity.gower_matrix([(0.0, "a"), (2.0, "a"), (4.0, "b")], [0], [1])
-    assert np.allclose(g, [[0, 0.25, 1], [0.25, 0, 0.75], [1, 0.75, 0]])
+
+
+def test_normalised_entropy(spark):
     sure = spark.createDataFrame([([1.0, 0.0],), ([0.5, 0.5],)], "p array<double>")
     assert validity.normalised_entropy(sure, "p").first()[0] == 0.5
 

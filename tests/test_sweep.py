@@ -34,7 +34,10 @@ def test_every_algorithm_and_its_indices(spark, rows):
     full = cluster.gaussian_mixture(x, 3)
     assert abs(got["gmm_full", 3].bic - full["bic"]) < 0.1 and abs(got["gmm_full", 3].aic - full["aic"]) < 0.1 and got["gmm_full", 3].converged and got["kmeans", 3].converged
     assert abs(got["kmeans", 3].inertia - cluster.kmeans(x, 3)[2]) < 1e-6
-    assert stability.exclusions(sweep.sweep(rows, COLS, [2], ("kmeans",)).selectExpr("*", "cast(null as string) as error")).count() == 0
+    table = sweep.sweep(rows, COLS, [2], ("kmeans",)).selectExpr("*", "cast(null as string) as error")
+    assert stability.exclusions(table).count() == 0
+    assert [(r.algorithm, r.ks) for r in stability.exclusions(table.drop("degenerate").selectExpr("*", "true as degenerate")).collect()] == [("kmeans", [2])]
+    assert sweep.seed_stability(rows, COLS, 3, 4).first().min_ari == 1
 
 
 def test_agreement_of_algorithms(rows):
