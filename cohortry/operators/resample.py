@@ -23,6 +23,7 @@ from cohortry.operators.associate import ami_of_table, ari_of_table
 from cohortry.operators.cluster import squared_distances
 from cohortry.operators.stability import agreement_summary, gap_summary
 from cohortry.session import ship_code
+from cohortry.staging import free_shuffles
 
 View = Callable[[np.ndarray, np.ndarray, tuple[int, int]], np.ndarray]
 
@@ -49,6 +50,10 @@ PARTS = "slot int, part int, sums binary, task int, x array<double>"
 PART_TYPES = pa.schema([("slot", pa.int32()), ("part", pa.int32()), ("sums", pa.binary()), ("task", pa.int32()), ("x", pa.list_(pa.float64()))])
 
 
+#: Bytes that passes have shuffled since their files were last let go.
+_shuffled: list[int] = []
+
+
 def _passed(points: DataFrame, size: int, shapes: list[tuple], add: Callable[[list[np.ndarray], np.ndarray, np.ndarray], list[tuple[int, np.ndarray]] | None], slots: int = 16, fan_in: int = 64) -> tuple[list[np.ndarray], list[tuple[int, np.ndarray]]]:
     """One pass: the sums of what ``add`` has put into arrays of these shapes, and the (task, row) pairs it has returned.
 
@@ -78,6 +83,10 @@ def _passed(points: DataFrame, size: int, shapes: list[tuple], add: Callable[[li
         parts = parts.groupBy("slot", F.expr(f"part div {fan_in}").alias("_group")).applyInArrow(together, PARTS).withColumn("part", F.expr(f"part div {fan_in}").cast("int"))
         left = math.ceil(left / fan_in)
     found = parts.groupBy("slot").applyInArrow(together, PARTS).collect()  # sums of each fit, and its candidates
+    _shuffled.append(8 * sum(lengths) * points.rdd.getNumPartitions())
+    if sum(_shuffled) > 1 << 26:  # passes follow each other faster than Spark would clear their files
+        _shuffled.clear()
+        free_shuffles(points.sparkSession)
     if not found:
         return [np.zeros(s) for s in shapes], []
     flat = np.concatenate([np.frombuffer(r["sums"]) for r in sorted((r for r in found if r["slot"] >= 0), key=lambda r: r["slot"])])

@@ -38,3 +38,8 @@ class Staged:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` read back from the shared folder; the files stay until the folder is cleaned."""
     return Staged(df, name).df
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished jobs: Spark deletes them when the driver's JVM collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
