@@ -27,7 +27,7 @@ def log_densities(x: np.ndarray, weights: np.ndarray, means: np.ndarray, spreads
             out[:, c] = math.log(w) - 0.5 * ((away * away) @ (1 / s) + np.log(s).sum() + d * math.log(2 * math.pi))
         else:
             root = np.linalg.cholesky(s)
-            out[:, c] = math.log(w) - 0.5 * ((np.linalg.solve(root, away.T) ** 2).sum(0) + d * math.log(2 * math.pi)) - np.log(np.diag(root)).sum()
+            out[:, c] = math.log(w) - 0.5 * (((away @ np.linalg.inv(root).T) ** 2).sum(1) + d * math.log(2 * math.pi)) - np.log(np.diag(root)).sum()
     return out
 
 
@@ -48,11 +48,11 @@ def _maximised(s: np.ndarray, k: int, d: int, diagonal: bool, reg: float) -> tup
     return n / n.sum(), means, second.reshape(k, d, d) - means[:, :, None] * means[:, None, :] + reg * np.eye(d)
 
 
-def many_mixtures(df: DataFrame, cols: list[str], tasks: list[tuple[int, int]], folds: int = 10, diagonal: bool = True, rounds: int = 200, reg: float = 1e-5, seed: int = 42, key: str = "row_id") -> list[dict]:
+def many_mixtures(df: DataFrame, cols: list[str], tasks: list[tuple[int, int]], folds: int = 10, diagonal: bool = True, rounds: int = 200, reg: float = 1e-5, gain: float = 1e-4, seed: int = 42, key: str = "row_id") -> list[dict]:
     """A fit for each task (k, fold): fold -1 takes all rows, another the rows outside it.
 
     ``log_likelihood`` of its rows, ``n``, ``held`` (mean log density of the rows in the fold), ``entropy`` (1: every row is sure), ``converged``:
-    whether a pass gained less than a millionth a row before ``rounds`` passes, and weights, means and spreads."""
+    whether a pass gained less than ``gain`` a row before ``rounds`` passes, and weights, means and spreads."""
     points, d = _points(df, cols, key).cache(), len(cols)
 
     def outside(h: np.ndarray, fold: int) -> np.ndarray:
@@ -82,7 +82,7 @@ def many_mixtures(df: DataFrame, cols: list[str], tasks: list[tuple[int, int]],
         for i, t in enumerate(moving):
             k, (n, log, held_n, held, sure) = tasks[t][0], sums[2 * i + 1]
             known = fitted[t]
-            rest = known is not None and log - last[t] < 1e-6 * n
+            rest = known is not None and log - last[t] < gain * n
             if known is not None:
                 last[t] = float(log)
                 known |= {"n": int(n), "log_likelihood": float(log), "held": float(held / held_n) if held_n else math.nan, "entropy": float(1 + sure / (n * math.log(k))) if k > 1 and n else 1.0, "converged": bool(rest)}

@@ -25,7 +25,7 @@ def rows(spark):
 @pytest.mark.parametrize("diagonal", [True, False])
 def test_mixture_is_that_of_the_block(rows, diagonal):
     x = blobs()
-    (got,) = mixture.many_mixtures(rows, COLS, [(3, -1)], diagonal=diagonal)
+    (got,) = mixture.many_mixtures(rows, COLS, [(3, -1)], diagonal=diagonal, gain=1e-6)
     want = cluster.gaussian_mixture(x, 3, diagonal)
     assert got["converged"] and got["n"] == 240 and abs(got["log_likelihood"] - want["log_likelihood"]) < 0.05
     labels = mixture.assign(x, got).argmax(1)
