@@ -44,6 +44,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return Staged(df, name).df
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of results that are staged by now: Spark deletes them when the driver's JVM collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_mark(docs: DataFrame) -> Column:
     """A hash of all columns (but maps, which have none) that tells rows of the same id apart; equal rows have equal ones."""
     return F.xxhash64(*[docs[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
