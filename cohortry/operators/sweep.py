@@ -46,7 +46,7 @@ def fits(df: DataFrame, cols: list[str], ks, algorithms: tuple[str, ...] = ALGOR
     points = _points(df, cols, key).cache()
     if "kmeans" in algorithms:
         tasks = [(k, i) for k in ks for i in range(starts)]
-        centres, inertia, rested = many_kmeans(points, len(cols), tasks, lambda h, x, t: x, seed=seed)
+        centres, inertia, rested = many_kmeans(points, len(cols), tasks, lambda h, x, t: x, seed=seed, family=lambda t: 0)
         for i, k in enumerate(ks):
             best = min(range(i * starts, (i + 1) * starts), key=lambda t: inertia[t])
             out.append(Fit("kmeans", k, ("centres", centres[best], None), inertia=inertia[best], converged=rested[best]))
@@ -179,7 +179,7 @@ def cross_algorithm(df: DataFrame, cols: list[str], ks, algorithms: tuple[str, .
 def seed_stability(df: DataFrame, cols: list[str], k: int, trials: int = 20, key: str = "row_id", seed: int = 1_000) -> DataFrame:
     """Agreement of all pairs of k-means fits with different seeds, on all rows: mean, least, share above .99."""
     points = _points(df, cols, key).cache()
-    centres, _, _ = many_kmeans(points, len(cols), [(k, i) for i in range(trials)], lambda h, x, t: x, seed=seed)
+    centres, _, _ = many_kmeans(points, len(cols), [(k, i) for i in range(trials)], lambda h, x, t: x, seed=seed, family=lambda t: 0)
     points.unpersist()
     found = [Fit("kmeans", k, ("centres", c, None)) for c in centres]
     marked = labelled(df, cols, found, key).cache()
