@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from cohortry.operators import resample
+from cohortry.operators import resample, validity
 
 
 def test_tasks_of_a_family_are_measured_together():
@@ -21,3 +21,11 @@ def test_tasks_of_a_family_are_measured_together():
     d, label = resample._nearest(x, c)
     want = ((x[None, :, None] - c[:, None]) ** 2).sum(3)
     assert np.allclose(d, want.min(2)) and (label == want.argmin(2)).all()
+
+
+def test_silhouette_of_odd_rows(spark):
+    """Rows without a label or a value have 0 and are no one's neighbours, as in the SQL; equal rows are at a distance of exactly 0."""
+    rows = [(0, 0, 1e6, 1.0), (1, 0, 1e6, 1.0), (2, 1, 1e6 + 4, 1.0), (3, 1, 1e6 + 4, 1.0), (4, None, 1e6, 1.0), (5, 0, None, 1.0), (6, 2, 1e6 + 9, 1.0)]
+    df = spark.createDataFrame(rows, "row_id long, cluster int, a double, b double").repartition(3)
+    got = {r.row_id: (r.a, r.b, r.silhouette) for r in validity.silhouette_rows(df, ["a", "b"], block_rows=2).collect()}
+    assert got == {0: (0.0, 4.0, 1.0), 1: (0.0, 4.0, 1.0), 2: (0.0, 4.0, 1.0), 3: (0.0, 4.0, 1.0), 4: (None, None, 0.0), 5: (None, None, 0.0), 6: (None, 5.0, 0.0)}
