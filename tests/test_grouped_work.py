@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from cohortry.operators import resample, validity
 
@@ -29,3 +31,21 @@ def test_silhouette_of_odd_rows(spark):
     df = spark.createDataFrame(rows, "row_id long, cluster int, a double, b double").repartition(3)
     got = {r.row_id: (r.a, r.b, r.silhouette) for r in validity.silhouette_rows(df, ["a", "b"], block_rows=2).collect()}
     assert got == {0: (0.0, 4.0, 1.0), 1: (0.0, 4.0, 1.0), 2: (0.0, 4.0, 1.0), 3: (0.0, 4.0, 1.0), 4: (None, None, 0.0), 5: (None, None, 0.0), 6: (None, 5.0, 0.0)}
+
+
+@pytest.mark.parametrize("block_rows", [2, 1_000])
+def test_gower_nearest_against_brute_force(spark, block_rows):
+    """Many equal rows, ties and gaps: nearest by rounded distance, then key; null distances last."""
+    rng = np.random.default_rng(2)
+    rows = [(int(i), int(rng.integers(4)), None if i % 17 == 3 else int(rng.integers(3)), None if i % 13 == 5 else "abc"[rng.integers(3)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "row_id long, y int, z int, s string").repartition(3)
+    got = sorted(tuple(r) for r in validity.gower_nearest(df, ["y", "z"], ["s"], F.col("row_id") % 5 == 0, block_rows=block_rows).collect())
+
+    def distance(p, q):
+        return None if None in (*p, *q) else round((abs(p[1] - q[1]) / 3 + abs(p[2] - q[2]) / 2 + (p[3] != q[3])) / 3, 6)
+
+    want = []
+    for p in rows[::5]:
+        best = sorted(((distance(p, q) is None, distance(p, q) or 0.0, q[0]) for q in rows if q[0] != p[0]))[:3]
+        want += [(p[0], o, None if gap else d, n + 1) for n, (gap, d, o) in enumerate(best)]
+    assert got == sorted(want)
