@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import struct
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import Staged, free_shuffles, stage, text_or_empty
-from cohortry.llm.seating import first_seating, mixed, reseat, tables_of_few
+from cohortry.llm.seating import mixed, tables_of_few, tables_of_many
 from cohortry.llm.tokens import slices
 from cohortry.session import ship_code
 
@@ -162,6 +163,12 @@ class Pairs:
         self.u, self.w, self.bucket, self.of_token = self.u[order], self.w[order], bucket[order], place[inverse]
 
 
+def _listed(ids: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the codes in use, and each code's place among them: ids do not pack, places do."""
+    used, place = np.unique(codes, return_inverse=True)
+    return ids[used], place.astype(np.int32)
+
+
 def asked(corpus: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
     """slice, bucket, blob: the pairs (ids) of a slice that fall to a bucket, with their training counts."""
 
@@ -174,7 +181,7 @@ def asked(corpus: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
                 training = np.repeat(~np.array(row["held"]), np.diff(ends, prepend=0))
                 n = np.bincount(pairs.of_token[training], minlength=len(pairs.u)).astype(np.int32)
                 cut = np.concatenate([[0], np.flatnonzero(np.diff(pairs.bucket)) + 1, [len(n)]])
-                blobs = [pack(pairs.ids[pairs.u[a:b]], pairs.ids[pairs.w[a:b]], n[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+                blobs = [pack(*_listed(pairs.ids, pairs.u[a:b]), *_listed(pairs.ids, pairs.w[a:b]), n[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array([row["slice"]] * len(blobs), pa.int64()), pa.array(pairs.bucket[cut[:-1]]), pa.array(blobs, pa.binary())], names=["slice", "bucket", "blob"])
 
     return corpus.select("slice", "held", "ends", "codes", "words").mapInArrow(run, "slice long, bucket long, blob binary")
@@ -182,12 +189,14 @@ def asked(corpus: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
 
 def _bucket(table: pa.Table) -> pa.Table:
     """A bucket's pairs added up. Rows of a slice: which pair each of its requests is (0: untrained, 1: seen once, else 2 and its place
-    in the state). One row more: the state (places of context and word in ``ids``, customers, tables, their sum over samples, and the seating
-    of those with many customers), the ids, and per-word counts."""
+    in the state). One row more: the state (places of context and word in ``ids``, customers, tables, and their sum over samples), the ids,
+    and per-word counts."""
     _frugal()
     table = table.sort_by("slice")
     parts = [unpack(b) for b in table.column("blob").to_pylist()]
-    u, w, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    u, w, n = (np.concatenate(x) for x in zip(*[(a[i], b[j], c) for a, i, b, j, c in parts], strict=True))
+    cuts = np.cumsum([len(p[4]) for p in parts])[:-1]
+    del parts
     order = np.lexsort((w, u))
     su, sw = u[order], w[order]
     new = np.concatenate([[True], (su[1:] != su[:-1]) | (sw[1:] != sw[:-1])])
@@ -196,11 +205,9 @@ def _bucket(table: pa.Table) -> pa.Table:
     kind = np.where(more, np.cumsum(more) + 1, c).astype(np.int32)
     which = np.empty(len(u), np.int32)
     which[order] = kind[np.cumsum(new) - 1]
-    cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
     ids = np.unique(np.concatenate([gu[more], gw[more]]))
     at_u, at_w, c2 = np.searchsorted(ids, gu[more]).astype(np.int32), np.searchsorted(ids, gw[more]).astype(np.int32), c[more]
-    none = np.empty(0, np.int64)
-    state = pack(at_u, at_w, c2, np.ones(len(c2), np.int64), np.zeros(len(c2), np.int64), none, none, none)
+    state = pack(at_u, at_w, c2, np.ones(len(c2), np.int64), np.zeros(len(c2), np.int64))
     seen = np.unique(np.concatenate([gu[c > 0], gw[c > 0]]))
     per = lambda x, mask: np.bincount(np.searchsorted(seen, x[mask]), minlength=len(seen))
     words = pack(seen, per(gu, c == 1), per(gw, c == 1), per(gu, more), per(gw, more))
@@ -218,25 +225,16 @@ def _discount(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
-class Dishes:
-    """Dishes with two customers or more: few of them in one draw, the others customer by customer."""
-
-    def __init__(self, customers: np.ndarray, tables: np.ndarray, seating: tuple[np.ndarray, np.ndarray, np.ndarray] | None):
-        self.customers, self.tables, self.seating = customers, tables, seating
-
-    def sample(self, keys: np.ndarray, restaurant: np.ndarray, parent: np.ndarray, strength: float, discount: float, steps: int, salt: int) -> None:
-        few = self.customers <= FEW
-        many = np.flatnonzero(~few)
-        large = (keys[many], self.customers[many], restaurant[many], parent[many])
-        if self.seating is None:
-            self.seating = first_seating(self.customers[many], (strength + discount * restaurant[many]) * parent[many], discount)
-        tables = np.empty(len(self.customers), np.int64)
-        tables[few] = tables_of_few(self.customers[few], self.tables[few], keys[few], restaurant[few], parent[few], strength, discount, salt, FEW)
-        *self.seating, tables[many] = reseat(*self.seating, *large, strength, discount, steps, salt + 1)
-        self.tables = tables
+def seated_anew(customers: np.ndarray, tables: np.ndarray, keys: np.ndarray, restaurant: np.ndarray, parent: np.ndarray, strength: float, discount: float, salt: int) -> np.ndarray:
+    """The next number of tables of dishes with two customers or more: each drawn given the others', all customers anew."""
+    few = customers <= FEW
+    out, many = np.empty(len(customers), np.int64), np.flatnonzero(~few)
+    out[few] = tables_of_few(customers[few], tables[few], keys[few], restaurant[few], parent[few], strength, discount, salt, FEW)
+    out[many] = tables_of_many(customers[many], tables[many], keys[many], restaurant[many], parent[many], strength, discount, salt)
+    return out
 
 
-def _parent(words: DataFrame, known: int, strength: float, discount: float, tables: int, steps: int, salt: int) -> DataFrame:
+def _parent(words: DataFrame, known: int, strength: float, discount: float, tables: int, salt: int) -> DataFrame:
     """Adds ``t``, the parent's tables of each word with ``m`` customers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,28 +242,25 @@ def _parent(words: DataFrame, known: int, strength: float, discount: float, tabl
             ids, m = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             t, more = np.minimum(m, 1), np.flatnonzero(m > 1)
             if len(more):
-                dishes = Dishes(m[more], np.ones(len(more), np.int64), None)
-                dishes.sample(ids[more], np.full(len(more), tables), np.full(len(more), 1 / (known + 1)), strength, discount, steps, salt)
                 t = t.copy()
-                t[more] = dishes.tables
+                t[more] = seated_anew(m[more], np.ones(len(more), np.int64), ids[more], np.full(len(more), tables), np.full(len(more), 1 / (known + 1)), strength, discount, salt)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t, pa.int64())], names=[*batch.schema.names, "t"])
 
     return words.select("id", "m", "tables").mapInArrow(run, "id long, m long, tables long, t long")
 
 
-def _seat(strength: float, discount: float, steps: int, salt: int, first: bool, counted: bool):
+def _seat(strength: float, discount: float, salt: int, counted: bool):
     """A round of a bucket: its state and the figures (id, parent, tables) of its words give the next state and its tables per word."""
 
     def run(states: pa.Table, facts: pa.Table) -> pa.Table:
         if not states.num_rows:
             return pa.table({"bucket": pa.array([], pa.int64()), "state": pa.array([], pa.binary()), "words": pa.array([], pa.binary())})
-        at_u, at_w, c, tables, added, *seating = unpack(states.column("state")[0].as_py())
+        at_u, at_w, c, tables, added = unpack(states.column("state")[0].as_py())
         facts = facts.sort_by("id")
         ids, parent, totals = (facts.column(x).to_numpy() for x in ("id", "parent", "tables"))
-        dishes = Dishes(c, tables, None if first else tuple(seating))
-        dishes.sample(mixed(ids)[at_u] + mixed(ids, 1)[at_w], totals[at_u], parent[at_w], strength, discount, steps, salt)
-        per = lambda x: np.bincount(x, dishes.tables, len(ids)).astype(np.int64)
-        state = pack(at_u, at_w, c, dishes.tables, added + dishes.tables * counted, *dishes.seating)
+        tables = seated_anew(c, tables, mixed(ids)[at_u] + mixed(ids, 1)[at_w], totals[at_u], parent[at_w], strength, discount, salt)
+        per = lambda x: np.bincount(x, tables, len(ids)).astype(np.int64)
+        state = pack(at_u, at_w, c, tables, added + tables * counted)
         return pa.table({"bucket": states.column("bucket"), "state": pa.array([state], pa.binary()), "words": pa.array([pack(ids, per(at_u), per(at_w))], pa.binary())})
 
     return run
@@ -312,7 +307,7 @@ def _scored(frequent: np.ndarray, buckets: int, samples: int, training: int, kno
 class Model:
     """The fitted model: ``corpus`` (slices), ``state`` and ``requests`` by bucket, ``figures`` by word; and its totals."""
 
-    def __init__(self, docs: DataFrame, samples: int = 2, burn_in: int = 1, steps: int = 8, strength: float = 1.0, most_bytes: int = 8 << 20, tokens_per_bucket: int = 1_600_000):
+    def __init__(self, docs: DataFrame, samples: int = 2, burn_in: int = 1, strength: float = 1.0, most_bytes: int = 8 << 20, tokens_per_bucket: int = 1_600_000, turns: int = 4):
         ship_code(docs.sparkSession)
         for seed in count():
             corpus = Staged(sliced(docs, seed, most_bytes), "lm-slices")
@@ -324,7 +319,7 @@ class Model:
                 break
             corpus.drop()
             vocabulary.drop()
-        self.corpus, self.samples, self.strength = corpus.df, samples, strength
+        self.corpus, self.samples, self.strength, self.turns = corpus.df, samples, strength, turns
         self.training, self.known = told[0] or 0, told[1] or 0
         often = seen.filter((F.col("n") > 0) & (F.col("n") * 1_000 >= self.training)).select("id").collect()  # 1,000 at most
         ends = int(word_keys([END], seed)[0][0])
@@ -348,9 +343,9 @@ class Model:
         self.words = stage(words, "lm-words")
         vocabulary.drop()
         free_shuffles(docs.sparkSession)
-        self._sample(burn_in, steps)
+        self._sample(burn_in)
 
-    def _sample(self, burn_in: int, steps: int) -> None:
+    def _sample(self, burn_in: int) -> None:
         asking = Staged(_rows(self.requests, "ids", ["bucket"], "id long"), "lm-ids")
         ids = asking.df
         once = self.words.agg(F.count_if(F.col("w1") + F.col("w2") == 1), F.count_if(F.col("w1") + F.col("w2") == 2)).first()
@@ -359,7 +354,7 @@ class Model:
         past: list[Staged] = []
         tables, current, figures = self.known, self.words.select("id", (F.col("w1") + F.col("w2")).alias("m"), (F.col("u1") + F.col("u2")).alias("tables")), None
         for turn in range(burn_in + self.samples + 1):
-            seated = Staged(_parent(current, self.known, self.strength, above, tables, steps, 1_000 * turn), "lm-parent")
+            seated = Staged(_parent(current, self.known, self.strength, above, tables, 1_000 * turn), "lm-parent")
             parent = seated.df
             sums = parent.agg(F.sum("m"), F.sum("t")).first()
             customers, tables = sums[0] or 0, sums[1] or 0
@@ -372,7 +367,7 @@ class Model:
             if turn == burn_in + self.samples:
                 break
             facts = ids.join(now, "id")
-            run = _seat(self.strength, self.discount, steps, 1_000 * turn + 500, turn == 0, turn >= burn_in)
+            run = _seat(self.strength, self.discount, 1_000 * turn + 500, turn >= burn_in)
             made = state.df.groupBy("bucket").cogroup(facts.groupBy("bucket")).applyInArrow(run, "bucket long, state binary, words binary")
             before, made = state, Staged(made, "lm-state")
             state = made
@@ -394,7 +389,6 @@ class Model:
         scale = 1 / (self.strength + F.col("c"))
         drawn = [x for s in range(self.samples) for x in (F.col(f"p{s}").cast("float").alias(f"p{s}"), ((self.strength + self.discount * F.col(f"t{s}")) * scale).cast("float").alias(f"g{s}"))]
         figures = self.words.select("id", "n", "c").join(self.figures, "id").select("id", "n", scale.cast("float").alias("scale"), *drawn)
-        facts = _rows(self.corpus, "words", ["slice"], "id long", "code").join(figures, "id")
         answers = self.requests.filter("slice is not null").select("bucket", "slice", "which").groupBy("bucket").cogroup(self.state.groupBy("bucket")).applyInArrow(_answers(self.discount, self.samples), "slice long, bucket long, blob binary")
         answers = stage(answers, "lm-answers")
         if not keep:
@@ -402,9 +396,17 @@ class Model:
             self._seating.drop()
         free_shuffles(answers.sparkSession)
         none = lambda kind: F.lit(None).cast(kind)
-        parts = self.corpus.select("slice", none("long").alias("bucket"), "doc_ids", "held", "ends", "codes").unionByName(answers.select("slice", "bucket", none("array<long>").alias("doc_ids"), none("array<boolean>").alias("held"), none("array<int>").alias("ends"), F.col("blob").alias("codes")))
         run = _scored(self.frequent, self.buckets, self.samples, self.training, self.known)
-        found = parts.groupBy("slice").cogroup(facts.groupBy("slice")).applyInArrow(run, RESULT)
+        found = []
+        for turn in range(self.turns):  # what the slices of a turn shuffle is let go before the next
+            mine = F.pmod(F.xxhash64("slice"), F.lit(self.turns)) == turn
+            corpus = self.corpus.filter(mine)
+            facts = _rows(corpus, "words", ["slice"], "id long", "code").join(figures, "id")
+            parts = corpus.select("slice", none("long").alias("bucket"), "doc_ids", "held", "ends", "codes").unionByName(answers.filter(mine).select("slice", "bucket", none("array<long>").alias("doc_ids"), none("array<boolean>").alias("held"), none("array<int>").alias("ends"), F.col("blob").alias("codes")))
+            found.append(stage(parts.groupBy("slice").cogroup(facts.groupBy("slice")).applyInArrow(run, RESULT), "lm-scores"))
+            del facts, parts
+            free_shuffles(answers.sparkSession)
+        found = reduce(DataFrame.unionAll, found)
         return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(self.training).cast("long").alias("train_tokens"), "base_score", "score")
 
 
