@@ -1,6 +1,6 @@
 """Nearest neighbours of all rows, exactly, and what is built on their graph.
 
-Rows are packed into blocks; every pair of blocks is a task of its own, which leaves ``k`` neighbours for each of its rows, and the
+Rows are packed into blocks; every pair of groups of blocks is a task of its own, which leaves ``k`` neighbours for each of its rows, and the
 lists of a row are merged. No pair of rows is written. The work is that of all pairs, so it grows with the square of the rows: the
 graph is for tables where that is affordable, and what follows it is linear in the rows.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cohortry.operators.cluster import squared_distances
 from cohortry.operators.resample import _passed, fit, uniform
-from cohortry.operators.validity import nearest_centroid
+from cohortry.operators.validity import nearest_centroid, paired, side
 from cohortry.session import ship_code
 from cohortry.staging import Staged, stage
 
@@ -40,27 +40,20 @@ def blocks(df: DataFrame, cols: list[str], key: str, block_rows: int) -> DataFra
     return stage(rows.mapInArrow(pack, "block long, keys binary, x binary"), "knn-blocks")
 
 
-def nearest_rows(df: DataFrame, cols: list[str], k: int = 15, key: str = "row_id", block_rows: int = 4_096) -> DataFrame:
-    """key (a long, different in all rows), ``other`` and ``distance``: the ``k`` nearest other rows of each row, ties to the smaller key."""
-    packed, size = blocks(df, cols, key, block_rows), len(cols)
-    numbers = [r[0] for r in packed.select("block").collect()]  # one for each block
-    if not numbers:
+def nearest_rows(df: DataFrame, cols: list[str], k: int = 15, key: str = "row_id", block_rows: int = 4_096, most_groups: int = 24) -> DataFrame:
+    """key (a long, different in all rows), ``other`` and ``distance``: the ``k`` nearest other rows of each row, ties to the smaller key.
+
+    Blocks are sent to at most ``most_groups`` pairs of groups, and a row has a list from each group, so what is shuffled grows as the rows do."""
+    packed, size = blocks(df, cols, key, block_rows).withColumnRenamed("block", "part"), len(cols)
+    if packed.isEmpty():
         return df.sparkSession.createDataFrame([], f"{key} long, other long, distance double")
-    every = F.explode(F.array(*[F.lit(n).cast("long") for n in numbers]))
-    left = packed.select(F.col("block").alias("i"), every.alias("j"), F.lit(True).alias("asks"), "keys", "x")
-    right = packed.select(every.alias("i"), F.col("block").alias("j"), F.lit(False).alias("asks"), "keys", "x")
 
-    def near(table: pa.Table) -> pa.Table:
-        sides = {r["asks"]: r for r in table.to_pylist()}
-        a, b = (np.frombuffer(sides[s]["keys"], np.int64) for s in (True, False))
-        x, y = (np.frombuffer(sides[s]["x"]).reshape(-1, size) for s in (True, False))
-        order = np.argsort(b, kind="stable")
-        b, y = b[order], y[order]
-        out = []
-        for at in range(0, len(a), 512):
-            d = squared_distances(x[at : at + 512], y)
-            d[a[at : at + 512, None] == b] = np.inf
-            some = min(k, len(b))
+    def nearest(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, out: list) -> None:
+        step = max(16, min(512, (1 << 22) // len(b)))
+        some = min(k, len(b))
+        for at in range(0, len(a), step):
+            d = squared_distances(x[at : at + step], y)
+            d[a[at : at + step, None] == b] = np.inf
             limit = np.partition(d, some - 1, 1)[:, some - 1 : some]
             for row, own in enumerate(d):
                 near_by = np.flatnonzero(own <= limit[row])
@@ -68,10 +61,19 @@ def nearest_rows(df: DataFrame, cols: list[str], k: int = 15, key: str = "row_id
                 best = best[np.isfinite(own[best])]
                 exact = np.sqrt(((x[at + row] - y[best]) ** 2).sum(1))
                 out.append((int(a[at + row]), [{"d": float(v), "o": int(o)} for v, o in zip(exact, b[best], strict=True)]))
+
+    def near(table: pa.Table) -> pa.Table:
+        (a, _, x), out = side(table, True, size), []
+        if table.column("i")[0].as_py() == table.column("j")[0].as_py():
+            nearest(a, x, a, x, out)
+        else:
+            b, _, y = side(table, False, size)
+            nearest(a, x, b, y, out)
+            nearest(b, y, a, x, out)
         return pa.table({"key": pa.array([r[0] for r in out], pa.int64()), "found": pa.array([r[1] for r in out], pa.list_(pa.struct([("d", pa.float64()), ("o", pa.int64())])))})
 
-    lists = left.unionByName(right).groupBy("i", "j").applyInArrow(near, "key long, found array<struct<d: double, o: long>>")
-    merged = lists.groupBy("key").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k).alias("found"))  # a list from each block
+    lists = paired(packed, most_groups, block_rows).groupBy("i", "j").applyInArrow(near, "key long, found array<struct<d: double, o: long>>")
+    merged = lists.groupBy("key").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k).alias("found"))  # a list from each group
     return merged.select(F.col("key").alias(key), F.inline("found")).select(key, F.col("o").alias("other"), F.col("d").alias("distance"))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.operators import resample, validity
+from cohortry.operators import neighbours, resample, topics, validity
 
 
 def test_tasks_of_a_family_are_measured_together():
@@ -49,3 +49,17 @@ def test_gower_nearest_against_brute_force(spark, block_rows):
         best = sorted(((distance(p, q) is None, distance(p, q) or 0.0, q[0]) for q in rows if q[0] != p[0]))[:3]
         want += [(p[0], o, None if gap else d, n + 1) for n, (gap, d, o) in enumerate(best)]
     assert got == sorted(want)
+
+
+def test_parts_are_sent_once_to_each_group(spark):
+    """However many parts there are, a part is sent to as many pairs as there are groups."""
+    rows = spark.range(400).selectExpr("id AS row_id", "id * id % 97 AS a").repartition(4)
+    packed = neighbours.blocks(rows, ["a"], "row_id", 2).withColumnRenamed("block", "part")
+    sent = validity.paired(packed, 5, 2)
+    assert packed.count() >= 200 and sent.count() == 5 * packed.count() and sent.select("i", "j").distinct().count() == 15
+
+
+def test_vocabulary_by_count_then_name(spark):
+    rows = spark.createDataFrame([(["b", "a", "a"],), (["a", "b", "c"],), (["d", "a", "c"],), (["d", "e"],), ([],)], "_t array<string>")
+    assert topics.vocabulary(rows, 2, 0.6, 10) == ["a", "b", "c", "d"]
+    assert topics.vocabulary(rows, 2, 0.5, 2) == ["b", "c"] and topics.vocabulary(rows, 1, 2, 10) == ["b", "c", "d", "e"]
