@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel, NGram, RegexTokenizer, StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +15,21 @@ def term_counts(df: DataFrame, col: str, least: int = 4, most: float = 0.6, size
     words = RegexTokenizer(inputCol=col, outputCol="_w", pattern=r"[^\p{L}]+", minTokenLength=3).transform(df.filter(F.col(col).isNotNull()))
     clean = StopWordsRemover(inputCol="_w", outputCol="_c").transform(words)
     joined = NGram(n=2, inputCol="_c", outputCol="_p").transform(clean).withColumn("_t", F.concat("_c", "_p")) if pairs else clean.withColumnRenamed("_c", "_t")
-    model = CountVectorizer(inputCol="_t", outputCol="counts", minDF=least, maxDF=most, vocabSize=size).fit(joined)
+    model = CountVectorizerModel.from_vocabulary(vocabulary(joined.select("_t"), least, most, size), inputCol="_t", outputCol="counts")
     return model.transform(joined).select(key, "counts"), model.vocabulary
 
 
+def vocabulary(rows: DataFrame, least: int, most: float, size: int) -> list[str]:
+    """The ``size`` most frequent terms of the arrays ``_t``, ties by name, that are in at least ``least`` rows and at most the share ``most`` (a number, from 1 on).
+
+    Terms are grouped by a shuffle with the session's partitions; :class:`CountVectorizer` keeps all distinct ones as objects in as many as the input has."""
+    first = F.transform(F.col("s"), lambda x, i: F.struct(x.alias("term"), F.when(i == 0, 1).otherwise((F.get("s", i - 1) != x).cast("int")).alias("first")))
+    counts = rows.select(F.array_sort("_t").alias("s")).select(F.inline(first)).groupBy("term").agg(F.count("*").alias("n"), F.sum("first").alias("df"))
+    highest = most if most >= 1 else most * rows.count()
+    kept = counts.filter((F.col("df") >= least) & (F.col("df") <= highest)).orderBy(F.desc("n"), "term").limit(size)
+    return [r["term"] for r in kept.collect()]  # ``size`` at most
+
+
 def tfidf(counted: DataFrame, terms: list[str], key: str = "row_id") -> DataFrame:
     """Long form: key, term number, weight; smooth idf plus one, rows of unit length. Rows without a term are absent."""
     from pyspark.ml.functions import vector_to_array
