@@ -12,7 +12,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 
-from cohortry.operators.resample import _passed, _points, many_kmeans, uniform
+from cohortry.operators.resample import _nearest, _passed, _points, many_kmeans, uniform
 
 SWEEP = "k int, log_likelihood double, bic double, aic double, entropy double, converged boolean"
 FOLDS = "k int, log_density double, folds int, converged int, chosen boolean"
@@ -58,7 +58,7 @@ def many_mixtures(df: DataFrame, cols: list[str], tasks: list[tuple[int, int]],
     def outside(h: np.ndarray, fold: int) -> np.ndarray:
         return (uniform(h, seed * 7 + 3) * folds).astype(int) != fold
 
-    centres, _, _ = many_kmeans(points, d, tasks, lambda h, x, t: x if t[1] < 0 else x[outside(h, t[1])], rounds=30, seed=seed)
+    centres, _, _ = many_kmeans(points, d, tasks, lambda h, x, t: x, rounds=30, seed=seed, family=lambda t: 0, takes=lambda h, fold: None if fold < 0 else outside(h, fold))
     width = 1 + d + (d if diagonal else d * d)
     fitted: list[dict | None] = [None] * len(tasks)
     moving, last = list(range(len(tasks))), [-math.inf] * len(tasks)
@@ -69,7 +69,7 @@ def many_mixtures(df: DataFrame, cols: list[str], tasks: list[tuple[int, int]],
             for i, (task, parameters, begun) in enumerate(now):
                 inside = np.zeros(len(x), bool) if task[1] < 0 else ~outside(h, task[1])
                 if parameters is None:
-                    shares, norm = np.eye(len(begun))[((x[:, None, :] - begun) ** 2).sum(2).argmin(1)], np.zeros(len(x))
+                    shares, norm = np.eye(len(begun))[_nearest(x, begun[None])[1][0]], np.zeros(len(x))
                 else:
                     shares, norm = memberships(log_densities(x, *parameters))
                 own, y = shares[~inside], x[~inside]
