@@ -1,11 +1,17 @@
-"""Near copies by word shingles: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies by SimHash: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates share one of 24 bands of five MinHash values (a pair at 0.8 is missed with probability 0.672^24 = 7e-5, one
-above more rarely). A band's documents are first compared with its leader only, the one whose bands are the fullest, which
-tends to be what the others were copied from; then those of different components with each other. Pairs are tallied over
-positional bytes, one of each MinHash value, and only those with as many shared bytes as a pair at 0.8 has (4 standard
-deviations below its mean, a chance of 3e-5) are verified on their whole sets of 64-bit shingle hashes: 120 bytes to a document
-for pairs with leaders, 512 for the others. Components are those of all verified pairs. Equal texts are one entry.
+The method is that of ``simhash``: majority bits of shingle hashes, an inverted index that posts each fingerprint under groups of three byte
+positions, a tally over positional bytes, and a check of what remains, here on the whole sets. At similarity 0.8 two fingerprints
+differ in 15 % of their bits (the angle of two sets with a cosine of 8/9), so a byte is shared with probability 0.27. A fingerprint has 6,144
+bits (96 words, 768 bytes), posted under 512 groups; a pair at 0.8 shares none of them with a probability of about 1e-4 (sets of 4 and 5
+shingles differ in more bits: 3e-2), one above more rarely. Texts that share a group are compared by the fingerprint's first word, in
+which pairs differ by at most ``MOST_BITS`` bits, before all else.
+
+A list's documents are first compared with its leader only, the one whose lists are the fullest, which tends to be what the others were
+copied from; then those of different components with each other. Pairs with as many shared bytes as one at 0.8 has (4 standard
+deviations below its mean, a chance of 3e-5), of the first 128 for pairs with leaders and of all for the others, are verified on
+their whole sets of 64-bit shingle hashes. Components are those of all verified pairs. Equal texts are one entry. Groups are posted
+in turns, whose shuffle files are let go.
 
 Words are told apart by ASCII white space and compared without ASCII case. A text of fewer words is one shingle; wordless
 texts (and null) are near copies of each other.
@@ -13,21 +19,28 @@ texts (and null) are near copies of each other.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import stage, text_or_empty
+from cohortry.llm.common import free_shuffles, stage, text_or_empty
 from cohortry.llm.components import components
 from cohortry.llm.simhash import keep_named
 from cohortry.llm.tokens import slices
 from cohortry.session import ship_code
 
-BANDS, ROWS = 24, 5
+#: 64-bit words of a fingerprint, those that pairs with leaders are tallied over, and the turns in which groups are posted.
+WORDS, FIRST_WORDS, TURNS = 96, 16, 8
+#: The most bits of a word in which a pair at 0.8 differs, 4 standard deviations above its mean of 9.7.
+MOST_BITS = 22
+#: Sets of fewer shingles are verified without a tally.
+FEW = 16
 
 
 def shingles(text: bytes, size: int = 5, seed: int = 42) -> np.ndarray:
@@ -44,43 +57,75 @@ def shingles(text: bytes, size: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts.tolist(), last, strict=False)], np.uint64))
 
 
-def least_values(hashes: np.ndarray, count: int, seed: int, at_once: int = 1_024) -> np.ndarray:
-    """``count`` MinHash values of a set."""
-    rng = np.random.default_rng(seed)
-    times = rng.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    plus = rng.integers(0, 1 << 63, count, dtype=np.uint64)
-    least = np.full(count, (1 << 64) - 1, np.uint64)
+def bit_counts(words: np.ndarray) -> np.ndarray:
+    """How many rows have each bit set, lowest first. Three rows become their sum and their carry, until no three are left."""
+    counts, weight = np.zeros(words.shape[1] * 64, np.int64), 1
+    while len(words):
+        carries = []
+        while len(words) > 2:
+            third = len(words) // 3
+            a, b, c = words[:third], words[third : 2 * third], words[2 * third : 3 * third]
+            either = a ^ b
+            carries.append((a & b) | (either & c))
+            words = np.concatenate([either ^ c, words[3 * third :]])
+        if len(words) == 2:
+            carries.append(words[:1] & words[1:])
+        one = np.bitwise_xor.reduce(words, axis=0)
+        counts += weight * np.unpackbits(one.astype("<u8").view(np.uint8), bitorder="little").astype(np.int64)
+        words, weight = np.concatenate(carries) if carries else words[:0], 2 * weight
+    return counts
+
+
+def fingerprint(hashes: np.ndarray, seed: int = 42, at_once: int = 512) -> np.ndarray:
+    """``WORDS`` words of majority bits over a set's shingle hashes, each word from another mix of them."""
+    salts = np.random.default_rng(seed).integers(0, 1 << 63, WORDS, dtype=np.uint64)
+    ones = np.zeros(WORDS * 64, np.int64)
     for k in range(0, len(hashes), at_once):
-        least = np.minimum(least, (hashes[k : k + at_once, None] * times + plus).min(axis=0))
-    return least
-
-
-def positional_bytes(least: np.ndarray) -> np.ndarray:
-    """A byte of each value, eight to a long."""
-    return (least & np.uint64(255)).astype(np.uint8).view(np.int64)
-
+        x = hashes[k : k + at_once, None] ^ salts
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        ones += bit_counts(x)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """One key for each band."""
-    from xxhash import xxh64_intdigest
 
-    return np.array([xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+def position_groups(seed: int = 7) -> np.ndarray:
+    """Groups of three byte positions; each position is in two."""
+    rng = np.random.default_rng(seed)
+    return np.concatenate([rng.permutation(WORDS * 8).reshape(-1, 3) for _ in range(2)])
 
 
 def posted(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """mark (a hash of the text), n (its distinct shingles), keys (one for each band) and bytes, once for each text."""
+    """mark (a hash of the text), n (its distinct shingles) and bytes (its fingerprint, eight to a long), once for each text."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longs = pa.list_(pa.int64())
         for batch in batches:
             for part in slices(batch, 1):
                 sets = [shingles(t.as_py()) for t in part.column(1)]
-                least = [least_values(x, BANDS * ROWS, seed) for x in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array([band_keys(x) for x in least], longs), pa.array([positional_bytes(x) for x in least], longs)], names=["mark", "n", "keys", "bytes"])
+                found = [fingerprint(x, seed).view(np.int64) for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["mark", "n", "bytes"])
 
     ship_code(docs.sparkSession)
     text = text_or_empty(docs)
-    return docs.select(F.xxhash64(text).alias("mark"), text.cast("binary").alias("text")).mapInArrow(compute, "mark long, n int, keys array<long>, bytes array<long>").distinct()
+    return docs.select(F.xxhash64(text).alias("mark"), text.cast("binary").alias("text")).mapInArrow(compute, "mark long, n int, bytes array<long>").distinct()
+
+
+def listed(rows: DataFrame, turn: int) -> DataFrame:
+    """mark and key, for each group of the turn."""
+    first = position_groups()[turn::TURNS]
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bytes_ = batch.column(1).flatten().to_numpy().reshape(-1, WORDS).view(np.uint8)
+                key = np.arange(turn, turn + len(first) * TURNS, TURNS) << 24
+                for i in range(3):
+                    key = key | bytes_[:, first[:, i]].astype(np.int64) << 8 * i
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), len(first))), pa.array(key.ravel())], names=["mark", "key"])
+
+    ship_code(rows.sparkSession)
+    return rows.select("mark", "bytes").mapInArrow(compute, "mark long, key long")
 
 
 def texts_of(docs: DataFrame, marks: DataFrame, most_broadcast: int = 1 << 20) -> DataFrame:
@@ -92,19 +137,6 @@ def texts_of(docs: DataFrame, marks: DataFrame, most_broadcast: int = 1 << 20) -
     return stage(found.groupBy("mark").agg(F.first("text").alias("text")), "near-texts")
 
 
-def long_bytes(texts: DataFrame, count: int = 512, seed: int = 43) -> DataFrame:
-    """mark and bytes, of ``count`` further MinHash values."""
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1):
-                found = [positional_bytes(least_values(shingles(t.as_py()), count, seed)) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["mark", "bytes"])
-
-    ship_code(texts.sparkSession)
-    return texts.select("mark", "text").mapInArrow(compute, "mark long, bytes array<long>")
-
-
 def shared_bytes(a: Column, b: Column) -> Column:
     """How many positional bytes of two arrays of longs are the same."""
 
@@ -118,8 +150,8 @@ def shared_bytes(a: Column, b: Column) -> Column:
 
 
 def least_shared(count: int, tenths: int) -> int:
-    """The shared bytes of a pair whose similarity is ``tenths`` tenths, less 4 standard deviations."""
-    p = tenths / 10 + (1 - tenths / 10) / 256
+    """The shared bytes, of ``count``, of a pair whose similarity is ``tenths`` tenths, less 4 standard deviations."""
+    p = (1 - math.acos(2 * tenths / (10 + tenths)) / math.pi) ** 8
     return int(count * p - 4 * (count * p * (1 - p)) ** 0.5)
 
 
@@ -151,26 +183,31 @@ def verified(docs: DataFrame, pairs: DataFrame, tenths: int = 8) -> DataFrame:
 
 def links(docs: DataFrame, tenths: int = 8) -> DataFrame:
     """Verified pairs (u, v) of marks that join all near copies; pairs within what others have joined already are left out."""
-    rows = stage(posted(docs), "near-rows")
-    entries = rows.select("mark", "n", F.explode("keys").alias("key"))
-    sizes = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = stage(entries.join(sizes, "key"), "near-shared")
+    rows, parts = stage(posted(docs), "near-rows"), []
+    for turn in range(TURNS):
+        sized = listed(rows, turn).withColumn("size", F.count("*").over(W.partitionBy("key"))).filter("size > 1")
+        parts.append(stage(sized, "near-sized"))
+        del sized
+        free_shuffles(docs.sparkSession)
+    shared = stage(reduce(DataFrame.unionAll, parts).join(rows.select("mark", "n", F.get("bytes", F.lit(0)).alias("word")), "mark"), "near-shared")
     fullness = shared.groupBy("mark").agg(F.sum("size").alias("fullness"))
-    leaders = shared.join(fullness, "mark").groupBy("key").agg(F.max(F.struct("fullness", "mark", "n")).alias("top"))
-    stars = shared.join(leaders, "key").filter((F.col("mark") != F.col("top.mark")) & _sizes(F.col("n"), F.col("top.n"), tenths)).select(F.col("top.mark").alias("u"), F.col("mark").alias("v")).distinct()
-    tally = lambda a, b, count: shared_bytes(a, b) >= least_shared(count, tenths)
-    near = stars.join(rows.select(F.col("mark").alias("v"), F.col("bytes").alias("b")), "v").join(rows.select(F.col("mark").alias("u"), F.col("bytes").alias("a")), "u").filter(tally(F.col("a"), F.col("b"), BANDS * ROWS))
+    leaders = shared.join(fullness, "mark").groupBy("key").agg(F.max(F.struct("fullness", "mark", "n", "word")).alias("top"))
+    alike = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= MOST_BITS
+    stars = shared.join(leaders, "key").filter((F.col("mark") != F.col("top.mark")) & alike(F.col("word"), F.col("top.word")) & _sizes(F.col("n"), F.col("top.n"), tenths)).select(F.col("top.mark").alias("u"), F.col("mark").alias("v"), F.least("n", "top.n").alias("n")).distinct()
+    tally = lambda n, a, b, words: (n < FEW) | (shared_bytes(a, b) >= least_shared(8 * words, tenths))
+    bytes_as = lambda mark, name: rows.select(F.col("mark").alias(mark), F.slice("bytes", 1, FIRST_WORDS).alias(name))
+    near = stars.join(bytes_as("v", "b"), "v").join(bytes_as("u", "a"), "u").filter(tally(F.col("n"), F.col("a"), F.col("b"), FIRST_WORDS))
     near = stage(near.select("u", "v"), "near-stars")
+    free_shuffles(docs.sparkSession)
     first = stage(verified(docs, near, tenths), "near-links")
     roots = components(first)
-    rooted = stage(shared.join(roots.withColumnRenamed("node", "mark"), "mark", "left").select("mark", "n", "key", F.coalesce("root", "mark").alias("root")), "near-rooted")
+    rooted = shared.filter("size > 2").join(roots.withColumnRenamed("node", "mark"), "mark", "left").select("mark", "n", "word", "key", F.coalesce("root", "mark").alias("root"))  # lists of two have met their leader
+    rooted = stage(rooted, "near-rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    left = stage(rooted.join(mixed, "key", "left_semi"), "near-left")
-    bytes_of = stage(long_bytes(texts_of(docs, left.select("mark").distinct())), "near-bytes")
-    left = left.join(bytes_of, "mark").join(rows.select("mark", "keys"), "mark")
+    left = stage(rooted.join(mixed, "key", "left_semi"), "near-left").join(rows.select("mark", "bytes"), "mark")
     a, b = left.alias("a"), left.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.mark") < F.col("b.mark")) & (F.col("a.root") != F.col("b.root")) & _sizes(F.col("a.n"), F.col("b.n"), tenths) & tally(F.col("a.bytes"), F.col("b.bytes"), 512) & (F.get(F.array_intersect("a.keys", "b.keys"), 0) == F.col("a.key")))
-    met = met.select(F.col("a.mark").alias("u"), F.col("b.mark").alias("v"))  # once: by the first of the bands that they share
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.mark") < F.col("b.mark")) & (F.col("a.root") != F.col("b.root")) & alike(F.col("a.word"), F.col("b.word")) & _sizes(F.col("a.n"), F.col("b.n"), tenths) & tally(F.least("a.n", "b.n"), F.col("a.bytes"), F.col("b.bytes"), WORDS))
+    met = met.select(F.col("a.mark").alias("u"), F.col("b.mark").alias("v")).distinct()
     tried = near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     rest = stage(met.join(tried, ["u", "v"], "left_anti"), "near-rest")
     return first.unionAll(verified(docs, rest, tenths))
