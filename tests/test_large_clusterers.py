@@ -118,3 +118,15 @@ def test_medoids_with_few_candidates_come_near_the_optimum(spark):
     row = table.first()
     labels = medoid.gower(np.array([[*(r / np.ptp(x, axis=0)), 0.0] for r in x]), np.hstack([chosen[3][:, :3], np.zeros((3, 1))]), 3).argmin(1)
     assert row.rested and row.silhouette > 0.7 and associate.ari_of_table(stability.contingency(labels, np.repeat([0, 1, 2], 200))) == 1
+
+
+def test_medoids_measure_equal_rows_once(spark, monkeypatch):
+    df = spark.range(3_000).selectExpr("id AS row_id", "id % 4 AS p", "id % 5 AS q", "CAST(id % 3 AS string) AS r")
+    seen, passed = [], medoid._passed
+    monkeypatch.setattr(medoid, "_passed", lambda points, size, shapes, add: (seen.append((size, points.count())), passed(points, size, shapes, add))[1])
+    chosen, table = medoid.medoids(df, ["p", "q"], ["r"], [2, 3], candidates=30)
+    assert {n for size, n in seen if size == 4} == {60} and sum(n > 60 for _, n in seen) <= 3
+    x = np.array([r["x"] for r in medoid.gower_points(df, ["p", "q"], ["r"], "row_id")[0].collect()])
+    for r in table.collect():
+        d = np.sort(medoid.gower(x, chosen[r.k], 2), 1)
+        assert math.isclose(r.cost, d[:, 0].sum()) and math.isclose(r.silhouette, float((1 - d[:, 0] / d[:, 1]).mean()))
