@@ -19,6 +19,7 @@ longer than a slice is a slice. Without training documents every score is that o
 
 from __future__ import annotations
 
+import ctypes
 import math
 import struct
 from collections.abc import Iterator
@@ -70,8 +71,13 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 
 def _frugal() -> None:
-    """Lets this worker's Arrow give memory back when it is freed, as the next stage's arrays come from elsewhere."""
+    """Lets this worker give memory back when it is freed, as the next stage's arrays come from elsewhere: Arrow's, and arrays of 512 KB or
+    more (glibc keeps ever larger ones for itself unless told their size)."""
     pa.set_memory_pool(pa.system_memory_pool())
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.mallopt(-3, 512 << 10)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
 
 
 def word_keys(words: list[bytes], seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,6 +135,7 @@ def _rows(df: DataFrame, column: str, keys: list[str], made: str, place: str | N
     names, numbers = [c.split()[0] for c in made.split(", ")], [place] if place else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _frugal()
         for batch in batches:
             for row in batch.to_pylist():
                 arrays = unpack(row[column])[: len(names)]
@@ -255,6 +262,7 @@ def _seat(strength: float, discount: float, salt: int, counted: bool):
     def run(states: pa.Table, facts: pa.Table) -> pa.Table:
         if not states.num_rows:
             return pa.table({"bucket": pa.array([], pa.int64()), "state": pa.array([], pa.binary()), "words": pa.array([], pa.binary())})
+        _frugal()
         at_u, at_w, c, tables, added = unpack(states.column("state")[0].as_py())
         facts = facts.sort_by("id")
         ids, parent, totals = (facts.column(x).to_numpy() for x in ("id", "parent", "tables"))
@@ -270,6 +278,7 @@ def _answers(discount: float, samples: int):
     """What each request of a slice comes to: customers less the discount of their tables, averaged."""
 
     def run(requests: pa.Table, states: pa.Table) -> pa.Table:
+        _frugal()
         _, _, c, _, added, *_ = unpack(states.column("state")[0].as_py())
         worth = np.concatenate([[0.0, 1 - discount], c - discount * added / samples]).astype(np.float32)
         found = [pack(worth[unpack(b)[0]]) for b in requests.column("which").to_pylist()]
@@ -282,6 +291,7 @@ def _scored(frequent: np.ndarray, buckets: int, samples: int, training: int, kno
     """Scores of a slice's documents, from its codes, the buckets' answers and its words' figures."""
 
     def run(parts: pa.Table, facts: pa.Table) -> pa.Table:
+        _frugal()
         rows = parts.to_pylist()
         own = next(r for r in rows if r["doc_ids"] is not None)
         facts = facts.sort_by("code")
@@ -289,7 +299,9 @@ def _scored(frequent: np.ndarray, buckets: int, samples: int, training: int, kno
         pairs = Pairs(codes, ids, ends, frequent, buckets)
         col = lambda name: facts.column(name).to_numpy().astype(float)
         worth = np.concatenate([unpack(r["codes"])[0] for r in sorted((r for r in rows if r["doc_ids"] is None), key=lambda r: r["bucket"])]).astype(float)
+        del rows
         p = worth * col("scale")[pairs.u]
+        del worth
         for s in range(samples):
             p += col(f"g{s}")[pairs.u] * col(f"p{s}")[pairs.w] / samples
         counts = facts.column("n").to_numpy()
