@@ -181,6 +181,13 @@ def verified(docs: DataFrame, pairs: DataFrame, tenths: int = 8) -> DataFrame:
     return with_both.select("u", "v", "a", "b").mapInArrow(compute, "u long, v long")
 
 
+def mixed(rooted: DataFrame) -> DataFrame:
+    """The rows of the lists (``key``) that hold documents of different components (``root``): each row once, so at most one to a document and group."""
+    lists = W.partitionBy("key")
+    found = rooted.withColumn("_low", F.min("root").over(lists)).withColumn("_high", F.max("root").over(lists))
+    return found.filter("_low != _high").select(*rooted.columns)
+
+
 def links(docs: DataFrame, tenths: int = 8) -> DataFrame:
     """Verified pairs (u, v) of marks that join all near copies; pairs within what others have joined already are left out."""
     rows, parts = stage(posted(docs), "near-rows"), []
@@ -202,9 +209,7 @@ def links(docs: DataFrame, tenths: int = 8) -> DataFrame:
     first = stage(verified(docs, near, tenths), "near-links")
     roots = components(first)
     rooted = shared.filter("size > 2").join(roots.withColumnRenamed("node", "mark"), "mark", "left").select("mark", "n", "word", "key", F.coalesce("root", "mark").alias("root"))  # lists of two have met their leader
-    rooted = stage(rooted, "near-rooted")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    left = stage(rooted.join(mixed, "key", "left_semi"), "near-left").join(rows.select("mark", "bytes"), "mark")
+    left = stage(mixed(rooted), "near-left").join(rows.select("mark", "bytes"), "mark")
     a, b = left.alias("a"), left.alias("b")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.mark") < F.col("b.mark")) & (F.col("a.root") != F.col("b.root")) & alike(F.col("a.word"), F.col("b.word")) & _sizes(F.col("a.n"), F.col("b.n"), tenths) & tally(F.least("a.n", "b.n"), F.col("a.bytes"), F.col("b.bytes"), WORDS))
     met = met.select(F.col("a.mark").alias("u"), F.col("b.mark").alias("v")).distinct()

@@ -38,3 +38,10 @@ def test_lists_hold_the_bytes_of_their_group(spark):
     got = sorted(r.key for turn in range(near.TURNS) for r in near.listed(rows, turn).collect())
     at = fp.view(np.uint8).astype(int)
     assert got == sorted((g << 24) | at[x] | at[y] << 8 | at[z] << 16 for g, (x, y, z) in enumerate(near.position_groups().tolist()))
+
+
+def test_mixed_lists_are_found_without_a_join(spark):
+    rows = [(m, 60, 0, key, root) for key, roots in {1: [7] * 200, 2: [7] * 200 + [9], 3: [5, 6, 7]}.items() for m, root in enumerate(roots)]
+    found = near.mixed(spark.createDataFrame(rows, "mark long, n int, word long, key long, root long").repartition(3))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(r for r in rows if r[3] > 1)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
