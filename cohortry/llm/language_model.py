@@ -10,9 +10,10 @@ Work is shared out by numpy blocks that Spark shuffles. Texts are read once, in
 sends the distinct pairs it holds, with their training counts, to buckets chosen by the context, and for contexts with a
 thousandth of the training words or more (a thousand at most) by the word too. A bucket adds them up and seats them; what a
 pair's count and tables come to goes back to the slices in the order in which they asked. Per-word figures travel as rows, by joins on
-the word's id. Only totals and the frequent contexts reach the driver; a slice meets a word's figures only if it holds the word.
+the word's id; at the end slices ask for them as they ask for pairs, from parts that hold them packed. Only totals and the frequent
+contexts reach the driver; a slice meets a word's figures only if it holds the word.
 
-Words are known by 64 of the 128 bits of a hash; if two share them, the other 64 show it and all is done again with another seed.
+Words are known by 64 of the 128 bits of a hash; if two share them, 32 of the others show it and all is done again with another seed.
 Null text: empty, scored by its end alone. Null doc_id: a training document. Rows that repeat are documents of their own. A text
 longer than a slice is a slice. Without training documents every score is that of the uniform base.
 """
@@ -23,7 +24,7 @@ import ctypes
 import math
 import struct
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 from itertools import count
 
 import numpy as np
@@ -46,26 +47,31 @@ SLICED = "slice long, tokens long, doc_ids array<long>, held array<boolean>, end
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
+@cache
+def _zstd():
+    """This worker's compressor and decompressor."""
+    from zstandard import ZstdCompressor, ZstdDecompressor
+
+    return ZstdCompressor(level=1), ZstdDecompressor()
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Compressed, byte by byte of all numbers: high bytes are mostly zero."""
-    from zstandard import ZstdCompressor
 
     def one(a: np.ndarray) -> bytes:
-        z = ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
+        z = _zstd()[0].compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
         return struct.pack("<2sq", a.dtype.str[1:].encode(), len(z)) + z
 
     return b"".join(map(one, arrays))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
-    from zstandard import ZstdDecompressor
-
     out, at = [], 0
     while at < len(blob):
         kind, size = struct.unpack_from("<2sq", blob, at)
         at += 10
         dtype = np.dtype("<" + kind.decode())
-        out.append(np.ascontiguousarray(np.frombuffer(ZstdDecompressor().decompress(blob[at : at + size]), np.uint8).reshape(dtype.itemsize, -1).T).view(dtype).ravel())
+        out.append(np.ascontiguousarray(np.frombuffer(_zstd()[1].decompress(blob[at : at + size]), np.uint8).reshape(dtype.itemsize, -1).T).view(dtype).ravel())
         at += size
     return out
 
@@ -81,11 +87,11 @@ def _frugal() -> None:
 
 
 def word_keys(words: list[bytes], seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Id and check of each word."""
+    """Id and check (32 bits) of each word."""
     from xxhash import xxh3_128_digest
 
     both = np.frombuffer(b"".join([xxh3_128_digest(w, seed) for w in words]), "<i8").reshape(-1, 2)
-    return both[:, 0].copy(), both[:, 1].copy()
+    return both[:, 0].copy(), both[:, 1].astype(np.int32)
 
 
 def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -130,19 +136,68 @@ def sliced(docs: DataFrame, seed: int, most_bytes: int) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), held.alias("held"), text_or_empty(docs).alias("text")).mapInArrow(run, SLICED)
 
 
-def _rows(df: DataFrame, column: str, keys: list[str], made: str, place: str | None = None) -> DataFrame:
-    """A row for each entry of the arrays that ``column`` packs (the first ones, as many as ``made`` names), beside ``keys``, with its ``place``."""
-    names, numbers = [c.split()[0] for c in made.split(", ")], [place] if place else []
+def _rows(df: DataFrame, column: str, keys: list[str], made: str) -> DataFrame:
+    """A row for each entry of the arrays that ``column`` packs (the first ones, as many as ``made`` names), beside ``keys``."""
+    names = [c.split()[0] for c in made.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _frugal()
         for batch in batches:
             for row in batch.to_pylist():
                 arrays = unpack(row[column])[: len(names)]
-                yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(arrays[0]), row[k])) for k in keys], *map(pa.array, arrays), *[pa.array(np.arange(len(arrays[0]), dtype=np.int32)) for _ in numbers]], names=[*keys, *names, *numbers])
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(arrays[0]), row[k])) for k in keys], *map(pa.array, arrays)], names=[*keys, *names])
 
     ship_code(df.sparkSession)
-    return df.filter(F.col(column).isNotNull()).select(*keys, column).mapInArrow(run, ", ".join([*[f"{k} long" for k in keys], made, *[f"{n} int" for n in numbers]]))
+    return df.filter(F.col(column).isNotNull()).select(*keys, column).mapInArrow(run, ", ".join([*[f"{k} long" for k in keys], made]))
+
+
+def _added(df: DataFrame, column: str, made: dict[str, tuple[int, np.ufunc]], at_once: int = 6) -> DataFrame:
+    """A row for each id (the first array that ``column`` packs) of some rows: per name, what the ufunc makes of the array of that number. Partial: ids meet again in a grouping."""
+
+    def flushed(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        ids = np.concatenate([p[0] for p in parts])
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.empty(0, np.int64)
+        columns = [f.reduceat(np.concatenate([p[i] for p in parts])[order], first).astype(np.int64) if len(first) else first for i, f in made.values()]
+        return pa.RecordBatch.from_arrays([pa.array(ids[first]), *map(pa.array, columns)], names=["id", *made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _frugal()
+        waiting = []
+        for batch in batches:
+            for blob in batch.column(0):
+                waiting.append(unpack(blob.as_py()))
+                if len(waiting) == at_once:
+                    yield flushed(waiting)
+                    waiting = []
+        if waiting:
+            yield flushed(waiting)
+
+    ship_code(df.sparkSession)
+    return df.filter(F.col(column).isNotNull()).select(column).mapInArrow(run, ", ".join(["id long", *[f"{n} long" for n in made]]))
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of non-negative ``key``, ascending, where each first stands among the sorted ones, and which of them each entry is."""
+    place_bits, inverse = len(key).bit_length(), np.empty(len(key), np.int32)
+    if len(key) and int(key.max()).bit_length() + place_bits < 64:  # value and place in one number: sorting is faster than its order
+        both = np.sort(key << place_bits | np.arange(len(key)))
+        place = both & ((1 << place_bits) - 1)
+        both >>= place_bits
+    else:
+        place = np.argsort(key, kind="stable")
+        both = key[place]
+    new = np.ones(len(key), bool)
+    new[1:] = both[1:] != both[:-1]
+    inverse[place] = np.cumsum(new, dtype=np.int32) - 1
+    first = np.flatnonzero(new)
+    return both[first], first, inverse
+
+
+def _dealt(part: np.ndarray, parts: int) -> np.ndarray:
+    """The order by part, which is a number below ``parts``, then place."""
+    return np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
 
 
 class Pairs:
@@ -155,8 +210,7 @@ class Pairs:
         key[np.concatenate([[0], ends[:-1]])] = len(ids) - 1
         key *= len(ids)
         key += codes
-        found, inverse = np.unique(key, return_inverse=True)
-        inverse = inverse.astype(np.int32)
+        found, _, inverse = _distinct(key)
         del key
         self.u, self.w = (found // len(ids)).astype(np.int32), (found % len(ids)).astype(np.int32)
         del found
@@ -164,7 +218,7 @@ class Pairs:
         spread = mixed(self.ids)[self.u] + np.where(often, mixed(self.ids, 1)[self.w], np.uint64(0))
         bucket = (mixed(spread) % np.uint64(buckets)).astype(np.int64)
         del often, spread
-        order = np.argsort(bucket, kind="stable").astype(np.int32)
+        order = _dealt(bucket, buckets).astype(np.int32)
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
         self.u, self.w, self.bucket, self.of_token = self.u[order], self.w[order], bucket[order], place[inverse]
@@ -172,8 +226,8 @@ class Pairs:
 
 def _listed(ids: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the codes in use, and each code's place among them: ids do not pack, places do."""
-    used, place = np.unique(codes, return_inverse=True)
-    return ids[used], place.astype(np.int32)
+    used, _, place = _distinct(codes.astype(np.int64))
+    return ids[used], place
 
 
 def asked(corpus: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
@@ -201,23 +255,38 @@ def _bucket(table: pa.Table) -> pa.Table:
     _frugal()
     table = table.sort_by("slice")
     parts = [unpack(b) for b in table.column("blob").to_pylist()]
-    u, w, n = (np.concatenate(x) for x in zip(*[(a[i], b[j], c) for a, i, b, j, c in parts], strict=True))
-    cuts = np.cumsum([len(p[4]) for p in parts])[:-1]
+    cuts, n = np.cumsum([len(p[4]) for p in parts])[:-1], np.concatenate([p[4] for p in parts])
+
+    def placed(i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of one side, ascending, and the place among them of each request's."""
+        ids, inverse = np.unique(np.concatenate([p[i] for p in parts]), return_inverse=True)
+        begin = np.cumsum([0, *[len(p[i]) for p in parts]])
+        return ids, np.concatenate([inverse[begin[k] : begin[k + 1]][p[i + 1]] for k, p in enumerate(parts)])
+
+    (all_u, u), (all_w, w) = placed(0), placed(2)
     del parts
-    order = np.lexsort((w, u))
-    su, sw = u[order], w[order]
-    new = np.concatenate([[True], (su[1:] != su[:-1]) | (sw[1:] != sw[:-1])])
-    c = np.add.reduceat(n[order].astype(np.int64), np.flatnonzero(new))
-    gu, gw, more = su[new], sw[new], c > 1
-    kind = np.where(more, np.cumsum(more) + 1, c).astype(np.int32)
-    which = np.empty(len(u), np.int32)
-    which[order] = kind[np.cumsum(new) - 1]
-    ids = np.unique(np.concatenate([gu[more], gw[more]]))
-    at_u, at_w, c2 = np.searchsorted(ids, gu[more]).astype(np.int32), np.searchsorted(ids, gw[more]).astype(np.int32), c[more]
+    key = u * len(all_w)
+    key += w
+    del u, w
+    found, first, inverse = _distinct(key)
+    del key
+    gu, gw = found // len(all_w), found % len(all_w)
+    c = np.bincount(inverse, n, len(found)).astype(np.int64)
+    more = c > 1
+    which = np.where(more, np.cumsum(more) + 1, c).astype(np.int32)[inverse]
+    del found, first, inverse, n
+    u1, w1, u2, w2 = (np.bincount(x[mask], minlength=len(ids)) for mask in (c == 1, more) for x, ids in ((gu, all_u), (gw, all_w)))
+    ids = np.union1d(all_u[u2 > 0], all_w[w2 > 0])
+    at_u, at_w, c2 = np.searchsorted(ids, all_u).astype(np.int32)[gu[more]], np.searchsorted(ids, all_w).astype(np.int32)[gw[more]], c[more]
     state = pack(at_u, at_w, c2, np.ones(len(c2), np.int64), np.zeros(len(c2), np.int64))
-    seen = np.unique(np.concatenate([gu[c > 0], gw[c > 0]]))
-    per = lambda x, mask: np.bincount(np.searchsorted(seen, x[mask]), minlength=len(seen))
-    words = pack(seen, per(gu, c == 1), per(gw, c == 1), per(gu, more), per(gw, more))
+    seen = np.union1d(all_u[u1 + u2 > 0], all_w[w1 + w2 > 0])
+
+    def spread(counts: np.ndarray, own: np.ndarray) -> np.ndarray:
+        out, used = np.zeros(len(seen), np.int64), counts > 0
+        out[np.searchsorted(seen, own[used])] = counts[used]
+        return out
+
+    words = pack(seen, spread(u1, all_u), spread(w1, all_w), spread(u2, all_u), spread(w2, all_w))
     rows, key = table.num_rows, table.column("bucket")[0].as_py()
     none = [None] * rows
     return pa.table({
@@ -287,24 +356,65 @@ def _answers(discount: float, samples: int):
     return run
 
 
-def _scored(frequent: np.ndarray, buckets: int, samples: int, training: int, known: int):
-    """Scores of a slice's documents, from its codes, the buckets' answers and its words' figures."""
+def _wanted(corpus: DataFrame, parts: int) -> DataFrame:
+    """slice, part, blob: the ids of a slice's words that fall to a part (by remainder), in the order of their codes."""
 
-    def run(parts: pa.Table, facts: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _frugal()
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = unpack(row["words"])[0]
+                part = ids % parts
+                order = _dealt(part, parts)
+                cut = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+                blobs = [pack(ids[order[a:b]]) for a, b in zip(cut, cut[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array([row["slice"]] * len(blobs), pa.int64()), pa.array(part[order[cut[:-1]]]), pa.array(blobs, pa.binary())], names=["slice", "part", "blob"])
+
+    return corpus.select("slice", "words").mapInArrow(run, "slice long, part long, blob binary")
+
+
+def _packed(columns: list[str]):
+    """The figures of a part's words in one blob, by id."""
+
+    def run(facts: pa.Table) -> pa.Table:
+        _frugal()
+        facts = facts.sort_by("id")
+        return pa.table({"part": facts.column("part")[:1], "blob": pa.array([pack(*[facts.column(c).to_numpy() for c in ("id", *columns)])], pa.binary())})
+
+    return run
+
+
+def _looked_up(requests: pa.Table, facts: pa.Table) -> pa.Table:
+    """The figures of the words that each slice wants from a part."""
+    if not requests.num_rows:
+        return pa.table({"slice": pa.array([], pa.int64()), "part": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
+    _frugal()
+    ids, *figures = unpack(facts.column("blob")[0].as_py())
+    places = [np.searchsorted(ids, unpack(b)[0]) for b in requests.column("blob").to_pylist()]
+    return pa.table({"slice": requests.column("slice"), "part": requests.column("part"), "blob": pa.array([pack(*[x[at] for x in figures]) for at in places], pa.binary())})
+
+
+def _scored(frequent: np.ndarray, buckets: int, columns: list[str], samples: int, training: int, known: int):
+    """Scores of a slice's documents, from its codes, the buckets' answers and its words' figures (``columns``, from as many parts as there are buckets)."""
+
+    def run(parts: pa.Table) -> pa.Table:
         _frugal()
         rows = parts.to_pylist()
         own = next(r for r in rows if r["doc_ids"] is not None)
-        facts = facts.sort_by("code")
-        codes, ids, ends = unpack(own["codes"])[0], facts.column("id").to_numpy(), np.array(own["ends"])
-        pairs = Pairs(codes, ids, ends, frequent, buckets)
-        col = lambda name: facts.column(name).to_numpy().astype(float)
-        worth = np.concatenate([unpack(r["codes"])[0] for r in sorted((r for r in rows if r["doc_ids"] is None), key=lambda r: r["bucket"])]).astype(float)
+        codes, ids, ends = unpack(own["codes"])[0], unpack(own["words"])[0], np.array(own["ends"])
+        answers = lambda kind: [unpack(r["codes"]) for r in sorted((r for r in rows if r[kind] is not None), key=lambda r: r[kind])]
+        order, facts = _dealt(ids % buckets, buckets), {}
+        for name, found in zip(columns, zip(*answers("part"), strict=True), strict=True):
+            facts[name] = np.empty(len(ids))
+            facts[name][order] = np.concatenate(found)
+        worth = np.concatenate([x[0] for x in answers("bucket")]).astype(float)
         del rows
-        p = worth * col("scale")[pairs.u]
+        pairs = Pairs(codes, ids, ends, frequent, buckets)
+        p = worth * facts["scale"][pairs.u]
         del worth
         for s in range(samples):
-            p += col(f"g{s}")[pairs.u] * col(f"p{s}")[pairs.w] / samples
-        counts = facts.column("n").to_numpy()
+            p += facts[f"g{s}"][pairs.u] * facts[f"p{s}"][pairs.w] / samples
+        counts = facts["n"]
         doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
         base = np.log10((counts + 0.5) / (training + 0.5 * (known + 1)))
         total = lambda x: np.bincount(doc, x, len(ends))
@@ -323,10 +433,10 @@ class Model:
         ship_code(docs.sparkSession)
         for seed in count():
             corpus = Staged(sliced(docs, seed, most_bytes), "lm-slices")
-            entries = _rows(corpus.df, "words", ["slice"], "id long, check long, n long")
-            vocabulary = Staged(entries.groupBy("id").agg(F.sum("n").alias("n"), F.min("check").alias("_low"), F.max("check").alias("_high")), "lm-vocabulary")
+            entries = _added(corpus.df, "words", {"n": (2, np.add), "low": (1, np.minimum), "high": (1, np.maximum)})
+            vocabulary = Staged(entries.groupBy("id").agg(F.sum("n").alias("n"), (F.min("low") != F.max("high")).alias("_shared")), "lm-vocabulary")
             seen = vocabulary.df
-            told = seen.agg(F.sum("n"), F.count_if(F.col("n") > 0), F.count_if(F.col("_low") != F.col("_high"))).first()
+            told = seen.agg(F.sum("n"), F.count_if(F.col("n") > 0), F.count_if("_shared")).first()
             if not told[2]:
                 break
             corpus.drop()
@@ -348,7 +458,7 @@ class Model:
         sums = self.requests.agg(F.sum("once"), F.sum("twice")).first()
         self.discount = _discount(sums[0] or 0, sums[1] or 0)
         free_shuffles(docs.sparkSession)  # again: a job's last shuffle is held until another job has run
-        tallied = _rows(self.requests, "words", [], "id long, u1 long, w1 long, u2 long, w2 long").groupBy("id").agg(*[F.sum(c).alias(c) for c in ("u1", "w1", "u2", "w2")])
+        tallied = _added(self.requests, "words", {c: (i, np.add) for i, c in enumerate(("u1", "w1", "u2", "w2"), 1)}).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("u1", "w1", "u2", "w2")])
         zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
         before = F.when(F.col("id") == int(self.frequent[-1]), F.lit(texts[0]["n"] if texts else 0)).when(F.col("id") == ends, 0).otherwise(F.coalesce("n", F.lit(0))).cast("long")
         words = seen.select("id", "n").join(tallied, "id", "left").select("id", "n", *[zero(c) for c in ("u1", "w1", "u2", "w2")], before.alias("c"))
@@ -387,7 +497,7 @@ class Model:
             if turn <= burn_in:
                 seated.drop()
             free_shuffles(ids.sparkSession)
-            grown = _rows(made.df, "words", [], "id long, u long, w long").groupBy("id").agg(F.sum("u").alias("u"), F.sum("w").alias("w"))
+            grown = _added(made.df, "words", {"u": (1, np.add), "w": (2, np.add)}).groupBy("id").agg(F.sum("u").alias("u"), F.sum("w").alias("w"))
             some = lambda c: F.coalesce(c, F.lit(0).cast("long"))
             current = self.words.select("id", "w1", "u1").join(grown, "id", "left").select("id", (F.col("w1") + some("w")).alias("m"), (F.col("u1") + some("u")).alias("tables"))
         self._seating = state
@@ -407,16 +517,20 @@ class Model:
             self._buckets.drop()
             self._seating.drop()
         free_shuffles(answers.sparkSession)
-        none = lambda kind: F.lit(None).cast(kind)
-        run = _scored(self.frequent, self.buckets, self.samples, self.training, self.known)
+        columns = figures.columns[1:]
+        packed = stage(figures.withColumn("part", F.pmod("id", F.lit(self.buckets).cast("long"))).groupBy("part").applyInArrow(_packed(columns), "part long, blob binary"), "lm-packed")
+        free_shuffles(answers.sparkSession)
+        run = _scored(self.frequent, self.buckets, columns, self.samples, self.training, self.known)
         found = []
         for turn in range(self.turns):  # what the slices of a turn shuffle is let go before the next
             mine = F.pmod(F.xxhash64("slice"), F.lit(self.turns)) == turn
             corpus = self.corpus.filter(mine)
-            facts = _rows(corpus, "words", ["slice"], "id long", "code").join(figures, "id")
-            parts = corpus.select("slice", none("long").alias("bucket"), "doc_ids", "held", "ends", "codes").unionByName(answers.filter(mine).select("slice", "bucket", none("array<long>").alias("doc_ids"), none("array<boolean>").alias("held"), none("array<int>").alias("ends"), F.col("blob").alias("codes")))
-            found.append(stage(parts.groupBy("slice").cogroup(facts.groupBy("slice")).applyInArrow(run, RESULT), "lm-scores"))
-            del facts, parts
+            facts = _wanted(corpus, self.buckets).groupBy("part").cogroup(packed.groupBy("part")).applyInArrow(_looked_up, "slice long, part long, blob binary")
+            parts = corpus.select("slice", "doc_ids", "held", "ends", "codes", "words")
+            for given, kind in ((answers.filter(mine), "bucket"), (facts, "part")):
+                parts = parts.unionByName(given.select("slice", kind, F.col("blob").alias("codes")), allowMissingColumns=True)
+            found.append(stage(parts.groupBy("slice").applyInArrow(run, RESULT), "lm-scores"))
+            del facts, parts, given
             free_shuffles(answers.sparkSession)
         found = reduce(DataFrame.unionAll, found)
         return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(self.training).cast("long").alias("train_tokens"), "base_score", "score")

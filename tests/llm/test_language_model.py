@@ -121,3 +121,29 @@ def test_no_documents_and_no_training(spark):
     lone = next(i for i in range(100) if held_out(i))
     got = lm.score(spark.createDataFrame([(lone, "a b", "en", "a", 1)], SCHEMA)).collect()
     assert [tuple(r)[:5] for r in got] == [(lone, True, 3, 0, 0)] and abs(got[0]["score"]) < 1e-6 and got[0]["base_score"] == 0
+
+
+def test_distinct_values_and_where_they_stand():
+    rng = np.random.default_rng(6)
+    for most in (5, 1 << 40, 1 << 62):  # the last does not fit beside its place
+        key = rng.integers(0, most, 3_000)
+        found, first, inverse = lm._distinct(key)
+        want, at = np.unique(key, return_inverse=True)
+        assert (found == want).all() and (inverse == at).all() and (np.sort(key)[first] == want).all()
+    assert all(len(part) == 0 for part in lm._distinct(np.empty(0, np.int64)))
+
+
+def test_a_word_takes_twelve_bytes_of_a_slice_and_its_figures_come_packed(spark):
+    words = " ".join(f"w{i}x" for i in range(20_000))
+    model = lm.Model(spark.createDataFrame([(1, words, "en", "a", 1), (2, words, "en", "a", 1)], SCHEMA), most_bytes=1 << 20)
+    ids, check, n = lm.unpack(model.corpus.select("words").first()[0])
+    assert len(model.corpus.select("words").first()[0]) < 12.2 * len(ids) and check.itemsize == 4 and len(n) == len(ids)
+    scores = model.scores(keep=False)
+    assert scores.count() == 2 and scores.agg({"score": "sum"}).first()[0] < 0
+
+
+def test_words_of_several_slices_are_added_up_before_they_travel(spark):
+    blobs = [(bytearray(lm.pack(np.array(ids), np.array(check, np.int32), np.array(n))),) for ids, check, n in (([5, -7], [1, 2], [3, 4]), ([5, 9], [8, 6], [10, 0]), ([5], [1], [1]))]
+    made = {"n": (2, np.add), "low": (1, np.minimum), "high": (1, np.maximum)}
+    got = lm._added(spark.createDataFrame(blobs, "words binary").coalesce(1), "words", made, 2).collect()
+    assert sorted(tuple(r) for r in got) == [(-7, 4, 2, 2), (5, 1, 1, 1), (5, 13, 1, 8), (9, 0, 6, 6)]
