@@ -7,9 +7,10 @@ bits (96 words, 768 bytes), posted under 512 groups; a pair at 0.8 shares none o
 shingles differ in more bits: 3e-2), one above more rarely. Texts that share a group are compared by the fingerprint's first word, in
 which pairs differ by at most ``MOST_BITS`` bits, before all else.
 
-A list's documents are first compared with its leader only, the one whose lists are the fullest, which tends to be what the others were
-copied from; then those of different components with each other. Pairs with as many shared bytes as one at 0.8 has (4 standard
-deviations below its mean, a chance of 3e-5), of the first 128 for pairs with leaders and of all for the others, are verified on
+A list's leader is the one whose lists are the fullest, which tends to be what the others were copied from. A document is first compared
+with the fullest of its lists' leaders, so once; then, in the lists that still hold different components, with the leaders of other
+components; then those of different components with each other. Pairs with as many shared bytes as one at 0.8 has (4 standard
+deviations below its mean, a chance of 3e-5), of the first 128 in the first comparison and of all after it, are verified on
 their whole sets of 64-bit shingle hashes. Components are those of all verified pairs. Equal texts are one entry. Groups are posted
 in turns, whose shuffle files are let go.
 
@@ -188,6 +189,44 @@ def mixed(rooted: DataFrame) -> DataFrame:
     return found.filter("_low != _high").select(*rooted.columns)
 
 
+def _alike(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= MOST_BITS
+
+
+def led(rooted: DataFrame, tenths: int = 8) -> DataFrame:
+    """u (a list's leader), v, n (the lesser of their sizes) and the leader's fullness, for each list in which v is of another component and may be a near copy."""
+    rows = rooted.withColumn("top", F.max(F.struct("fullness", "mark", "n", "word", "root")).over(W.partitionBy("key")))
+    found = rows.filter((F.col("root") != F.col("top.root")) & _alike(F.col("word"), F.col("top.word")) & _sizes(F.col("n"), F.col("top.n"), tenths))
+    return found.select(F.col("top.mark").alias("u"), F.col("mark").alias("v"), F.least("n", "top.n").alias("n"), F.col("top.fullness").alias("fullness"))
+
+
+def tally(n: Column, a: Column, b: Column, words: int, tenths: int) -> Column:
+    return (n < FEW) | (shared_bytes(a, b) >= least_shared(8 * words, tenths))
+
+
+def tallied(rows: DataFrame, pairs: DataFrame, words: int, tenths: int) -> DataFrame:
+    """Of ``pairs`` (u, v, n), u and v of those that share enough bytes of their first ``words`` words."""
+    bytes_as = lambda mark, name: rows.select(F.col("mark").alias(mark), F.slice("bytes", 1, words).alias(name))
+    return pairs.join(bytes_as("v", "b"), "v").join(bytes_as("u", "a"), "u").filter(tally(F.col("n"), F.col("a"), F.col("b"), words, tenths)).select("u", "v")
+
+
+def met_before(a: Column, b: Column, group: Column) -> Column:
+    """Whether two arrays of longs have the same bytes in a group of positions before ``group``, so that another list holds both."""
+    groups = F.array(*[F.struct(*[F.lit(x).alias(f"{name}{i}") for i, p in enumerate(g) for name, x in (("w", p // 8), ("s", p % 8 * 8))]) for g in position_groups().tolist()])
+
+    def same(g: Column) -> Column:
+        differ = [F.call_function("shiftrightunsigned", F.get(a, g[f"w{i}"]).bitwiseXOR(F.get(b, g[f"w{i}"])), g[f"s{i}"]).bitwiseAND(F.lit(255)) for i in range(3)]
+        return reduce(Column.__and__, [d == 0 for d in differ])
+
+    return F.exists(F.slice(groups, F.lit(1), group), same)
+
+
+def rooted(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """``lists`` with the component (``root``) that ``links`` give each document."""
+    roots = components(links).withColumnRenamed("node", "mark")
+    return lists.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+
+
 def links(docs: DataFrame, tenths: int = 8) -> DataFrame:
     """Verified pairs (u, v) of marks that join all near copies; pairs within what others have joined already are left out."""
     rows, parts = stage(posted(docs), "near-rows"), []
@@ -196,26 +235,26 @@ def links(docs: DataFrame, tenths: int = 8) -> DataFrame:
         parts.append(stage(sized, "near-sized"))
         del sized
         free_shuffles(docs.sparkSession)
-    shared = stage(reduce(DataFrame.unionAll, parts).join(rows.select("mark", "n", F.get("bytes", F.lit(0)).alias("word")), "mark"), "near-shared")
-    fullness = shared.groupBy("mark").agg(F.sum("size").alias("fullness"))
-    leaders = shared.join(fullness, "mark").groupBy("key").agg(F.max(F.struct("fullness", "mark", "n", "word")).alias("top"))
-    alike = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= MOST_BITS
-    stars = shared.join(leaders, "key").filter((F.col("mark") != F.col("top.mark")) & alike(F.col("word"), F.col("top.word")) & _sizes(F.col("n"), F.col("top.n"), tenths)).select(F.col("top.mark").alias("u"), F.col("mark").alias("v"), F.least("n", "top.n").alias("n")).distinct()
-    tally = lambda n, a, b, words: (n < FEW) | (shared_bytes(a, b) >= least_shared(8 * words, tenths))
-    bytes_as = lambda mark, name: rows.select(F.col("mark").alias(mark), F.slice("bytes", 1, FIRST_WORDS).alias(name))
-    near = stars.join(bytes_as("v", "b"), "v").join(bytes_as("u", "a"), "u").filter(tally(F.col("n"), F.col("a"), F.col("b"), FIRST_WORDS))
-    near = stage(near.select("u", "v"), "near-stars")
+    lists = reduce(DataFrame.unionAll, parts)
+    fullness = lists.groupBy("mark").agg(F.sum("size").alias("fullness"))
+    shared = stage(lists.join(rows.select("mark", "n", F.get("bytes", F.lit(0)).alias("word")).join(fullness, "mark"), "mark"), "near-shared")
+    best = led(shared.withColumn("root", F.col("mark")), tenths).groupBy("v").agg(F.max(F.struct("fullness", "u", "n")).alias("best"))
+    near = stage(tallied(rows, best.select("best.u", "v", "best.n"), FIRST_WORDS, tenths), "near-first")
+    free_shuffles(docs.sparkSession)
+    found = [stage(verified(docs, near, tenths), "near-links")]
+    left = stage(mixed(rooted(shared, found[0])), "near-mixed")
+    stars = led(left, tenths).select("u", "v", "n").distinct().join(near, ["u", "v"], "left_anti")
+    stars = stage(tallied(rows, stars, WORDS, tenths), "near-stars")
     free_shuffles(docs.sparkSession)
-    first = stage(verified(docs, near, tenths), "near-links")
-    roots = components(first)
-    rooted = shared.filter("size > 2").join(roots.withColumnRenamed("node", "mark"), "mark", "left").select("mark", "n", "word", "key", F.coalesce("root", "mark").alias("root"))  # lists of two have met their leader
-    left = stage(mixed(rooted), "near-left").join(rows.select("mark", "bytes"), "mark")
+    found.append(stage(verified(docs, stars, tenths), "near-links"))
+    left = mixed(rooted(left.filter("size > 2").drop("root"), found[0].unionAll(found[1])))  # lists of two have met their leader
+    left = stage(left.select("mark", "n", "word", "key", "root"), "near-left").join(rows.select("mark", "bytes"), "mark")
     a, b = left.alias("a"), left.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.mark") < F.col("b.mark")) & (F.col("a.root") != F.col("b.root")) & alike(F.col("a.word"), F.col("b.word")) & _sizes(F.col("a.n"), F.col("b.n"), tenths) & tally(F.least("a.n", "b.n"), F.col("a.bytes"), F.col("b.bytes"), WORDS))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.mark") < F.col("b.mark")) & (F.col("a.root") != F.col("b.root")) & _alike(F.col("a.word"), F.col("b.word")) & _sizes(F.col("a.n"), F.col("b.n"), tenths) & tally(F.least("a.n", "b.n"), F.col("a.bytes"), F.col("b.bytes"), WORDS, tenths) & ~met_before(F.col("a.bytes"), F.col("b.bytes"), F.shiftright("a.key", 24).cast("int")))  # each pair in the first of its lists
     met = met.select(F.col("a.mark").alias("u"), F.col("b.mark").alias("v")).distinct()
-    tried = near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    tried = near.unionAll(stars).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     rest = stage(met.join(tried, ["u", "v"], "left_anti"), "near-rest")
-    return first.unionAll(verified(docs, rest, tenths))
+    return found[0].unionAll(found[1]).unionAll(verified(docs, rest, tenths))
 
 
 def keep_one(docs: DataFrame, tenths: int = 8) -> DataFrame:

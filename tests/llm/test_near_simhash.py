@@ -45,3 +45,23 @@ def test_mixed_lists_are_found_without_a_join(spark):
     found = near.mixed(spark.createDataFrame(rows, "mark long, n int, word long, key long, root long").repartition(3))
     assert sorted(tuple(r) for r in found.collect()) == sorted(r for r in rows if r[3] > 1)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_verified_grow_as_the_documents_not_as_the_pairs_of_a_group(spark, monkeypatch):
+    base = [f"w{i}" for i in range(150)]
+    docs = spark.createDataFrame([(d, " ".join([*base[: 2 * d], f"x{d}", *base[2 * d + 1 :]])) for d in range(70)] + [(100, " ".join(f"y{i}" for i in range(90)))], "doc_id long, text string")
+    seen, verified = [], near.verified
+    monkeypatch.setattr(near, "verified", lambda docs, pairs, tenths: (seen.append(pairs.count()), verified(docs, pairs, tenths))[1])
+    assert sorted(r.doc_id for r in near.keep_one(docs).collect()) == [0, 100]
+    assert 69 <= sum(seen) <= 2 * 71
+
+
+def test_each_pair_is_met_in_the_first_of_its_lists(spark):
+    rng, groups = np.random.default_rng(5), near.position_groups()
+    a, b = rng.integers(0, 2, (2, 40, near.WORDS * 8), dtype=np.uint8)  # bytes of two values, so that every eighth group is shared
+    same = (a == b)[:, groups].all(2)
+    at = rng.integers(0, len(groups), 40)
+    at[:3] = 0, len(groups) - 1, same[2].argmax()
+    rows = [(n, x.view(np.int64).tolist(), y.view(np.int64).tolist(), int(g)) for n, (x, y, g) in enumerate(zip(a, b, at, strict=True))]
+    got = spark.createDataFrame(rows, "n int, a array<long>, b array<long>, g int").select("n", near.met_before(near.F.col("a"), near.F.col("b"), near.F.col("g")).alias("m")).collect()
+    assert {r.n: r.m for r in got} == {n: bool(same[n, :g].any()) for n, g in enumerate(at)}
