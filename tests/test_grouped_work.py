@@ -63,3 +63,30 @@ def test_vocabulary_by_count_then_name(spark):
     rows = spark.createDataFrame([(["b", "a", "a"],), (["a", "b", "c"],), (["d", "a", "c"],), (["d", "e"],), ([],)], "_t array<string>")
     assert topics.vocabulary(rows, 2, 0.6, 10) == ["a", "b", "c", "d"]
     assert topics.vocabulary(rows, 2, 0.5, 2) == ["b", "c"] and topics.vocabulary(rows, 1, 2, 10) == ["b", "c", "d", "e"]
+
+
+def test_a_pass_measures_a_block_once_for_all_its_fits(monkeypatch):
+    rng = np.random.default_rng(8)
+    x, sizes = rng.normal(size=(501, 4)), [1, 2, 2, 5, 5, 5, 9]
+    fits, seen = [rng.normal(size=(k, 4)) for k in sizes], []
+    for some, near, label in resample._nearest_each(x, fits):
+        want = [((x[:, None] - fits[n]) ** 2).sum(2) for n in some]
+        assert (label == [w.argmin(1) for w in want]).all() and np.allclose(near, [w.min(1) for w in want])
+        seen.append(some)
+    assert seen == [[0], [1, 2], [3, 4, 5], [6]]
+    tasks, passes = [(k, i) for i in (-1, 0) for k in (1, 3)], []
+
+    def passed(points, size, shapes, add):
+        total = [np.zeros(s) for s in shapes]
+        add(total, np.arange(501, dtype=np.uint64), x)
+        passes.append(total)
+        return total, []
+
+    calls, each = [], resample._nearest_each
+    monkeypatch.setattr(resample, "_passed", passed)
+    monkeypatch.setattr(resample, "seeded", lambda *a, **b: [fits[0], fits[3][:3]] * 2)
+    monkeypatch.setattr(resample, "_nearest_each", lambda v, c: (calls.append(len(c)), each(v, c))[1])
+    resample.many_kmeans(None, 4, tasks, lambda h, x, t: x, rounds=1, family=lambda t: 0, takes=lambda h, i: None if i < 0 else h % 2 == 0)
+    assert calls == [4] and [t[:, 0].sum() for t in passes[0]] == [501, 501, 251, 251]
+    label = ((x[:, None] - fits[3][:3]) ** 2).sum(2).argmin(1)
+    assert np.allclose(passes[0][3][:, 2:], [x[::2][label[::2] == c].sum(0) for c in range(3)]) and np.allclose(passes[0][0][0, 1], ((x - fits[0]) ** 2).sum())
