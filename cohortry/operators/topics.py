@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, NGram, RegexTokenizer, StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.expressions import rounded
+from cohortry.functions.special import digamma, log_gamma
+from cohortry.operators.resample import _passed
+
+EPS = np.finfo(float).eps
 
 
 def term_counts(df: DataFrame, col: str, least: int = 4, most: float = 0.6, size: int = 1500, pairs: bool = True, key: str = "row_id"):
@@ -89,13 +97,89 @@ def nmf(weights: DataFrame, n_terms: int, topics: int = 6, rounds: int = 30, see
     return [{"topic": k, "terms": [names[i] for i in h[k].argsort()[::-1][:top]], "share": float(share[k] / max(share.sum(), 1))} for k in range(topics)]
 
 
-def lda(counted: DataFrame, terms: list[str], topics: int = 6, rounds: int = 20, seed: int = 42, top: int = 8) -> tuple[list[dict], float]:
-    """Topics and log perplexity."""
-    from pyspark.ml.clustering import LDA
-
-    ready = counted.cache()  # every round reads it
-    model = LDA(k=topics, maxIter=rounds, seed=seed, featuresCol="counts").fit(ready)
-    found = model.describeTopics(top).collect()  # topics
-    perplexity = model.logPerplexity(ready)
-    ready.unpersist()
-    return [{"topic": r["topic"], "terms": [terms[i] for i in r["termIndices"]]} for r in found], perplexity
+def _sparse(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms and counts of all rows one after the other, and how many terms each row has; rows without one are left out."""
+    t, n = batch.column(0).field("indices"), batch.column(0).field("values")
+    lengths = np.diff(t.offsets.to_numpy())
+    return t.flatten().to_numpy(), n.flatten().to_numpy(), lengths[lengths > 0]
+
+
+def _blocks(t: np.ndarray, n: np.ndarray, lengths: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Terms and counts as matrices of rows of about one length, up to ``most`` values each; shorter rows are filled up with counts of zero."""
+    order, begin = np.argsort(lengths, kind="stable"), np.cumsum(lengths) - lengths
+    low = 0
+    while low < len(order):
+        high = low + int(np.searchsorted(np.arange(1, len(order) - low + 1) * lengths[order[low:]], most, "right"))
+        rows, low = order[low : max(high, low + 1)], max(high, low + 1)
+        place = np.arange(lengths[rows[-1]])
+        inside = place < lengths[rows, None]
+        at = np.where(inside, begin[rows, None] + place, 0)
+        yield t[at], np.where(inside, n[at], 0.0)
+
+
+def _expected(parameters: np.ndarray) -> np.ndarray:
+    """Expected logarithms of Dirichlet shares, a row each."""
+    return digamma(parameters) - digamma(parameters.sum(1, keepdims=True))
+
+
+def _memberships(b: np.ndarray, n: np.ndarray, prior: float, most: int = 100, close: float = 1e-3) -> np.ndarray:
+    """Dirichlet parameters of the topics' shares (rows x topics): each row's steps end when they move it by less than ``close`` on average. ``b``: rows x topics x terms."""
+    own = np.ones(b.shape[:2])
+    found, live, moving = own.copy(), np.arange(len(b)), np.ones(len(b), bool)
+    for _ in range(most):
+        share = np.exp(_expected(own))
+        norm = np.matmul(share[:, None], b)[:, 0] + EPS
+        after = prior + share * np.matmul(b, (n / norm)[:, :, None])[:, :, 0]
+        found[live[moving]] = after[moving]
+        moving &= np.abs(after - own).mean(1) >= close
+        own = after
+        if not moving.any():
+            break
+        if moving.mean() < 0.75:
+            live, own, b, n = live[moving], own[moving], b[moving], n[moving]
+            moving = np.ones(len(live), bool)
+    return found
+
+
+def lda(counted: DataFrame, terms: list[str], topics: int = 6, rounds: int = 50, seed: int = 42, top: int = 10, at_once: int = 1 << 16) -> tuple[list[dict], float]:
+    """Topics (their first ``top`` terms, and the share of rows, of those with a term, that have most of theirs in it) and the perplexity of a row's word.
+
+    Batch variational Bayes, with priors of 1 / ``topics``: in each of ``rounds`` passes every row is fitted to the topics, and the topics
+    become what all rows give them. The topics' parameters (topics x terms) are all that reaches the driver. Spark's own LDA draws a share of the rows in each
+    round, with repeats, and moves the topics a part of the way. ``counted``: as :func:`term_counts` gives it."""
+    prior, size = 1 / topics, len(terms)
+    rows = counted.select("counts").repartition(max(counted.rdd.getNumPartitions(), counted.sparkSession.sparkContext.defaultParallelism)).cache()  # every round reads it
+    now = np.random.default_rng(seed).gamma(100, 0.01, (topics, size))
+    for _ in range(rounds):
+        beta = np.exp(_expected(now))
+
+        def gather(total, t, n, lengths, beta=np.ascontiguousarray(beta.T)):
+            for t, n in _blocks(t, n, lengths, at_once):
+                b = np.ascontiguousarray(beta[t].transpose(0, 2, 1))
+                share = np.exp(_expected(_memberships(b, n, prior)))
+                n /= np.matmul(share[:, None], b)[:, 0] + EPS
+                for sums, own in zip(total[0], share.T, strict=True):
+                    sums += np.bincount(t.ravel(), (own[:, None] * n).ravel(), size)
+
+        (sums,), _ = _passed(rows, size, [(topics, size)], gather, read=_sparse)
+        now = prior + sums * beta
+
+    logs = _expected(now)
+
+    def score(total, t, n, lengths, logs=np.ascontiguousarray(logs.T)):
+        for t, n in _blocks(t, n, lengths, at_once):
+            b = np.ascontiguousarray(logs[t].transpose(0, 2, 1))
+            found = _memberships(np.exp(b), n, prior)
+            own = _expected(found)
+            b += own[:, :, None]
+            highest = b.max(1)
+            bound = (n * (np.log(np.exp(b - highest[:, None]).sum(1)) + highest)).sum() + ((prior - found) * own + log_gamma(found) - math.lgamma(prior)).sum()
+            bound += (math.lgamma(prior * topics) - log_gamma(found.sum(1))).sum()
+            total[0] += [bound, n.sum()]
+            total[1] += np.bincount(found.argmax(1), minlength=topics)
+
+    ((bound, words), share), _ = _passed(rows, size, [(2,), (topics,)], score, read=_sparse)
+    rows.unpersist()
+    bound += float(((prior - now) * logs + log_gamma(now) - math.lgamma(prior)).sum()) + topics * math.lgamma(prior * size) - float(log_gamma(now.sum(1)).sum()) if size else 0.0
+    found = [{"topic": k, "terms": [terms[i] for i in now[k].argsort(kind="stable")[::-1][:top]], "share": float(share[k] / max(share.sum(), 1))} for k in range(topics)]
+    return found, math.exp(-bound / words) if words else math.nan
