@@ -1,14 +1,16 @@
 """Hard-negative mining by a two-dimensional block matrix multiply.
 
 Scores are integer inner products of anchors (rows whose id is divisible by 50) with all rows. Rows stand in order of label
-and id and are cut into blocks, and dimensions into chunks. A grid cell takes a few anchor blocks, a few row blocks and one
-chunk, and multiplies them; the partial int64 score tiles of a pair of blocks are shuffled together, one for each chunk, and
-added. Tiles with rows of the anchor's label give each anchor's best positives; then the others, with the anchor's positives
-beside them, give the best rows inside each positive's window of scores. Each tile leaves a bounded number of candidates for an
-anchor, and the rest is a ranking within an anchor, or an anchor and positive. Every pair of an anchor and a row is scored once.
+and id and are cut into blocks. A grid cell takes a group of anchor blocks and a group of row blocks; row blocks pass by one at a
+time and are multiplied with each anchor block. From the tile of scores a cell keeps what is among an anchor's best so far: first the
+positives, of the anchor's label; then, with the anchor's positives beside it, the best rows of other labels inside each positive's
+window of scores. A cell leaves a bounded number of candidates for an anchor, and the rest is a ranking within an anchor, or an
+anchor and positive. Every pair of an anchor and a row is scored once in the first turn if they may have one label, and once in the second if
+they may have two; no score is written that is not a candidate.
 
-Cells and tiles have fixed sizes, and there are more of them as the table grows, so a hot label or a hot vector spreads over
-many. Nothing is broadcast but the row counts of ranges (see ``ordered``), and nothing but row counts reaches the driver.
+There are at most 24 groups of anchors and 48 of rows, so what is shuffled grows as the rows do; the products grow as their square.
+A hot label or a hot vector spreads over many blocks. Nothing is broadcast but the row counts of ranges (see ``ordered``), and
+nothing but counts reaches the driver.
 
 Rows with a null id, a null label, a null vector or a null or non-finite component take no part. Components become
 floor(256 * x), held within +-2^26, so that sums of 2,048 products stay exact. Shorter vectors count as zero beyond their
@@ -19,6 +21,7 @@ An anchor without positives, and a positive without rows in its window, has no r
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import stage
+from cohortry.llm.common import free_shuffles, stage
 from cohortry.llm.ordered import numbered
 from cohortry.session import ship_code
 
 MOST = 1 << 26
-TILE = "a_block long, r_block long, chunk int, a_ids binary, a_labels binary, a_at binary, a_wanted binary, r_ids binary, r_labels binary, r_at binary, scores binary"
-TILE_TYPES = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in TILE.split(", ")])
 
 
 def _integers(df: DataFrame, relabel: bool) -> DataFrame:
@@ -45,115 +46,165 @@ def _integers(df: DataFrame, relabel: bool) -> DataFrame:
     return clean.select("vec_id", label.alias("label"), held.alias("vector"))
 
 
-def _packed(rows: DataFrame, at: str, size: int, chunk: int) -> DataFrame:
-    """Blocks of ``size`` rows that stand together by ``at``: one row for each block and chunk of dimensions, with its matrix."""
+def _packed(rows: DataFrame, at: str, size: int) -> DataFrame:
+    """Blocks of ``size`` rows that stand together by ``at``: one row for each, with its matrix (of 16-bit numbers, if they fit)."""
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by(at)
         vectors = table.column("vector").combine_chunks()
         lengths = np.diff(vectors.offsets.to_numpy())
-        wide = max(1, math.ceil(int(lengths.max(initial=0)) / chunk)) * chunk
-        dense = np.zeros((len(lengths), wide), np.int32)
+        wide, values = max(1, int(lengths.max(initial=0))), vectors.flatten().to_numpy()
+        dense = np.zeros((len(lengths), wide), np.int16 if np.abs(values).max(initial=0) < 1 << 15 else np.int32)
         row = np.repeat(np.arange(len(lengths)), lengths)
-        dense[row, np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = vectors.flatten().to_numpy()
+        dense[row, np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = values
         longs = {c: table.column(c).to_numpy().astype(np.int64) for c in ("vec_id", "label", "at")}
-        block, n = table.column("block")[0].as_py(), wide // chunk
-        out = [(block, j, int(longs["label"].min()), int(longs["label"].max()), *(x.tobytes() for x in longs.values()), dense[:, j * chunk : (j + 1) * chunk].tobytes()) for j in range(n)]
-        return pa.table({name: pa.array(x) for name, x in zip(("block", "chunk", "low", "high", "ids", "labels", "ats", "matrix"), zip(*out, strict=True), strict=True)}, schema=SCHEMA)
+        out = (table.column("block")[0].as_py(), wide, *(x.tobytes() for x in longs.values()), dense.tobytes())
+        return pa.table({f.name: pa.array([x], f.type) for f, x in zip(SCHEMA, out, strict=True)}, schema=SCHEMA)
 
-    SCHEMA = pa.schema([("block", pa.int64()), ("chunk", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("ids", pa.binary()), ("labels", pa.binary()), ("ats", pa.binary()), ("matrix", pa.binary())])
+    SCHEMA = pa.schema([("block", pa.int64()), ("wide", pa.int32()), ("ids", pa.binary()), ("labels", pa.binary()), ("ats", pa.binary()), ("matrix", pa.binary())])
     ship_code(rows.sparkSession)
     keyed = rows.withColumn("block", F.expr(f"{at} div {size}"))
-    return keyed.groupBy("block").applyInArrow(pack, "block long, chunk int, low long, high long, ids binary, labels binary, ats binary, matrix binary")
-
-
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact int64 inner products; by floating point where all sums are below 2^53."""
-    bound = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
-    return (a.astype(float) @ b.astype(float).T).astype(np.int64) if bound < 1 << 53 else a.astype(np.int64) @ b.astype(np.int64).T
-
-
-def _tiles(anchors: DataFrame, rows: DataFrame, chunk: int, same: bool, per_cell: tuple[int, int] = (2, 4)) -> DataFrame:
-    """Partial score tiles of the pairs of blocks that can hold rows of one label (``same``) or of two. ``anchors`` may carry ``wanted``."""
-    i, j = max(1, math.ceil(anchors.select("block").distinct().count() / per_cell[0])), max(1, math.ceil(rows.select("block").distinct().count() / per_cell[1]))
-    place = lambda n: F.pmod(F.col("block"), F.lit(n).cast("long"))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    cols = ["block", "chunk", "low", "high", "ids", "labels", "ats", "matrix"]
-    left = anchors.select(place(i).alias("i"), every(j).alias("j"), F.lit(True).alias("anchor"), *cols, "wanted")
-    right = rows.select(every(i).alias("i"), place(j).alias("j"), F.lit(False).alias("anchor"), *cols, F.lit(None).cast("binary").alias("wanted"))
-
-    def multiply(table: pa.Table) -> pa.Table:
-        shaped = [(r, np.frombuffer(r["matrix"], np.int32).reshape(-1, chunk)) for r in table.to_pylist()]
-        out = []
-        for a, x in shaped:
-            for r, y in shaped:
-                if not a["anchor"] or r["anchor"]:
-                    continue
-                apart, alike = a["high"] < r["low"] or r["high"] < a["low"], a["low"] == a["high"] == r["low"] == r["high"]
-                if not (apart if same else alike):
-                    known = (a["ids"], a["labels"], a["ats"], a["wanted"], r["ids"], r["labels"], r["ats"]) if a["chunk"] == 0 else [None] * 7
-                    out.append((a["block"], r["block"], a["chunk"], *known, _product(x, y).tobytes()))
-        return pa.Table.from_pylist([dict(zip(TILE_TYPES.names, tile, strict=True)) for tile in out], TILE_TYPES)
-
-    ship_code(rows.sparkSession)
-    return left.unionByName(right).groupBy("i", "j", "chunk").applyInArrow(multiply, TILE)
+    return keyed.groupBy("block").applyInArrow(pack, "block long, wide int, ids binary, labels binary, ats binary, matrix binary")
 
 
-def _added(table: pa.Table) -> tuple[dict, np.ndarray]:
-    """What the first chunk's tile says of its rows, and the sum of all partial tiles."""
-    tiles = table.to_pylist()
-    head = next(t for t in tiles if t["chunk"] == 0)
-    known = {k: np.frombuffer(head[k], np.int64) for k in ("a_ids", "a_labels", "a_at", "r_ids", "r_labels", "r_at")} | {"a_wanted": head["a_wanted"]}
-    return known, np.sum([np.frombuffer(t["scores"], np.int64) for t in tiles], axis=0).reshape(len(known["a_ids"]), -1)
+def _product(a: np.ndarray, b: np.ndarray, chunk: int = 32) -> np.ndarray:
+    """Exact inner products, as the smallest of floats, doubles and longs that holds all sums; ``chunk`` dimensions at a time. The wider rows end with the others."""
+    wide = min(a.shape[1], b.shape[1])
+    bound = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * wide
+    kind = np.float32 if bound < 1 << 24 else float if bound < 1 << 53 else np.int64
+    out = np.zeros((len(a), len(b)), kind)
+    for c in range(0, wide, chunk):
+        out += a[:, c : min(c + chunk, wide)].astype(kind) @ b[:, c : min(c + chunk, wide)].astype(kind).T
+    return out
 
 
 NONE = -(1 << 62)
 
 
-def _positives(tiles: DataFrame, count: int) -> DataFrame:
-    """anchor (its place), id and score of the best ``count`` other rows of each anchor's label, with their rank."""
+def _limits(x: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """Limits for comparison with scores of a kind: where they lie beyond all scores that it can hold, the next one of the kind that does, too."""
+    most = {np.dtype(np.float32): 1 << 25, np.dtype(float): 1 << 54}.get(np.dtype(kind))
+    return (np.clip(x, -most, most) if most else x).astype(kind)[:, None]
+
+
+class Best:
+    """The best ``most`` entries of each row of a block over all tiles seen so far: by descending score, then id, then place."""
+
+    def __init__(self, n: int, most: int):
+        self.most, self.entries, self.least = most, np.empty((4, 0), np.int64), np.full(n, NONE)
+
+    def add(self, scores: np.ndarray, inside: np.ndarray, ids: np.ndarray, ats: np.ndarray) -> None:
+        """Takes in a tile; ``inside``: which of its entries are allowed."""
+        inside = inside & (scores >= _limits(self.least, scores.dtype))
+        if np.count_nonzero(inside) > 4 * self.most * len(scores) and scores.shape[1] > self.most:  # the best of the tile alone already rule most out
+            lowest = -(1 << 24) if scores.dtype == np.float32 else -(1 << 53) if scores.dtype == float else NONE
+            inside &= scores >= np.partition(np.where(inside, scores, scores.dtype.type(lowest)), -self.most, 1)[:, -self.most, None]
+            tied = np.flatnonzero(np.count_nonzero(inside, axis=1) > self.most)
+            if len(tied):
+                order = np.lexsort((ats, ids))
+                ranked = np.argsort(-np.where(inside[tied], scores[tied], scores.dtype.type(lowest))[:, order], axis=1, kind="stable")
+                first = np.zeros((len(tied), len(ids)), bool)
+                np.put_along_axis(first, order[ranked[:, : self.most]], True, 1)
+                inside[tied] &= first
+        row, at = np.divmod(np.flatnonzero(inside), scores.shape[1])
+        if len(row):
+            both = np.hstack([self.entries, [row, scores[row, at].astype(np.int64), ids[at], ats[at]]])
+            both = both[:, np.lexsort((both[3], both[2], -both[1], both[0]))]
+            begin = np.searchsorted(both[0], np.arange(len(self.least) + 1))
+            place = np.arange(both.shape[1]) - begin[both[0]]
+            self.entries = both[:, place < self.most]
+            full = np.diff(begin) >= self.most
+            self.least[full] = both[1, begin[:-1][full] + self.most - 1]
+
+
+def _block(r: dict) -> dict:
+    known = {k: np.frombuffer(r[k], np.int64) for k in ("ids", "labels", "ats")}
+    n, wide = len(known["ids"]), r["wide"]
+    return known | {"matrix": np.frombuffer(r["matrix"], f"i{len(r['matrix']) // (n * wide)}").reshape(n, wide), "wanted": r["wanted"], "low": known["labels"].min(), "high": known["labels"].max()}
+
+
+def _scanned(anchors: DataFrame, rows: DataFrame, begin, see, tell, schema: pa.Schema, returns: str, chunk: int, most_groups: tuple[int, int] = (24, 48), group: tuple[int, int] = (64, 2)) -> DataFrame:
+    """Anchor blocks against all row blocks, in the cells of a grid: groups of ``group`` blocks, or at most ``most_groups`` larger ones.
+
+    A cell holds its anchor blocks, each with what ``begin`` makes of it; row blocks pass by one at a time, are multiplied with each (``see``), and only
+    what ``tell`` says of an anchor block at the end leaves the cell. So what is shuffled grows as the rows do, and no scores are written."""
+    i, j = (min(most, max(1, math.ceil(x.count() / per))) for x, most, per in zip((anchors, rows), most_groups, group, strict=True))
+    place = lambda n: F.pmod(F.col("block"), F.lit(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cols = ["block", "wide", "ids", "labels", "ats", "matrix"]
+    left = anchors.select(place(i).alias("i"), every(j).alias("j"), F.lit(0).alias("side"), *cols, "wanted")
+    right = rows.select(every(i).alias("i"), place(j).alias("j"), F.lit(1).alias("side"), *cols, F.lit(None).cast("binary").alias("wanted"))
+    dealt = left.unionByName(right).withColumn("cell", F.col("i") * j + F.col("j")).repartitionById(i * j, "cell").sortWithinPartitions("cell", "side", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+        for batch in batches:
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
+                if r["cell"] != cell:
+                    yield from (tell(*h, schema) for h in held)
+                    cell, held = r["cell"], []
+                block = _block(r)
+                if r["side"] == 0:
+                    held.append((block, begin(block)))
+                else:
+                    for a, found in held:
+                        see(a, found, block, lambda a=a, block=block: _product(a["matrix"], block["matrix"], chunk))
+        yield from (tell(*h, schema) for h in held)
+
+    ship_code(rows.sparkSession)
+    return dealt.mapInArrow(run, returns)
+
+
+def _positives(anchors: DataFrame, rows: DataFrame, count: int, chunk: int) -> DataFrame:
+    """anchor (its place), place, id and score of the best ``count`` other rows of each anchor's label, with their rank."""
+
+    def see(a: dict, found: Best, r: dict, product) -> None:
+        if a["high"] >= r["low"] and r["high"] >= a["low"]:
+            found.add(product(), (a["labels"][:, None] == r["labels"]) & (a["ats"][:, None] != r["ats"]), r["ids"], r["ats"])
 
-    def best(table: pa.Table) -> pa.Table:
-        t, scores = _added(table)
-        order = np.argsort(t["r_ids"], kind="stable")
-        allowed = (t["a_labels"][:, None] == t["r_labels"][order]) & (t["a_at"][:, None] != t["r_at"][order])
-        scores = np.where(allowed, scores[:, order], NONE)
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :count]
-        found = np.take_along_axis(scores, top, 1)
-        a, b = np.nonzero(found > NONE)
-        at = order[top[a, b]]
-        return pa.table({"anchor": t["a_at"][a], "positive_at": t["r_at"][at], "positive_id": t["r_ids"][at], "positive_score": found[a, b]})
+    def tell(a: dict, found: Best, schema: pa.Schema) -> pa.RecordBatch:
+        row, score, ids, ats = found.entries
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a["ats"][row], ats, ids, score)], schema=schema)
 
-    candidates = tiles.groupBy("a_block", "r_block").applyInArrow(best, "anchor long, positive_at long, positive_id long, positive_score long")
+    names = ("anchor", "positive_at", "positive_id", "positive_score")
+    schema = pa.schema([(n, pa.int64()) for n in names])
+    candidates = _scanned(anchors, rows, lambda a: Best(len(a["ids"]), count), see, tell, schema, ", ".join(f"{n} long" for n in names), chunk)
     place = F.row_number().over(W.partitionBy("anchor").orderBy(F.desc("positive_score"), "positive_id", "positive_at"))
     return candidates.withColumn("place", place).filter(F.col("place") <= count)
 
 
-def _negatives(tiles: DataFrame, most: int, low: int, high: int) -> DataFrame:
-    """anchor, place (of the positive), negative_id, negative_score: the best ``most`` of each tile inside each positive's window."""
-
-    def best(table: pa.Table) -> pa.Table:
-        t, scores = _added(table)
-        wanted = np.frombuffer(t["a_wanted"], np.int64).reshape(len(t["a_ids"]), -1)  # score, and 1 if there is one, for each positive
-        order = np.argsort(t["r_ids"], kind="stable")
-        scores = np.where(t["a_labels"][:, None] != t["r_labels"][order], scores[:, order], NONE)
-        rank = np.argsort(-scores, axis=1, kind="stable")
-        ranked = np.take_along_axis(scores, rank, 1)
-        out = []
-        for p in range(0, wanted.shape[1], 2):
-            score, there = wanted[:, p], wanted[:, p + 1] == 1
-            least, largest = -((-low * score) // 100), (high * score) // 100
-            first = (ranked > largest[:, None]).sum(1)
-            for step in range(most):
-                at = first + step
-                ok = there & (at < ranked.shape[1])
-                got = ranked[np.arange(len(at)), np.minimum(at, ranked.shape[1] - 1)]
-                a = np.flatnonzero(ok & (got >= least) & (got <= largest) & (got > NONE))
-                out.append((t["a_at"][a], np.full(len(a), p // 2 + 1), t["r_ids"][order[rank[a, at[a]]]], got[a]))
-        anchor, place, ids, got = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"anchor": anchor, "place": place.astype(np.int32), "negative_id": ids, "negative_score": got})
-
-    return tiles.groupBy("a_block", "r_block").applyInArrow(best, "anchor long, place int, negative_id long, negative_score long")
+def _share(score: np.ndarray, hundredths: int, up: bool) -> np.ndarray:
+    """``hundredths`` of scores, down or up to a whole number."""
+    whole, rest = np.divmod(score, 100)
+    return whole * hundredths + (-(-rest * hundredths // 100) if up else rest * hundredths // 100)
+
+
+def _negatives(anchors: DataFrame, rows: DataFrame, most: int, low: int, high: int, chunk: int) -> DataFrame:
+    """anchor, place (of the positive), negative_id, negative_score: the best ``most`` of each cell inside each positive's window."""
+
+    def begin(a: dict) -> list:
+        wanted = np.frombuffer(a["wanted"], np.int64).reshape(len(a["ids"]), -1)  # score, and 1 if there is one, for each positive
+        ends = [(_share(score, low, True), _share(score, high, False), there == 1) for score, there in zip(wanted[:, ::2].T, wanted[:, 1::2].T, strict=True)]
+        return [(np.where(there, least, 1), np.where(there, largest, 0), Best(len(score), most)) for (least, largest, there), score in zip(ends, wanted[:, ::2].T, strict=True)]
+
+    def see(a: dict, found: list, r: dict, product) -> None:
+        if a["low"] == a["high"] == r["low"] == r["high"]:
+            return
+        scores = product()
+        mixed = a["high"] >= r["low"] and r["high"] >= a["low"]
+        other = (a["labels"][:, None] != r["labels"]) if mixed else None
+        for least, largest, best in found:
+            inside = (scores <= _limits(largest, scores.dtype)) & (scores >= _limits(np.maximum(least, best.least), scores.dtype))
+            best.add(scores, inside & other if mixed else inside, r["ids"], r["ats"])
+
+    def tell(a: dict, found: list, schema: pa.Schema) -> pa.RecordBatch:
+        row, score, ids, _ = np.hstack([best.entries for *_, best in found])
+        place = np.repeat(np.arange(1, len(found) + 1, dtype=np.int32), [best.entries.shape[1] for *_, best in found])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a["ats"][row], place, ids, score)], schema=schema)
+
+    schema = pa.schema([("anchor", pa.int64()), ("place", pa.int32()), ("negative_id", pa.int64()), ("negative_score", pa.int64())])
+    return _scanned(anchors, rows, begin, see, tell, schema, "anchor long, place int, negative_id long, negative_score long", chunk)
 
 
 def mine(embeddings: DataFrame, every: int = 50, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, relabel: bool = True, chunk: int = 32, blocks: tuple[int, int] = (256, 2_048)) -> DataFrame:
@@ -161,12 +212,13 @@ def mine(embeddings: DataFrame, every: int = 50, positives: int = 5, negatives:
 
     A negative is of another label and has from ``low`` to ``high`` hundredths of its positive's score. ``relabel`` moves the label of rows
     whose id is divisible by 7 to (label + 1) % 10 first, as the query asks."""
-    rows = stage(numbered(_integers(embeddings, relabel), ["label", "vec_id"], "mine-rows"), "mine-numbered")
+    spark, rows = embeddings.sparkSession, numbered(_integers(embeddings, relabel), ["label", "vec_id"], "mine-rows")
     anchors = stage(numbered(rows.filter(F.col("vec_id") % every == 0).withColumnRenamed("at", "row_at"), ["label", "vec_id", "row_at"], "mine-anchors").withColumnRenamed("at", "anchor_at").withColumnRenamed("row_at", "at"), "mine-anchors")
-    row_blocks = stage(_packed(rows, "at", blocks[1], chunk), "mine-row-blocks")
-    anchor_blocks = stage(_packed(anchors, "anchor_at", blocks[0], chunk), "mine-anchor-blocks")
-    same = _tiles(anchor_blocks.withColumn("wanted", F.lit(None).cast("binary")), row_blocks, chunk, same=True)
-    chosen = stage(_positives(same, positives), "mine-positives")
+    row_blocks = stage(_packed(rows, "at", blocks[1]), "mine-row-blocks")
+    anchor_blocks = stage(_packed(anchors, "anchor_at", blocks[0]), "mine-anchor-blocks")
+    free_shuffles(spark)
+    chosen = stage(_positives(anchor_blocks.withColumn("wanted", F.lit(None).cast("binary")), row_blocks, positives, chunk), "mine-positives")
+    free_shuffles(spark)
     per_anchor = chosen.groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("place", "positive_score"))).alias("_p"))  # a few to an anchor
     laid = anchors.select("anchor_at", "at", "vec_id").join(per_anchor, F.col("at") == F.col("anchor"), "left")
     number = lambda x: F.coalesce(x, F.lit(0).cast("long"))
@@ -178,8 +230,7 @@ def mine(embeddings: DataFrame, every: int = 50, positives: int = 5, negatives:
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "wanted": pa.array([flat.astype(np.int64).tobytes()], pa.binary())})
 
     wanted = listed.groupBy("block").applyInArrow(joined, "block long, wanted binary")
-    other = _tiles(stage(anchor_blocks.join(wanted, "block"), "mine-wanted"), row_blocks, chunk, same=False)
-    found = _negatives(other, negatives, low, high)
+    found = _negatives(stage(anchor_blocks.join(wanted, "block"), "mine-wanted"), row_blocks, negatives, low, high, chunk)
     rank = F.row_number().over(W.partitionBy("anchor", "place").orderBy(F.desc("negative_score"), "negative_id"))
     ranked = found.withColumn("rank", rank).filter(F.col("rank") <= negatives)
     named = chosen.join(anchors.select(F.col("at").alias("anchor"), F.col("vec_id").alias("anchor_id")), "anchor")

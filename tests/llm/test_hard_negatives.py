@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortry.llm import negatives
 
@@ -60,3 +61,32 @@ def test_large_components_stay_exact(spark):
     rows = [(50, [2.0**17, -(2.0**17) + 0.125], 1), (1, [2.0**17, 1.0], 1), (2, [2.0**16, -3.0], 2), (3, [2.0**16 + 1, -5.5], 2)]
     got = negatives.mine(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(map(tuple, got)) == brute(rows) and got
+
+
+def test_no_tiles_are_shuffled(spark):
+    """What cells leave is bounded by anchors and groups of rows, not by pairs of blocks; ties over many tiles stand as in all pairs."""
+    rng = random.Random(5)
+    rows = [(i, [as32(rng.choice([0.25, 0.5, 1.0])) for _ in range(6)], rng.choice([1, 2, 3])) for i in range(1_500)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = negatives.mine(df, chunk=4, blocks=(4, 8))
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+    candidates = negatives._positives(*[b.withColumn("wanted", F.lit(None).cast("binary")) for b in packed(df)], 5, 4)
+    assert candidates.count() <= 30 * 5 and candidates.filter("place > 5").count() == 0
+
+
+def packed(df):
+    found = negatives.numbered(negatives._integers(df, True), ["label", "vec_id"], "test-rows")
+    own = negatives.numbered(found.filter("vec_id % 50 = 0").withColumnRenamed("at", "row_at"), ["label", "vec_id", "row_at"], "test-anchors").withColumnRenamed("at", "anchor_at").withColumnRenamed("row_at", "at")
+    return negatives._packed(own, "anchor_at", 4), negatives._packed(found, "at", 8)
+
+
+def test_scores_of_all_kinds_compare():
+    import numpy as np
+
+    best, ids = negatives.Best(1, 2), np.arange(4)
+    best.add(np.array([[2**60 + 1, 2**60, 5, 2**60]]), np.ones((1, 4), bool), ids, ids)
+    best.add(np.array([[2.0**52, 7.0, 1.0, 0.0]]), np.ones((1, 4), bool), ids, ids)
+    best.add(np.array([[9, 8, 7, 6]], np.float32), np.ones((1, 4), bool), ids, ids)
+    assert best.entries[1:3].tolist() == [[2**60 + 1, 2**60], [0, 1]]
+    assert negatives._share(np.array([7, -7, 2**58]), 95, True).tolist() == [math.ceil(6.65), math.ceil(-6.65), -(-(2**58) * 95 // 100)]
+    assert negatives._share(np.array([7, -7, 2**58]), 50, False).tolist() == [3, -4, 2**57]
