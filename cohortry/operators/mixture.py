@@ -48,17 +48,24 @@ def _maximised(s: np.ndarray, k: int, d: int, diagonal: bool, reg: float) -> tup
     return n / n.sum(), means, second.reshape(k, d, d) - means[:, :, None] * means[:, None, :] + reg * np.eye(d)
 
 
-def many_mixtures(df: DataFrame, cols: list[str], tasks: list[tuple[int, int]], folds: int = 10, diagonal: bool = True, rounds: int = 200, reg: float = 1e-5, gain: float = 1e-4, seed: int = 42, key: str = "row_id") -> list[dict]:
-    """A fit for each task (k, fold): fold -1 takes all rows, another the rows outside it.
+def outside(h: np.ndarray, fold: int, folds: int, seed: int) -> np.ndarray:
+    """Whether rows lie outside a fold."""
+    return (uniform(h, seed * 7 + 3) * folds).astype(int) != fold
 
-    ``log_likelihood`` of its rows, ``n``, ``held`` (mean log density of the rows in the fold), ``entropy`` (1: every row is sure), ``converged``:
-    whether a pass gained less than ``gain`` a row before ``rounds`` passes, and weights, means and spreads."""
-    points, d = _points(df, cols, key).cache(), len(cols)
 
-    def outside(h: np.ndarray, fold: int) -> np.ndarray:
-        return (uniform(h, seed * 7 + 3) * folds).astype(int) != fold
+def partitions(points: DataFrame, d: int, tasks: list[tuple[int, int]], folds: int = 10, seed: int = 42) -> list[np.ndarray]:
+    """Centres of the k-means partitions at which the fits of :func:`many_mixtures` begin."""
+    return many_kmeans(points, d, tasks, lambda h, x, t: x, rounds=30, seed=seed, family=lambda t: 0, takes=lambda h, fold: None if fold < 0 else outside(h, fold, folds, seed))[0]
+
 
-    centres, _, _ = many_kmeans(points, d, tasks, lambda h, x, t: x, rounds=30, seed=seed, family=lambda t: 0, takes=lambda h, fold: None if fold < 0 else outside(h, fold))
+def many_mixtures(df: DataFrame, cols: list[str], tasks: list[tuple[int, int]], folds: int = 10, diagonal: bool = True, rounds: int = 200, reg: float = 1e-5, gain: float = 1e-4, seed: int = 42, key: str = "row_id", points: DataFrame | None = None, centres: list[np.ndarray] | None = None) -> list[dict]:
+    """A fit for each task (k, fold): fold -1 takes all rows, another the rows outside it. ``points`` (cached) and ``centres`` (of :func:`partitions`) can be shared.
+
+    ``log_likelihood`` of its rows, ``n``, ``held`` (mean log density of the rows in the fold), ``entropy`` (1: every row is sure), ``converged``:
+    whether a pass gained less than ``gain`` a row before ``rounds`` passes, and weights, means and spreads."""
+    d, own_points = len(cols), points is None
+    points = _points(df, cols, key).cache() if own_points else points
+    centres = partitions(points, d, tasks, folds, seed) if centres is None else centres
     width = 1 + d + (d if diagonal else d * d)
     fitted: list[dict | None] = [None] * len(tasks)
     moving, last = list(range(len(tasks))), [-math.inf] * len(tasks)
@@ -67,7 +74,7 @@ def many_mixtures(df: DataFrame, cols: list[str], tasks: list[tuple[int, int]],
 
         def add(total, h, x, now=now):
             for i, (task, parameters, begun) in enumerate(now):
-                inside = np.zeros(len(x), bool) if task[1] < 0 else ~outside(h, task[1])
+                inside = np.zeros(len(x), bool) if task[1] < 0 else ~outside(h, task[1], folds, seed)
                 if parameters is None:
                     shares, norm = np.eye(len(begun))[_nearest(x, begun[None])[1][0]], np.zeros(len(x))
                 else:
@@ -93,7 +100,8 @@ def many_mixtures(df: DataFrame, cols: list[str], tasks: list[tuple[int, int]],
         moving = still
         if not moving:
             break
-    points.unpersist()
+    if own_points:
+        points.unpersist()
     return fitted
 
 

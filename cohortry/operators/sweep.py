@@ -8,17 +8,19 @@ have centroids in place of rows, which makes them sums too.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.operators.agglomerate import features, weighted_tree
 from cohortry.operators.associate import ami_of_table, ari_of_table
 from cohortry.operators.cluster import cut_tree, squared_distances
-from cohortry.operators.mixture import free_parameters, log_densities, many_mixtures
+from cohortry.operators.mixture import free_parameters, log_densities, many_mixtures, partitions
 from cohortry.operators.resample import _arrays, _passed, _points, many_kmeans
 from cohortry.session import ship_code
 
@@ -41,38 +43,68 @@ class Fit:
 
 
 def fits(df: DataFrame, cols: list[str], ks, algorithms: tuple[str, ...] = ALGORITHMS, seed: int = 42, key: str = "row_id", starts: int = 5, most: int = 2_000) -> list[Fit]:
-    """All algorithms at all k. k-means (the best of ``starts``), bisecting k-means, mixtures and agglomerations over at most ``most`` features."""
-    ks, out = list(ks), []
-    points = _points(df, cols, key).cache()
-    if "kmeans" in algorithms:
-        tasks = [(k, i) for k in ks for i in range(starts)]
-        centres, inertia, rested = many_kmeans(points, len(cols), tasks, lambda h, x, t: x, seed=seed, family=lambda t: 0)
+    """All algorithms at all k. k-means (the best of ``starts``), bisecting k-means, mixtures and agglomerations over at most ``most`` features.
+
+    The algorithms, and the fits of bisecting k-means, run at the same time: on tables whose passes take less than their start, they wait for each other's."""
+    ks, size = list(ks), len(cols)
+    points = _points(df, cols, key, least=4_096).cache()  # a task of Python takes a tenth of a second to begin
+    points.count()
+    ship_code(df.sparkSession)
+
+    def kmeans() -> list[Fit]:
+        tasks, out = [(k, i) for k in ks for i in range(starts)], []
+        centres, inertia, rested = many_kmeans(points, size, tasks, lambda h, x, t: x, seed=seed, family=lambda t: 0)
         for i, k in enumerate(ks):
             best = min(range(i * starts, (i + 1) * starts), key=lambda t: inertia[t])
             out.append(Fit("kmeans", k, ("centres", centres[best], None), inertia=inertia[best], converged=rested[best]))
-    if "bisecting" in algorithms:
+        return out
+
+    def bisecting(k: int, ready: DataFrame) -> list[Fit]:
         from pyspark.ml.clustering import BisectingKMeans
-        from pyspark.ml.feature import VectorAssembler
 
-        ready = VectorAssembler(inputCols=cols, outputCol="_features").transform(df.select(*cols)).select("_features").cache()
-        for k in ks:
-            model = BisectingKMeans(k=k, seed=seed, featuresCol="_features").fit(ready)
-            out.append(Fit("bisecting", k, ("centres", np.array([c for c in model.clusterCenters()]), None), inertia=float(model.summary.trainingCost)))
-        ready.unpersist()
-    for name in ("gmm_full", "gmm_diag"):
-        if name in algorithms:
-            for k, f in zip(ks, many_mixtures(df, cols, [(k, -1) for k in ks], diagonal=name == "gmm_diag", seed=seed, key=key), strict=True):
-                free = free_parameters(k, len(cols), name == "gmm_diag")
+        model = BisectingKMeans(k=k, seed=seed, featuresCol="_features").fit(ready)
+        return [Fit("bisecting", k, ("centres", np.array([c for c in model.clusterCenters()]), None), inertia=float(model.summary.trainingCost))]
+
+    def mixtures(names: list[str]) -> list[Fit]:
+        tasks, out = [(k, -1) for k in ks], []
+        centres = partitions(points, size, tasks, seed=seed)
+        for name, fitted in zip(names, _together(df.sparkSession, [lambda name=name: many_mixtures(df, cols, tasks, diagonal=name == "gmm_diag", seed=seed, key=key, points=points, centres=centres) for name in names]), strict=True):
+            for k, f in zip(ks, fitted, strict=True):
+                free = free_parameters(k, size, name == "gmm_diag")
                 out.append(Fit(name, k, ("mixture", f["weights"], f["means"], f["spreads"]), bic=free * math.log(f["n"]) - 2 * f["log_likelihood"], aic=2 * free - 2 * f["log_likelihood"], entropy=f["entropy"], converged=f["converged"]))
-    if used := [name for name in LINKAGES if name in algorithms]:
-        f = features(points, len(cols), most)
-        for name in used if len(f.n) else ():
+        return out
+
+    def trees(names: list[str]) -> list[Fit]:
+        f, out = features(points, size, most), []
+        for name in names if len(f.n) else ():
             merges = weighted_tree(f, name)
             out += [Fit(name, k, ("centres", f.centres(), cut_tree(merges, len(f.n), min(k, len(f.n))))) for k in ks]
+        return out
+
+    work = [kmeans] if "kmeans" in algorithms else []
+    if "bisecting" in algorithms:
+        from pyspark.ml.feature import VectorAssembler
+
+        ready = VectorAssembler(inputCols=cols, outputCol="_features").transform(df.select(*cols)).select("_features").cache()
+        ready.count()
+        work += [lambda k=k: bisecting(k, ready) for k in ks]
+    if used := [name for name in ("gmm_full", "gmm_diag") if name in algorithms]:
+        work.append(lambda used=used: mixtures(used))
+    if used := [name for name in LINKAGES if name in algorithms]:
+        work.append(lambda used=used: trees(used))
+    out = [fit for fits in _together(df.sparkSession, work) for fit in fits]
+    if "bisecting" in algorithms:
+        ready.unpersist()
     points.unpersist()
     return out
 
 
+def _together(spark: SparkSession, work: list[Callable[[], list]]) -> list[list]:
+    """What each returns, in their order; their Spark jobs run side by side."""
+    with ThreadPoolExecutor(max(1, len(work))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(w)) for w in work]]
+
+
 def labelled(df: DataFrame, cols: list[str], found: list[Fit], key: str = "row_id") -> DataFrame:
     """h, and x: the values, then the label of each fit."""
     size, points = len(cols), _points(df, cols, key)

@@ -54,3 +54,40 @@ def test_agreement_of_given_labelings(spark):
         own = [(str(r[i]), str(r[j])) for r in rows if r[i] is not None and r[j] is not None]
         table = stability.contingency([x for x, _ in own], [y for _, y in own])
         assert abs(got[a, b].ari - associate.ari_of_table(table)) < 1e-12 and abs(got[a, b].ami - associate.ami_of_table(table)) < 1e-12
+
+
+def test_passes_of_few_partitions_are_added_on_the_driver(spark, monkeypatch):
+    from cohortry.operators import resample
+
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rng.normal(size=(300, 3)))], "row_id long, a double, b double, c double").repartition(5)
+    points, grouped = resample._points(df, ["a", "b", "c"], "row_id").cache(), []
+    group_by = type(points).groupBy
+    monkeypatch.setattr(type(points), "groupBy", lambda self, *a: (grouped.append(a), group_by(self, *a))[1])
+
+    def add(total, h, x):
+        total[0] += x.T @ x
+        total[1] += x.sum(0)
+        return [(3, x[0])]
+
+    tree, drawn = resample._passed(points, 3, [(3, 3), (3,)], add, direct=0)
+    assert grouped
+    grouped.clear()
+    sums, same = resample._passed(points, 3, [(3, 3), (3,)], add)
+    assert not grouped and all((a == b).all() for a, b in zip(tree, sums, strict=True))
+    assert [(t, r.tolist()) for t, r in drawn] == [(t, r.tolist()) for t, r in same] and len(same) > 1
+
+
+def test_mixtures_of_a_sweep_begin_at_the_same_partitions(spark, monkeypatch):
+    from cohortry.operators import mixture, sweep
+
+    rng, begun = np.random.default_rng(6), []
+    x = np.vstack([rng.normal(c, 0.4, (60, 2)) for c in ((0, 0), (5, 0), (0, 5))])
+    df, cols = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "row_id long, a double, b double"), ["a", "b"]
+    kmeans = mixture.many_kmeans
+    monkeypatch.setattr(mixture, "many_kmeans", lambda *a, **k: (begun.append(a), kmeans(*a, **k))[1])
+    found = sweep.fits(df, cols, [2, 3], starts=1)
+    assert len(begun) == 1 and [(f.algorithm, f.k) for f in found] == [(a, k) for a in sweep.ALGORITHMS for k in (2, 3)]
+    alone = mixture.many_mixtures(df, cols, [(2, -1), (3, -1)], diagonal=False)
+    both = [f for f in found if f.algorithm == "gmm_full"]
+    assert all(np.allclose(a["means"], f.rule[2]) and np.allclose(a["spreads"], f.rule[3]) for a, f in zip(alone, both, strict=True))
