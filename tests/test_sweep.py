@@ -91,3 +91,21 @@ def test_mixtures_of_a_sweep_begin_at_the_same_partitions(spark, monkeypatch):
     alone = mixture.many_mixtures(df, cols, [(2, -1), (3, -1)], diagonal=False)
     both = [f for f in found if f.algorithm == "gmm_full"]
     assert all(np.allclose(a["means"], f.rule[2]) and np.allclose(a["spreads"], f.rule[3]) for a, f in zip(alone, both, strict=True))
+
+
+@pytest.mark.parametrize("tied", [False, True])
+def test_assignment_by_equality_is_that_by_labels(tied):
+    from cohortry.operators import resample
+
+    rng = np.random.default_rng(7)
+    v = rng.integers(0, 3, (90, 4)).astype(float) if tied else rng.normal(size=(90, 4))
+    centres = [v[rng.integers(0, 90, k)] + (0 if tied else 0.1) for k in (2, 2, 3, 5)]
+    for taken in (None, rng.random((4, 90)) < 0.7):
+        own, lost = resample._owned(v, centres, taken)
+        at = 0
+        for f, c in enumerate(centres):
+            d = ((v[:, None] - c) ** 2).sum(2)
+            there = np.ones(90, bool) if taken is None else taken[f]
+            assert (own[at : at + len(c)].T == np.eye(len(c))[d.argmin(1)] * there[:, None]).all()
+            assert lost[f] == pytest.approx((d.min(1) * there).sum())
+            at += len(c)
