@@ -15,7 +15,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.operators.cluster import squared_distances
 from cohortry.operators.resample import _passed, fit, uniform
 from cohortry.operators.validity import nearest_centroid, paired, side
 from cohortry.session import ship_code
@@ -40,6 +39,47 @@ def blocks(df: DataFrame, cols: list[str], key: str, block_rows: int) -> DataFra
     return stage(rows.mapInArrow(pack, "block long, keys binary, x binary"), "knn-blocks")
 
 
+def nearest_of(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, k: int, same: bool = False, values: int = 1 << 23) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys ``a``, how many neighbours each has, and their distances and keys of ``b``, some rows at a time; ``same``: both sides are the same rows.
+
+    Products of single precision rule out what is farther than the ``k``-th by more than their error can be (double precision, where squares are too large); the others
+    are measured by their differences."""
+    fine = np.isfinite(y).all(1)
+    centre = y[fine].mean(0) if fine.any() else np.zeros(y.shape[1])  # a shift changes no distance, but large values blur products
+    u, v = x - centre, y - centre
+    most_u, most_v = (float(np.sqrt((w[np.isfinite(w).all(1)] ** 2).sum(1).max(initial=0))) for w in (u, v))
+    kind = np.float32 if 1e-12 < max(most_u, most_v) < 1e15 else float
+    error = (y.shape[1] + 8) * float(np.finfo(kind).eps) * (2 * most_u + most_v) * most_v
+    turned, square = (-2 * v.T).astype(kind), (v * v).sum(1).astype(kind)
+    step = max(16, min(512, values // max(1, len(y))))
+    for at in range(0, len(x), step):
+        d = u[at : at + step].astype(kind) @ turned
+        d += square
+        own = np.arange(len(d))
+        if same:
+            d[own, at + own] = np.inf
+        first = d[:, :2_048]
+        some = min(k, first.shape[1])
+        limit = np.partition(first, some - 1, 1)[:, some - 1] if first.shape[1] > k else np.full(len(d), np.inf)  # that of a part of the rows is no less than that of all
+        limit = np.where(np.isnan(limit), np.inf, limit + 2 * error).astype(kind)
+        row, col = np.divmod(np.flatnonzero(d <= np.nextafter(limit, kind(np.inf))[:, None]), len(y))
+        rough = d[row, col].astype(float)
+        order = np.lexsort((rough, row))
+        row, col, rough = row[order], col[order], rough[order]
+        begin = np.searchsorted(row, np.arange(len(d) + 1))
+        last = np.minimum(begin[:-1] + k, begin[1:]) - 1  # the k-th by the products
+        close = rough <= rough[last[row]] + 2 * error if len(row) else np.empty(0, bool)
+        row, col = row[close], col[close]
+        exact = np.concatenate([np.sqrt(((x[at + row[i : i + 8_192]] - y[col[i : i + 8_192]]) ** 2).sum(1)) for i in range(0, len(row), 8_192)] or [np.empty(0)])
+        whole = np.isfinite(exact) & ((at + row != col) if same else True)
+        row, col, exact = row[whole], col[whole], exact[whole]
+        order = np.lexsort((b[col], exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col, exact = row[kept], col[kept], exact[kept]
+        yield a[at : at + step], np.bincount(row, minlength=len(d)), exact, b[col]
+
+
 def nearest_rows(df: DataFrame, cols: list[str], k: int = 15, key: str = "row_id", block_rows: int = 4_096, most_groups: int = 24) -> DataFrame:
     """key (a long, different in all rows), ``other`` and ``distance``: the ``k`` nearest other rows of each row, ties to the smaller key.
 
@@ -48,29 +88,16 @@ def nearest_rows(df: DataFrame, cols: list[str], k: int = 15, key: str = "row_id
     if packed.isEmpty():
         return df.sparkSession.createDataFrame([], f"{key} long, other long, distance double")
 
-    def nearest(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, out: list) -> None:
-        step = max(16, min(512, (1 << 22) // len(b)))
-        some = min(k, len(b))
-        for at in range(0, len(a), step):
-            d = squared_distances(x[at : at + step], y)
-            d[a[at : at + step, None] == b] = np.inf
-            limit = np.partition(d, some - 1, 1)[:, some - 1 : some]
-            for row, own in enumerate(d):
-                near_by = np.flatnonzero(own <= limit[row])
-                best = near_by[np.argsort(own[near_by], kind="stable")][:some]
-                best = best[np.isfinite(own[best])]
-                exact = np.sqrt(((x[at + row] - y[best]) ** 2).sum(1))
-                out.append((int(a[at + row]), [{"d": float(v), "o": int(o)} for v, o in zip(exact, b[best], strict=True)]))
-
     def near(table: pa.Table) -> pa.Table:
-        (a, _, x), out = side(table, True, size), []
+        a, _, x = side(table, True, size)
         if table.column("i")[0].as_py() == table.column("j")[0].as_py():
-            nearest(a, x, a, x, out)
+            parts = list(nearest_of(a, x, a, x, k, same=True))
         else:
             b, _, y = side(table, False, size)
-            nearest(a, x, b, y, out)
-            nearest(b, y, a, x, out)
-        return pa.table({"key": pa.array([r[0] for r in out], pa.int64()), "found": pa.array([r[1] for r in out], pa.list_(pa.struct([("d", pa.float64()), ("o", pa.int64())])))})
+            parts = [*nearest_of(a, x, b, y, k), *nearest_of(b, y, a, x, k)]
+        keys, counts, exact, other = (np.concatenate(c) for c in zip(*parts, strict=True))
+        found = pa.StructArray.from_arrays([pa.array(exact, pa.float64()), pa.array(other, pa.int64())], names=["d", "o"])
+        return pa.table({"key": pa.array(keys, pa.int64()), "found": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), found)})
 
     lists = paired(packed, most_groups, block_rows).groupBy("i", "j").applyInArrow(near, "key long, found array<struct<d: double, o: long>>")
     merged = lists.groupBy("key").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k).alias("found"))  # a list from each group

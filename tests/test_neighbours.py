@@ -57,3 +57,25 @@ def test_vectors_of_a_graph_and_clusters_of_rings(spark, rows):
     got = [labels[i] for i in range(len(x))]
     assert associate.ari_of_table(stability.contingency(got, np.repeat([0, 1], 90))) == 1
     assert associate.ari_of_table(stability.contingency(got, cluster.spectral(x, 2))) == 1
+
+
+@pytest.mark.parametrize("values", ["near", "shifted", "tiny", "huge", "copies"])
+def test_neighbours_are_exact_where_products_blur(values):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(70, 5)), rng.normal(size=(2_300, 5))
+    scale, shift = {"shifted": (1e-3, 1e6), "tiny": (1e-20, 0), "huge": (1e18, 0)}.get(values, (1, 0))
+    x, y = x * scale + shift, y * scale + shift
+    if values == "copies":
+        x, y = np.round(x), np.round(y)
+    y[5], x[3, 2] = np.nan, np.nan
+    a, b = np.arange(70), 1_000 + np.arange(2_300)
+    for p, q, keys, other, same in ((x, y, a, b, False), (y, x, b, a, False), (y, y, b, b, True)):
+        got = [np.concatenate(c) for c in zip(*neighbours.nearest_of(keys, p, other, q, 4, same, values=1 << 16), strict=True)]
+        ends = np.cumsum(got[1])
+        for i in range(0, len(p), 7):
+            d = np.sqrt(((p[i] - q) ** 2).sum(1))
+            d = np.where((np.arange(len(q)) == i) & same, np.inf, d)
+            d = np.where(np.isnan(d), np.inf, d)
+            want = [j for j in np.argsort(d, kind="stable")[:4] if np.isfinite(d[j])]
+            mine = slice(ends[i] - got[1][i], ends[i])
+            assert got[0][i] == keys[i] and got[3][mine].tolist() == other[want].tolist() and got[2][mine] == pytest.approx(d[want], rel=1e-12)
